@@ -94,18 +94,20 @@ def change(x: Column | str, k: int = 1, *extra: str, sym: str = "sym", order: st
     return ratio(x, F.lag(col(x), k).over(by_sym(*extra, sym=sym, order=order))) - 1
 
 
+def _z(x: Column | str, w: WindowSpec, least: int) -> Column:
+    # one count, one mean, one spread: Spark evaluates every occurrence anew
+    c = col(x)
+    return F.when(F.count(c).over(w) >= max(least, 2), ratio(c - F.avg(c).over(w), F.stddev_samp(c).over(w)))
+
+
 def expanding_z(x: Column | str, least: int = 20, **kw) -> Column:
     """Z-score against all history up to and including the current row."""
-    w = by_sym(**kw).rowsBetween(Window.unboundedPreceding, 0)
-    c = col(x)
-    return ratio(c - gated(F.avg(c), c, w, least), nonzero(gated(F.stddev_samp(c), c, w, max(least, 2))))
+    return _z(x, by_sym(**kw).rowsBetween(Window.unboundedPreceding, 0), least)
 
 
 def trailing_z(x: Column | str, n: int = 60, least: int = 20, **kw) -> Column:
     """Z-score against the ``n`` rows before the current one, which is left out."""
-    w = trailing(n, skip=1, **kw)
-    c = col(x)
-    return ratio(c - gated(F.avg(c), c, w, least), nonzero(gated(F.stddev_samp(c), c, w, max(least, 2))))
+    return _z(x, trailing(n, skip=1, **kw), least)
 
 
 def squash(c: Column | str) -> Column:

@@ -94,12 +94,20 @@ def channels(panel: DataFrame) -> DataFrame:
     """Equilibrium lines, cloud position, range position and pivot distance (nothing shifted forward)."""
     def middle(n: int) -> Column:
         return (roll_max("high", n, _half(n)) + roll_min("low", n, _half(n))) / 2
-    base = panel.withColumns({"_t": middle(9), "_k": middle(26), "_b": middle(52)})
+    base = panel.withColumns(
+        {
+            "_t": middle(9),
+            "_k": middle(26),
+            "_b": middle(52),
+            "_hi": roll_max("high", 20, 10),
+            "_lo": roll_min("low", 20, 10),
+        }
+    )
     base = base.withColumn("_a", (F.col("_t") + F.col("_k")) / 2)
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     top = F.when(both, F.greatest("_a", "_b"))
     bottom = F.when(both, F.least("_a", "_b"))
-    hi, lo = roll_max("high", 20, 10), roll_min("low", 20, 10)
+    hi, lo = F.col("_hi"), F.col("_lo")
     pivot = (F.col("high") + F.col("low") + F.col("close")) / 3
     c = F.col("close")
     return base.withColumns(
@@ -109,7 +117,7 @@ def channels(panel: DataFrame) -> DataFrame:
             "donchian_pos": clip((c - lo) / _floor(hi - lo), 0.0, 1.0),
             "pivot_dist": F.tanh((c - pivot) / _floor(F.abs(pivot)) * 100),
         }
-    ).drop("_t", "_k", "_a", "_b")
+    ).drop("_t", "_k", "_a", "_b", "_hi", "_lo")
 
 
 def range_vols(panel: DataFrame) -> DataFrame:
@@ -138,20 +146,23 @@ def liquidity(panel: DataFrame) -> DataFrame:
             "_imp": F.abs("_r") / _floor(F.sqrt(_floor(F.col("volume")))),
         }
     )
-    cov = roll_mean("_cross", 20, 10)
+    base = base.withColumns(
+        {"_cov": roll_mean("_cross", 20, 10), "_avg_rg": roll_mean("_rg", 20, 10), "_avg_imp": roll_mean("_imp", 20, 10)}
+    )
+    cov = F.col("_cov")
     turnover = _floor(F.col("volume") * F.col("close"))
     return base.withColumns(
         {
             "amihud_illiq": F.log1p(F.abs("_r") / turnover * 1e9),
-            "kyle_lambda": F.log1p(roll_mean("_imp", 20, 10) * 1e6),
+            "kyle_lambda": F.log1p(F.col("_avg_imp") * 1e6),
             "roll_spread": F.when(cov < 0, 2 * F.sqrt(-cov)),
             "close_loc_value": clip(
                 (2 * F.col("close") - F.col("low") - F.col("high")) / _floor(F.col("_rg")), -1.0, 1.0
             ),
             "gap_open": F.tanh((F.col("open") - F.col("_pc")) / _floor(F.abs("_pc")) * 50),
-            "range_expansion": F.log1p(_floor(F.col("_rg")) / _floor(roll_mean("_rg", 20, 10))),
+            "range_expansion": F.log1p(_floor(F.col("_rg")) / _floor(F.col("_avg_rg"))),
         }
-    ).drop("_pc", "_rg", "_r", "_cross", "_imp")
+    ).drop("_pc", "_rg", "_r", "_cross", "_imp", "_cov", "_avg_rg", "_avg_imp")
 
 
 def pattern_features(panel: DataFrame) -> DataFrame:

@@ -67,9 +67,9 @@ def mean_rsi(panel: DataFrame, value: str = "close", n: int = 14, out: str = "rs
 
 
 def stochastic(panel: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
-    lo, hi = roll_min("low", n), roll_max("high", n)
-    out = panel.withColumn("stoch_k", 100 * ratio(F.col("close") - lo, hi - lo))
-    return out.withColumn("stoch_d", roll_mean("stoch_k", smooth))
+    out = panel.withColumns({"_lo": roll_min("low", n), "_hi": roll_max("high", n)})
+    out = out.withColumn("stoch_k", 100 * ratio(F.col("close") - F.col("_lo"), F.col("_hi") - F.col("_lo")))
+    return out.withColumn("stoch_d", roll_mean("stoch_k", smooth)).drop("_lo", "_hi")
 
 
 def volume_features(panel: DataFrame, n: int = 20) -> DataFrame:
@@ -82,7 +82,7 @@ def volume_features(panel: DataFrame, n: int = 20) -> DataFrame:
         {
             "vwap_gap": ratio(F.col("close") - vwap, "close"),
             "volume_ratio": ratio("_v", roll_mean("_v", n)),
-            "ret_over_sd": ratio("ret", nonzero(roll_std("ret", n))),
+            "ret_over_sd": ratio("ret", roll_std("ret", n)),
         }
     ).drop("_v", "_pv")
 
@@ -148,12 +148,16 @@ def lagged_features(panel: DataFrame) -> DataFrame:
         cols[f"mom_{h}"] = F.when(F.col("_n") >= h, growth).otherwise(0.0)
     for n in (5, 10, 21):
         cols[f"vol_{n}"] = F.when(F.col("_n") >= n, F.stddev_pop("_r").over(trailing(n, skip=1))).otherwise(0.0)
+    cols["_last"] = F.lag("close").over(by_sym())
     for n in (10, 21):
-        w = trailing(n, skip=1)
-        sd = F.stddev_pop("close").over(w)
-        z = (F.lag("close").over(by_sym()) - F.avg("close").over(w)) / sd
-        cols[f"zscore_{n}"] = F.when((F.col("_n") >= n) & (sd > 1e-12), z).otherwise(0.0)
-    return base.withColumns(cols).drop("_r", "_n")
+        cols[f"_m{n}"] = F.avg("close").over(trailing(n, skip=1))
+        cols[f"_s{n}"] = F.stddev_pop("close").over(trailing(n, skip=1))
+    scores = {}
+    for n in (10, 21):
+        known = (F.col("_n") >= n) & (F.col(f"_s{n}") > 1e-12)
+        scores[f"zscore_{n}"] = F.when(known, (F.col("_last") - F.col(f"_m{n}")) / F.col(f"_s{n}")).otherwise(0.0)
+    out = base.withColumns(cols).withColumns(scores)
+    return out.drop("_r", "_n", "_last", "_m10", "_m21", "_s10", "_s21")
 
 
 def return_features(panel: DataFrame) -> DataFrame:
@@ -181,15 +185,16 @@ def return_features(panel: DataFrame) -> DataFrame:
 def regime_variable(panel: DataFrame, short: int = 5, long: int = 20) -> DataFrame:
     """log(short-run / long-run spread of returns), NULL until both windows are full."""
     base = panel.withColumn("_r", change("close"))
-    s, l = roll_std("_r", short), roll_std("_r", long)
-    return base.withColumn("regime", F.when((s > 0) & (l > 0), F.ln(s / l))).drop("_r")
+    base = base.withColumns({"_s": roll_std("_r", short), "_l": roll_std("_r", long)})
+    both = (F.col("_s") > 0) & (F.col("_l") > 0)
+    return base.withColumn("regime", F.when(both, F.ln(F.col("_s") / F.col("_l")))).drop("_r", "_s", "_l")
 
 
 def annual_vol(panel: DataFrame, n: int = 20, fallback: float = 0.15) -> DataFrame:
     """Trailing annualised volatility; the fallback stands in until it is known and positive."""
     base = panel.withColumn("_r", change("close"))
-    vol = roll_std("_r", n) * math.sqrt(252)
-    return base.withColumn("ann_vol", F.when(vol > 0, vol).otherwise(fallback)).drop("_r")
+    base = base.withColumn("_v", roll_std("_r", n) * math.sqrt(252))
+    return base.withColumn("ann_vol", F.when(F.col("_v") > 0, F.col("_v")).otherwise(fallback)).drop("_r", "_v")
 
 
 def bars_since(panel: DataFrame, count: str, out: str) -> DataFrame:
@@ -290,6 +295,8 @@ def pair_z(pairs: DataFrame, n: int = 60) -> DataFrame:
     """
     w = trailing(n, sym="pair")
     full = (F.count("ratio").over(w) == n) & (F.row_number().over(by_sym(sym="pair")) > n)
-    sd = F.stddev_samp("ratio").over(w)
-    z = (F.col("ratio") - F.avg("ratio").over(w)) / F.when(sd > 1e-10, sd)
-    return pairs.withColumn("z", F.when(full, z))
+    base = pairs.withColumns(
+        {"_full": full, "_m": F.avg("ratio").over(w), "_s": F.stddev_samp("ratio").over(w)}
+    )
+    known = F.col("_full") & (F.col("_s") > 1e-10)
+    return base.withColumn("z", F.when(known, (F.col("ratio") - F.col("_m")) / F.col("_s"))).drop("_full", "_m", "_s")

@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def session_pos() -> Column:
+    """Order of a fill inside its session, as one integer.
+
+    A struct as ordering value would force sort-based aggregation; an integer
+    keeps ``min_by``/``max_by`` inside the hash aggregate.
+    """
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 262144 + F.pmod(cents, F.lit(262144))
+
+
 def fills(spark: SparkSession, sf: str, books: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per fill: symbol, session, price, size, order inside the session.
 
@@ -28,7 +38,7 @@ def fills(spark: SparkSession, sf: str, books: int | None = None, extra: tuple[s
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
         F.col("l_quantity").alias("qty"),
         F.col("l_extendedprice").alias("notional"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("pos"),
+        session_pos().alias("pos"),
         *extra,
     )
 
@@ -95,9 +105,14 @@ def ticks(spark: SparkSession, sf: str, books: int | None = 10) -> DataFrame:
     )
 
 
+def tick_pos() -> Column:
+    """Arrival order of a tick as one integer (time first, then identifier)."""
+    return F.unix_micros("ts") * 4096 + F.pmod("event_id", F.lit(4096))
+
+
 def minute_bars(tick_rows: DataFrame) -> DataFrame:
     """Minute bars; a symbol has at most 1,440 of them per day."""
-    pos = F.struct("ts", "event_id")
+    pos = tick_pos()
     return (
         tick_rows.withColumn("minute", (F.hour("ts") * 60 + F.minute("ts")).cast("int"))
         .groupBy("sym", "dt", "minute")
