@@ -6,7 +6,7 @@ the edge (``finite``), because Spark aggregates propagate NaN.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -115,6 +115,11 @@ def squash(c: Column | str) -> Column:
     return F.tanh(col(c) / 2)
 
 
+def attach(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row table (a global aggregate) to every row."""
+    return df.join(F.broadcast(totals), how="cross")
+
+
 def corr_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
     """Pearson correlation from plain sums, NULL where a side is constant.
 

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.functions.cols import attach
+
 
 def value_ranks(df: DataFrame, group: Sequence[str], value: str, buckets: int = 32) -> DataFrame:
     """(group, value, cnt, below, total): counts of equal, smaller and all values."""
@@ -29,7 +31,7 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str, buckets: int =
     cuts = counts.groupBy(*group).agg(
         F.percentile_approx(value, probs, 1000).alias("cuts"), F.sum("cnt").alias("total")
     )
-    placed = counts.join(cuts, group) if group else counts.crossJoin(F.broadcast(cuts))
+    placed = counts.join(cuts, group) if group else attach(counts, cuts)
     placed = placed.withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
     inside = Window.partitionBy(*group, "bucket").orderBy(value)
     running = placed.withColumn(

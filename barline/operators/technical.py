@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.cols import (
     at_least,
+    attach,
     by_sym,
     change,
     clip,
@@ -249,7 +250,7 @@ def standardise_on_train(panel: DataFrame, names: list[str], train: Column) -> D
         kept = F.when(train, F.col(c))
         aggs += [F.avg(kept).alias(f"_m_{c}"), F.stddev_pop(kept).alias(f"_s_{c}")]
     stats = panel.agg(*aggs)  # a single row
-    out = panel.crossJoin(F.broadcast(stats))
+    out = attach(panel, stats)
     cols = {
         f"{c}_std": (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 1e-12, F.col(f"_s_{c}")).otherwise(1.0)
         for c in names

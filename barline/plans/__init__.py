@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows",)
+MODULES = ("windows", "quality", "alignment")
 
 
 def load() -> None:
