@@ -105,17 +105,11 @@ def kalman_fill(panel: DataFrame, value: str, out: str, process: float = 1e-3, n
     return _grouped(panel, ["sym"], [out], run)
 
 
-def blended_path(panel: DataFrame, target: str, out: str, keep: str | float, keys: tuple[str, ...] = ("sym",)) -> DataFrame:
-    """``w_t = (1 - keep) * target_t + keep * w_(t-1)``, starting from zero holdings."""
+def blended_path(panel: DataFrame, target: str, out: str, keep: float, keys: tuple[str, ...] = ("sym",)) -> DataFrame:
+    """``w_t = keep * w_(t-1) + (1 - keep) * target_t``; the first row takes its target."""
 
-    def run(h: pd.DataFrame) -> dict[str, np.ndarray]:
-        goal = h[target].to_numpy(dtype="float64")
-        share = h[keep].to_numpy(dtype="float64") if isinstance(keep, str) else np.full(goal.size, float(keep))
-        held, path = 0.0, np.empty(goal.size)
-        for i in range(goal.size):
-            held = (1 - share[i]) * goal[i] + share[i] * held
-            path[i] = held
-        return {out: path}
+    def run(h: pd.DataFrame) -> dict[str, pd.Series]:
+        return {out: h[target].astype("float64").ewm(alpha=1 - keep, adjust=False).mean()}
 
     return _grouped(panel, list(keys), [out], run)
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "quality", "alignment")
+MODULES = ("windows", "quality", "alignment", "targets", "xsection")
 
 
 def load() -> None:
