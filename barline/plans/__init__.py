@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "quality", "alignment", "targets", "xsection")
+MODULES = ("windows", "quality", "alignment", "targets", "xsection", "metrics")
 
 
 def load() -> None:

@@ -220,7 +220,7 @@ _ACCT = "ac AS (SELECT sym, dt, close AS price, least(greatest(ret, -1), 1) AS w
         "a2 AS (SELECT *, CAST(trunc(tw * equity / price) AS BIGINT) AS q FROM a1)",
         "a3 AS (SELECT *, sum(abs(q * price)) OVER (PARTITION BY account, dt ORDER BY (q <> 0) DESC, abs(tw) DESC, sym DESC ROWS UNBOUNDED PRECEDING) AS run FROM a2)",
         "a4 AS (SELECT *, CASE WHEN run <= equity THEN q ELSE 0 END AS shares FROM a3)",
-        select=f"SELECT account, sym, dt, CAST(shares AS BIGINT) AS shares, CAST(shares - held AS BIGINT) AS trade, {r('abs((shares - held) * price) * CASE WHEN shares > held THEN 0.001 + 0.00015 + 3.07e-05 * 1.18 ELSE 0.001 + 3.07e-05 * 1.18 END', 5)} AS cost, {r('shares * price / equity', 9)} AS realised_weight, abs(tw) > 1e-9 AND shares = 0 AS untradeable FROM a4",
+        select=f"SELECT account, sym, dt, CAST(shares AS BIGINT) AS shares, CAST(shares - held AS BIGINT) AS trade, {r('abs((shares - held) * price) * CASE WHEN shares > held THEN 0.001 + 0.00015 + 3.07e-05 * 1.18 ELSE 0.001 + 3.07e-05 * 1.18 END', 5)} AS cost, {r('shares * price / equity', 12)} AS realised_weight, abs(tw) > 1e-9 AND shares = 0 AS untradeable FROM a4",
     ),
 )
 def c17(spark, sf):
@@ -230,7 +230,7 @@ def c17(spark, sf):
         (F.col("trades") % 3).alias("held"), F.lit(20000.0).alias("equity"), (F.col("sym") % 2).alias("account"), (F.col("ret") * 10000).alias("edge"),
     )
     out = xs.share_sizes(rows, min_edge_bps=50.0, edge="edge", round_trip_bps=22.0)
-    return out.select("account", "sym", "dt", "shares", "trade", rnd("cost", 5).alias("cost"), rnd("realised_weight", 9).alias("realised_weight"), "untradeable")
+    return out.select("account", "sym", "dt", "shares", "trade", rnd("cost", 5).alias("cost"), rnd("realised_weight", 12).alias("realised_weight"), "untradeable")
 
 
 @query(
