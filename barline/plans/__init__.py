@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "quality", "alignment", "targets", "xsection", "metrics")
+MODULES = ("windows", "quality", "alignment", "targets", "xsection", "metrics", "intraday")
 
 
 def load() -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # fills in session order, daily bars per supplier and for ten baskets
-_POS = "(l_orderkey * 8 + l_linenumber) * 262144 + CAST(round(l_extendedprice * 100) AS BIGINT) % 262144"
+POS = "(l_orderkey * 8 + l_linenumber) * 262144 + CAST(round(l_extendedprice * 100) AS BIGINT) % 262144"
 _BARS = """{name} AS (
   SELECT {sym} AS sym, CAST(l_shipdate AS DATE) AS dt,
          first(l_extendedprice / l_quantity ORDER BY {pos}) AS open,
@@ -13,8 +13,8 @@ _BARS = """{name} AS (
          sum(l_quantity) AS volume, sum(l_extendedprice) AS turnover, count(*) AS trades
   FROM lineitem GROUP BY 1, 2)"""
 
-BARS = _BARS.format(name="bars", sym="CAST(l_suppkey AS BIGINT)", pos=_POS)
-BARS10 = _BARS.format(name="bars", sym="CAST(l_suppkey % 10 AS BIGINT)", pos=_POS)
+BARS = _BARS.format(name="bars", sym="CAST(l_suppkey AS BIGINT)", pos=POS)
+BARS10 = _BARS.format(name="bars", sym="CAST(l_suppkey % 10 AS BIGINT)", pos=POS)
 CAL = "cal AS (SELECT dt, CAST(row_number() OVER (ORDER BY dt) - 1 AS INTEGER) AS bar_idx FROM (SELECT DISTINCT dt FROM bars))"
 DENSE = """dense AS (
   SELECT s.sym, c.dt, c.bar_idx, b.open, b.high, b.low, b.close, b.volume, b.turnover, b.trades
