@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -31,6 +32,15 @@ TRADING_DAYS = 252
 RISK_FREE = 0.065
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Binds a value once for an expression that mentions it many times.
+
+    Spark repeats a nested expression at every mention; long formulas would grow
+    past what it can compile.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def _poly(coeffs: tuple[float, ...], x: Column) -> Column:
     out = F.lit(coeffs[0])
     for c in coeffs[1:]:
@@ -38,34 +48,45 @@ def _poly(coeffs: tuple[float, ...], x: Column) -> Column:
     return out
 
 
-def norm_cdf(x: Column | str) -> Column:
-    """Standard normal distribution function, accurate to about 1e-15 (there is no ``erf`` in Spark)."""
-    x = col(x)
+def _cdf(x: Column) -> Column:
     a = F.least(F.abs(x), F.lit(38.0))
     tail = a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))
     body = F.exp(-a * a / 2)
     upper = F.when(a < 7.07106781186547, body * _poly(HART_NUM, a) / _poly(HART_DEN, a)).otherwise(
         body / tail / math.sqrt(2 * math.pi)
     )
-    return F.when(x.isNotNull(), F.when(x > 0, 1 - upper).otherwise(upper))
+    return F.when(x > 0, 1 - upper).otherwise(upper)
 
 
-def norm_ppf(p: Column | str) -> Column:
-    """Standard normal quantile with one correction step; NULL outside (0, 1)."""
-    p = col(p)
+def norm_cdf(x: Column | str) -> Column:
+    """Standard normal distribution function, accurate to about 1e-15 (there is no ``erf`` in Spark)."""
+    x = col(x)
+    return F.when(x.isNotNull(), let(x.cast("double"), _cdf))
+
+
+def _first_guess(p: Column) -> Column:
     low = F.sqrt(-2 * F.ln(p))
     high = F.sqrt(-2 * F.ln(1 - p))
     q = p - 0.5
-    s = q * q
-    mid = q * _poly(ACKLAM_A, s) / _poly(ACKLAM_B, s)
-    guess = (
-        F.when(p < 0.02425, _poly(ACKLAM_C, low) / _poly(ACKLAM_D, low))
-        .when(p > 1 - 0.02425, -_poly(ACKLAM_C, high) / _poly(ACKLAM_D, high))
-        .otherwise(mid)
+    return (
+        F.when(p < 0.02425, let(low, lambda v: _poly(ACKLAM_C, v) / _poly(ACKLAM_D, v)))
+        .when(p > 1 - 0.02425, let(high, lambda v: -_poly(ACKLAM_C, v) / _poly(ACKLAM_D, v)))
+        .otherwise(q * let(q * q, lambda v: _poly(ACKLAM_A, v) / _poly(ACKLAM_B, v)))
     )
-    err = norm_cdf(guess) - p
-    u = err * math.sqrt(2 * math.pi) * F.exp(guess * guess / 2)
-    return F.when((p > 0) & (p < 1), guess - u / (1 + guess * u / 2))
+
+
+def norm_ppf(p: Column | str) -> Column:
+    """Standard normal quantile with one correction step; NULL outside (0, 1)."""
+    p = col(p)
+
+    def corrected(pp: Column) -> Column:
+        def step(x: Column) -> Column:
+            miss = (_cdf(x) - pp) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
+            return let(miss, lambda u: x - u / (1 + x * u / 2))
+
+        return let(_first_guess(pp), step)
+
+    return F.when((p > 0) & (p < 1), let(p.cast("double"), corrected))
 
 
 def expected_best_z(n_trials: Column | float) -> Column:
@@ -124,23 +145,26 @@ def implied_vol(
     held = strike * F.exp(-rate * years)
     floor = F.greatest(F.when(is_call, spot - held).otherwise(held - spot), F.lit(0.0))
     cap = F.when(is_call, spot).otherwise(held)
-    at = lambda v: option_price(spot, strike, years, v, is_call, rate) - price
+
+    def error(v: Column) -> Column:
+        return option_price(spot, strike, years, v, is_call, rate) - price
+
     usable = (
         price.isNotNull() & spot.isNotNull() & strike.isNotNull()
         & (years > 0) & (price > 0) & (spot > 0) & (strike > 0)
         & (price >= floor - 1e-6) & (price < cap)
-        & (at(F.lit(lo)) * at(F.lit(hi)) <= 0)
+        & (error(F.lit(lo)) * error(F.lit(hi)) <= 0)
     )
 
     def halve(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) / 2
-        err = at(mid)
-        done = state["done"] | (F.abs(err) < tol)
-        return F.struct(
-            F.when(done | (err >= 0), state["lo"]).otherwise(mid).alias("lo"),
-            F.when(done | (err < 0), state["hi"]).otherwise(mid).alias("hi"),
-            done.alias("done"),
-        )
+        def moved(mid: Column) -> Column:
+            return let(error(mid), lambda e: F.struct(
+                F.when((F.abs(e) < tol) | (e >= 0), state["lo"]).otherwise(mid).alias("lo"),
+                F.when((F.abs(e) < tol) | (e < 0), state["hi"]).otherwise(mid).alias("hi"),
+                (F.abs(e) < tol).alias("done"),
+            ))
+
+        return F.when(state["done"], state).otherwise(let((state["lo"] + state["hi"]) / 2, moved))
 
     start = F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit(False).alias("done"))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)

@@ -95,14 +95,17 @@ def volatility_legs(contracts: DataFrame, day: DataFrame, terms: int = 2) -> Dat
         order = F.struct(F.abs(F.col("strike") - F.col("spot") * at).alias("gap"), F.col("seq"))
         picks.append(F.min_by(F.when(ok, F.struct("strike", "px")), F.when(ok, order)).alias(name))
     legs = priced.groupBy("sym", "dt", "expiry", "term", "spot").agg(*picks)
+    # one row per leg, so the inversion is planned once
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("leg"), F.lit(side == CALL).alias("call"), F.col(f"{n}.strike").alias("strike"), F.col(f"{n}.px").alias("px")) for n, side, _ in LEGS]
+    )
     years = F.greatest(F.datediff("expiry", "dt"), F.lit(1)) / 365.0
-    return legs.select(
-        "sym", "dt", "term",
-        *[
-            mathx.implied_vol(F.col(f"{n}.px"), F.col("spot"), F.col(f"{n}.strike"), years, F.lit(side == CALL)).alias(n)
-            for n, side, _ in LEGS
-        ],
+    rows = legs.select("sym", "dt", "term", "spot", years.alias("years"), F.explode(cells).alias("c")).select("*", "c.*")
+    vols = rows.where(F.col("px").isNotNull()).withColumn(
+        "vol", mathx.implied_vol(F.col("px"), F.col("spot"), F.col("strike"), F.col("years"), F.col("call"))
     )
+    pick = lambda n: F.max(F.when(F.col("leg") == n, F.col("vol"))).alias(n)
+    return vols.groupBy("sym", "dt", "term").agg(*[pick(n) for n, _, _ in LEGS])
 
 
 def contract_features(contracts: DataFrame) -> DataFrame:

@@ -365,8 +365,8 @@ _IV = (
       FROM (SELECT id, i, lo, hi, mid, {_bs('mid')} - price AS err FROM (SELECT b.id, b.i, b.lo, b.hi, (b.lo + b.hi) / 2 AS mid, l.spot, l.strike, l.yrs, l.is_call, l.price FROM bi b JOIN lu l ON l.id = b.id WHERE NOT b.done AND b.i < 60)))""",
     "iv AS (SELECT l.sym, l.dt, l.term, l.leg, (b.lo + b.hi) / 2 AS v FROM (SELECT id, lo, hi FROM bi QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1) b JOIN lu l USING (id))",
     "pv AS (SELECT sym, dt, term, max(v) FILTER (WHERE leg = 'ac') AS ac, max(v) FILTER (WHERE leg = 'ap') AS ap, max(v) FILTER (WHERE leg = 'op') AS op, max(v) FILTER (WHERE leg = 'oc') AS oc FROM iv GROUP BY 1, 2, 3)",
-    "at AS (SELECT sym, dt, term, CASE WHEN ac IS NOT NULL AND ap IS NOT NULL THEN (ac + ap) / 2 ELSE coalesce(ac, ap) END AS atm, op - oc AS skew FROM pv)",
-    "vf AS (SELECT sym, dt, max(atm) FILTER (WHERE term = 1) AS atm_iv, max(skew) FILTER (WHERE term = 1) AS iv_skew, max(atm) FILTER (WHERE term = 2) - max(atm) FILTER (WHERE term = 1) AS iv_term FROM at GROUP BY sym, dt)",
+    "atv AS (SELECT sym, dt, term, CASE WHEN ac IS NOT NULL AND ap IS NOT NULL THEN (ac + ap) / 2 ELSE coalesce(ac, ap) END AS atm, op - oc AS skew FROM pv)",
+    "vf AS (SELECT sym, dt, max(atm) FILTER (WHERE term = 1) AS atm_iv, max(skew) FILTER (WHERE term = 1) AS iv_skew, max(atm) FILTER (WHERE term = 2) - max(atm) FILTER (WHERE term = 1) AS iv_term FROM atv GROUP BY sym, dt)",
 )
 
 
