@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.cols import attach
 from barline.operators.metrics import false_discovery
+from barline.session import durable, spread
 
 
 def audit_rows(panel: DataFrame, features: Sequence[str], targets: Sequence[str], base: str = "base_") -> DataFrame:
@@ -97,9 +98,10 @@ def audit_sums(rows: DataFrame, features: Sequence[str], draws: int, block: int
         if total:
             yield pd.DataFrame([(*k, v.tolist()) for k, v in total.items()], columns=["target", "feature", "stat", "v"])
 
-    parts = rows.repartition("target", "sym").sortWithinPartitions("target", "sym", "dt").mapInPandas(run, SUMS)
+    parts = spread(rows, "target", "sym").sortWithinPartitions("target", "sym", "dt").mapInPandas(run, SUMS)
     cells = parts.select("target", "feature", "stat", F.posexplode("v").alias("draw", "v"))
-    return cells.groupBy("target", "feature", "stat", "draw").agg(F.sum("v").alias("v"))
+    # read several times below; written once so that the walk over the symbols runs once
+    return durable(cells.groupBy("target", "feature", "stat", "draw").agg(F.sum("v").alias("v")), "audit-sums")
 
 
 def audit_correlations(sums: DataFrame) -> DataFrame:
@@ -193,7 +195,7 @@ def distance_correlation(rows: DataFrame, keys: Sequence[str], x: str = "x", y:
         parts = {"dcor": both[:, 1], "dcor_sign": np.sign(both[:, 1]), "dcor_abs": np.abs(both[:, 1])}
         return pd.DataFrame([{**head, "n": len(both), **{c: _distance(a, _centred(v)) for c, v in parts.items()}}])
 
-    return rows.select(*keys, x, y).groupBy(*keys).applyInPandas(run, schema)
+    return spread(rows.select(*keys, x, y), *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def kruskal_bins(rows: DataFrame, keys: Sequence[str], bins: int = 5, x: str = "x", y: str = "y", order: str = "dt") -> DataFrame:
@@ -256,8 +258,9 @@ def nonlinear_audit(
         return res
 
     schema = "feature string, target string, draw int, dcor double, kruskal double, dcor_sign double, floor double"
-    per_sym = rows.groupBy("feature", "target", "sym").applyInPandas(run, schema)
+    per_sym = spread(rows, "feature", "target", "sym").groupBy("feature", "target", "sym").applyInPandas(run, schema)
     stats = per_sym.groupBy("feature", "target", "draw").agg(*[F.avg(c).alias(c) for c in ("dcor", "kruskal", "dcor_sign", "floor")])
+    stats = durable(stats, "nonlinear")
     real = stats.where(F.col("draw") == 0).select("feature", "target", F.col("dcor").alias("_d"), F.col("kruskal").alias("_k"), "dcor_sign", "floor")
     null = stats.where(F.col("draw") > 0).select("feature", "target", "dcor", "kruskal")
     out = null.join(real, ["feature", "target"]).groupBy("feature", "target", "_d", "_k", "dcor_sign", "floor").agg(
@@ -275,6 +278,7 @@ def pick_features(relevance: DataFrame, redundancy: DataFrame, k: int, beta: flo
     one row per channel and per pair; each round is one top-1 query on them.
     """
     pairs = redundancy.unionByName(redundancy.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    relevance, pairs = durable(relevance, "relevance"), durable(pairs, "redundancy")
     chosen = relevance.orderBy(F.desc("score"), "feature").limit(1).select("feature", F.lit(1).alias("place"), F.col("score").alias("gain"))
     for place in range(2, k + 1):
         cost = pairs.join(chosen.select(F.col("feature").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("feature")).agg(F.avg("score").alias("_c"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barline.functions import costs
 from barline.functions.cols import attach
+from barline.session import spread
 
 TRADE_COLUMNS = (
     "account string, seq bigint, day int, ticker string, side string, quantity double, signal_price double, "
@@ -137,4 +138,4 @@ def run_orders(orders: DataFrame, capital: float = 100_000.0, max_position: floa
         out.insert(0, "account", pdf["account"].iloc[0])
         return out
 
-    return orders.groupBy("account").applyInPandas(replay, TRADE_COLUMNS)
+    return spread(orders, "account").groupBy("account").applyInPandas(replay, TRADE_COLUMNS)

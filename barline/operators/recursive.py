@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from barline.session import spread
+
 
 def _grouped(panel: DataFrame, keys: list[str], names: list[str], fn) -> DataFrame:
     """Runs ``fn(history) -> {column: values}`` on each key's rows in session order."""
@@ -21,7 +23,7 @@ def _grouped(panel: DataFrame, keys: list[str], names: list[str], fn) -> DataFra
         pdf = pdf.sort_values("dt", ignore_index=True)
         return pdf.assign(**fn(pdf))
 
-    return panel.groupBy(*keys).applyInPandas(run, schema)
+    return spread(panel, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def _wilder(x: pd.Series, n: int) -> pd.Series:

@@ -60,16 +60,15 @@ def select_and_score(scores: DataFrame, least: int = 20) -> DataFrame:
 
     A window needs ``least`` rows on both sides.
     """
-    a = F.abs("score")
-    per = scores.groupBy("draw", "target", "w").agg(
-        F.max_by(F.struct("k", "feature"), F.when(F.col("side") == "train", F.struct(a, -F.col("k")))).alias("_p"),
-        F.max(F.when(F.col("side") == "train", a)).alias("in_sample"),
-        F.max(F.when(F.col("side") == "train", F.col("n"))).alias("_ntr"),
-        F.max(F.when(F.col("side") == "test", F.col("n"))).alias("_nte"),
+    side = lambda s, c: F.max(F.when(F.col("side") == s, c))
+    both = scores.groupBy("draw", "target", "w", "k", "feature").agg(
+        side("train", F.abs("score")).alias("in_sample"), side("test", F.abs("score")).alias("out_sample"),
+        side("train", F.col("n")).alias("_ntr"), side("test", F.col("n")).alias("_nte"),
     ).where((F.col("_ntr") >= least) & (F.col("_nte") >= least))
-    test = scores.where(F.col("side") == "test").select("draw", "target", "w", "k", a.alias("out_sample"))
-    picked = per.select("draw", "target", "w", F.col("_p.k").alias("k"), F.col("_p.feature").alias("pick"), "in_sample")
-    return picked.join(test, ["draw", "target", "w", "k"]).drop("k")
+    best = both.groupBy("draw", "target", "w").agg(
+        F.max_by(F.struct("feature", "in_sample", "out_sample"), F.struct("in_sample", -F.col("k"))).alias("_p")
+    )
+    return best.select("draw", "target", "w", F.col("_p.feature").alias("pick"), "_p.in_sample", "_p.out_sample")
 
 
 def study_summary(picks: DataFrame) -> DataFrame:

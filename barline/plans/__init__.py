@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "quality", "alignment", "targets", "xsection", "metrics", "intraday", "textual", "landing", "studies")
+MODULES = ("windows", "quality", "alignment", "targets", "xsection", "metrics", "intraday", "textual", "landing", "studies", "scenarios")
 
 
 def load() -> None:

@@ -58,12 +58,19 @@ def channels_sql(src, part):
 _GRID = (BARS10, CAL, GRID10, "g10 AS (SELECT sym, dt, bar_idx, close, coalesce(volume, 0.0) AS volume FROM dense)")
 _T_SQL = tuple(x.replace("PARTITION BY sym ORDER BY dt", "PARTITION BY draw, sym ORDER BY bar_idx") for x in targets_sql("feats", "draw, sym", "draw, bar_idx"))
 _T_SQL = tuple(x.replace("PARTITION BY draw, sym ORDER BY dt", "PARTITION BY draw, sym ORDER BY bar_idx") for x in _T_SQL)
+# equal cells must stay equal when ranked, so study values are rounded
+_ROUNDED = ", ".join(f"round({c}, 10) AS {c}" for c in (*FEATS, *tg.TARGETS, *(f"base_{n}" for n in tg.TARGETS)))
+_T_SQL = (*(x.replace("tgt AS (", "tgu AS (", 1) for x in _T_SQL), f"tgt AS (SELECT * REPLACE ({_ROUNDED}) FROM tgu)")
 AUDIT_SQL = (*_GRID, "gd AS (SELECT 0 AS draw, * FROM g10)", *channels_sql("gd", "draw, sym"), *_T_SQL)
 
 
+def rounded(panel):
+    return panel.withColumns({c: F.round(c, 10) for c in (*FEATS, *tg.TARGETS, *(f"base_{n}" for n in tg.TARGETS))})
+
+
 def audit_panel(spark, sf):
     p = channels(grid10(spark, sf))
-    return tg.baselines(tg.targets(p))
+    return rounded(tg.baselines(tg.targets(p)))
 
 
 # ---- flagship: which causal channel ranks with which forward target ----------------------------------------
@@ -86,8 +93,8 @@ def feature_relevance(spark, sf):
 
 
 _DRAWS = 5
-_ORD = """ord AS (SELECT draw, CAST(at + o AS INTEGER) AS new_idx, CAST(blk * 21 + o AS INTEGER) AS old_idx FROM (
-  SELECT draw, blk, len, sum(len) OVER (PARTITION BY draw ORDER BY md5('{seed}-' || draw || '-' || blk), blk) - len AS at
+_ORD = """ord AS (SELECT draw, CAST(p0 + o AS INTEGER) AS new_idx, CAST(blk * 21 + o AS INTEGER) AS old_idx FROM (
+  SELECT draw, blk, len, sum(len) OVER (PARTITION BY draw ORDER BY md5('{seed}-' || draw || '-' || blk), blk) - len AS p0
   FROM (SELECT d AS draw, b AS blk, least(21, n - b * 21) AS len FROM (SELECT {n} AS n), range(1, {draws} + 1) t(d), range(0, 1000) u(b) WHERE b * 21 < n)), range(0, 21) v(o) WHERE o < len)"""
 
 
@@ -97,8 +104,9 @@ _ORD = """ord AS (SELECT draw, CAST(at + o AS INTEGER) AS new_idx, CAST(blk * 21
         *AUDIT_SQL, _RK, _RK2, _OBS,
         "days AS (SELECT target, dt, row_number() OVER (PARTITION BY target ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY target) AS n FROM (SELECT DISTINCT target, dt FROM rk2))",
         "num AS (SELECT r.*, d.i, d.n AS nn FROM rk2 r JOIN days d USING (target, dt))",
-        "ordt AS (SELECT draw, nn, CAST(at + o AS BIGINT) AS new_idx, blk * 21 + o AS old_idx FROM (SELECT draw, nn, blk, len, sum(len) OVER (PARTITION BY draw, nn ORDER BY md5('p-' || draw || '-' || blk), blk) - len AS at FROM (SELECT d AS draw, n AS nn, b AS blk, least(21, n - b * 21) AS len FROM (SELECT DISTINCT n FROM days), range(1, 6) t(d), range(0, 1000) u(b) WHERE b * 21 < n)), range(0, 21) v(o) WHERE o < len)",
-        "mv AS (SELECT o.draw, f.feature, f.target, f.rx, f.rb, y.ry FROM num f JOIN ordt o ON o.nn = f.nn AND o.new_idx = f.i JOIN num y ON y.feature = f.feature AND y.target = f.target AND y.sym = f.sym AND y.i = o.old_idx)",
+        "ordt AS (SELECT draw, nn, CAST(p0 + o AS BIGINT) AS new_idx, blk * 21 + o AS old_idx FROM (SELECT draw, nn, blk, len, sum(len) OVER (PARTITION BY draw, nn ORDER BY md5('p-' || draw || '-' || blk), blk) - len AS p0 FROM (SELECT d AS draw, n AS nn, b AS blk, least(21, n - b * 21) AS len FROM (SELECT DISTINCT n FROM days), range(1, 6) t(d), range(0, 1000) u(b) WHERE b * 21 < n)), range(0, 21) v(o) WHERE o < len)",
+        "mv0 AS MATERIALIZED (SELECT o.draw, o.old_idx, f.feature, f.target, f.sym, f.rx, f.rb FROM num f JOIN ordt o ON o.nn = f.nn AND o.new_idx = f.i)",
+        "mv AS (SELECT f.draw, f.feature, f.target, f.rx, f.rb, y.ry FROM mv0 f JOIN num y ON y.feature = f.feature AND y.target = f.target AND y.sym = f.sym AND y.i = f.old_idx)",
         "nl AS (SELECT draw, feature, target, corr(rx, ry) AS raw, corr(rx, rb) AS fb, corr(ry, rb) AS tb FROM mv GROUP BY 1, 2, 3)",
         select=f"SELECT CAST(draw AS INTEGER) AS draw, feature, target, {r('raw')} AS spearman, {r('(raw - tb * fb) / sqrt(1 - tb * tb)')} AS incremental FROM nl",
     ),
@@ -223,7 +231,7 @@ def study_panel(spark, sf, draws: int = 0):
         rows = rows.unionByName(px.join(vol, ["draw", "sym", "bar_idx"]))
     rows = rows.withColumn("dt", F.col("bar_idx"))
     p = channels(rows, "draw")
-    p = tg.baselines(tg.targets(p, 5, "draw"), 5, "draw")
+    p = rounded(tg.baselines(tg.targets(p, 5, "draw"), 5, "draw"))
     n = p.groupBy("draw").agg(F.max("bar_idx").alias("_last"))
     kept = p.join(F.broadcast(n), "draw").where((F.col("bar_idx") >= WARM) & (F.col("bar_idx") < F.col("_last")))
     return kept.withColumn("bar_idx", (F.col("bar_idx") - WARM).cast("int")).drop("_last")
@@ -435,7 +443,7 @@ def d25(spark, sf):
 
     g = grid10(spark, sf)
     walk = random_walk(g.select("sym"), t.calendar(g)).join(g.select("sym", "bar_idx", "volume"), ["sym", "bar_idx"])
-    p = tg.baselines(tg.targets(channels(walk)))
+    p = rounded(tg.baselines(tg.targets(channels(walk))))
     out = dp.feature_audit(p, FEATS, ("direction_1d", "rel_strength_1d"), draws=500)
     return out.select("feature", "target", rnd("spearman").alias("spearman"), "p_value", rnd("q").alias("q"), "significant")
 

@@ -58,3 +58,12 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions rows by key into the session's number of shuffle partitions.
+
+    Grouped Python work is heavy for few bytes; the explicit count keeps adaptive
+    execution from merging small partitions into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
