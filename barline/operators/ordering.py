@@ -24,6 +24,8 @@ from barline.functions.cols import attach
 def value_ranks(df: DataFrame, group: Sequence[str], value: str, buckets: int = 32) -> DataFrame:
     """(group, value, cnt, below, total): counts of equal, smaller and all values."""
     group = list(group)
+    if {value, *group} & {"cnt", "below", "total", "cuts", "bucket", "offset"}:
+        raise ValueError("rename the columns: cnt, below, total, cuts, bucket and offset are used here")
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("cnt"))
     )

@@ -36,10 +36,10 @@ def surface(paths: DataFrame, bands: dict[str, float]) -> DataFrame:
 
 def compounded(paths: DataFrame, lo: float = -0.5, hi: float = 2.0) -> DataFrame:
     """Compounded return of each path and symbol; single moves are bounded first."""
-    return paths.groupBy("path", "sym").agg((F.exp(F.sum(F.log1p(clip("r", lo, hi)))) - 1).alias("total"))
+    return paths.groupBy("path", "sym").agg((F.exp(F.sum(F.log1p(clip("r", lo, hi)))) - 1).alias("final"))
 
 
-def tail_risk(finals: DataFrame, value: str = "total", level: float = 0.05) -> DataFrame:
+def tail_risk(finals: DataFrame, value: str = "final", level: float = 0.05) -> DataFrame:
     """Value at risk and the mean beyond it per symbol; without anything beyond, the value itself."""
     var = exact_quantiles(finals, ["sym"], value, {"var_95": level}).drop("n")
     both = finals.join(var, "sym")
@@ -71,8 +71,11 @@ def scenario_records(paths: DataFrame, lead_sym: int, sigma_mult: Column) -> Dat
     lead = lead.withColumn("_p", F.max("_c").over(w))
     draw = lead.groupBy("path").agg(F.min((F.col("_c") - F.col("_p")) / (F.col("_p") + 1e-8)).alias("max_drawdown"))
     peak = paths.groupBy("path").agg(F.max(F.abs("r")).alias("peak_move"))
-    per = paths.groupBy("path", "sym").agg(F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"))
-    z = paths.join(per.where(F.col("_s") > 0), ["path", "sym"]).withColumn("_z", (F.col("r") - F.col("_m")) / F.col("_s"))
+    per = paths.groupBy("path", "sym").agg(F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"), F.count("r").alias("_k"))
+    bars = paths.groupBy("path").agg((F.max("t") + 1).alias("_len"))
+    # symbols present on every bar of the path
+    per = per.join(bars, "path").where((F.col("_s") > 0) & (F.col("_k") == F.col("_len"))).drop("_k", "_len")
+    z = paths.join(per, ["path", "sym"]).withColumn("_z", (F.col("r") - F.col("_m")) / F.col("_s"))
     bar = z.groupBy("path", "t").agg(F.sum("_z").alias("_zs"), F.sum(F.col("_z") ** 2).alias("_zq"), F.count(F.lit(1)).alias("_n"))
     corr = bar.groupBy("path").agg((F.avg(F.col("_zs") ** 2 - F.col("_zq")) / F.max(F.col("_n") * (F.col("_n") - 1))).alias("mean_corr"))
     out = draw.join(peak, "path").join(corr, "path", "left").withColumn("sigma_mult", sigma_mult)

@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "quality", "alignment", "targets", "xsection", "metrics", "intraday", "textual", "landing", "studies", "scenarios")
+MODULES = (
+    "windows", "quality", "alignment", "targets", "xsection", "metrics", "intraday", "textual", "landing", "studies",
+    "scenarios", "streams",
+)
 
 
 def load() -> None:

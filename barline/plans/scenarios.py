@@ -69,7 +69,8 @@ _SCEN = (
     "ld AS (SELECT path, c, max(c) OVER (PARTITION BY path ORDER BY t) AS p FROM lc)",
     "dr AS (SELECT path, min((c - p) / (p + 1e-8)) AS max_drawdown FROM ld GROUP BY path)",
     "pk AS (SELECT path, max(abs(r)) AS peak_move FROM paths GROUP BY path)",
-    "cc AS (SELECT a.path, a.sym AS x, b.sym AS y, covar_pop(a.r, b.r) / sqrt(var_pop(a.r) * var_pop(b.r)) AS c FROM paths a JOIN paths b ON a.path = b.path AND a.t = b.t AND a.sym < b.sym GROUP BY 1, 2, 3)",
+    f"pf AS (SELECT * FROM paths QUALIFY count(*) OVER (PARTITION BY path, sym) = {LEN})",
+    "cc AS (SELECT a.path, a.sym AS x, b.sym AS y, covar_pop(a.r, b.r) / sqrt(var_pop(a.r) * var_pop(b.r)) AS c FROM pf a JOIN pf b ON a.path = b.path AND a.t = b.t AND a.sym < b.sym GROUP BY 1, 2, 3)",
     "mc AS (SELECT path, avg(c) AS mean_corr FROM cc GROUP BY path)",
     "sce AS (SELECT path, max_drawdown, peak_move, mean_corr, 1.0 + path % 4 AS sigma_mult, (1.0 + path % 4) * peak_move AS severity FROM dr JOIN pk USING (path) LEFT JOIN mc USING (path))",
 )
@@ -400,8 +401,9 @@ def d18(spark, sf):
 @query("d24_capital_paths")
 def d24(spark, sf):
     x = xs.momentum_weights(rets10(spark, sf).select("sym", "dt", "bar_idx", "close"), 20)
-    rows = x.select(F.explode(F.sequence(F.lit(1), F.lit(4))).cast("bigint").alias("account"), "bar_idx", "sym", "weight", F.col("close").alias("price"),
-                    (F.lead("close").over(by_sym()) / F.col("close") - 1).alias("ret"))
+    ahead = F.lead("close").over(by_sym()) / F.col("close") - 1
+    rows = x.select("bar_idx", "sym", "weight", F.col("close").alias("price"), ahead.alias("ret"))
+    rows = rows.withColumn("account", F.explode(F.array(*[F.lit(a).cast("bigint") for a in (1, 2, 3, 4)])))
     rows = rows.withColumn("weight", F.col("weight") * F.col("account") / 4)
     out = rules.capital_paths(rows)
     return out.groupBy("account").agg(
