@@ -135,7 +135,7 @@ def run_orders(orders: DataFrame, capital: float = 100_000.0, max_position: floa
         pdf = pdf.sort_values("seq")
         fills, _ = fold_orders(pdf, capital, {}, {}, max_position)
         out = pd.DataFrame(fills, columns=names[1:])
-        out.insert(0, "account", pdf["account"].iloc[0])
+        out.insert(0, "account", str(pdf["account"].iloc[0]))
         return out
 
     return spread(orders, "account").groupBy("account").applyInPandas(replay, TRADE_COLUMNS)

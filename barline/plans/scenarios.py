@@ -410,3 +410,36 @@ def d24(spark, sf):
         rnd(F.ln(F.greatest(F.max_by("equity", "bar_idx"), F.lit(1e-9))), 4).alias("log_equity"), rnd(F.sum("cost"), 2).alias("total_cost"),
         rnd(F.avg("quantisation")).alias("quantisation"), rnd(F.avg("untradeable")).alias("untradeable"), F.count(F.lit(1)).alias("sessions"),
     )
+
+
+# ---- user-supplied pieces ------------------------------------------------------------------------------------
+
+
+@query(
+    "x01_user_strategy",
+    with_(
+        *_GRID, f"gx AS (SELECT sym, bar_idx, coalesce(close / {lag('close', order='bar_idx')} - 1, 0) AS ret FROM g10)",
+        "al AS (SELECT s.sym, c.bar_idx, coalesce(g.ret, 0) AS ret FROM (SELECT DISTINCT sym FROM g10) s CROSS JOIN cal c LEFT JOIN gx g ON g.sym = s.sym AND g.bar_idx = c.bar_idx)",
+        "sg AS (SELECT sym, bar_idx, sign(avg(ret) OVER (PARTITION BY sym ORDER BY bar_idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS s FROM al)",
+        "ww AS (SELECT sym, bar_idx, least(greatest(s / greatest(sum(abs(s)) OVER (PARTITION BY bar_idx), 1), -0.25), 0.25) AS weight FROM sg)",
+        select=f"SELECT CAST((bar_idx - 252) // 63 AS INTEGER) AS w, bar_idx, sym, {r('weight')} AS weight FROM ww WHERE bar_idx >= 252 AND (bar_idx - 252) // 63 <= ((SELECT count(*) FROM cal) - 254) // 63",
+    ),
+)
+def x01(spark, sf):
+    from barline.operators.plugins import run_strategy
+
+    out = run_strategy(rets10(spark, sf).select("sym", "bar_idx", "ret"), "trend", list(range(10)), 252, 63)
+    return out.withColumn("weight", rnd("weight"))
+
+
+@query(
+    "x05_name_pairs",
+    "SELECT a.n_regionkey AS region, a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name",
+)
+def x05(spark, sf):
+    from barline.operators.plugins import NamePairs
+
+    # a region's nations are a short stated list
+    lists = t.table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.collect_list("n_name").alias("names"))
+    spark.udtf.register("name_pairs", NamePairs)
+    return spark.sql("SELECT l.region, p.a, p.b FROM {lists} l, LATERAL name_pairs(l.names) p", lists=lists)

@@ -168,7 +168,7 @@ def order_ledger(capital: float = 100_000.0, max_position: float = 0.25) -> Step
         shares, last = m.setdefault("shares", {}), m.setdefault("last", {})
         fills, m["cash"] = fold_orders(rows, m.get("cash", capital), shares, last, max_position)
         out = pd.DataFrame(fills, columns=names[1:])
-        out.insert(0, "account", rows["account"].iloc[0])
+        out.insert(0, "account", str(rows["account"].iloc[0]))
         return out
 
     return step
