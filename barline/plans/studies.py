@@ -11,6 +11,7 @@ from barline.operators.ordering import window_rank
 from barline.plans.ansi import BARS, BARS10, CAL, lag, lead, over, pct_rank, r, roll, with_, z
 from barline.plans.metrics import GRID10
 from barline.plans.registry import query
+from barline.session import durable
 from barline.plans.targets import PAIR_BASE, PAIR_SQL, pair_panel, targets_sql
 from barline.sources import tables as t
 
@@ -69,8 +70,9 @@ def rounded(panel):
 
 
 def audit_panel(spark, sf):
-    p = channels(grid10(spark, sf))
-    return rounded(tg.baselines(tg.targets(p)))
+    # the panel is read by several aggregates below; its windows run once
+    p = durable(channels(grid10(spark, sf)), "channels")
+    return durable(rounded(tg.baselines(tg.targets(p))), "audit-panel")
 
 
 # ---- flagship: which causal channel ranks with which forward target ----------------------------------------
@@ -230,8 +232,9 @@ def study_panel(spark, sf, draws: int = 0):
         vol = pm.permuted_rows(g, order, ["volume"])
         rows = rows.unionByName(px.join(vol, ["draw", "sym", "bar_idx"]))
     rows = rows.withColumn("dt", F.col("bar_idx"))
-    p = channels(rows, "draw")
+    p = durable(channels(rows, "draw"), "study-channels")
     p = rounded(tg.baselines(tg.targets(p, 5, "draw"), 5, "draw"))
+    p = durable(p, "study-panel")
     n = p.groupBy("draw").agg(F.max("bar_idx").alias("_last"))
     kept = p.join(F.broadcast(n), "draw").where((F.col("bar_idx") >= WARM) & (F.col("bar_idx") < F.col("_last")))
     return kept.withColumn("bar_idx", (F.col("bar_idx") - WARM).cast("int")).drop("_last")
@@ -443,7 +446,8 @@ def d25(spark, sf):
 
     g = grid10(spark, sf)
     walk = random_walk(g.select("sym"), t.calendar(g)).join(g.select("sym", "bar_idx", "volume"), ["sym", "bar_idx"])
-    p = rounded(tg.baselines(tg.targets(channels(walk))))
+    p = durable(channels(walk), "walk-channels")
+    p = durable(rounded(tg.baselines(tg.targets(p))), "walk-panel")
     out = dp.feature_audit(p, FEATS, ("direction_1d", "rel_strength_1d"), draws=500)
     return out.select("feature", "target", rnd("spearman").alias("spearman"), "p_value", rnd("q").alias("q"), "significant")
 
