@@ -69,7 +69,7 @@ _ADJ = "adj AS (SELECT *, dm OR coalesce(abs(ret0) > 0.25, false) AS masked, CAS
 
 
 def _adjusted(spark, sf):
-    panel = t.bars(spark, sf, books=10).withColumn("prev_close", F.lag("close").over(by_sym()))
+    panel = t.saved_bars(spark, sf, 10).withColumn("prev_close", F.lag("close").over(by_sym()))
     return adjust.adjust_returns(panel, actions(spark, sf))
 
 
@@ -139,7 +139,7 @@ def announcements(spark, sf):
 
 
 def _grid(spark, sf, books=10):
-    panel = t.bars(spark, sf, books)
+    panel = t.saved_bars(spark, sf, books)
     return t.live_grid(panel, t.calendar(panel)).select("sym", "dt")
 
 
@@ -213,7 +213,7 @@ def j03(spark, sf):
     ),
 )
 def j04(spark, sf):
-    d = t.dense_panel(t.bars(spark, sf, books=10))
+    d = t.dense_panel(t.saved_bars(spark, sf, 10))
     d = al.forward_fill(al.forward_fill(d, "close", "one", 1), "close", "span")
     return d.select("sym", "dt", rnd("one", 8).alias("one"), rnd("span", 8).alias("span"))
 

@@ -12,6 +12,7 @@ from barline.plans.ansi import BARS10, MINUTES, POS, TICKS, lag, over, r, with_,
 from barline.plans.metrics import cdf_sql
 from barline.plans.quality import QUOTES, quotes
 from barline.plans.registry import query
+from barline.session import durable
 from barline.sources import tables as t
 
 # ---- minute bars ------------------------------------------------------------------------------------------
@@ -287,8 +288,8 @@ def contracts(spark, sf):
     inner = F.when(F.col("option") == "CE", F.col("eq") - F.col("strike")).when(F.col("option") == "PE", F.col("strike") - F.col("eq")).otherwise(0.0)
     optpx = F.greatest(inner, F.lit(0.0)) + F.col("eq") * (0.03 + F.col("l_discount") / 2)
     rows = rows.withColumn("close", F.when(F.col("instrument") == "STF", F.col("eq") * (1 + F.col("l_tax") / 10)).otherwise(optpx))
-    rows = underlying_price(rows.select("sym", "dt", "seq", "instrument", "option", "expiry", "strike", "close", "underlying",
-                                        (F.col("qty") * 100).alias("oi"), ((F.col("l_discount") - 0.05) * F.col("qty")).alias("oi_change"), F.col("qty").alias("volume")), eq)
+    rows = durable(underlying_price(rows.select("sym", "dt", "seq", "instrument", "option", "expiry", "strike", "close", "underlying",
+                                        (F.col("qty") * 100).alias("oi"), ((F.col("l_discount") - 0.05) * F.col("qty")).alias("oi_change"), F.col("qty").alias("volume")), eq), "contracts")
     return rows.withColumn("settle", F.lit(0.0))
 
 

@@ -10,7 +10,7 @@ from barline.plans.ansi import BARS, BARS10, CAL, TICKS, lag, r, with_
 from barline.plans.intraday import _BK2, _BOOK, DEPTH, POSITIONS, depth, positions
 from barline.plans.registry import query
 from barline.plans.windows import DELIV
-from barline.session import scratch_path
+from barline.session import durable, scratch_path
 from barline.sources import files, sinks, synthetic, tables as t
 
 
@@ -23,7 +23,7 @@ def _listing(spark, sf):
 
 
 def _land_prices(spark, sf):
-    rows = _listing(spark, sf)
+    rows = durable(_listing(spark, sf), "listing")
     cut = F.lit("1998-01-01").cast("date")
     new, old = scratch_path(spark, "prices-current"), scratch_path(spark, "prices-legacy")
     rows.where(F.col("dt") >= cut).select(
@@ -287,7 +287,7 @@ def _nrm(seed, *parts):
     ),
 )
 def s21(spark, sf):
-    b = t.bars(spark, sf)
+    b = t.saved_bars(spark, sf)
     out = synthetic.regime_panel(b.select("sym"), t.calendar(b), "11")
     return out.groupBy("sym").agg(
         (F.min("close") > 0).alias("positive"), F.count(F.lit(1)).alias("bars"), F.sum("regime").alias("regimes"), rnd(F.ln(F.max_by("close", "dt"))).alias("last_log")

@@ -14,6 +14,7 @@ from barline.operators import alignment as al, backtest as bt, metrics as mx, qu
 from barline.operators.ordering import average_rank
 from barline.plans.ansi import BARS, BARS10, CAL, DENSE, lag, over, r, with_
 from barline.plans.registry import query
+from barline.session import durable
 from barline.sources import tables as t
 
 # ---- walk-forward results of two weight rules on the dense ten-basket grid --------------------------
@@ -40,7 +41,7 @@ STRAT_DAYS = (
 
 def strategy_weights(spark, sf):
     """Weights of two rules on the filled grid, cut to walk-forward test sessions."""
-    panel = t.bars(spark, sf, books=10)
+    panel = t.saved_bars(spark, sf, 10)
     cal = t.calendar(panel)
     grid = al.forward_fill(t.dense_panel(panel, cal).select("sym", "dt", "bar_idx", "close"), "close", "close")
     rets = technical.returns(grid).select("sym", "dt", "close", "ret")
@@ -116,7 +117,9 @@ def calls(spark, sf):
     base = technical.returns(t.bars(spark, sf))
     base = base.withColumn("pred", F.signum(F.round("ret_5", 1)) * F.abs("ret_5"))
     base = base.withColumn("actual", F.lead("close").over(by_sym()) / F.col("close") - 1)
-    return base.where(F.col("pred").isNotNull() & F.col("actual").isNotNull()).select("sym", "dt", "pred", "actual")
+    rows = base.where(F.col("pred").isNotNull() & F.col("actual").isNotNull()).select("sym", "dt", "pred", "actual")
+    # several statistics read the calls more than once
+    return durable(rows, "calls")
 
 
 _DIAG = """SELECT {keys} CAST(count(*) AS BIGINT) AS n, count(*) FILTER (WHERE pred <> 0) AS c, count(*) FILTER (WHERE pred <> 0 AND (pred > 0) = (actual > 0)) AS h,
@@ -195,7 +198,7 @@ _R10 = f"x AS (SELECT sym, dt, close, coalesce(close / {lag('close')} - 1, 0) AS
     ),
 )
 def a08(spark, sf):
-    out = mx.market_snapshot(t.bars(spark, sf), fear=9)
+    out = mx.market_snapshot(t.saved_bars(spark, sf), fear=9)
     return out.select(*[rnd(c).alias(c) for c in ("vix_last", "vix_mean", "market_return", "market_vol")])
 
 
@@ -204,7 +207,7 @@ def a08(spark, sf):
     with_(BARS, _R10, "v AS (SELECT w, sym, stddev_samp(ret) AS s FROM x, (VALUES (5), (20)) t(w) WHERE k <= w GROUP BY 1, 2)", select=f"SELECT w AS \"window\", {r('avg(s) * sqrt(252) * 100', 5)} AS vol FROM v GROUP BY w"),
 )
 def a09(spark, sf):
-    return mx.expected_vol(t.bars(spark, sf)).select("window", rnd("vol", 5).alias("vol"))
+    return mx.expected_vol(t.saved_bars(spark, sf)).select("window", rnd("vol", 5).alias("vol"))
 
 
 @query(
@@ -215,7 +218,7 @@ def a09(spark, sf):
     ),
 )
 def a35(spark, sf):
-    return mx.regime_label(t.bars(spark, sf)).select(rnd("drift").alias("drift"), rnd("vol").alias("vol"), "regime")
+    return mx.regime_label(t.saved_bars(spark, sf)).select(rnd("drift").alias("drift"), rnd("vol").alias("vol"), "regime")
 
 
 @query(
@@ -226,7 +229,7 @@ def a35(spark, sf):
     ),
 )
 def a36(spark, sf):
-    rets = technical.returns(t.bars(spark, sf)).where(F.col("ret").isNotNull())
+    rets = technical.returns(t.saved_bars(spark, sf)).where(F.col("ret").isNotNull())
     return mx.return_profile(rets).select("sym", *[rnd(c).alias(c) for c in ("vol", "skew", "kurt")])
 
 
@@ -307,7 +310,7 @@ def a24(spark, sf):
     ),
 )
 def a24b(spark, sf):
-    rets = technical.returns(t.bars(spark, sf)).select("sym", "dt", "ret")
+    rets = technical.returns(t.saved_bars(spark, sf)).select("sym", "dt", "ret")
     return mx.pooled_sharpe(rets).select("n_obs", rnd("sharpe").alias("sharpe"))
 
 

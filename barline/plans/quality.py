@@ -133,7 +133,7 @@ def f04(spark, sf):
     ),
 )
 def f05(spark, sf):
-    panel = t.bars(spark, sf)
+    panel = t.saved_bars(spark, sf)
     grid = ql.live_span(t.dense_panel(panel))
     return grid.groupBy("sym").agg(
         F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"),
@@ -151,7 +151,7 @@ def f05(spark, sf):
     ),
 )
 def f06(spark, sf):
-    return ql.keep_covered(t.bars(spark, sf), 0.2).groupBy("sym").agg(
+    return ql.keep_covered(t.saved_bars(spark, sf), 0.2).groupBy("sym").agg(
         F.count(F.lit(1)).alias("prints"), rnd(F.avg("close"), 4).alias("mean_close")
     )
 
@@ -165,7 +165,7 @@ def f06(spark, sf):
     ),
 )
 def f07(spark, sf):
-    kept = ql.keep_broad(t.bars(spark, sf), 0.22)
+    kept = ql.keep_broad(t.saved_bars(spark, sf), 0.22)
     return kept.groupBy("dt").agg(F.max("n_live").alias("n_live"), F.round(F.sum("volume"), 4).alias("volume"))
 
 
@@ -181,7 +181,7 @@ def f07(spark, sf):
     ),
 )
 def f08(spark, sf):
-    out = ql.clean_returns(t.dense_panel(t.bars(spark, sf, books=10)))
+    out = ql.clean_returns(t.dense_panel(t.saved_bars(spark, sf, 10)))
     return out.select("sym", "dt", rnd("ret").alias("ret"))
 
 
@@ -193,7 +193,7 @@ def f08(spark, sf):
     ),
 )
 def f09(spark, sf):
-    out = ql.trim_warmup(t.dense_panel(t.bars(spark, sf, books=10)))
+    out = ql.trim_warmup(t.dense_panel(t.saved_bars(spark, sf, 10)))
     return out.select("sym", "dt", "bar_idx", rnd("close", 8).alias("close"))
 
 
@@ -258,7 +258,7 @@ def _n_volume(spark, sf):
     ),
 )
 def f12(spark, sf):
-    out = ql.cleaning_flags(t.dense_panel(t.bars(spark, sf)), max_missing=0.79)
+    out = ql.cleaning_flags(t.dense_panel(t.saved_bars(spark, sf)), max_missing=0.79)
     return out.select("sym", rnd("missing").alias("missing"), F.concat_ws(";", "flags").alias("flags"))
 
 
@@ -402,7 +402,7 @@ _U = "(CAST(('0x' || substr(md5('991{sep}' || sym || '{sep}' || dt), 1, 13)) AS
     ),
 )
 def f23(spark, sf):
-    out = ql.control_channels(t.bars(spark, sf), "close")
+    out = ql.control_channels(t.saved_bars(spark, sf), "close")
     return out.select("sym", "dt", rnd("control_shuffled", 8).alias("control_shuffled"), rnd("control_noise").alias("control_noise"))
 
 

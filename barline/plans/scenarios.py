@@ -14,6 +14,7 @@ from barline.plans.metrics import _KELLY, kelly10
 from barline.plans.registry import query
 from barline.plans.studies import _GRID, FEATS, channels, grid10
 from barline.plans.xsection import FLOWS, trade_links
+from barline.session import durable
 from barline.sources import tables as t
 
 LEN = 20
@@ -26,7 +27,7 @@ PATHS = (
 
 def rets10(spark, sf):
     g = grid10(spark, sf)
-    return technical.returns(g).select("sym", "dt", "bar_idx", "close", "ret", "volume")
+    return durable(technical.returns(g).select("sym", "dt", "bar_idx", "close", "ret", "volume"), "grid-returns")
 
 
 def paths10(spark, sf):
@@ -77,7 +78,7 @@ _SCEN = (
 
 
 def records10(spark, sf):
-    return pt.scenario_records(paths10(spark, sf), 0, 1.0 + F.col("path") % 4)
+    return durable(pt.scenario_records(paths10(spark, sf), 0, 1.0 + F.col("path") % 4), "records")
 
 
 @query("a19_scenario_records", with_(*PATHS, *_SCEN, select="SELECT path, " + ", ".join(f"{r(c)} AS {c}" for c in ("max_drawdown", "peak_move", "mean_corr", "severity")) + " FROM sce"))
@@ -221,7 +222,8 @@ def edges(spark, sf):
     share = F.col("strength") / F.sum("strength").over(out)
     rows = links.withColumns({"share": share, "k": F.row_number().over(out.orderBy(F.desc("strength"), "b"))}).where(F.col("k") <= 3)
     sign = F.when((F.col("a") + F.col("b")) % 3 == 0, -1).otherwise(1)
-    return rows.select(F.col("a").alias("source"), F.col("b").alias("target"), (F.col("share") * sign).alias("weight"), (0.5 + F.col("share") / 2).alias("confidence"))
+    out = rows.select(F.col("a").alias("source"), F.col("b").alias("target"), (F.col("share") * sign).alias("weight"), (0.5 + F.col("share") / 2).alias("confidence"))
+    return durable(out, "edges")
 
 
 _WALK = "walk AS (SELECT source AS root, target AS node, weight AS w, confidence AS c, 1 AS len, [source, target] AS p FROM edges UNION ALL SELECT walk.root, e.target, walk.w * e.weight, walk.c * e.confidence, walk.len + 1, list_append(walk.p, e.target) FROM walk JOIN edges e ON e.source = walk.node WHERE walk.len < 5)"

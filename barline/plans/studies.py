@@ -20,7 +20,7 @@ FEATS = ("mom_z", "vol_z", "range_z", "volume_z")
 
 def grid10(spark, sf):
     """Ten baskets on their live grid, closes carried over gaps."""
-    panel = t.bars(spark, sf, books=10)
+    panel = t.saved_bars(spark, sf, 10)
     d = t.dense_panel(panel, t.calendar(panel))
     d = al.forward_fill(d, "close", "close")
     return d.select("sym", "dt", "bar_idx", "close", F.coalesce("volume", F.lit(0.0)).alias("volume"))

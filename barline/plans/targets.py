@@ -29,7 +29,7 @@ BASE = (BARS10, CAL, DENSE)
 
 
 def dense10(spark, sf):
-    return t.dense_panel(t.bars(spark, sf, books=10))
+    return t.dense_panel(t.saved_bars(spark, sf, 10))
 
 
 @query("t01_direction", with_(*BASE, *targets_sql(), select=f"SELECT sym, dt, {r('direction_1d')} AS direction_1d, direction_1d IS NOT NULL AS valid FROM tgt"))

@@ -250,7 +250,7 @@ def w15(spark, sf):
     ),
 )
 def w16(spark, sf):
-    df = technical.returns(t.bars(spark, sf))
+    df = technical.returns(t.saved_bars(spark, sf))
     out = technical.standardise_on_train(df, ["ret", "volume"], F.col("dt") < F.lit("1999-01-01").cast("date"))
     return _keep(out, ["ret_std", "volume_std"])
 
@@ -289,7 +289,7 @@ def w17(spark, sf):
     ),
 )
 def w18(spark, sf):
-    df = t.bars(spark, sf)
+    df = t.saved_bars(spark, sf)
     for method in ("zscore", "minmax", "robust"):
         df = technical.normalise(df, "close", method)
     return _keep(df, ["close_zscore", "close_minmax", "close_robust"])
@@ -450,7 +450,7 @@ def w30(spark, sf):
     ),
 )
 def w31(spark, sf):
-    grid = t.dense_panel(t.bars(spark, sf, books=10)).select("sym", "dt", "close")
+    grid = t.dense_panel(t.saved_bars(spark, sf, 10)).select("sym", "dt", "close")
     return _keep(recursive.kalman_fill(grid, "close", "filled"), ["filled"], 4)
 
 

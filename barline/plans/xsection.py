@@ -11,6 +11,7 @@ from barline.operators.ordering import exact_quantiles, window_rank
 from barline.plans.ansi import BARS, BARS10, lag, over, pct_rank, r, with_
 from barline.plans.registry import query
 from barline.plans.windows import CHANNEL_CTES
+from barline.session import durable
 from barline.sources import tables as t
 
 CH10 = (BARS10, *CHANNEL_CTES[1:])
@@ -21,9 +22,14 @@ def _base(spark, sf):
     return technical.returns(t.bars(spark, sf)).select("sym", "dt", "close", "volume", "ret", "ret_5", "trades")
 
 
+def _saved(spark, sf):
+    """The same rows written once, for operators that read them several times."""
+    return durable(_base(spark, sf), "returns")
+
+
 @query("c01_cross_rank", with_(BARS, _X, select=f"SELECT sym, dt, {r(pct_rank('ret_5', 'dt', 5))} AS rank_ret, {r(pct_rank('trades', 'dt', 5))} AS rank_trades FROM x"))
 def c01(spark, sf):
-    out = xs.cross_rank(xs.cross_rank(_base(spark, sf), "ret_5", "rank_ret"), "trades", "rank_trades")
+    out = xs.cross_rank(xs.cross_rank(_saved(spark, sf), "ret_5", "rank_ret"), "trades", "rank_trades")
     return out.select("sym", "dt", rnd("rank_ret").alias("rank_ret"), rnd("rank_trades").alias("rank_trades"))
 
 
@@ -39,7 +45,7 @@ _PAIRS = [(a, b) for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :]]
     ),
 )
 def c02(spark, sf):
-    out = xs.rank_products(_base(spark, sf), _NAMES)
+    out = xs.rank_products(_saved(spark, sf), _NAMES)
     return out.select("sym", "dt", *[rnd(f"{a}_x_{b}").alias(f"{a}_x_{b}") for a, b in _PAIRS])
 
 
@@ -75,7 +81,7 @@ def c03(spark, sf):
     ),
 )
 def c04(spark, sf):
-    out = xs.unit_residual(_base(spark, sf), "ret", "volume")
+    out = xs.unit_residual(_saved(spark, sf), "ret", "volume")
     return out.select("sym", "dt", rnd("unit").alias("unit"), rnd("residual").alias("residual"))
 
 
@@ -93,7 +99,7 @@ def _weights_sql(src, signal, gain, dead, share, bias, cap, group="dt"):
     with_(BARS, _X, "sg AS (SELECT sym, dt, ret AS signal FROM x WHERE ret IS NOT NULL)", *_weights_sql("sg", "signal", 2.0, 0.1, 0.4, 0.01, 0.25), select=f"SELECT sym, dt, {r('weight')} AS weight FROM w3"),
 )
 def c05(spark, sf):
-    sg = _base(spark, sf).where(F.col("ret").isNotNull()).select("sym", "dt", F.col("ret").alias("signal"))
+    sg = _saved(spark, sf).where(F.col("ret").isNotNull()).select("sym", "dt", F.col("ret").alias("signal"))
     out = xs.signal_weights(sg, ["dt"], gain=2.0, deadband=0.1, top_share=0.4, bias=0.01, cap=0.25)
     return out.select("sym", "dt", rnd("weight").alias("weight"))
 
@@ -143,7 +149,7 @@ _MOM = (
 
 @query("c08_momentum_weights", with_(BARS, _X, *_MOM, select=f"SELECT sym, dt, {r('weight')} AS weight, {r('1.0 / count(*) OVER (PARTITION BY dt)')} AS equal FROM mw"))
 def c08(spark, sf):
-    out = xs.momentum_weights(t.bars(spark, sf))
+    out = xs.momentum_weights(t.saved_bars(spark, sf))
     out = xs.equal_weights(out.withColumnRenamed("weight", "mom")).withColumnRenamed("weight", "equal")
     return out.select("sym", "dt", rnd("mom").alias("weight"), rnd("equal").alias("equal"))
 
@@ -157,7 +163,7 @@ def c08(spark, sf):
     ),
 )
 def c09(spark, sf):
-    return xs.top_movers(t.bars(spark, sf)).select("sym", rnd("signal").alias("signal"), "direction")
+    return xs.top_movers(t.saved_bars(spark, sf)).select("sym", rnd("signal").alias("signal"), "direction")
 
 
 FLOWS = """links AS (SELECT CAST(s_nationkey AS BIGINT) AS a, CAST(c_nationkey AS BIGINT) AS b, sum(l_extendedprice) / 1e6 AS strength
@@ -376,7 +382,7 @@ def m16(spark, sf):
 )
 def session_quantiles(spark, sf):
     """Exact quantiles of a whole session's returns without gathering the session in one task."""
-    out = exact_quantiles(_base(spark, sf), ["dt"], "ret", {"low": 0.05, "mid": 0.5, "high": 0.95})
+    out = exact_quantiles(_saved(spark, sf), ["dt"], "ret", {"low": 0.05, "mid": 0.5, "high": 0.95})
     return out.select("dt", "n", *[rnd(c).alias(c) for c in ("low", "mid", "high")])
 
 

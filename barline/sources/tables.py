@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barline.session import durable
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -63,6 +65,15 @@ def bars(spark: SparkSession, sf: str, books: int | None = None) -> DataFrame:
     return daily_bars(fills(spark, sf, books))
 
 
+def saved_bars(spark: SparkSession, sf: str, books: int | None = None) -> DataFrame:
+    """Bars written once to the shared folder.
+
+    For work that reads the panel several times (its calendar, its live spans, its
+    cells): the fills are scanned once instead of once per use.
+    """
+    return durable(bars(spark, sf, books), "bars")
+
+
 def calendar(panel: DataFrame) -> DataFrame:
     """Distinct sessions, numbered. Its size is the number of days, not of rows."""
     days = panel.select("dt").distinct()
