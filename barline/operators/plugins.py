@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -94,6 +94,11 @@ def build_features(panel: DataFrame, order: list[str]) -> DataFrame:
     return panel
 
 
+def mean_loss(rows: DataFrame, loss: Callable[[Column, Column], Column], *keys: str, pred: str = "pred", target: str = "target") -> DataFrame:
+    """Mean of a user-supplied loss; the loss is a column expression, so it stays inside the JVM."""
+    return rows.groupBy(*keys).agg(F.avg(loss(F.col(pred), F.col(target))).alias("loss"))
+
+
 @udtf(returnType="a string, b string")
 class NamePairs:
     """Table function: every pair ``a < b`` of one short list of names (64 at most)."""

@@ -143,6 +143,16 @@ def s07(spark, sf):
     return out.select("sym", "dt", *[rnd(c).alias(c) for c in it.ORDER_FLOW])
 
 
+@query("s08_recorded_sessions", with_(TICKS, DEPTH, select="SELECT 'S' || sym AS name, dt, CAST(count(*) AS BIGINT) AS books, round(max(ltp), 4) AS high FROM (SELECT *, px AS ltp FROM depth) WHERE sym <> 7 GROUP BY 1, 2"))
+def s08(spark, sf):
+    """All recorded sessions of a folder; the day comes from the path, unknown tokens leave."""
+    path = scratch_path(spark, "sessions")
+    sinks.write_depth(depth(spark, sf), path)
+    books = files.depth_books(files.read_depth(spark, path))
+    tokens = t.ticks(spark, sf).select("sym").distinct().where(F.col("sym") != 7).withColumn("name", F.concat(F.lit("S"), F.col("sym").cast("string")))
+    return books.join(tokens, "sym").groupBy("name", "dt").agg(F.count(F.lit(1)).alias("books"), F.round(F.max("ltp"), 4).alias("high"))
+
+
 @query("s09_action_json", "SELECT o_orderkey AS seq, CAST(o_custkey AS VARCHAR) AS sym, CAST(o_orderdate AS DATE) AS dt, o_orderpriority AS subject FROM orders WHERE o_orderkey % 9 <> 4")
 def s09(spark, sf):
     o = t.table(spark, sf, "orders")
@@ -294,7 +304,20 @@ def s21(spark, sf):
     )
 
 
-@query("s22_synthetic_minutes")
+_SMK = ("sym", "dt", "minute")
+
+
+@query(
+    "s22_synthetic_minutes",
+    with_(
+        TICKS, "dy AS (SELECT DISTINCT sym, dt FROM ticks)",
+        f"mi AS (SELECT sym, dt, minute, 0.0008 * {_nrm('0r', *_SMK)} AS r FROM dy, range(555, 930) x(minute))",
+        "cl AS (SELECT *, 100 * exp(sum(ln(1 + r)) OVER (PARTITION BY sym, dt ORDER BY minute)) AS close FROM mi)",
+        "op AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY sym, dt ORDER BY minute), close) AS open FROM cl)",
+        f"hl AS (SELECT *, greatest(open, close) + abs(0.0004 * {_nrm('0s', *_SMK)}) * close AS high, least(open, close) - abs(0.0004 * {_nrm('0s', *_SMK)}) * close AS low FROM op)",
+        select=f"SELECT sym, dt, CAST(count(*) AS BIGINT) AS minutes, {r('max(high)')} AS high, {r('min(low)')} AS low FROM hl GROUP BY sym, dt",
+    ),
+)
 def s22(spark, sf):
     days = t.ticks(spark, sf).select("sym", "dt").distinct()
     out = synthetic.synthetic_minutes(days.select("sym"), days)

@@ -10,7 +10,8 @@ from barline.functions.cols import by_sym, rnd
 from barline.operators import graph as gr, metrics as mx, network as nw, paths as pt, permute as pm, quality as ql, rules, technical, xsection as xs
 from barline.operators.alignment import assign_windows
 from barline.plans.ansi import BARS, BARS10, lag, r, with_
-from barline.plans.metrics import _KELLY, kelly10
+from barline.plans.landing import _nrm, _u
+from barline.plans.metrics import _KELLY, calls, kelly10
 from barline.plans.registry import query
 from barline.plans.studies import _GRID, FEATS, channels, grid10
 from barline.plans.xsection import FLOWS, trade_links
@@ -185,16 +186,31 @@ def c15(spark, sf):
     return pt.adversarial_mix(paths10(spark, sf), F.lit(0.1), 40).select("path", rnd("pnl").alias("pnl"), "kind")
 
 
-@query("d21_bootstrap_paths")
+@query(
+    "d21_bootstrap_paths",
+    with_(
+        *_GRID, f"gx AS (SELECT sym, bar_idx, coalesce(close / {lag('close', order='bar_idx')} - 1, 0) AS ret FROM g10)",
+        "st AS (SELECT max(bar_idx) + 1 AS n, stddev_pop(ret) AS sd FROM gx)",
+        f"sp AS (SELECT p AS path, CAST(floor({_u('b', 'p')} * greatest(n - 10, 0)) AS BIGINT) AS s, sd FROM st, range(0, 200) x(p))",
+        f"cb AS (SELECT sp.path, t, g.sym, g.ret + {_nrm('bj', 'sp.path', 't', 'g.sym')} * sd * 0.1 AS r FROM sp, range(0, 10) y(t) JOIN gx g ON g.bar_idx = sp.s + t)",
+        select=f"SELECT CAST(path AS INTEGER) AS path, CAST(count(*) AS BIGINT) AS cells, {r('sum(r)', 5)} AS total FROM cb GROUP BY path",
+    ),
+)
 def d21(spark, sf):
     out = pm.bootstrap_paths(rets10(spark, sf).na.fill(0.0, ["ret"]), 200, 10)
-    return out.groupBy("path").agg(F.count(F.lit(1)).alias("cells"), rnd(F.sum("r")).alias("total"))
+    return out.groupBy("path").agg(F.count(F.lit(1)).alias("cells"), rnd(F.sum("r"), 5).alias("total"))
 
 
-@query("d22_augmented_paths")
+@query(
+    "d22_augmented_paths",
+    with_(
+        *PATHS, f"au AS (SELECT path, c AS copy, (t + CAST(floor({_u('ur', 'path', 'c')} * 5) AS INTEGER)) % {LEN} AS t, r * (0.8 + 0.4 * {_u('us', 'path', 'c')}) AS r FROM paths, range(0, 3) x(c))",
+        select=f"SELECT path, CAST(copy AS INTEGER) AS copy, CAST(count(*) AS BIGINT) AS cells, {r('sum(r * (t + 1))', 5)} AS total FROM au GROUP BY path, copy",
+    ),
+)
 def d22(spark, sf):
     out = pt.augmented(paths10(spark, sf), 3, LEN)
-    return out.groupBy("path", "copy").agg(F.count(F.lit(1)).alias("cells"), rnd(F.sum("r")).alias("total"))
+    return out.groupBy("path", "copy").agg(F.count(F.lit(1)).alias("cells"), rnd(F.sum(F.col("r") * (F.col("t") + 1)), 5).alias("total"))
 
 
 @query("d23_no_arbitrage")
@@ -445,3 +461,49 @@ def x05(spark, sf):
     lists = t.table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.collect_list("n_name").alias("names"))
     spark.udtf.register("name_pairs", NamePairs)
     return spark.sql("SELECT l.region, p.a, p.b FROM {lists} l, LATERAL name_pairs(l.names) p", lists=lists)
+
+
+@query(
+    "x02_source_registry",
+    """WITH s AS (SELECT CAST(l_suppkey AS BIGINT) AS sym, CAST(l_shipdate AS DATE) AS dt, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS priority, max(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2, 3)
+    SELECT sym, dt, priority, round(close, 8) AS close FROM s QUALIFY row_number() OVER (PARTITION BY sym, dt ORDER BY priority) = 1""",
+)
+def x02(spark, sf):
+    from barline.operators import plugins
+
+    def reader(status):
+        def read(session, symbols):
+            rows = t.fills(session, sf, extra=("l_linestatus",)).where(F.col("l_linestatus") == status)
+            rows = rows.where(F.col("sym").isin(symbols)) if symbols else rows
+            return rows.groupBy("sym", "dt").agg(F.max("px").alias("close"))
+
+        return read
+
+    for name, status in (("final", "F"), ("open", "O")):
+        plugins.source(name, reader(status))
+    both = plugins.read_sources(spark, ["final", "open"], [])
+    return ql.first_source(both, "priority", ["close"]).withColumn("close", rnd("close", 8))
+
+
+@query(
+    "x03_feature_builders",
+    with_(
+        BARS, "b AS (SELECT sym, dt, close, avg(close) OVER w AS a, stddev_samp(close) OVER w AS s, count(close) OVER w AS n FROM bars WINDOW w AS (PARTITION BY sym ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))",
+        select=f"SELECT sym, dt, {r('close / ' + lag('close') + ' - 1')} AS ret, {r('CASE WHEN n >= 20 THEN (close - a) / nullif(2 * s, 0) END')} AS boll_pos FROM b",
+    ),
+)
+def x03(spark, sf):
+    from barline.operators import plugins
+
+    plugins.builder("returns", technical.returns)
+    plugins.builder("bollinger", technical.bollinger)
+    out = plugins.build_features(t.bars(spark, sf), ["returns", "bollinger"])
+    return out.select("sym", "dt", rnd("ret").alias("ret"), rnd("boll_pos").alias("boll_pos"))
+
+
+@query("x04_loss_argument", with_(*[x for x in _KELLY[:3]], select=f"SELECT sym, {r('ln(avg(pow(abs(pred - actual), 1.5)))')} AS log_loss FROM pa GROUP BY sym"))
+def x04(spark, sf):
+    from barline.operators import plugins
+
+    out = plugins.mean_loss(calls(spark, sf), lambda p, y: F.pow(F.abs(p - y), F.lit(1.5)), "sym", target="actual")
+    return out.select("sym", rnd(F.ln("loss")).alias("log_loss"))

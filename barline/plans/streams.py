@@ -31,7 +31,17 @@ def r01b(spark, sf):
     return it.changed_books(rows, ["ts", "event_id"], ["sig"]).select("sym", "event_id")
 
 
-@query("r02_throttled_changes")
+@query(
+    "r02_throttled_changes",
+    with_(
+        TICKS, "a AS (SELECT sym, event_id, epoch_us(ts) AS u, floor(px / 50) AS g, row_number() OVER (PARTITION BY sym ORDER BY ts, event_id) AS n FROM ticks)",
+        "b AS (SELECT *, min(CASE WHEN c THEN n END) OVER (PARTITION BY sym ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nc FROM (SELECT *, g IS DISTINCT FROM lag(g) OVER (PARTITION BY sym ORDER BY n) AS c FROM a))",
+        # the first record late enough; if it repeats the book, the next change after it
+        "nx AS MATERIALIZED (SELECT x.sym, x.n, CASE WHEN y.g <> x.g THEN y.n ELSE y.nc END AS to_n FROM (SELECT *, u + 3600000000 AS due FROM b) x ASOF JOIN b y ON x.sym = y.sym AND y.u >= x.due)",
+        "k AS (SELECT sym, n FROM a WHERE n = 1 UNION ALL SELECT nx.sym, nx.to_n FROM k JOIN nx ON nx.sym = k.sym AND nx.n = k.n WHERE nx.to_n IS NOT NULL)",
+        select="SELECT a.sym, a.event_id FROM k JOIN a USING (sym, n)",
+    ),
+)
 def r02(spark, sf):
     step = sf_.suppress_repeats(min_gap_us=3_600_000_000)
     return engine.run_append(sf_.keyed(_signed(engine.tick_stream(spark, sf)), "sym", step, sf_.REPEATS), "throttled")
@@ -105,7 +115,15 @@ def r07(spark, sf):
     return out.select("sym", "event_id", rnd("ret", 5).alias("ret"))
 
 
-@query("r08_quiet_alerts")
+@query(
+    "r08_quiet_alerts",
+    with_(
+        TICKS, "a AS (SELECT event_type || ' ' || sym AS text, event_id, epoch_us(ts) AS u, row_number() OVER (PARTITION BY event_type, sym ORDER BY ts, event_id) AS n FROM ticks)",
+        "nx AS MATERIALIZED (SELECT x.text, x.n, y.n AS to_n FROM (SELECT *, u + 900000000 AS due FROM a) x ASOF JOIN a y ON x.text = y.text AND y.u >= x.due)",
+        "k AS (SELECT text, n, CAST(0 AS BIGINT) AS held FROM a WHERE n = 1 UNION ALL SELECT nx.text, nx.to_n, nx.to_n - nx.n - 1 FROM k JOIN nx ON nx.text = k.text AND nx.n = k.n)",
+        select="SELECT a.text, a.event_id, CAST(k.held AS BIGINT) AS held FROM k JOIN a USING (text, n)",
+    ),
+)
 def r08(spark, sf):
     rows = engine.tick_stream(spark, sf).select(F.concat_ws(" ", "event_type", F.col("sym").cast("string")).alias("text"), "ts", "event_id")
     return engine.run_append(sf_.keyed(rows, "text", sf_.quiet_alerts(), sf_.ALERTS), "alerts")
