@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import LOWER, UPPER, table
 from barline.llm.exact_dedup import exact_dedup
+from barline.llm.jaccard import jaccard_groups
 from barline.llm.mixing import SEED, plan_mix
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +65,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan_mix(table(spark, sf_dir, "documents"))
     return planned.select(
         "doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"), "mix.copies")
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
