@@ -11,6 +11,7 @@ from barline.llm.common import LOWER, UPPER, table
 from barline.llm.exact_dedup import exact_dedup
 from barline.llm.jaccard import jaccard_groups
 from barline.llm.mixing import SEED, plan_mix
+from barline.llm.suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +68,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"), "mix.copies")
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op3_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
