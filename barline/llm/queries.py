@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm.common import LOWER, UPPER, table
+from barline.llm.decontaminate import contamination
 from barline.llm.exact_dedup import exact_dedup
 from barline.llm.jaccard import jaccard_groups
+from barline.llm.line_dedup import line_dedup
 from barline.llm.mixing import SEED, plan_mix
 from barline.llm.suffix_dedup import suffix_dedup
 
@@ -76,3 +78,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query("op5_decontaminate")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).drop("text")
