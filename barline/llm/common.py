@@ -27,16 +27,15 @@ def lower_ascii(text: Column) -> Column:
 
 
 def step(df: DataFrame, label: str) -> DataFrame:
-    """``durable``, then lets Spark drop the shuffle files of the work that led to it.
+    """``durable``, after letting Spark drop the shuffle files of the steps before.
 
     Spark deletes shuffle files once the driver's garbage collector has found the plan
-    unused; asking for a collection after each written step keeps disks from filling up
-    with the shuffles of all earlier steps.
+    unused; asking for a collection before each written step keeps disks from filling up
+    with the shuffles of all earlier ones.
     """
-    out = durable(df, label)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return durable(df, label)
 
 
 def partitions(spark: SparkSession) -> int:

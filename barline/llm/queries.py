@@ -13,6 +13,7 @@ from barline.llm.exact_dedup import exact_dedup
 from barline.llm.jaccard import jaccard_groups
 from barline.llm.line_dedup import line_dedup
 from barline.llm.mixing import SEED, plan_mix
+from barline.llm.quality import quality_weights
 from barline.llm.suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +89,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("text")
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
