@@ -15,6 +15,7 @@ from barline.llm.line_dedup import line_dedup
 from barline.llm.mixing import SEED, plan_mix
 from barline.llm.quality import quality_weights
 from barline.llm.suffix_dedup import suffix_dedup
+from barline.llm.warc import REVISIT_BYTES, archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +95,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_warc", f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id > first_id THEN first_id END AS refers_to
+FROM f""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_pages(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
