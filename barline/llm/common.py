@@ -31,10 +31,13 @@ def step(df: DataFrame, label: str) -> DataFrame:
 
     Spark deletes shuffle files once the driver's garbage collector has found the plan
     unused; asking for a collection before each written step keeps disks from filling up
-    with the shuffles of all earlier ones.
+    with the shuffles of all earlier ones. The listener queue holds on to the plan that ended
+    last, so a query without a job takes its place first.
     """
+    spark = df.sparkSession
+    spark.sql("SELECT 1").collect()
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return durable(df, label)
 
 

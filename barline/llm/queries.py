@@ -13,6 +13,7 @@ from barline.llm.exact_dedup import exact_dedup
 from barline.llm.jaccard import jaccard_groups
 from barline.llm.line_dedup import line_dedup
 from barline.llm.mixing import SEED, plan_mix
+from barline.llm.passages import fuzzy_passages
 from barline.llm.quality import quality_weights
 from barline.llm.suffix_dedup import suffix_dedup
 from barline.llm.warc import REVISIT_BYTES, archive_pages
@@ -108,3 +109,8 @@ FROM f""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archive_pages(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages(table(spark, sf_dir, "documents"))
