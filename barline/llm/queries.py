@@ -11,6 +11,7 @@ from barline.llm.common import LOWER, UPPER, table
 from barline.llm.decontaminate import contamination
 from barline.llm.exact_dedup import exact_dedup
 from barline.llm.jaccard import jaccard_groups
+from barline.llm.language_model import language_scores
 from barline.llm.line_dedup import line_dedup
 from barline.llm.mixing import SEED, plan_mix
 from barline.llm.passages import fuzzy_passages
@@ -114,3 +115,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_model")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
