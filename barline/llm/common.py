@@ -41,11 +41,28 @@ def step(df: DataFrame, label: str) -> DataFrame:
     return durable(df, label)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table written by ``step`` that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """``rows`` joined with one row per key; hot groups do not meet in one task.
 
     ``size`` is the column of ``groups`` with the group's number of rows, ``total`` the
@@ -53,26 +70,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     so that part of ``groups`` is broadcast whatever the input's size; the rest is merged.
     """
     hot = F.col(size) * HOT_SHARE > total
-    small = rows.join(groups.where(~hot).hint("merge"), keys, how)
-    if how != "inner":
-        raise ValueError("only inner joins are split")
-    return small.unionByName(rows.join(F.broadcast(groups.where(hot)), keys, how))
+    small = rows.join(groups.where(~hot).hint("merge"), keys)
+    return small.unionByName(rows.join(F.broadcast(groups.where(hot)), keys))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected graph; the component is its smallest node.
 
-    Alternating large-star and small-star steps until the edges stand still, one written
-    table per round. Nodes are longs; a node without edges does not appear.
+    Alternating large-star and small-star steps, one written table per round, until every
+    node hangs on one node that hangs on none. Nodes are longs; a node without edges does
+    not appear.
     """
     cur = step(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
     while True:
-        mark = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
+        ends = cur.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            cur.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        degrees = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if degrees.agg(F.count_if(F.expr("up > 1 OR (up > 0 AND down > 0)"))).first()[0] == 0:
             break
-        seen = mark
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

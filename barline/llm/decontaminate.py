@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from barline.llm.common import free
+
 #: Edits allowed per character of an item.
 RATE = 0.05
 #: Characters of items in one automaton.
@@ -130,18 +132,18 @@ def scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int | None, str]],
         yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
 
-def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """``docs`` with a column ``hits``: list of (item_id, start, end, distance), places in the normalised text."""
-    docs = docs.select(*[c for c in docs.columns if c != "hits"]).withColumn("hits", F.array().cast(HITS))
+def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK, name: str = "hits") -> DataFrame:
+    """``docs`` with a column ``name``: list of (item_id, start, end, distance), places in the normalised text."""
+    at, width = docs.columns.index("text"), len(docs.columns)
+    docs = docs.withColumn(name, F.array().cast(HITS))
     kept = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
     chars = kept.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block)
-    at = docs.columns.index("text")
     for b in range(blocks):
         own = kept.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).distinct().collect()
         own = sorted(((r.item_id, normalise(r.text)) for r in own), key=lambda x: (x[1], x[0] is None, x[0] or 0))
         own = [x for x in own if x[1]]
-        docs = docs.mapInArrow(partial(scan, items=own, rate=rate, at=at, hits_at=len(docs.columns) - 1), docs.schema)
+        docs = docs.mapInArrow(partial(scan, items=own, rate=rate, at=at, hits_at=width), docs.schema)
     return docs
 
 
@@ -155,8 +157,5 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = RATE) -> Data
 
 def clean_of(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold none of the items."""
-    name = "hits"
-    while name in docs.columns:
-        name = "_" + name
-    kept = docs.withColumnRenamed("hits", name) if name != "hits" else docs
-    return find_items(kept, items, rate).where(F.size("hits") == 0).drop("hits").toDF(*docs.columns)
+    name = free(docs, "hits")
+    return find_items(docs, items, rate, name=name).where(F.size(name) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

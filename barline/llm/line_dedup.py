@@ -27,9 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from barline.llm import textbytes as tb
-from barline.llm.common import components, join_groups, partitions, step
+from barline.llm.common import components, discard, free, join_groups, partitions, step
 
 MIN_BYTES = 20
 BYTES_PER_EDIT = 30
@@ -322,15 +323,17 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return gone.groupBy("doc").agg(F.collect_list("place").alias("places"))
 
 
-def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with repeated lines cut from the text, and a struct column ``lines`` (n_lines, n_removed, kept_sha256)."""
-    docs = docs.select(*[c for c in docs.columns if c not in ("lines", "__doc", "places")])
-    gone = repeated_lines(docs, threshold).withColumnRenamed("doc", "__doc")
-    joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__doc"), "left").drop("__doc")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+#: What ``without_repeats`` adds.
+COUNTS = StructType([StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
+
+
+def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, name: str = "lines") -> DataFrame:
+    """``docs`` with repeated lines cut from the text, and a struct column ``name`` (n_lines, n_removed, kept_sha256)."""
+    gone = repeated_lines(docs, threshold)
+    doc = F.coalesce(F.col("a.doc_id").cast("long"), F.lit(LAST)) == F.col("b.doc")
+    joined = docs.alias("a").join(gone.alias("b"), doc, "left").select(*[F.col(f"a.`{c}`").alias(c) for c in docs.columns], F.col("b.places").alias(name))
     return joined.mapInArrow(
-        partial(cut_lines, at=docs.columns.index("text")),
-        f"{fields}, lines struct<n_lines: long, n_removed: long, kept_sha256: string>")
+        partial(cut_lines, at=docs.columns.index("text")), StructType([*docs.schema.fields, StructField(name, COUNTS)]))
 
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -341,10 +344,11 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def documents_left(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` without repeated lines; documents of which nothing is left go. ``n_chars`` follows the text."""
-    done = without_repeats(docs, threshold)
-    left = done.where((F.col("lines.n_removed") == 0) | (F.length(F.trim("text")) > 0)).drop("lines")
+    name = free(docs, "lines")
+    done = without_repeats(docs, threshold, name)
+    cut = F.col(name)["n_removed"] > 0
+    left = done.where(~cut | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        changed = F.coalesce(F.length("text"), F.lit(0)).cast(kind)
-        left = left.withColumn("n_chars", changed)
-    return left.select(*[c for c in docs.columns if c in left.columns])
+        left = left.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,12 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import WORD, step
+from barline.llm.common import WORD, free, step
 
 SEED = "mix-1"
 WEIGHTS = (1, 2, 3)
 CAP = 3
-_OWN = ("__size", "__source", "__source_size", "__target")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -54,32 +53,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return per.select("__source", "__source_size", target.cast("double").alias("__target"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` with size, source_size, target, rate and copies in one struct column ``mix``.
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, name: str = "mix") -> DataFrame:
+    """``docs`` with a struct column ``name`` of size, source_size, target, rate and copies.
 
     The table of sources is written first, so its size is known when it is joined: Spark
     broadcasts it below its own threshold and merges (splitting a hot source) above.
     """
-    clash = [c for c in docs.columns if c in (*_OWN, "mix")]
-    if clash:
-        docs = docs.drop(*clash)
-    sized = docs.withColumns({
-        "__size": F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long"), "__source": F.col("source")})
-    per = step(targets(sized.select("__source", "__size"), weights, cap), "mix_sources")
-    joined = sized.alias("d").join(per.alias("s"), F.col("d.__source").eqNullSafe(F.col("s.__source")))
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    own = free(docs, "__size")
+    sized = docs.withColumn(own, size)
+    per = step(targets(docs.select(F.col("source").alias("__source"), size.alias("__size")), weights, cap), "mix_sources")
+    joined = sized.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.__source")))
     rate = F.when(F.col("s.__source_size") > 0, F.col("s.__target") / F.col("s.__source_size")).otherwise(F.lit(0.0))
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("d.doc_id").cast("string"), F.lit("")))
     # 52 bits of the digest as a fraction
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
     mix = F.struct(
-        F.col("d.__size").alias("size"), F.col("s.__source_size").alias("source_size"), F.col("s.__target").alias("target"),
+        F.col(f"d.{own}").alias("size"), F.col("s.__source_size").alias("source_size"), F.col("s.__target").alias("target"),
         rate.alias("rate"), copies.alias("copies"))
-    return joined.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns], mix.alias("mix"))
+    return joined.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns], mix.alias(name))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixture itself: each document as often as it is drawn, with the columns of ``docs``."""
-    planned = plan_mix(docs, weights, cap, seed)
-    copies = F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))
-    return planned.where("mix.copies > 0").withColumn("__copy", copies).drop("__copy", "mix")
+    name, copy = free(docs, "mix"), free(docs, "__copy")
+    planned = plan_mix(docs, weights, cap, seed, name).where(F.col(name)["copies"] > 0)
+    copies = F.explode(F.sequence(F.lit(1), F.col(name)["copies"].cast("int")))
+    return planned.withColumn(copy, copies).select(*[F.col(f"`{c}`") for c in docs.columns])

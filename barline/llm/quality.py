@@ -14,8 +14,9 @@ Gumbel noise (from a hash of the id and a seed) stay, with k the expected number
 documents, the sum of share * exp(weight). The k-th key is found by counting keys in ranges
 that narrow around it; nothing is sorted or collected.
 
-All labelled documents are counted, each n-gram into one of ``BUCKETS`` places, so the
-models have a fixed size however large the input.
+The models are fitted on at most ``FIT_LABELS`` labelled documents, chosen by a hash where
+there are more; that table is small enough to be sent to the tasks, so no text is shuffled.
+N-grams are counted in ``BUCKETS`` places: the models have a fixed size too.
 
 Defined cases: a null or empty text has no n-grams and weight 0, like any text of which the
 models say nothing; a null doc_id draws its noise as an empty one; documents with equal keys
@@ -31,11 +32,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barline.llm import textbytes as tb
-from barline.llm.common import step
+from barline.llm.common import free, step
 
 #: Places of the n-grams: tokens, word beginnings of 4, 5 and 6 bytes, shape bigrams.
 PARTS = (1 << 18, 1 << 15, 1 << 16, 1 << 16, 1 << 12)
@@ -47,6 +49,8 @@ KINDS = ("target", "poor", "toxic")
 PRIOR = 20.0
 TRUST = 3.0
 SEED = "quality-1"
+#: The most labelled documents the models are fitted on.
+FIT_LABELS = 1 << 18
 #: Ranges in which keys are counted per round, and the share of rows that ends the search.
 RANGES = 4096
 
@@ -123,10 +127,10 @@ def models(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def weigh(batches: Iterator[pa.RecordBatch], model: tuple, shares: tuple, at: int) -> Iterator[pa.RecordBatch]:
+def weigh(batches: Iterator[pa.RecordBatch], model, shares: tuple, at: int, name: str) -> Iterator[pa.RecordBatch]:
     """Appends the log weight of the text in column ``at`` to each row."""
     hasher = tb.Rolling()
-    table = np.frombuffer(model.value if hasattr(model, "value") else model, np.float32).reshape(len(KINDS), BUCKETS)
+    table = np.frombuffer(model.value, np.float32).reshape(len(KINDS), BUCKETS)
     prior = np.log(np.array(shares))
     for batch in batches:
         weights = []
@@ -137,7 +141,7 @@ def weigh(batches: Iterator[pa.RecordBatch], model: tuple, shares: tuple, at: in
             most = mixed.max(axis=0)
             weights.append(logs[0] - (most + np.log(np.exp(mixed - most).sum(axis=0))))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(np.concatenate(weights) if weights else np.zeros(0))], names=[*batch.schema.names, "__weight"])
+            [*batch.columns, pa.array(np.concatenate(weights) if weights else np.zeros(0))], names=[*batch.schema.names, name])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, tuple[float, ...]] | None:
@@ -145,7 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, tuple[float, ..
     poor, toxic = F.max((F.col("quality") == 0).cast("int")), F.max((F.col("toxic") == 1).cast("int"))
     kinds = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.when(poor == 1, 1).when(toxic == 1, 2).otherwise(0).alias("kind"))
-    labelled = docs.select("doc_id", "text").join(kinds, "doc_id").select("kind", "text")
+    kinds = step(kinds, "labels")
+    n = kinds.count()
+    if n > FIT_LABELS:
+        # a little under the bound, as the hash does not deal evenly
+        share = int(0.98 * FIT_LABELS / n * (1 << 32))
+        kinds = kinds.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 32)) < share)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(kinds), "doc_id").select("kind", "text")
     counts = labelled.mapInArrow(count, "kind int, bucket int, count long").groupBy("kind", "bucket").agg(F.sum("count").alias("count"))
     table = np.zeros((len(KINDS), BUCKETS), np.int64)
     got = counts.toArrow()  # at most KINDS * BUCKETS rows
@@ -180,34 +190,33 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def weighted(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> tuple[DataFrame, float, float | None]:
-    """(``docs`` with columns __weight and __key, share of target, least key that stays or None)."""
-    docs = docs.drop("__weight", "__key")
+def weighted(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> tuple[DataFrame, Column, Column, float | None]:
+    """(``docs`` with two more columns, the log weight and the key among them, least key that stays or None)."""
+    weight, key = free(docs, "__weight"), free(docs, "__key")
     fitted = fit(docs, labels)
     if fitted is None:
-        return docs.withColumn("__weight", F.lit(0.0)).withColumn("__key", F.lit(0.0)), 1.0, 0.0
+        return docs.withColumn(weight, F.lit(0.0)).withColumn(key, F.lit(0.0)), F.col(weight), F.col(key), 0.0
     table, shares = fitted
     model = docs.sparkSession.sparkContext.broadcast(table.tobytes())
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.mapInArrow(
-        partial(weigh, model=model, shares=shares, at=docs.columns.index("text")), f"{fields}, __weight double")
+    schema = StructType([*docs.schema.fields, StructField(weight, DoubleType())])
+    out = docs.mapInArrow(partial(weigh, model=model, shares=shares, at=docs.columns.index("text"), name=weight), schema)
     text = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     draw = (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    out = out.withColumn("__key", F.col("__weight") - F.log(-F.log(draw)))
-    keys = step(out.select("__weight", "__key"), "quality_keys")
-    expected = keys.agg(F.sum(F.lit(shares[0]) * F.exp("__weight"))).first()[0] or 0.0
-    return out, shares[0], kth_largest(keys, "__key", int(round(expected)))
+    out = out.withColumn(key, F.col(weight) - F.log(-F.log(draw)))
+    keys = step(out.select(weight, key), "quality_keys")
+    expected = keys.agg(F.sum(F.lit(shares[0]) * F.exp(weight))).first()[0] or 0.0
+    return out, F.col(weight), F.col(key), kth_largest(keys, key, int(round(expected)))
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
     """(doc_id, log_weight, key, kept), one row per document."""
-    out, _, least = weighted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, seed)
-    kept = F.lit(False) if least is None else F.col("__key") >= F.lit(least)
-    return out.select("doc_id", F.col("__weight").alias("log_weight"), F.col("__key").alias("key"), kept.alias("kept"))
+    out, weight, key, least = weighted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, seed)
+    kept = F.lit(False) if least is None else key >= F.lit(least)
+    return out.select("doc_id", weight.alias("log_weight"), key.alias("key"), kept.alias("kept"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
     """The documents that the resampling keeps."""
-    out, _, least = weighted(docs, labels, seed)
-    kept = F.lit(False) if least is None else F.col("__key") >= F.lit(least)
-    return out.where(kept).select(*docs.columns)
+    out, _, key, least = weighted(docs, labels, seed)
+    kept = F.lit(False) if least is None else key >= F.lit(least)
+    return out.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
