@@ -10,8 +10,8 @@ text times a ratio per n-gram, which ``PRIOR`` counts draw towards one, so that
 say little and only those which mark a kind count.
 
 Documents are resampled by Gumbel top-k: the k documents with the largest weight plus
-Gumbel noise (from a hash of the id and a seed) stay, with k the expected number of target
-documents, the sum of share * exp(weight). The k-th key is found by counting keys in ranges
+Gumbel noise (from a hash of the id and a seed) stay, with k the number of documents that
+are target documents more likely than not, share * exp(weight) >= 1/2. The k-th key is found by counting keys in ranges
 that narrow around it; nothing is sorted or collected.
 
 The models are fitted on at most ``FIT_LABELS`` labelled documents, chosen by a hash where
@@ -204,8 +204,8 @@ def weighted(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> tuple[Data
     draw = (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     out = out.withColumn(key, F.col(weight) - F.log(-F.log(draw)))
     keys = step(out.select(weight, key), "quality_keys")
-    expected = keys.agg(F.sum(F.lit(shares[0]) * F.exp(weight))).first()[0] or 0.0
-    return out, F.col(weight), F.col(key), kth_largest(keys, key, int(round(expected)))
+    likely = keys.where(F.lit(shares[0]) * F.exp(weight) >= 0.5).count()
+    return out, F.col(weight), F.col(key), kth_largest(keys, key, likely)
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
