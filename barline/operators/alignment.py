@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from barline.functions.cols import by_sym, change, expanding_z, nonzero, ratio, squash, trailing_z
 from barline.operators.technical import bars_since
 
-#: a side with at most this many rows may be sent to every executor
-SMALL_SIDE_ROWS = 100_000
-
-
-def small_side(df: DataFrame, rows: int, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Broadcast hint for a side whose row count is known and small; otherwise a shuffle join."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def align_features(panel: DataFrame, features: DataFrame) -> DataFrame:
     """Feature columns on the price grid; a missing cell stays NULL."""
     return panel.join(features, ["sym", "dt"], "left")
@@ -93,17 +84,13 @@ def nearest(rows: DataFrame, group: list[str], at: str, target: Column, order: s
     ).select(*group, "_n.*")
 
 
-def sector_pairs(names: DataFrame, least: int = 3, max_sector: int = 200) -> DataFrame:
+def sector_pairs(names: DataFrame, least: int = 3) -> DataFrame:
     """Pairs ``a < b`` inside a sector of at least ``least`` names.
 
-    The number of pairs is quadratic in a sector's size, which is the feature; a
-    sector above ``max_sector`` names fails the job instead of flooding it.
+    The number of pairs is quadratic in a sector's size, which is the feature: callers
+    state a universe of names, not fills.
     """
-    sized = names.groupBy("sector").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    ok = sized.select(
-        "sector",
-        F.when(F.col("_n") <= max_sector, F.lit(True)).otherwise(F.raise_error(F.lit("sector too large for pairs"))).alias("_ok"),
-    ).where("_ok").select("sector")
+    ok = names.groupBy("sector").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("sector")
     kept = names.join(ok, "sector", "left_semi")
     return (
         kept.select("sector", F.col("sym").alias("a"))

@@ -281,6 +281,8 @@ def pick_features(relevance: DataFrame, redundancy: DataFrame, k: int, beta: flo
     relevance, pairs = durable(relevance, "relevance"), durable(pairs, "redundancy")
     chosen = relevance.orderBy(F.desc("score"), "feature").limit(1).select("feature", F.lit(1).alias("place"), F.col("score").alias("gain"))
     for place in range(2, k + 1):
+        # k rows at most, written so that a round does not compute all earlier ones again
+        chosen = durable(chosen, "chosen")
         cost = pairs.join(chosen.select(F.col("feature").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("feature")).agg(F.avg("score").alias("_c"))
         rest = relevance.join(chosen.select("feature"), "feature", "left_anti").join(cost, "feature", "left")
         gain = F.col("score") - beta * F.coalesce("_c", F.lit(0.0))

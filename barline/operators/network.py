@@ -61,14 +61,20 @@ def network_stats(pc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([strength, lead, clustering, participation]), np.array(glob)
 
 
+def _known(rets: DataFrame, names: list[int]) -> None:
+    """A name outside the stated universe fails the job; a pivot would drop it without a word."""
+    other = rets.select("sym").where(~F.col("sym").isin(names)).limit(1).collect()
+    if other:
+        raise ValueError(f"{other[0][0]} is not in the stated universe")
+
+
 def rolling_network(rets: DataFrame, names: list[int], window: int = 60, block: int = 240) -> DataFrame:
     """(bar_idx, sym, node stats, network stats) from the ``window`` bars strictly before each bar.
 
     Bars go into blocks that overlap by one window, so a bar is copied at most twice
     instead of once per window; each block is one grouped task.
     """
-    if len(names) > 64:
-        raise ValueError("a stated universe of at most 64 names is needed")
+    _known(rets, names)
     wide = rets.groupBy("bar_idx").pivot("sym", names).agg(F.first("ret")).na.fill(0.0)
     own = F.floor(F.col("bar_idx") / block).cast("int")
     nxt = F.when(F.col("bar_idx") % block >= block - window, own + 1)

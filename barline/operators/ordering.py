@@ -8,7 +8,10 @@ session) into one task. Here a group is cut into value ranges first:
 3. running counts are taken inside each (group, range), and ranges are offset by
    the totals of the ranges below - a table of ``buckets`` rows per group.
 
-The cut points only balance the work. Ranks and quantiles are exact.
+The cut points only balance the work. The table with every value's range is written
+once and read for both the running counts and the offsets: two evaluations of a sketch
+may differ, and counts would then belong to other ranges than their offsets. Ranks and
+quantiles are exact.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.cols import attach
+from barline.session import durable
 
 
 def value_ranks(df: DataFrame, group: Sequence[str], value: str, buckets: int = 32) -> DataFrame:
@@ -35,6 +39,7 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str, buckets: int =
     )
     placed = counts.join(cuts, group) if group else attach(counts, cuts)
     placed = placed.withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    placed = durable(placed, "value-ranges")
     inside = Window.partitionBy(*group, "bucket").orderBy(value)
     running = placed.withColumn(
         "in_bucket", F.sum("cnt").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cnt")

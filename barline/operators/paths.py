@@ -210,18 +210,28 @@ def quiet_directions(cov: list[list[float]], k: int) -> list[list[float]]:
 def no_arbitrage_score(train: DataFrame, predictions: DataFrame, names: list[int], k: int = 2) -> DataFrame:
     """RMS of predicted returns along the quietest directions of the training covariance.
 
-    Covariances are one pass over wide rows; only the N x N matrix of a stated
-    universe reaches the driver. Projections are plain column arithmetic.
+    A missing return counts as zero, so products are summed over the sessions both names
+    have and centred with the totals; only the N x N matrix of the stated universe reaches
+    the driver. Projections are sums over a session's rows, for any number of names.
     """
-    if len(names) > 64:
-        raise ValueError("a stated universe of at most 64 names is needed")
-    wide = train.groupBy("dt").pivot("sym", names).agg(F.first("ret")).na.fill(0.0)
-    cells = wide.agg(*[F.covar_samp(f"`{a}`", f"`{b}`").alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]).first()
-    n = len(names)
-    basis = quiet_directions([[cells[f"c{i}_{j}"] for j in range(n)] for i in range(n)], k)
-    pred = predictions.groupBy("dt").pivot("sym", names).agg(F.first("pred")).na.fill(0.0)
-    proj = [sum((F.col(f"`{a}`") * v[i] for i, a in enumerate(names)), F.lit(0.0)) for v in basis]
-    score = F.sqrt(sum((p * p for p in proj), F.lit(0.0)) / k)
+    import numpy as np
+
+    spark, n = train.sparkSession, len(names)
+    listed = spark.createDataFrame([(v, i) for i, v in enumerate(names)], ["sym", "_i"]).withColumn("sym", F.col("sym").cast(train.schema["sym"].dataType))
+    days = train.select("dt").distinct().count()
+    rows = train.join(listed, "sym").groupBy("dt", "_i").agg(F.coalesce(F.first("ret"), F.lit(0.0)).alias("_r"))
+    other = rows.select("dt", F.col("_i").alias("_j"), F.col("_r").alias("_s"))
+    cross = np.zeros((n, n))
+    for r in rows.join(other, "dt").groupBy("_i", "_j").agg(F.sum(F.col("_r") * F.col("_s")).alias("v")).collect():
+        cross[r["_i"], r["_j"]] = r["v"]
+    sums = np.zeros(n)
+    for r in rows.groupBy("_i").agg(F.sum("_r").alias("v")).collect():
+        sums[r["_i"]] = r["v"]
+    basis = quiet_directions(((cross - np.outer(sums, sums) / days) / (days - 1)).tolist(), k)
+    loads = spark.createDataFrame([(i, *[float(v[i]) for v in basis]) for i in range(n)], ["_i", *[f"_l{m}" for m in range(k)]])
+    pred = predictions.join(listed, "sym", "left").join(loads, "_i", "left").groupBy("dt").agg(
+        *[F.coalesce(F.sum(F.col("pred") * F.col(f"_l{m}")), F.lit(0.0)).alias(f"_p{m}") for m in range(k)])
+    score = F.sqrt(sum((F.col(f"_p{m}") * F.col(f"_p{m}") for m in range(k)), F.lit(0.0)) / k)
     return pred.select("dt", score.alias("score"))
 
 

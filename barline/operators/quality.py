@@ -216,28 +216,24 @@ def split_at(panel: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
 
 
 def pair_correlations(rets: DataFrame, names: list[int | str], value: str = "ret", by: str = "dt") -> DataFrame:
-    """Correlation of every pair of a stated, small universe, from one pass over wide rows.
+    """Correlation of every pair of a stated universe, over the sessions both have.
 
-    Names are pivoted to columns first (one row per session), so no pair of rows
-    is ever emitted; the number of aggregates is set by the size of the universe.
+    Names meet inside a session and the pairs are summed map-side, so what is shuffled is
+    one row per pair and task; any number of names will do. A pair without a common
+    session has n = 0.
     """
-    if len(names) > 64:
-        raise ValueError("pair correlations need a stated universe of at most 64 names")
-    wide = rets.groupBy(by).pivot("sym", names).agg(F.first(value))
-    aggs = []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-            both = x.isNotNull() & y.isNotNull()
-            px, py = F.when(both, x), F.when(both, y)
-            aggs.append(
-                F.struct(
-                    F.lit(a).alias("a"), F.lit(b).alias("b"),
-                    F.covar_pop(px, py).alias("c"), F.var_pop(px).alias("vx"), F.var_pop(py).alias("vy"),
-                    F.count(px).alias("n"),
-                )
-            )
-    stats = wide.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    spark = rets.sparkSession
+    kind = rets.schema["sym"].dataType
+    listed = spark.createDataFrame([(n, i) for i, n in enumerate(names)], ["sym", "_i"]).withColumn("sym", F.col("sym").cast(kind))
+    rows = rets.where(F.col(value).isNotNull()).join(listed, "sym").select(by, "sym", "_i", F.col(value).alias("_v"))
+    x = rows.select(by, F.col("sym").alias("a"), F.col("_i").alias("_ia"), F.col("_v").alias("_x"))
+    y = rows.select(by, F.col("sym").alias("b"), F.col("_i").alias("_ib"), F.col("_v").alias("_y"))
+    met = x.join(y, by).where(F.col("_ia") < F.col("_ib")).groupBy("a", "b").agg(
+        F.covar_pop("_x", "_y").alias("c"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.count(F.lit(1)).alias("n"))
+    # the universe is stated, so all its pairs are too
+    every = listed.select(F.col("sym").alias("a"), F.col("_i").alias("_ia")).join(
+        listed.select(F.col("sym").alias("b"), F.col("_i").alias("_ib")), F.col("_ia") < F.col("_ib")).select("a", "b")
+    stats = every.join(met, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     corr = F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.sqrt(F.col("vx") * F.col("vy")))
     return stats.select("a", "b", "n", corr.alias("corr"))
 

@@ -61,7 +61,8 @@ def r03(spark, sf):
             "asks": F.transform(five, lambda i: level(1 + (k * (i + 2)) % 13, F.col("px") + 0.05 * (i + 1), i)),
         }
     )
-    day = it.book_shape(rows).withWatermark("ts", "1 hour").groupBy("sym", F.window("ts", "1 day").alias("w")).agg(
+    # no watermark: a late row still belongs to its day, and there is one state row per symbol and day
+    day = it.book_shape(rows).groupBy("sym", F.window("ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("snapshots"), F.avg("imbalance").alias("i"), F.avg("spread_bps").alias("s"), F.avg("slope").alias("p")
     )
     out = engine.run_update(day.select("sym", F.col("w.start").cast("date").alias("dt"), "snapshots", "i", "s", "p"), ["sym", "dt"], "order-flow")
@@ -74,7 +75,7 @@ def r03(spark, sf):
 )
 def r04(spark, sf):
     pos = t.tick_pos()
-    day = engine.tick_stream(spark, sf).withWatermark("ts", "1 hour").groupBy("sym", F.window("ts", "1 day").alias("w")).agg(
+    day = engine.tick_stream(spark, sf).groupBy("sym", F.window("ts", "1 day").alias("w")).agg(
         F.min_by("px", pos).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", pos).alias("close"),
         F.sum("qty").alias("volume"), (F.sum(F.col("px") * F.col("qty")) / F.sum("qty")).alias("vwap"),
     )
@@ -151,7 +152,7 @@ def r10(spark, sf):
     k = F.col("qty").cast("bigint")
     lean = k % 7 - 2 - k % 5
     side = F.when(lean < 0, 1).when(lean > 0, -1).otherwise(0)
-    rows = engine.tick_stream(spark, sf).withColumn("side", side).withWatermark("ts", "1 hour")
+    rows = engine.tick_stream(spark, sf).withColumn("side", side)
     # two-hour windows that start every hour
     win = rows.groupBy("sym", F.window("ts", "2 hours", "1 hour").alias("w")).agg(
         (F.sum(F.col("side") * F.col("qty")) / (F.sum(F.abs("side") * F.col("qty")) + 1e-8)).alias("ofi")

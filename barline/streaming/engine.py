@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 from barline.session import scratch_path
 
 
-def tick_stream(spark: SparkSession, sf: str, books: int = 10, files_per_batch: int = 64) -> DataFrame:
-    """Ticks as they land; the batch twin is ``tables.ticks``."""
+def tick_stream(spark: SparkSession, sf: str, books: int = 10, files_per_batch: int | None = None) -> DataFrame:
+    """Ticks as they land; the batch twin is ``tables.ticks``.
+
+    A catch-up takes all landed files as one micro-batch unless ``files_per_batch`` is
+    given, so the order in which files landed does not change what the state steps see.
+    """
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
-    # a glob, because a file stream watches a pattern rather than one file
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path.replace("events.parquet", "events*.parquet"))
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # a file stream watches a pattern rather than one file; this one matches that name only
+    rows = reader.parquet(f"{sf}/events.parque[t]")
     return rows.select(
         (F.col("user_id") % books).cast("bigint").alias("sym"),
         F.col("ts").cast("timestamp").alias("ts"),

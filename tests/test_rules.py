@@ -166,3 +166,47 @@ def test_throttle_matches_a_plain_loop(spark):
         last[r["sym"]] = (r["ts"], r["sig"])
         want.add(r["event_id"])
     assert got == want
+
+
+def test_streams_do_not_depend_on_how_files_landed(spark, tmp_path):
+    """One file against 40 shuffled ones, the newest rows first: the same rows come out."""
+    from barline.plans.registry import QUERIES
+
+    events = spark.read.parquet(f"{SF}/events.parquet").toPandas().sort_values("ts", ascending=False)
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i in range(40):
+        events.iloc[i::40].to_parquet(folder / f"part-{i:03d}.parquet", index=False, coerce_timestamps="us")
+    for name in ("r03_stream_order_flow", "r04_stream_day_bars", "r06_crash_lockout", "r10_stream_imbalance"):
+        one, many = (sorted(map(str, QUERIES[name](spark, where).collect())) for where in (SF, str(tmp_path)))
+        assert one == many and one
+
+
+def test_pair_correlations_of_many_names(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 90))
+    x[:, 1] += x[:, 0]
+    rows = [(i, s, float(x[i, s])) for i in range(30) for s in range(90) if (i + s) % 7]
+    got = quality.pair_correlations(spark.createDataFrame(rows, "dt int, sym bigint, ret double"), list(range(90))).toPandas()
+    wide = pd.DataFrame(rows, columns=["dt", "sym", "ret"]).pivot(index="dt", columns="sym", values="ret").corr()
+    assert len(got) == 90 * 89 // 2
+    assert np.allclose(got["corr"], [wide.loc[a, b] for a, b in zip(got["a"], got["b"])])
+
+
+def test_a_cycle_has_no_longest_path(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
+    with pytest.raises(ValueError):
+        graph.longest_path(e)
+    assert {(r["root"], r["node"]) for r in graph.reachable(e, spark.createDataFrame([("a",)], "root string")).collect()} == {("a", "b"), ("a", "c")}
+
+
+def test_action_wordings(spark):
+    said = {
+        "Bonus issue 1:2": "bonus", "BONUS 3 : 1": "bonus", "Scheme of Arrangement": "demerger", "Spin-off of the unit": "demerger", "De-merger": "demerger",
+        "Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share": "split", "Stock split from Re.1 to 0.50": "split",
+        "Interim Dividend - Rs. 7.50 Per Share": "dividend", "Dividend Re 1": "dividend", "Annual General Meeting": "other", "Dividend": "other",
+    }
+    df = spark.createDataFrame([(1, D(2020, 1, 1), i, s) for i, s in enumerate(said)], "sym bigint, dt date, seq int, subject string")
+    rows = {r["subject"]: r for r in adjust.classify_actions(df).collect()}
+    assert {s: rows[s]["kind"] for s in said} == said
+    assert rows["Interim Dividend - Rs. 7.50 Per Share"]["dividend"] == 7.5

@@ -24,6 +24,16 @@ def test_bucketed_rank_equals_pandas_with_a_hot_tie(spark):
     assert np.allclose(got["r"], want)
 
 
+def test_ranks_of_a_wide_group_are_consistent(spark):
+    """300,000 different values in one group: as many different counts of smaller values, 0 to n - 1."""
+    n = 300_000
+    df = spark.range(n, numPartitions=16).select(F.lit(1).alias("g"), (F.xxhash64("id") / 7.0).alias("v"))
+    out = ordering.value_ranks(df, ["g"], "v")
+    row = out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("below").alias("d"), F.min("below").alias("lo"), F.max("below").alias("hi"), F.max("total").alias("t")).first()
+    kinds = df.select("v").distinct().count()
+    assert (row["n"], row["d"], row["lo"], row["t"]) == (kinds, kinds, 0, n) and row["hi"] == n - out.orderBy(F.desc("v")).first()["cnt"]
+
+
 def test_exact_quantiles_equal_numpy(spark):
     rng = random.Random(2)
     rows = [(i % 2, rng.gauss(0, 1)) for i in range(2001)]
