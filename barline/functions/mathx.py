@@ -89,6 +89,23 @@ def norm_ppf(p: Column | str) -> Column:
     return F.when((p > 0) & (p < 1), let(p.cast("double"), corrected))
 
 
+def chi2_sf(x: Column | str, dof: int) -> Column:
+    """Upper tail of the chi-square distribution with a whole number of degrees of freedom, in closed form."""
+    x = F.greatest(col(x).cast("double"), F.lit(0.0))
+    half = x / 2
+    if dof % 2 == 0:
+        term, total = F.lit(1.0), F.lit(1.0)
+        for k in range(1, dof // 2):
+            term = term * half / k
+            total = total + term
+        return F.exp(-half) * total
+    total, odd = F.lit(0.0), 1.0
+    for k in range(1, (dof - 1) // 2 + 1):
+        odd *= 2 * k - 1
+        total = total + F.pow(x, F.lit(k - 0.5)) / odd
+    return 2 * (norm_cdf(-F.sqrt(x)) + F.exp(-half) / math.sqrt(2 * math.pi) * total)
+
+
 def expected_best_z(n_trials: Column | float) -> Column:
     """Expected largest of ``n_trials`` standard normal draws (extreme-value form); 0 for one trial."""
     if isinstance(n_trials, Column):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.cols import attach
+from barline.functions.mathx import chi2_sf
 from barline.session import durable
 
 
@@ -221,7 +222,7 @@ def independence_p(corr: np.ndarray, n: int, i: int, j: int, given: tuple[int, .
 
 
 def chi_square(rows: DataFrame, x: str, y: str, bins: int = 3) -> DataFrame:
-    """Chi-square statistic of two variables cut at their quantiles."""
+    """Chi-square test of two variables cut at their quantiles: statistic, n and p_value."""
     from barline.operators.ordering import exact_quantiles
 
     base = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y, F.lit(0).alias("_g"))
@@ -238,6 +239,7 @@ def chi_square(rows: DataFrame, x: str, y: str, bins: int = 3) -> DataFrame:
     grid = attach(a.join(F.broadcast(b), how="cross"), n).join(cells, ["i", "j"], "left")
     e = F.col("ri") * F.col("cj") / F.col("n")
     d = F.coalesce("o", F.lit(0)) - e
-    return grid.agg(F.sum(d * d / e).alias("statistic"), F.max("n").alias("n"))
+    out = grid.agg(F.sum(d * d / e).alias("statistic"), F.max("n").alias("n"))
+    return out.withColumn("p_value", chi2_sf("statistic", (bins - 1) ** 2))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,10 +100,16 @@ def regime_cells(cells: DataFrame, regime: str = "regime", least: int = 50) -> D
 
 
 def pending_draws(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Draws not yet in the stored results table, so an interrupted study continues."""
+    """Draws not yet in the stored results table, so an interrupted study continues.
+
+    Only a table that does not exist means that nothing is stored; any other failure stops
+    the study instead of starting it over.
+    """
     try:
         done = spark.read.parquet(path).select("draw").distinct()
-    except Exception:  # noqa: BLE001 - nothing stored yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return wanted
     return wanted.join(done, "draw", "left_anti")
 

@@ -233,6 +233,19 @@ def a36(spark, sf):
     return mx.return_profile(rets).select("sym", *[rnd(c).alias(c) for c in ("vol", "skew", "kurt")])
 
 
+@query(
+    "a36_pair_correlations",
+    with_(
+        BARS10, f"x AS (SELECT sym, dt, close / {lag('close')} - 1 AS ret FROM bars)",
+        select=f"SELECT a.sym AS a, b.sym AS b, CAST(count(*) AS BIGINT) AS n, {r('covar_pop(a.ret, b.ret) / sqrt(var_pop(a.ret) * var_pop(b.ret))')} AS corr FROM x a JOIN x b ON a.dt = b.dt AND a.sym < b.sym WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY a.sym, b.sym",
+    ),
+)
+def a36_corr(spark, sf):
+    """The profile's list of pair correlations."""
+    rets = technical.returns(t.bars(spark, sf, books=10)).select("sym", "dt", "ret")
+    return ql.pair_correlations(rets, list(range(10))).select("a", "b", F.col("n").cast("bigint").alias("n"), rnd("corr").alias("corr"))
+
+
 @query(
     "a37_size_scale",
     with_(

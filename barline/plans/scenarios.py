@@ -332,12 +332,13 @@ def g08(spark, sf):
         BARS, "b AS (SELECT close AS x, turnover AS y FROM bars)", "q AS (SELECT quantile_cont(x, 1 / 3.0) AS x1, quantile_cont(x, 2 / 3.0) AS x2, quantile_cont(y, 1 / 3.0) AS y1, quantile_cont(y, 2 / 3.0) AS y2 FROM b)",
         "c AS (SELECT (x >= x1)::INT + (x >= x2)::INT AS i, (y >= y1)::INT + (y >= y2)::INT AS j, count(*) AS o FROM b, q GROUP BY 1, 2)",
         "g AS (SELECT a.i, d.j, a.r * d.c / (SELECT sum(o) FROM c) AS e FROM (SELECT i, sum(o) AS r FROM c GROUP BY i) a, (SELECT j, sum(o) AS c FROM c GROUP BY j) d)",
-        select=f"SELECT {r('sum((coalesce(o, 0) - e) ^ 2 / e)', 5)} AS statistic, CAST((SELECT sum(o) FROM c) AS BIGINT) AS n FROM g LEFT JOIN c USING (i, j)",
+        "s AS (SELECT sum((coalesce(o, 0) - e) ^ 2 / e) AS v FROM g LEFT JOIN c USING (i, j))",
+        select=f"SELECT {r('v', 5)} AS statistic, CAST((SELECT sum(o) FROM c) AS BIGINT) AS n, {r('exp(-v / 2) * (1 + v / 2)')} AS p_value FROM s",
     ),
 )
 def g09(spark, sf):
     out = gr.chi_square(t.bars(spark, sf), "close", "turnover")
-    return out.select(rnd("statistic", 5).alias("statistic"), "n")
+    return out.select(rnd("statistic", 5).alias("statistic"), "n", rnd("p_value").alias("p_value"))
 
 
 # ---- networks --------------------------------------------------------------------------------------------------

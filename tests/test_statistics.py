@@ -137,3 +137,24 @@ def test_loss_is_never_negative_and_stakes_stay_bounded(spark, rows):
         assert r["loss"] >= 0 and 0 <= r["k"] <= 0.25
         if r["p"] == r["t"]:
             assert r["loss"] == 0
+
+
+def test_chi_square_tail(spark):
+    # table values of the distribution
+    known = [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (9.487729, 4, 0.05), (11.070498, 5, 0.05), (16.918978, 9, 0.05), (0.0, 4, 1.0)]
+    row = spark.range(1).select(*[mathx.chi2_sf(F.lit(x), d).alias(f"c{i}") for i, (x, d, _) in enumerate(known)]).first()
+    assert all(abs(row[i] - p) < 1e-6 for i, (_, _, p) in enumerate(known))
+
+
+def test_pending_draws(spark, tmp_path):
+    from barline.operators.walkforward import pending_draws
+
+    wanted = spark.createDataFrame([(i,) for i in range(5)], "draw int")
+    path = str(tmp_path / "draws")
+    assert pending_draws(spark, path, wanted).count() == 5
+    wanted.where("draw < 2").write.parquet(path)
+    assert {r["draw"] for r in pending_draws(spark, path, wanted).collect()} == {2, 3, 4}
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception):  # noqa: B017
+        pending_draws(spark, str(tmp_path / "broken"), wanted).count()
