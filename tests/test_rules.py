@@ -12,7 +12,7 @@ from barline.functions import dates, text
 from barline.operators import adjust, alignment, graph, ledger, quality, rules, xsection
 from barline.plans import streams
 from barline.sources import files, sinks, tables
-from barline.sources.seed_graph import seed_edges, seed_nodes
+from seed_graph import seed_edges, seed_nodes
 from barline.session import scratch_path
 
 D = dt.date
