@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm import textbytes as tb
-from barline.llm.common import join_groups, partitions, step
+from barline.llm.common import discard, join_groups, partitions, step
 
 GRAM = 16
 LAST = (1 << 63) - 1
@@ -417,7 +417,10 @@ def suffix_dedup(docs: DataFrame, length: int = 100, with_text: bool = False, ho
     several = several.withColumn("hot", F.col("kinds") > hot)
     wanted = step(kinds.select("anchor", F.col("first_doc").alias("doc"), F.col("first_place").alias("place")).join(several, "anchor")
                   .groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("wanted")), "wanted_fragments")
-    pieces = step(keyed.select("doc", "text").join(wanted, "doc").mapInArrow(
+    discard(found)
+    discard(kinds)
+    # texts are dealt by key at any size
+    pieces = step(keyed.select("doc", "text").join(wanted.hint("merge"), "doc").mapInArrow(
         partial(cut_out, length=length), "anchor long, doc long, place long, bytes binary, second long"), "fragment_bytes")
     by_anchor = pieces.where("second IS NULL").select("anchor", "doc", "place", "bytes").dropDuplicates(["anchor", "doc", "place"])
     by_anchor = by_anchor.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
@@ -431,6 +434,6 @@ def suffix_dedup(docs: DataFrame, length: int = 100, with_text: bool = False, ho
         (F.col("doc") > F.col("first_doc")) | ((F.col("doc") == F.col("first_doc")) & (F.col("start") > F.col("first_start")))))
     covered = equal.unionByName(sorted_out).unionByName(one_by_one)
     covered = covered.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
-    out = keyed.join(covered, "doc", "left").select("doc_id", "text", "spans").mapInArrow(
+    out = keyed.join(covered.hint("merge"), "doc", "left").select("doc_id", "text", "spans").mapInArrow(
         partial(remove, with_text=with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
