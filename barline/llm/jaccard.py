@@ -5,13 +5,15 @@ H = (100 - t) * (|A| + |B|) / (100 + t) elements. Shingles are hashed into m seg
 fall into bands, and a band has m = H + 1 segments for its largest pair, so that some
 segment of two linked sets agrees. The first few segments of a band are also indexed with
 one element left out: a set that probes such a segment with its own one-deletion
-neighbourhood covers two differences with it. Each set allots its H + 1 units to the
-cheapest of these probes, by the frequencies of the keys around it, and so skips empty and
-common segments.
+neighbourhood covers two differences with it. Each set allots H + 3 units to the cheapest of
+these probes, by the frequencies of their keys (a first pass finds the frequent ones), and
+so skips empty and common segments; linked sets then meet in two segments at least.
 
-Sets that meet at a key form clusters; a cluster is cut into blocks of bounded size, pairs
-of blocks are compared exactly (shared columns as matrix products), and each comparison
-returns a spanning set of its links and the number of links of each set, never the pairs.
+Where many sets probe a key (a group of copies), all at that key go into one cluster. Where
+few do, each probing set is paired with the others there, and pairs that meet once only are
+not linked. Pairs left join clusters; a cluster is cut into blocks of bounded size, pairs of
+blocks are compared exactly (shared columns as matrix products), and each comparison returns
+a spanning set of its links and the number of links of each set, never the pairs.
 
 Sets are known by a 64-bit digest; equal sets are one member until the end.
 
@@ -32,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm import textbytes as tb
-from barline.llm.common import components, join_groups, partitions, step
+from barline.llm.common import components, discard, join_groups, partitions, step
 
 #: A band reaches from its lowest size to this many times it.
 BAND = 1.5
 #: One segment in so many has one-deletion neighbourhoods in the index.
-DELETIONS = 24
+DELETIONS = 16
+#: Probing sets at a key up to which they are paired with the others there.
+FEW = 32
+#: A key is frequent if it occurs over FREQUENT times and more often than one in COMMON of all key rows; there are fewer than COMMON.
+FREQUENT, COMMON = 64, 1 << 18
 #: Shingles and members of one block of a cluster.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 16, 512
 
@@ -54,7 +60,7 @@ def bands(largest: int, percent: int) -> list[tuple[int, int, int, int]]:
         high = max(low + 1, int(low * BAND))
         top = high - 1
         h = largest_difference(top, 100 * top // percent, percent)
-        out.append((low, h + 1, max(1, (h + 1) // DELETIONS), h))
+        out.append((low, h + 1, min(h + 1, max(5, (h + 1) // DELETIONS)), h))
         low = high
     return out
 
@@ -94,8 +100,11 @@ def _keys(band: np.ndarray, segment: np.ndarray, content: np.ndarray) -> np.ndar
     return tb.mix(content + tb.mix((band.astype(np.uint64) << np.uint64(32)) + segment.astype(np.uint64) + np.uint64(1)))
 
 
-def probes(values: np.ndarray, doc: np.ndarray, size: np.ndarray, band: np.ndarray, plan: np.ndarray, own: bool, percent: int):
-    """Rows (key, document, probing) of documents in one role.
+def probes(
+    values: np.ndarray, doc: np.ndarray, size: np.ndarray, band: np.ndarray, plan: np.ndarray, own: bool, percent: int,
+    common: tuple[np.ndarray, np.ndarray] | None = None,
+):
+    """Rows (key, document, probing) of documents in one role. ``common``: sorted frequent keys and how often they occur.
 
     ``band`` is the band whose segments are used: the documents' own (all segments are
     indexed, the allotted ones also probe) or the one below (they only probe).
@@ -113,9 +122,12 @@ def probes(values: np.ndarray, doc: np.ndarray, size: np.ndarray, band: np.ndarr
     everything = np.concatenate([key, del_key])
     _, back, count = np.unique(everything, return_inverse=True, return_counts=True)
     often = count[back]
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], everything), len(common[0]) - 1)
+        often = np.where(common[0][at] == everything, np.maximum(often, common[1][at]), often)
     cost = often[: len(key)].astype(float)
     del_cost = np.bincount(del_place, weights=often[len(key):], minlength=len(key)) + 1.0
-    need = np.minimum(plan[band, 3], 2 * size * (100 - percent) // (100 + percent)) + 1
+    need = np.minimum(plan[band, 3], 2 * size * (100 - percent) // (100 + percent)) + 3
     enabled = np.flatnonzero(seg < with_deletions[seg_doc])
     unit_seg = np.concatenate([np.arange(len(key)), enabled])
     unit_cost = np.concatenate([cost, np.maximum(cost[enabled], del_cost[enabled]) + 1e-6])
@@ -137,10 +149,24 @@ def probes(values: np.ndarray, doc: np.ndarray, size: np.ndarray, band: np.ndarr
 SCAN = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64())])
 
 
-def scan(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+def count_keys(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(key, count) of the keys that occur twice or more in a batch of documents, and (null, rows) for all of them."""
+    for batch in batches:
+        keys = [r.column("x").to_numpy() for r in scan(iter([batch]), size, percent, None) if r.column("kind")[0].as_py() > 0]
+        if not keys:
+            continue
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        often = count > 1
+        yield pa.record_batch([
+            pa.array(np.append(key[often], 0), mask=np.append(np.zeros(often.sum(), bool), True)),
+            pa.array(np.append(count[often], count.sum()))], ["key", "count"])
+
+
+def scan(batches: Iterator[pa.RecordBatch], size: int, percent: int, common) -> Iterator[pa.RecordBatch]:
     """One pass over (doc_id, text): a profile row (0, doc_id, n, digest) per document, key rows (1 or 2 if probing, key, 0, digest)."""
     hasher = tb.Rolling()
     plan = np.array(bands(1 << 34, percent))
+    frequent = common and (np.frombuffer(common.value[0], np.uint64), np.frombuffer(common.value[1], np.int64))
     for batch in batches:
         ids, text = batch.column(0), batch.column(1)
         for i, j, _, _ in tb.chunks(text):
@@ -164,7 +190,7 @@ def scan(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator
                 new = np.full(j - i, -1)
                 new[docs] = np.arange(len(docs))
                 inside = chosen[rows]
-                keys, who, flags = probes(values[inside], new[rows[inside]], n[docs], level[docs], plan, own, percent)
+                keys, who, flags = probes(values[inside], new[rows[inside]], n[docs], level[docs], plan, own, percent, frequent)
                 yield pa.record_batch([
                     pa.array(flags.astype(np.int8) + np.int8(1)), tb.signed(keys), pa.array(np.zeros(len(keys), np.int64)),
                     tb.signed(digest[docs][who])], SCAN)
@@ -231,16 +257,34 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = step(texts.mapInArrow(partial(scan, size=size, percent=percent), "kind byte, x long, y long, z long"), "shingle_keys")
-    profile = rows.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n"), F.col("z").alias("member"))
+    counted = texts.mapInArrow(partial(count_keys, size=size, percent=percent), "key long, count long").groupBy("key").agg(
+        F.sum("count").alias("count"))
+    counted = step(counted, "key_counts")
+    total_keys = counted.where("key IS NULL").agg(F.sum("count")).first()[0] or 0
+    most = max(FREQUENT, total_keys // COMMON)
+    # fewer than COMMON rows
+    got = counted.where((F.col("key").isNotNull()) & (F.col("count") > most)).toArrow()
+    known, often = got["key"].to_numpy().view(np.uint64), got["count"].to_numpy()
+    order = np.argsort(known)
+    common = spark.sparkContext.broadcast((known[order].tobytes(), often[order].tobytes()))
+
+    rows = step(texts.mapInArrow(
+        partial(scan, size=size, percent=percent, common=common), "kind byte, x long, y long, z long"), "shingle_keys")
+    profile = step(rows.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n"), F.col("z").alias("member")), "shingle_profile")
     keys = rows.where("kind > 0").select(F.col("x").alias("key"), F.col("z").alias("member"), (F.col("kind") == 2).alias("probing"))
 
-    # a key counts if it has a probing member and another one; the smallest probing member is its centre
+    # a key counts if it has a probing member and another one
+    probing = F.when(F.col("probing"), F.col("member"))
     shared = keys.groupBy("key").agg(
-        F.min("member").alias("low"), F.max("member").alias("high"), F.min(F.when(F.col("probing"), F.col("member"))).alias("centre"))
-    shared = shared.where("low <> high AND centre IS NOT NULL").select("key", "centre")
-    edges = keys.join(shared.hint("merge"), "key").where("member <> centre").select(F.col("centre").alias("a"), F.col("member").alias("b"))
-    clusters = components(edges.distinct())
+        F.min("member").alias("low"), F.max("member").alias("high"), F.min(probing).alias("centre"), F.count(probing).alias("probes"))
+    shared = shared.where("low <> high AND centre IS NOT NULL").select("key", "centre", "probes")
+    met = step(keys.join(shared.hint("merge"), "key").distinct(), "shared_keys")
+    discard(rows)
+    star = met.where((F.col("probes") > FEW) & (F.col("member") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("member").alias("b"))
+    few = met.where(F.col("probes") <= FEW)
+    pairs = few.where("probing").select("key", F.col("member").alias("a")).join(few.select("key", F.col("member").alias("b")).distinct().hint("merge"), "key")
+    twice = pairs.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1").select("a", "b")
+    clusters = components(star.distinct().unionByName(twice))
 
     classes = step(profile.where("n > 0").groupBy("member").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"),
@@ -255,7 +299,8 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     texts = texts.withColumn("ref", F.coalesce("doc_id", F.xxhash64("text")))
     lost = members.where("first_id IS NULL")
     found = members.where("first_id IS NOT NULL").withColumn("ref", F.col("first_id"))
-    held = texts.where("doc_id IS NOT NULL").join(found, "ref")
+    # texts are dealt by key at any size
+    held = texts.where("doc_id IS NOT NULL").join(found.hint("merge"), "ref")
     if lost.head(1):
         anonymous = texts.where("doc_id IS NULL").mapInArrow(
             partial(_with_member, size=size), "text string, member long").dropDuplicates(["member"])

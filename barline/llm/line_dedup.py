@@ -285,7 +285,8 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rows = step(texts.mapInArrow(
         partial(scan, threshold=threshold), "kind byte, key long, member long, doc long, place long, size long"), "lines")
     line = F.col("place").bitwiseAND(F.lit((1 << 40) - 1))
-    seen = rows.where("kind = 0").select("member", "doc", "place", "size", line.alias("line"))
+    seen = step(rows.where("kind = 0").select("member", "doc", "place", "size", line.alias("line")), "line_places")
+    again = step(rows.where("kind = 1").select("doc", "place"), "line_repeats")
     total = seen.count()
     members = step(seen.groupBy("member").agg(
         F.count(F.lit(1)).alias("rows"), F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), F.max("size").alias("size")), "line_members")
@@ -293,13 +294,16 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     keys = rows.where("kind = 2").select("key", "member")
     shared = keys.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).where("low <> high").select("key", "low")
     edges = keys.join(shared.hint("merge"), "key").where("member <> low").select(F.col("low").alias("a"), F.col("member").alias("b"))
-    clusters = components(edges.distinct()).withColumnRenamed("node", "member").join(members, "member")
+    clusters = components(edges.distinct())
+    discard(rows)
+    clusters = clusters.withColumnRenamed("node", "member").join(members, "member")
     volume = clusters.groupBy("component").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("count"))
     blocks = F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("count") / BLOCK_MEMBERS)).cast("int")
     clusters = step(clusters.join(volume.select("component", blocks.alias("blocks")), "component").select(
         "component", "member", "doc", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")), "line_clusters")
     wanted = clusters.groupBy("doc").agg(F.collect_list("member").alias("wanted"))
-    found = texts.join(wanted, "doc").select("text", "wanted").mapInArrow(pick_lines, "member long, line binary").dropDuplicates(["member"])
+    # texts are dealt by key at any size
+    found = texts.join(wanted.hint("merge"), "doc").select("text", "wanted").mapInArrow(pick_lines, "member long, line binary").dropDuplicates(["member"])
     pair = F.explode(F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) AS i, greatest(b, block) AS j))"))
     units = found.join(clusters, "member").select("component", "member", "block", "line", pair.alias("p"))
     units = units.select("component", "member", "block", "line", "p.i", "p.j").repartition(partitions(spark), "component", "i", "j")
@@ -319,7 +323,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         "member", "rows", "keep_doc", "keep_line"), "line_classes")
     gone = join_groups(seen, classes, ["member"], "rows", max(1, total)).where(
         (F.col("doc") > F.col("keep_doc")) | ((F.col("doc") == F.col("keep_doc")) & (F.col("line") > F.col("keep_line"))))
-    gone = gone.select("doc", "place").unionByName(rows.where("kind = 1").select("doc", "place"))
+    gone = gone.select("doc", "place").unionByName(again)
     return gone.groupBy("doc").agg(F.collect_list("place").alias("places"))
 
 
@@ -331,7 +335,7 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, name: str = "li
     """``docs`` with repeated lines cut from the text, and a struct column ``name`` (n_lines, n_removed, kept_sha256)."""
     gone = repeated_lines(docs, threshold)
     doc = F.coalesce(F.col("a.doc_id").cast("long"), F.lit(LAST)) == F.col("b.doc")
-    joined = docs.alias("a").join(gone.alias("b"), doc, "left").select(*[F.col(f"a.`{c}`").alias(c) for c in docs.columns], F.col("b.places").alias(name))
+    joined = docs.alias("a").join(gone.hint("merge").alias("b"), doc, "left").select(*[F.col(f"a.`{c}`").alias(c) for c in docs.columns], F.col("b.places").alias(name))
     return joined.mapInArrow(
         partial(cut_lines, at=docs.columns.index("text")), StructType([*docs.schema.fields, StructField(name, COUNTS)]))
 
