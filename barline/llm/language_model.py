@@ -45,6 +45,8 @@ ROUNDS, LANES, WINDOW, FAN = 3, 128, 16, 64
 RATE, CLIP = 0.01, 5.0
 #: Bytes of text whose documents are scored side by side.
 SIDE_BY_SIDE = 4 << 20
+#: Bytes of text hashed at once.
+PIECE = 1 << 17
 
 Net = dict[str, np.ndarray]
 
@@ -54,8 +56,16 @@ def fold(doc_id: Column) -> Column:
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray, hasher: tb.Rolling) -> tuple[np.ndarray, np.ndarray]:
-    start, end, row = tb.words(data, offsets)
-    return hasher.ranges(tb.fold(data), start, end), row
+    """(hash, row) of all words; taken in pieces whose arrays stay in the processor's cache."""
+    words, rows, i, n = [], [], 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        part = data[offsets[i]: offsets[j]]
+        start, end, row = tb.words(part, offsets[i: j + 1] - offsets[i])
+        words.append(hasher.ranges(tb.fold(part), start, end))
+        rows.append(row + i)
+        i = j
+    return (np.concatenate(words), np.concatenate(rows)) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +162,10 @@ def log_probabilities(net: Net, h: np.ndarray, types: np.ndarray, gradient: Net
         gradient["cw"] += h.T @ d
         gradient["cb"] += d.sum(axis=0)
         back = d @ net["cw"].T
-    order = np.argsort(own, kind="stable")
-    edges = np.searchsorted(own[order], np.arange(CLASSES + 1))
+    # one byte sorts by counting
+    order = np.argsort(own.astype(np.uint8), kind="stable")
+    edges = np.zeros(CLASSES + 1, np.int64)
+    np.cumsum(np.bincount(own, minlength=CLASSES), out=edges[1:])
     for c in np.flatnonzero(np.diff(edges)):
         k = order[edges[c]: edges[c + 1]]
         part = h[k]
@@ -207,7 +219,8 @@ class Trainer:
             rec = np.concatenate([dz, dr, dn * r], axis=1)
             g["u"] += h.T @ rec
             dh = dh * z + rec @ net["u"].T + back[t]
-        flat, order = types.T.ravel(), np.argsort(types.T.ravel(), kind="stable")
+        flat = types.T.ravel()
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
         seen = flat[order]
         first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
         g["x"][seen[first]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
@@ -217,10 +230,19 @@ class Trainer:
         self.steps += 1
         warm = np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
         for k, v in g.items():
+            m, square = self.m[k], self.v[k]
             v *= scale
-            self.m[k] += 0.1 * (v - self.m[k])
-            self.v[k] += 0.001 * (v * v - self.v[k])
-            net[k] -= RATE * warm * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
+            m *= 0.9
+            m += 0.1 * v
+            v *= v
+            v *= 0.001
+            square *= 0.999
+            square += v
+            np.sqrt(square, out=v)
+            v += 1e-6
+            np.divide(m, v, out=v)
+            v *= RATE * warm
+            net[k] -= v
 
 
 def lanes_of(types: np.ndarray) -> np.ndarray:
