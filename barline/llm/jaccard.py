@@ -5,15 +5,18 @@ H = (100 - t) * (|A| + |B|) / (100 + t) elements. Shingles are hashed into m seg
 fall into bands, and a band has m = H + 1 segments for its largest pair, so that some
 segment of two linked sets agrees. The first few segments of a band are also indexed with
 one element left out: a set that probes such a segment with its own one-deletion
-neighbourhood covers two differences with it. Each set allots H + 3 units to the cheapest of
-these probes, by the frequencies of their keys (a first pass finds the frequent ones), and
-so skips empty and common segments; linked sets then meet in two segments at least.
-
-Where many sets probe a key (a group of copies), all at that key go into one cluster. Where
-few do, each probing set is paired with the others there, and pairs that meet once only are
-not linked. Pairs left join clusters; a cluster is cut into blocks of bounded size, pairs of
-blocks are compared exactly (shared columns as matrix products), and each comparison returns
-a spanning set of its links and the number of links of each set, never the pairs.
+neighbourhood covers two differences with it. Each set allots H + 2 T - 1 units to the
+cheapest of these probes, by the frequencies of their keys (a first pass finds the frequent
+ones), and so skips empty and common segments; as a segment has two units at most, linked
+sets then meet in T segments at least, T = 2 or more by band.
+
+Where few sets probe a key, each of them is paired with the others there, and pairs that
+meet less than T times are not linked. Where many do, the sets at that key are compared in blocks by
+sketches: counts of shingles in ``CELLS`` cells (more for large sets), whose differences add
+up to at most the number of different shingles; pairs that differ too much are not linked either. What is left
+connects sets to clusters; a cluster is cut into blocks of bounded size, pairs of blocks are
+compared exactly (shared columns as matrix products), and each comparison returns a spanning
+set of its links and the number of links of each set, never the pairs.
 
 Sets are known by a 64-bit digest; equal sets are one member until the end.
 
@@ -41,9 +44,13 @@ BAND = 1.5
 #: One segment in so many has one-deletion neighbourhoods in the index.
 DELETIONS = 16
 #: Probing sets at a key up to which they are paired with the others there.
-FEW = 32
+FEW = 8
+#: Cells of a sketch; they double with each doubling of the set beyond ROOMY shingles.
+CELLS, ROOMY = 128, 1024
+#: Segments with deletions per meeting asked of linked sets beyond two.
+MEETINGS = 8
 #: A key is frequent if it occurs over FREQUENT times and more often than one in COMMON of all key rows; there are fewer than COMMON.
-FREQUENT, COMMON = 64, 1 << 18
+FREQUENT, COMMON = 16, 1 << 18
 #: Shingles and members of one block of a cluster.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 16, 512
 
@@ -53,14 +60,15 @@ def largest_difference(a: int, b: int, percent: int) -> int:
     return (100 - percent) * (a + b) // (100 + percent)
 
 
-def bands(largest: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """(lowest size, segments, segments with deletions, H) of each band up to ``largest``."""
+def bands(largest: int, percent: int) -> list[tuple[int, int, int, int, int]]:
+    """(lowest size, segments, segments with deletions, H, T) of each band up to ``largest``."""
     out, low = [], 1
     while low <= largest:
         high = max(low + 1, int(low * BAND))
         top = high - 1
         h = largest_difference(top, 100 * top // percent, percent)
-        out.append((low, h + 1, min(h + 1, max(5, (h + 1) // DELETIONS)), h))
+        enabled = min(h + 1, max(5, (h + 1) // DELETIONS))
+        out.append((low, h + 1, enabled, h, 2 + enabled // MEETINGS))
         low = high
     return out
 
@@ -127,7 +135,7 @@ def probes(
         often = np.where(common[0][at] == everything, np.maximum(often, common[1][at]), often)
     cost = often[: len(key)].astype(float)
     del_cost = np.bincount(del_place, weights=often[len(key):], minlength=len(key)) + 1.0
-    need = np.minimum(plan[band, 3], 2 * size * (100 - percent) // (100 + percent)) + 3
+    need = np.minimum(plan[band, 3], 2 * size * (100 - percent) // (100 + percent)) + 2 * plan[band, 4] - 1
     enabled = np.flatnonzero(seg < with_deletions[seg_doc])
     unit_seg = np.concatenate([np.arange(len(key)), enabled])
     unit_cost = np.concatenate([cost, np.maximum(cost[enabled], del_cost[enabled]) + 1e-6])
@@ -146,13 +154,13 @@ def probes(
     return (keys, docs, flags) if own else (keys[flags], docs[flags], flags[flags])
 
 
-SCAN = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64())])
+SCAN = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("sketch", pa.binary())])
 
 
 def count_keys(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(key, count) of the keys that occur twice or more in a batch of documents, and (null, rows) for all of them."""
     for batch in batches:
-        keys = [r.column("x").to_numpy() for r in scan(iter([batch]), size, percent, None) if r.column("kind")[0].as_py() > 0]
+        keys = [r.column("x").to_numpy() for r in scan(iter([batch]), size, percent, None) if r.num_rows and r.column("kind")[0].as_py() > 0]
         if not keys:
             continue
         key, count = np.unique(np.concatenate(keys), return_counts=True)
@@ -163,7 +171,7 @@ def count_keys(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> It
 
 
 def scan(batches: Iterator[pa.RecordBatch], size: int, percent: int, common) -> Iterator[pa.RecordBatch]:
-    """One pass over (doc_id, text): a profile row (0, doc_id, n, digest) per document, key rows (1 or 2 if probing, key, 0, digest)."""
+    """One pass over (doc_id, text): a profile row (0, doc_id, n, digest, sketch) per document, key rows (1 or 2 if probing, key, T, digest)."""
     hasher = tb.Rolling()
     plan = np.array(bands(1 << 34, percent))
     frequent = common and (np.frombuffer(common.value[0], np.uint64), np.frombuffer(common.value[1], np.int64))
@@ -172,8 +180,10 @@ def scan(batches: Iterator[pa.RecordBatch], size: int, percent: int, common) ->
         for i, j, _, _ in tb.chunks(text):
             rows, values = sets_of(text.slice(i, j - i), hasher, size)
             n, digest = digest_of(rows, values, j - i)
+            sketch = sketches(rows, values, n)
             yield pa.record_batch([
-                pa.array(np.zeros(j - i, np.int8)), ids.slice(i, j - i).cast(pa.int64()), pa.array(n), tb.signed(digest)], SCAN)
+                pa.array(np.zeros(j - i, np.int8)), ids.slice(i, j - i).cast(pa.int64()), pa.array(n), tb.signed(digest),
+                pa.array(sketch, pa.binary())], SCAN)
             # equal sets of a chunk probe once; empty sets never
             lead = np.zeros(j - i, bool)
             lead[np.unique(digest, return_index=True)[1]] = True
@@ -192,10 +202,64 @@ def scan(batches: Iterator[pa.RecordBatch], size: int, percent: int, common) ->
                 inside = chosen[rows]
                 keys, who, flags = probes(values[inside], new[rows[inside]], n[docs], level[docs], plan, own, percent, frequent)
                 yield pa.record_batch([
-                    pa.array(flags.astype(np.int8) + np.int8(1)), tb.signed(keys), pa.array(np.zeros(len(keys), np.int64)),
-                    tb.signed(digest[docs][who])], SCAN)
+                    pa.array(flags.astype(np.int8) + np.int8(1)), tb.signed(keys), pa.array(plan[level[docs][who], 4]),
+                    tb.signed(digest[docs][who]), pa.nulls(len(keys), pa.binary())], SCAN)
+
+
+def cells_of(n: np.ndarray) -> np.ndarray:
+    """Cells of the sketch of a set of n shingles."""
+    return CELLS << np.maximum(0, np.floor(np.log2(np.maximum(n, 1) / ROOMY)).astype(np.int64) + 1)
+
+
+def sketches(rows: np.ndarray, values: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Counts of each set's shingles by the low bits of their hashes, two bytes a cell."""
+    width = cells_of(n)
+    at = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(width, out=at[1:])
+    place = at[rows] + (values % width[rows].astype(np.uint64)).astype(np.int64)
+    # a cell holds a few dozen at most, as cells grow with the set
+    flat = np.bincount(place, minlength=at[-1]).astype(np.uint16).tobytes()
+    return [flat[2 * a: 2 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def near_sketches(group: pa.Table, percent: int) -> pa.Table:
+    """(member, root): the members of a pair of blocks at one key whose sketches allow a link with a probing member or from one."""
+    n = group.column("n").to_numpy()
+    order = np.argsort(n, kind="stable")
+    n, k = n[order], len(order)
+    member, block = (group.column(c).to_numpy()[order] for c in ("member", "block"))
+    probing = group.column("probing").to_numpy()[order]
+    raw = group.column("sketch").to_pylist()
+    width = cells_of(n)
+    both = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+    root = np.arange(k)
+    cells, first = None, 0
+    for x in range(k):
+        if cells is None or cells.shape[1] != width[x]:
+            # from here on all have as many cells or more, which fold onto these
+            first = x
+            cells = np.stack([
+                np.frombuffer(raw[order[y]], np.uint16).reshape(-1, width[x]).sum(axis=0, dtype=np.int32) for y in range(x, k)])
+        last = int(np.searchsorted(n, 100 * n[x] // percent, "right"))
+        y = np.arange(x + 1, last)
+        # members connected already need no look
+        ok = (root[y] != root[x]) & (probing[y] | probing[x])
+        if not both:
+            ok &= block[y] != block[x]
+        y = y[ok]
+        if not len(y):
+            continue
+        y = y[np.abs(cells[y - first] - cells[x - first]).sum(axis=1) <= (100 - percent) * (n[x] + n[y]) // (100 + percent)]
+        if len(y):
+            joined = np.unique(np.append(root[y], root[x]))
+            root[np.isin(root, joined)] = joined[0]
+    out = np.flatnonzero(root != np.arange(k))
+    return pa.table([pa.array(member[out]), pa.array(member[root[out]])], names=["a", "b"])
 
 
+#: The pairs of blocks a member of ``block`` takes part in.
+PAIRS = "transform(sequence(0, blocks - 1), b -> struct(least(b, block) AS i, greatest(b, block) AS j))"
+
 UNIT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
@@ -269,21 +333,32 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     common = spark.sparkContext.broadcast((known[order].tobytes(), often[order].tobytes()))
 
     rows = step(texts.mapInArrow(
-        partial(scan, size=size, percent=percent, common=common), "kind byte, x long, y long, z long"), "shingle_keys")
-    profile = step(rows.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n"), F.col("z").alias("member")), "shingle_profile")
-    keys = rows.where("kind > 0").select(F.col("x").alias("key"), F.col("z").alias("member"), (F.col("kind") == 2).alias("probing"))
-
-    # a key counts if it has a probing member and another one
-    probing = F.when(F.col("probing"), F.col("member"))
-    shared = keys.groupBy("key").agg(
-        F.min("member").alias("low"), F.max("member").alias("high"), F.min(probing).alias("centre"), F.count(probing).alias("probes"))
-    shared = shared.where("low <> high AND centre IS NOT NULL").select("key", "centre", "probes")
+        partial(scan, size=size, percent=percent, common=common), "kind byte, x long, y long, z long, sketch binary"), "shingle_keys")
+    profile = step(rows.where("kind = 0").select(
+        F.col("x").alias("doc_id"), F.col("y").alias("n"), F.col("z").alias("member"), "sketch"), "shingle_profile")
+    keys = rows.where("kind > 0").select(
+        F.col("x").alias("key"), F.col("y").alias("meetings"), F.col("z").alias("member"), (F.col("kind") == 2).alias("probing"))
+
+    # a key counts if it has a probing member and another row
+    shared = step(keys.groupBy("key").agg(F.count_if("probing").alias("probes"), F.count(F.lit(1)).alias("held")).where(
+        "probes > 0 AND held > 1"), "shared_key_counts")
     met = step(keys.join(shared.hint("merge"), "key").distinct(), "shared_keys")
     discard(rows)
-    star = met.where((F.col("probes") > FEW) & (F.col("member") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("member").alias("b"))
+    held = profile.groupBy("member").agg(F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+    many = met.where(F.col("probes") > FEW).groupBy("key", "member").agg(F.max("probing").alias("probing"), F.max("held").alias("held"))
+    many = many.withColumn("blocks", F.ceil(F.col("held") / BLOCK_MEMBERS).cast("int")).join(held, "member")
+    many = many.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).select(
+        "key", "member", "n", "sketch", "probing", "block", F.explode(F.expr(PAIRS)).alias("p")).select(
+        "key", "member", "n", "sketch", "probing", "block", "p.i", "p.j").repartition(partitions(spark), "key", "i", "j")
+
+    def at_key(group: pa.Table) -> pa.Table:
+        return near_sketches(group, percent)
+
+    star = many.groupBy("key", "i", "j").applyInArrow(at_key, "a long, b long")
     few = met.where(F.col("probes") <= FEW)
-    pairs = few.where("probing").select("key", F.col("member").alias("a")).join(few.select("key", F.col("member").alias("b")).distinct().hint("merge"), "key")
-    twice = pairs.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1").select("a", "b")
+    pairs = few.where("probing").select("key", "meetings", F.col("member").alias("a")).join(few.select("key", F.col("member").alias("b")).distinct().hint("merge"), "key")
+    # the keys of one band ask for the same number of meetings
+    twice = pairs.where("a <> b").groupBy("a", "b", "meetings").agg(F.count(F.lit(1)).alias("hits")).where("hits >= meetings").select("a", "b")
     clusters = components(star.distinct().unionByName(twice))
 
     classes = step(profile.where("n > 0").groupBy("member").agg(
@@ -305,8 +380,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         anonymous = texts.where("doc_id IS NULL").mapInArrow(
             partial(_with_member, size=size), "text string, member long").dropDuplicates(["member"])
         held = held.select("text", *lost.columns).unionByName(anonymous.join(lost, "member").select("text", *lost.columns))
-    pair = F.explode(F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) AS i, greatest(b, block) AS j))"))
-    units = held.select("component", "member", "block", "text", pair.alias("p")).select("component", "member", "block", "text", "p.i", "p.j")
+    units = held.select("component", "member", "block", "text", F.explode(F.expr(PAIRS)).alias("p")).select("component", "member", "block", "text", "p.i", "p.j")
     units = units.repartition(partitions(spark), "component", "i", "j")
 
     def unit(group: pa.Table) -> pa.Table:

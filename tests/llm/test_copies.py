@@ -101,8 +101,9 @@ def test_suffix_dedup_with_nulls_and_repeats(odd, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (1, 50)])
-def test_jaccard_groups_equal_brute_force(odd, plain, size, percent, monkeypatch):
+@pytest.mark.parametrize(("size", "percent", "few"), [(3, 90, 32), (5, 80, 0), (1, 50, 2)])
+def test_jaccard_groups_equal_brute_force(odd, plain, size, percent, few, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", few)
     docs = [(r.doc_id, r.text) for r in odd.collect()]
     got = sorted((tuple(r) for r in jaccard.jaccard_groups(odd, size, percent).collect()), key=repr)
 
