@@ -191,6 +191,23 @@ def test_planted_passages(spark, odd, empty):
     assert passages.fuzzy_passages(empty).count() == 0
 
 
+def test_short_quotes_hide_no_passage(spark):
+    """Earlier documents quote parts of a passage, too short to be reported, then two hold all of it."""
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n)]
+    docs, want = [], set()
+    for _ in range(20):
+        # one quote, many of one part, many of all parts; a passage that goes on
+        for quotes, n in (([(0, 45)], 60), ([(0, 45)] * 9, 60), ([(0, 45), (30, 60)] * 9, 60), ([(0, 40)] * 9, 400)):
+            one = words(n)
+            for a, b in [*quotes, (0, n), (0, n)]:
+                docs.append((len(docs), " ".join(words(9) + one[a:b] + words(9))))
+            want.add((len(docs) - 1, len(docs) - 2, 9, 9 + n))
+    rows = passages.fuzzy_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    got = {(r.doc_id, r.ref_id, r.start, r.end) for r in rows}
+    assert got == want
+
+
 def test_mixing_equals_sql(odd, against_sql):
     df = mixing.plan_mix(odd).selectExpr("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.size * mix.copies AS taken", "mix.copies")
     got, want = against_sql(df, queries.ORACLES["op8_mix_sources"], documents=odd)
