@@ -191,8 +191,8 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in net.items()}
         self.steps = 0
 
-    def window(self, types: np.ndarray) -> None:
-        """One window: ``types`` is (lanes, places)."""
+    def window(self, types: np.ndarray, masked: int = 0) -> None:
+        """One window: ``types`` is (lanes, places); the last ``masked`` places of the last lane only fill it."""
         net, lanes, places = self.net, *types.shape
         g = {k: np.zeros_like(v) for k, v in net.items()}
         h, kept, states = self.h, [], np.empty((places, lanes, HIDDEN), np.float32)
@@ -203,8 +203,14 @@ class Trainer:
             kept.append(parts)
             h = after * live[:, t: t + 1]
         self.h = h
-        _, back = log_probabilities(net, states.reshape(-1, HIDDEN), types.T.ravel(), g)
-        back = back.reshape(places, lanes, HIDDEN)
+        real = np.ones((places, lanes), bool)
+        real[places - masked:, -1] = False
+        if masked:
+            back = np.zeros((places, lanes, HIDDEN), np.float32)
+            _, back[real] = log_probabilities(net, states[real], types.T[real], g)
+        else:
+            _, back = log_probabilities(net, states.reshape(-1, HIDDEN), types.T.ravel(), g)
+            back = back.reshape(places, lanes, HIDDEN)
         dh = np.zeros((lanes, HIDDEN), np.float32)
         dx = np.empty((places, lanes, 3 * HIDDEN), np.float32)
         for t in range(places - 1, -1, -1):
@@ -224,7 +230,7 @@ class Trainer:
         seen = flat[order]
         first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
         g["x"][seen[first]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-        scale = 1 / (lanes * places)
+        scale = 1 / (lanes * places - masked)
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-9))
         self.steps += 1
@@ -273,6 +279,13 @@ def train(batches: Iterator[pa.RecordBatch], net: bytes, types: Types) -> Iterat
             for t in range(0, rows.shape[1], WINDOW):
                 trainer.window(rows[:, t: t + WINDOW])
             seen += full
+    if len(rest):
+        # the last block has as many lanes as it fills
+        masked = -len(rest) % WINDOW
+        rows = np.append(rest, np.full(masked, names.end)).reshape(-1, WINDOW)
+        trainer.h = np.zeros((len(rows), HIDDEN), np.float32)
+        trainer.window(rows, masked)
+        seen += len(rest)
     if seen:
         yield pa.record_batch(
             [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([pack(trainer.net)], pa.binary())],

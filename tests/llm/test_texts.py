@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
@@ -126,6 +127,32 @@ def test_language_model_learns(spark):
     assert gain > 0.2
 
 
+def test_language_model_trains_on_every_token(spark):
+    types = language_model.Types(np.arange(1, 50, dtype=np.uint64), np.arange(50, 1, -1), 10, 5)
+    texts = spark.createDataFrame([(i, "one two three " * (i % 7)) for i in range(2500)], "doc_id long, text string")
+    names, start = (spark.sparkContext.broadcast(v) for v in (types, language_model.pack(language_model.fresh(types))))
+    train = partial(language_model.train, net=start, types=names)
+    for parts in (1, 7, 40):
+        # empty tasks give no model
+        rows = texts.where("doc_id % 50 < 49").repartition(parts).select("text").mapInArrow(train, "id long, tokens long, net binary").collect()
+        assert sum(r.tokens for r in rows) == sum(3 * (i % 7) + 1 for i in range(2500) if i % 50 < 49)
+    few = texts.where("doc_id < 9")
+    net = language_model.fit(few, types)
+    assert any((net[k] != v).any() for k, v in language_model.fresh(types).items())
+
+
+def test_masked_places_have_no_weight():
+    types = language_model.Types(np.arange(1, 50, dtype=np.uint64), np.arange(50, 1, -1), 10, 5)
+    words = types.of(np.random.default_rng(1).integers(1, 60, 11).astype(np.uint64))
+    nets = []
+    for masked in (0, 5):
+        trainer = language_model.Trainer(language_model.fresh(types), types.end)
+        trainer.h = np.zeros((1, language_model.HIDDEN), np.float32)
+        trainer.window(np.append(words, np.full(masked, types.end))[None, :], masked)
+        nets.append(trainer.m)
+    assert all(np.allclose(nets[0][k], nets[1][k], atol=1e-7) for k in nets[0])
+
+
 def test_gradients():
     types = language_model.Types(np.arange(1, 50, dtype=np.uint64), np.arange(50, 1, -1), 10, 5)
     net = {k: v.astype(np.float64) for k, v in language_model.fresh(types).items()}
