@@ -1,7 +1,7 @@
 """Line deduplication: segment-partition edit join over all lines of all documents.
 
-Lines are compared without white space at their ends; lines shorter than ``MIN_BYTES`` are
-left alone. Equal lines are one member. Two members are near when their edit distance (in
+Lines are compared without white space at their ends; lines of white space are left alone.
+Equal lines are one member. Two members are near when their edit distance (in
 bytes) is at most the threshold of the shorter one: one edit per ``BYTES_PER_EDIT`` bytes,
 at most ``threshold``. A line of length l with threshold t is cut into t + 1 segments, one
 of which a near line contains unchanged close to its place: segments are indexed under
@@ -32,7 +32,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from barline.llm import textbytes as tb
 from barline.llm.common import components, discard, free, join_groups, partitions, step
 
-MIN_BYTES = 20
+#: Lines too short for an edit are near equal lines only.
+MIN_BYTES = 1
 BYTES_PER_EDIT = 30
 THRESHOLD = 2
 LAST = (1 << 63) - 1

@@ -230,6 +230,12 @@ def test_line_dedup_equals_brute_force(odd):
     assert removed > 5
 
 
+def test_equal_short_lines_are_removed(spark):
+    docs = spark.createDataFrame([(1, "Menu\nfirst text\n\nHome"), (2, "Menu\nsecond text\n\n Home \nMenu!")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    assert rows[1].n_removed == 0 and (rows[2].n_removed, rows[2].text) == (2, "second text\n\nMenu!")
+
+
 def test_line_dedup_carries_columns(clashing, empty):
     left = line_dedup.documents_left(clashing)
     assert left.columns == clashing.columns
