@@ -65,6 +65,14 @@ def test_digest_index_outlives_batches(spark, odd):
     assert again.read().count() == again.read().select("digest").distinct().count() > n
 
 
+def test_later_batches_of_known_texts_are_not_kept(spark):
+    index = DigestIndex(spark)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    assert all(r.kept for r in exact_dedup(docs, index).collect())
+    again = docs.selectExpr("doc_id + 100 AS doc_id", "text")
+    assert not any(r.kept for r in exact_dedup(again, index).collect())
+
+
 def test_lyndon_grouping_sorts_suffixes():
     rng = random.Random(3)
     for n in range(400):
