@@ -13,8 +13,10 @@ from barline.llm.exact_dedup import exact_dedup
 from barline.llm.jaccard import jaccard_groups
 from barline.llm.language_model import language_scores
 from barline.llm.line_dedup import line_dedup
+from barline.llm.merkle import manifest
 from barline.llm.mixing import SEED, plan_mix
 from barline.llm.passages import fuzzy_passages
+from barline.llm.perplexity_rules import quality_rules
 from barline.llm.quality import quality_weights
 from barline.llm.suffix_dedup import suffix_dedup
 from barline.llm.warc import REVISIT_BYTES, archive_pages
@@ -120,3 +122,60 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_model")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op12_perplexity_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _written(column: str) -> str:
+    """A field of a leaf: byte count and value, or - for a null."""
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR END"
+
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)))"""
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce({_CRC} % 7 = 0, false) AS hit,
+    {_written('doc_id')} || {_written('source')} || {_written('lang')} AS head, {_written('text')} AS tail
+  FROM documents),
+l AS (
+  SELECT doc_id, lang, sha256(head || {_written('n_chars')} || tail) AS leaf,
+    sha256(head || CASE WHEN hit THEN {_written('(n_chars + 1)')} ELSE {_written('n_chars')} END || tail) AS tampered
+  FROM d),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g
+  FROM l),
+t AS (
+  SELECT g, 0 AS lvl, idx, n, leaf AS h FROM p
+  UNION ALL
+  SELECT g, lvl + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY g, lvl, idx // 2),
+s AS (SELECT g, h AS subroot, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, g AS idx, n, subroot AS h FROM s
+  UNION ALL
+  SELECT lvl + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, idx // 2),
+a AS (
+  SELECT doc_id, leaf, g, idx AS place, 0 AS lvl, idx, n, '' AS proof, tampered AS node FROM p
+  UNION ALL
+  SELECT doc_id, leaf, a.g, place, a.lvl + 1, a.idx // 2, (a.n + 1) // 2, proof || coalesce(t.h, ''),
+    sha256(CASE WHEN a.idx % 2 = 1 THEN t.h || node ELSE node || coalesce(t.h, '') END)
+  FROM a LEFT JOIN t ON t.g = a.g AND t.lvl = a.lvl AND t.idx = xor(a.idx, 1) WHERE a.n > 1),
+b AS (
+  SELECT doc_id, leaf, a.g, place, subroot, 0 AS lvl, a.g AS idx, s.n, proof, node FROM a JOIN s ON a.g = s.g WHERE a.n = 1
+  UNION ALL
+  SELECT doc_id, leaf, b.g, place, subroot, b.lvl + 1, b.idx // 2, (b.n + 1) // 2, proof || coalesce(u.h, ''),
+    sha256(CASE WHEN b.idx % 2 = 1 THEN u.h || node ELSE node || coalesce(u.h, '') END)
+  FROM b LEFT JOIN u ON u.lvl = b.lvl AND u.idx = xor(b.idx, 1) WHERE b.n > 1),
+r AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM b, r WHERE b.n = 1""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
