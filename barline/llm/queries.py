@@ -19,6 +19,7 @@ from barline.llm.passages import fuzzy_passages
 from barline.llm.perplexity_rules import quality_rules
 from barline.llm.quality import quality_weights
 from barline.llm.suffix_dedup import suffix_dedup
+from barline.llm.tokenizer_alignment import alignment
 from barline.llm.warc import REVISIT_BYTES, archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +125,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents"))
+
+
 @query("op12_perplexity_rules")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
