@@ -7,57 +7,65 @@ from pyspark.sql import functions as F
 
 from barline.functions.cols import by_sym, col, nonzero, ratio
 
-# an amount as announcements write it: digits with an optional decimal part
-_AMOUNT = r"(\d+(?:\.\d+)?)"
-# words between a keyword and its number hold no digits themselves
-_WORDS = r"[^\d]*"
-#: A part of the business leaves the company: no ratio can be read from the wording.
-DEMERGER = r"(?i)\b(?:de[- ]?merge[rd]?|scheme of arrangement|arrangement|spin[- ]?off|spin\s+-\s+off)"
-#: New shares for old ones, as a pair around a colon ("bonus issue 1:2").
-BONUS = rf"(?i)bonus{_WORDS}(\d+) *: *(\d+)"
-#: Face value before and after ("face value split from Rs 10 to Rs 2").
-SPLIT = rf"(?is)split(?:(?!\bfrom\b).)*\bfrom\b{_WORDS}{_AMOUNT}(?:(?!\bto\b)[^\d])*\bto\b{_WORDS}{_AMOUNT}"
-#: The amount that follows the currency word after "dividend".
-DIVIDEND = rf"(?i)dividend{_WORDS}\br[se]\b\.? *{_AMOUNT}"
+#: What a subject is cut into: words, amounts, and the colon of a ratio.
+TOKEN = r"[a-z]+|[0-9]+(?:[.][0-9]+)?|:"
+#: Words that say which kind of action a subject announces.
+LEAVING = ("demerge", "demerged", "demerger", "demergers", "arrangement", "spinoff")
+LEAVING_PAIRS = ("de merger", "de merge", "de merged", "spin off")
+BONUS, SPLIT, DIVIDEND = ("bonus",), ("split", "splits", "splitting"), ("dividend", "dividends")
+CURRENCY = ("rs", "re", "inr")
 
 UNEXPLAINED = 0.25
 
 
-def _number(subject: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(subject, pattern, group).try_cast("double")
+def _after(tokens: Column, words: tuple[str, ...]) -> Column:
+    """The tokens behind the first of some words; none if no such word is there."""
+    at = F.array_position(F.transform(tokens, lambda t: t.isin(*words)), F.lit(True)).cast("int")
+    return F.when(at > 0, F.slice(tokens, at + 1, F.size(tokens))).otherwise(F.array().cast("array<string>"))
+
+
+def _number_at(tokens: Column) -> Column:
+    """Place of the first amount, 0 if there is none."""
+    return F.array_position(F.transform(tokens, lambda t: t.rlike("^[0-9]")), F.lit(True)).cast("int")
+
+
+def _amount(tokens: Column, at: Column) -> Column:
+    """The amount at a place; null where the place is outside or holds a word."""
+    return F.get(tokens, at - 1).try_cast("double")
 
 
 def classify_actions(rows: DataFrame, subject: Column | str = "subject") -> DataFrame:
     """Adds ``kind``, ``price_ratio`` and ``dividend`` from an action's wording.
 
-    Order matters: a demerger that mentions a dividend is a demerger.
+    The subject is read as a list of words and amounts. A kind is named by its word and
+    takes the amounts behind it: a bonus the ratio around a colon, a split the amounts
+    behind "from" and the next "to", a dividend the amount behind a currency word. A word without its
+    amounts names nothing. Order matters: a demerger that mentions a dividend is one.
     """
-    s = F.trim(F.coalesce(col(subject), F.lit("")))
-    base = rows.withColumns(
-        {
-            "_b1": _number(s, BONUS, 1), "_b2": _number(s, BONUS, 2),
-            "_s1": _number(s, SPLIT, 1), "_s2": _number(s, SPLIT, 2),
-            "_d": _number(s, DIVIDEND, 1),
-        }
-    )
-    bonus = (F.col("_b1") > 0) & (F.col("_b2") > 0)
-    split = (F.col("_s1") > 0) & (F.col("_s2") > 0)
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(col(subject), F.lit(""))), F.lit(TOKEN), F.lit(0))
+    base = rows.withColumn("_t", tokens)
+    base = base.withColumns({"_b": _after(F.col("_t"), BONUS), "_f": _after(_after(F.col("_t"), SPLIT), ("from",)), "_d": _after(F.col("_t"), DIVIDEND)})
+    base = base.withColumn("_o", _after(F.col("_f"), ("to",)))
+    b, d, f, o = (_number_at(F.col(c)) for c in ("_b", "_d", "_f", "_o"))
+    new, old = _amount(F.col("_b"), b), _amount(F.col("_b"), b + 2)
+    before, after = _amount(F.col("_f"), f), _amount(F.col("_o"), o)
+    paid = F.when(F.get("_d", d - 2).isin(*CURRENCY), _amount(F.col("_d"), d))
+    pairs = F.zip_with("_t", F.slice("_t", 2, F.size("_t")), lambda x, y: F.concat_ws(" ", x, y))
+    apart = F.arrays_overlap("_t", F.array(*map(F.lit, LEAVING))) | F.arrays_overlap(pairs, F.array(*map(F.lit, LEAVING_PAIRS)))
     kind = (
-        F.when(s.rlike(DEMERGER), "demerger")
-        .when(bonus, "bonus")
-        .when(split, "split")
-        .when(F.col("_d").isNotNull(), "dividend")
+        F.when(apart, "demerger")
+        .when((F.get("_b", b) == ":") & (new > 0) & (old > 0), "bonus")
+        .when((before > 0) & (after > 0), "split")
+        .when(paid.isNotNull(), "dividend")
         .otherwise("other")
     )
     base = base.withColumn("kind", kind)
     return base.withColumns(
         {
-            "price_ratio": F.when(F.col("kind") == "bonus", F.col("_b2") / (F.col("_b1") + F.col("_b2")))
-            .when(F.col("kind") == "split", F.col("_s2") / F.col("_s1"))
-            .otherwise(1.0),
-            "dividend": F.when(F.col("kind") == "dividend", F.col("_d")).otherwise(0.0),
+            "price_ratio": F.when(F.col("kind") == "bonus", old / (new + old)).when(F.col("kind") == "split", after / before).otherwise(1.0),
+            "dividend": F.when(F.col("kind") == "dividend", paid).otherwise(0.0),
         }
-    ).drop("_b1", "_b2", "_s1", "_s2", "_d")
+    ).drop("_t", "_b", "_f", "_o", "_d")
 
 
 def effective_actions(actions: DataFrame, order: str = "seq") -> DataFrame:
