@@ -40,22 +40,6 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen.where(F.col("root") != F.col("node"))
 
 
-def admit_edges(nodes: DataFrame, existing: DataFrame, proposed: DataFrame) -> DataFrame:
-    """Each proposed edge with a verdict: unknown node, would close a cycle, or accepted."""
-    known = nodes.select("node")
-    p = proposed.join(known.select(F.col("node").alias("source"), F.lit(1).alias("_s")), "source", "left").join(
-        known.select(F.col("node").alias("target"), F.lit(1).alias("_t")), "target", "left"
-    )
-    below = reachable(existing, proposed.select(F.col("target").alias("root")).distinct())
-    back = below.select(F.col("root").alias("target"), F.col("node").alias("source"), F.lit(1).alias("_b"))
-    p = p.join(back, ["source", "target"], "left")
-    verdict = (
-        F.when(F.col("_s").isNull() | F.col("_t").isNull(), "unknown")
-        .when((F.col("source") == F.col("target")) | F.col("_b").isNotNull(), "cycle").otherwise("accepted")
-    )
-    return p.withColumn("verdict", verdict).drop("_s", "_t", "_b")
-
-
 def path_effects(edges: DataFrame, treatment: int | str, max_edges: int = 5) -> DataFrame:
     """(node, effect, confidence, n_paths): path sums from one node over at most ``max_edges`` edges."""
     e = edges.select("source", "target", "weight", "confidence")

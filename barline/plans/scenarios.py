@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from barline.functions.cols import by_sym, rnd
-from barline.operators import graph as gr, metrics as mx, network as nw, paths as pt, permute as pm, quality as ql, rules, technical, xsection as xs
+from barline.operators import admission as ad, graph as gr, metrics as mx, network as nw, paths as pt, permute as pm, quality as ql, rules, technical, xsection as xs
 from barline.operators.alignment import assign_windows
 from barline.plans.ansi import BARS, BARS10, lag, r, with_
 from barline.plans.landing import _nrm, _u
@@ -225,18 +225,18 @@ def d23(spark, sf):
 
 EDGES = (
     FLOWS, "lk AS (SELECT a AS source, b AS target, strength, strength / sum(strength) OVER (PARTITION BY a) AS share FROM links WHERE a < b)",
-    "edges AS (SELECT source, target, share * CASE WHEN (source + target) % 3 = 0 THEN -1 ELSE 1 END AS weight, 0.5 + share / 2 AS confidence FROM lk QUALIFY row_number() OVER (PARTITION BY source ORDER BY strength DESC, target) <= 3)",
+    "edges AS (SELECT source, target, share * CASE WHEN (source + target) % 3 = 0 THEN -1 ELSE 1 END AS weight, 0.5 + share / 2 AS confidence FROM lk QUALIFY strength > avg(strength) OVER (PARTITION BY source))",
 )
 
 
 def edges(spark, sf):
-    """Each nation's three strongest flows to higher-numbered nations: an acyclic graph."""
+    """Flows to higher-numbered nations that exceed the mean of their nation's: an acyclic graph."""
     from pyspark.sql import Window
 
     links = trade_links(spark, sf).where(F.col("a") < F.col("b"))
     out = Window.partitionBy("a")
     share = F.col("strength") / F.sum("strength").over(out)
-    rows = links.withColumns({"share": share, "k": F.row_number().over(out.orderBy(F.desc("strength"), "b"))}).where(F.col("k") <= 3)
+    rows = links.withColumns({"share": share, "mean": F.avg("strength").over(out)}).where(F.col("strength") > F.col("mean"))
     sign = F.when((F.col("a") + F.col("b")) % 3 == 0, -1).otherwise(1)
     out = rows.select(F.col("a").alias("source"), F.col("b").alias("target"), (F.col("share") * sign).alias("weight"), (0.5 + F.col("share") / 2).alias("confidence"))
     return durable(out, "edges")
@@ -271,11 +271,32 @@ def g04(spark, sf):
 _REACH = "reach AS (SELECT source AS root, target AS node FROM edges UNION SELECT reach.root, e.target FROM reach JOIN edges e ON e.source = reach.node)"
 
 
-@query("g01_admit_edges", with_(*EDGES, _REACH, select="SELECT a AS source, b AS target, CASE WHEN b % 10 = 9 THEN 'unknown' WHEN a = b OR EXISTS (SELECT 1 FROM reach WHERE root = links.b AND node = links.a) THEN 'cycle' ELSE 'accepted' END AS verdict FROM links WHERE a % 10 <> 9"))
+_RANKED = "ranked AS (SELECT a, b, row_number() OVER (ORDER BY strength DESC, a, b) AS seq FROM links)"
+
+
+@query(
+    "g01_admit_edges",
+    with_(
+        # what a node reaches as bits, kept up to date proposal by proposal
+        *EDGES, _REACH, _RANKED, "nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation)",
+        "mask AS (SELECT n.node, (1::BIGINT << n.node::INT) + coalesce(sum(1::BIGINT << r.node::INT), 0)::BIGINT AS m FROM nodes n LEFT JOIN reach r ON r.root = n.node GROUP BY n.node)",
+        """turn AS (
+          SELECT 0::BIGINT AS seq, -1::BIGINT AS a, -1::BIGINT AS b, (SELECT list(m ORDER BY node) FROM mask) AS m, false AS bad UNION ALL
+          SELECT p.seq, p.a, p.b, CASE WHEN p.a = p.b OR t.m[p.b + 1] & (1::BIGINT << p.a::INT) <> 0 THEN t.m
+            ELSE list_transform(t.m, lambda x: CASE WHEN x & (1::BIGINT << p.a::INT) <> 0 THEN x | t.m[p.b + 1] ELSE x END) END,
+            p.a = p.b OR t.m[p.b + 1] & (1::BIGINT << p.a::INT) <> 0 FROM turn t JOIN ranked p ON p.seq = t.seq + 1)""",
+        select="SELECT a AS source, b AS target, seq, CASE WHEN bad THEN 'cycle' ELSE 'accepted' END AS verdict FROM turn WHERE seq > 0",
+    ),
+)
 def g01(spark, sf):
-    nodes = t.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("node")).where(F.col("node") % 10 != 9)
-    proposed = trade_links(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target")).where(F.col("source") % 10 != 9)
-    return gr.admit_edges(nodes, edges(spark, sf), proposed).select("source", "target", "verdict")
+    """All flows, strongest first, proposed to the graph of the strong upward ones."""
+    from pyspark.sql import Window
+
+    nodes = t.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"))
+    # one row per pair of nations
+    place = F.row_number().over(Window.orderBy(F.desc("strength"), "a", "b")).cast("bigint")
+    proposed = trade_links(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target"), place.alias("seq"))
+    return ad.admit_edges(nodes, edges(spark, sf), proposed).select("source", "target", "seq", "verdict")
 
 
 @query(
