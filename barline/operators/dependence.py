@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.cols import attach
+from barline.operators import distance
 from barline.operators.metrics import false_discovery
 from barline.session import durable, spread
 
@@ -34,13 +35,48 @@ def market_wide(panel: DataFrame, features: Sequence[str]) -> DataFrame:
     return flat.select(F.explode(cells).alias("c")).select("c.*")
 
 
+def block_ranks(n: int, block: int, draws: int, seed: str) -> np.ndarray:
+    """Blocks of each draw in the order of the hash of (seed, draw, block)."""
+    blocks = -(-n // block)
+    out = np.empty((draws, blocks), dtype=np.int64)
+    for d in range(draws):
+        keys = [hashlib.md5(f"{seed}-{d + 1}-{b}".encode()).digest() for b in range(blocks)]
+        out[d] = sorted(range(blocks), key=keys.__getitem__)
+    return out
+
+
 def block_draws(n: int, block: int, draws: int, seed: str) -> np.ndarray:
-    """Row order of each draw: blocks sorted by the hash of (seed, draw, block)."""
-    blocks = range(-(-n // block))
-    out = np.empty((draws, n), dtype=np.int32)
-    for d in range(1, draws + 1):
-        ranked = sorted(blocks, key=lambda b: (hashlib.md5(f"{seed}-{d}-{b}".encode()).hexdigest(), b))
-        out[d - 1] = np.concatenate([np.arange(b * block, min((b + 1) * block, n)) for b in ranked])
+    """Row order of each draw: its blocks, one after the other."""
+    rows = [np.arange(b, min(b + block, n), dtype=np.int32) for b in range(0, n, block)]
+    return np.array([np.concatenate([rows[b] for b in order]) for order in block_ranks(n, block, draws, seed)], dtype=np.int32).reshape(draws, n)
+
+
+def moved_sums(x: np.ndarray, y: np.ndarray, block: int, orders: np.ndarray) -> np.ndarray:
+    """Sums of products of each column of ``x`` with ``y`` moved by whole blocks, per draw, without moving rows.
+
+    Whole blocks of y stand at multiples of ``block`` before the short last one, and behind it
+    at such places shifted by its length. Two tables of sums, of every block of y at every
+    aligned and every shifted place, hold all that can occur; a draw adds up one cell per block.
+    """
+    n, columns = x.shape
+    whole = n // block
+    short = n - whole * block
+    y_blocks = y[: whole * block].reshape(whole, block).T
+    out = np.empty((len(orders), columns))
+    slot = np.arange(orders.shape[1])
+    # where the short block stands; behind all if there is none
+    at = np.argmax(orders == whole, axis=1) if short else np.full(len(orders), orders.shape[1])
+    behind = slot[None, :] > at[:, None]
+    cell = (slot[None, :] - behind) * whole + orders + behind * whole * whole
+    # the short block's own slot points to a cell of zero
+    cell[slot[None, :] == at[:, None]] = 2 * whole * whole
+    for k in range(columns):
+        aligned = x[: whole * block, k].reshape(whole, block) @ y_blocks
+        shifted = x[short: short + whole * block, k].reshape(whole, block) @ y_blocks
+        out[:, k] = np.concatenate([aligned.ravel(), shifted.ravel(), [0.0]])[cell].sum(axis=1)
+        if short:
+            ends = np.array([x[s * block: s * block + short, k] @ y[whole * block:] for s in range(whole + 1)])
+            out[:, k] += ends[at]
     return out
 
 
@@ -81,9 +117,11 @@ def audit_sums(rows: DataFrame, features: Sequence[str], draws: int, block: int
             mid = (n + 1) / 2
             x, y, b = np.nan_to_num(x - mid), y - mid, b - mid
             if n not in orders:
-                orders[n] = block_draws(n, block, draws, seed)
-            moved = np.vstack([y, y[orders[n]]])  # draw 0 is the real order
-            xy, yb = moved @ x, moved @ b
+                orders[n] = block_ranks(n, block, draws, seed)
+            both = np.column_stack([x, b])
+            sums = np.vstack([y @ both, moved_sums(both, y, block, orders[n])])  # draw 0 is the real order
+            xy, yb = sums[:, :-1], sums[:, -1]
+
             def add(feature: str, stat: str, v: np.ndarray) -> None:
                 key = (target, feature, stat)
                 total[key] = total.get(key, 0) + v
@@ -162,21 +200,6 @@ def audit_p_values(stats: DataFrame, draws: int, block: int, alpha: float) -> Da
 # ---- distance correlation -----------------------------------------------------------------------------------
 
 
-def _centred(x: np.ndarray) -> np.ndarray:
-    d = np.abs(np.subtract.outer(x, x))
-    m = d.mean(axis=0)
-    return d - m[:, None] - m[None, :] + m.mean()
-
-
-def _from_parts(cross: float, vx: float, vy: float) -> float:
-    scale = np.sqrt(vx * vy)
-    return float(np.sqrt(cross / scale)) if scale > 1e-15 and cross > 0 else 0.0
-
-
-def _distance(a: np.ndarray, b: np.ndarray) -> float:
-    return _from_parts((a * b).mean(), (a * a).mean(), (b * b).mean())
-
-
 def distance_correlation(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """Distance correlation of x with y, with sign(y) and with |y|, per key.
 
@@ -191,9 +214,8 @@ def distance_correlation(rows: DataFrame, keys: Sequence[str], x: str = "x", y:
         head = {k: pdf[k].iloc[0] for k in keys}
         if len(both) < 4:
             return pd.DataFrame([{**head, "n": len(both), "dcor": 0.0, "dcor_sign": 0.0, "dcor_abs": 0.0}])
-        a = _centred(both[:, 0])
         parts = {"dcor": both[:, 1], "dcor_sign": np.sign(both[:, 1]), "dcor_abs": np.abs(both[:, 1])}
-        return pd.DataFrame([{**head, "n": len(both), **{c: _distance(a, _centred(v)) for c, v in parts.items()}}])
+        return pd.DataFrame([{**head, "n": len(both), **{c: distance.distance_correlation(both[:, 0], v) for c, v in parts.items()}}])
 
     return spread(rows.select(*keys, x, y), *keys).groupBy(*keys).applyInPandas(run, schema)
 
@@ -219,56 +241,59 @@ def kruskal_bins(rows: DataFrame, keys: Sequence[str], bins: int = 5, x: str = "
     return out.select(*keys, "n", F.when((F.col("_bins") == bins) & (F.col("n") >= bins * 4), h).otherwise(0.0).alias("kruskal"))
 
 
-def nonlinear_audit(
-    rows: DataFrame, n_pairs: int, draws: int, block: int = 21, alpha: float = 0.05, bins: int = 5, seed: str = "n"
-) -> DataFrame:
-    """Distance correlation and binned rank spread per (feature, target), averaged over symbols, with p-values.
+def nonlinear_scores(rows: DataFrame, draws: int = 0, block: int = 21, bins: int = 5, seed: str = "n") -> DataFrame:
+    """(feature, target, draw, dcor, kruskal, dcor_sign, floor, spearman), averaged over symbols; draw 0 is the real order.
 
-    ``rows(feature, target, sym, dt, x, y)``. Refuses a study whose smallest possible
-    q-value could never pass. A symbol's centred matrices are built once; a draw only
-    re-indexes them.
+    ``rows(feature, target, sym, dt, x, y)``. All draws of a symbol go through one n log n pass each.
+    Symbols with under four rows a bin, or without variation, are left out.
     """
-    if n_pairs / (draws + 1.0) > alpha:
-        raise ValueError(f"{draws} draws cannot support {n_pairs} pairs at level {alpha}; use {int(np.ceil(n_pairs / alpha)) - 1} or more")
+    names = ["feature", "target", "draw", "dcor", "kruskal", "dcor_sign", "floor", "spearman"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["x", "y"]).sort_values("dt")
         x, y, n = pdf["x"].to_numpy(dtype="float64"), pdf["y"].to_numpy(dtype="float64"), len(pdf)
         if n < 4 * bins or x.std() < 1e-12 or y.std() < 1e-12:
-            return pd.DataFrame(columns=["feature", "target", "draw", "dcor", "kruskal", "dcor_sign", "floor"])
-        a, b = _centred(x), _centred(y)
-        vx, vy = (a * a).mean(), (b * b).mean()
+            return pd.DataFrame(columns=names)
         group = np.searchsorted(np.quantile(x, np.arange(1, bins) / bins), x, side="right")
         member = np.eye(bins)[group]
         size = member.sum(axis=0)
         rank = np.argsort(np.argsort(y, kind="stable"), kind="stable") + 1.0
-        orders = np.vstack([np.arange(n), block_draws(n, block, draws, seed)])
+        orders = np.vstack([np.arange(n), block_draws(n, block, draws, seed)]) if draws else np.arange(n)[None, :]
         noise = np.random.default_rng(n).normal(size=(2, n))
-        floor = _distance(_centred(noise[0]), _centred(noise[1]))
-        sign = _distance(a, _centred(np.sign(y)))
-        out = []
-        for d, idx in enumerate(orders):
-            cross = (a * b[np.ix_(idx, idx)]).mean()
-            mean = (rank[idx] @ member) / np.maximum(size, 1)
-            h = 0.0 if (size == 0).any() else 12 / (n * (n + 1)) * (size * (mean - (n + 1) / 2) ** 2).sum()
-            out.append((d, _from_parts(cross, vx, vy), h, sign, floor))
-        res = pd.DataFrame(out, columns=["draw", "dcor", "kruskal", "dcor_sign", "floor"])
-        res.insert(0, "target", pdf["target"].iloc[0])
-        res.insert(0, "feature", pdf["feature"].iloc[0])
-        return res
-
-    schema = "feature string, target string, draw int, dcor double, kruskal double, dcor_sign double, floor double"
+        dcor = distance.correlation(distance.cross_parts(x, y, orders), distance.variance_part(x), distance.variance_part(y))
+        mean = (rank[orders] @ member) / np.maximum(size, 1)
+        h = np.zeros(len(orders)) if (size == 0).any() else 12 / (n * (n + 1)) * (size * (mean - (n + 1) / 2) ** 2).sum(axis=1)
+        return pd.DataFrame({
+            "feature": pdf["feature"].iloc[0], "target": pdf["target"].iloc[0], "draw": np.arange(len(orders)), "dcor": dcor, "kruskal": h,
+            "dcor_sign": distance.distance_correlation(x, np.sign(y)), "floor": distance.distance_correlation(*noise),
+            "spearman": pdf["x"].rank().corr(pdf["y"].rank())})[names]
+
+    schema = "feature string, target string, draw int, dcor double, kruskal double, dcor_sign double, floor double, spearman double"
     per_sym = spread(rows, "feature", "target", "sym").groupBy("feature", "target", "sym").applyInPandas(run, schema)
-    stats = per_sym.groupBy("feature", "target", "draw").agg(*[F.avg(c).alias(c) for c in ("dcor", "kruskal", "dcor_sign", "floor")])
-    stats = durable(stats, "nonlinear")
-    real = stats.where(F.col("draw") == 0).select("feature", "target", F.col("dcor").alias("_d"), F.col("kruskal").alias("_k"), "dcor_sign", "floor")
+    return per_sym.groupBy("feature", "target", "draw").agg(*[F.avg(c).alias(c) for c in names[3:]])
+
+
+def nonlinear_audit(
+    rows: DataFrame, n_pairs: int, draws: int, block: int = 21, alpha: float = 0.05, bins: int = 5, seed: str = "n"
+) -> DataFrame:
+    """Distance correlation and binned rank spread per (feature, target), averaged over symbols, with p-values.
+
+    Refuses a study whose smallest possible q-value could never pass. What a rank
+    correlation sees of the pair stands beside (``spearman``), so that significant pairs it
+    misses can be told (``hidden_by_monotonic``).
+    """
+    if n_pairs / (draws + 1.0) > alpha:
+        raise ValueError(f"{draws} draws cannot support {n_pairs} pairs at level {alpha}; use {int(np.ceil(n_pairs / alpha)) - 1} or more")
+    stats = durable(nonlinear_scores(rows, draws, block, bins, seed), "nonlinear")
+    real = stats.where(F.col("draw") == 0).select("feature", "target", F.col("dcor").alias("_d"), F.col("kruskal").alias("_k"), "dcor_sign", "floor", "spearman")
     null = stats.where(F.col("draw") > 0).select("feature", "target", "dcor", "kruskal")
-    out = null.join(real, ["feature", "target"]).groupBy("feature", "target", "_d", "_k", "dcor_sign", "floor").agg(
+    out = null.join(real, ["feature", "target"]).groupBy("feature", "target", "_d", "_k", "dcor_sign", "floor", "spearman").agg(
         ((F.count(F.when(F.col("dcor") >= F.col("_d"), 1)) + 1) / (draws + 1.0)).alias("dcor_p"),
         ((F.count(F.when(F.col("kruskal") >= F.col("_k"), 1)) + 1) / (draws + 1.0)).alias("kruskal_p"),
     )
     out = out.withColumnsRenamed({"_d": "dcor", "_k": "kruskal"})
-    return false_discovery(out, "dcor_p", alpha).withColumn("magnitude_only", F.col("dcor_sign") <= F.col("floor"))
+    out = false_discovery(out, "dcor_p", alpha).withColumn("magnitude_only", F.col("dcor_sign") <= F.col("floor"))
+    return out.withColumn("hidden_by_monotonic", F.col("significant") & (F.abs("spearman") < 0.05))
 
 
 def pick_features(relevance: DataFrame, redundancy: DataFrame, k: int, beta: float = 0.5) -> DataFrame:

@@ -134,23 +134,26 @@ def _pairs_long(p, feats, names):
     return rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
-_DC = """dc0 AS (SELECT sym, row_number() OVER (PARTITION BY sym ORDER BY dt) AS i, mom_z AS x, vol_5d AS y FROM tgt WHERE vol_5d IS NOT NULL),
-pr AS (SELECT a.sym, a.i, b.i AS j, abs(a.x - b.x) AS dx, abs(a.{y} - b.{y}) AS dy FROM dc0 a JOIN dc0 b ON a.sym = b.sym),
-rw AS (SELECT sym, i, avg(dx) AS mx, avg(dy) AS my FROM pr GROUP BY sym, i),
-gm AS (SELECT sym, avg(mx) AS gx, avg(my) AS gy, avg(mx * my) AS mxy, avg(mx * mx) AS mxx, avg(my * my) AS myy, count(*) AS n FROM rw GROUP BY sym),
-sm AS (SELECT sym, avg(dx * dy) AS sxy, avg(dx * dx) AS sxx, avg(dy * dy) AS syy FROM pr GROUP BY sym)"""
+# distance correlation of (key.., x, y) rows in `dc0`: row sums by order, products of distances by all pairs of rows
+_DC = """rw AS (SELECT {key}, x, y, (x * (2 * row_number() OVER wx - 2 - count(*) OVER w) - 2 * (sum(x) OVER wx - x) + sum(x) OVER w) / count(*) OVER w AS mx,
+  (y * (2 * row_number() OVER wy - 2 - count(*) OVER w) - 2 * (sum(y) OVER wy - y) + sum(y) OVER w) / count(*) OVER w AS my FROM dc0
+  WINDOW w AS (PARTITION BY {key}), wx AS (PARTITION BY {key} ORDER BY x ROWS UNBOUNDED PRECEDING), wy AS (PARTITION BY {key} ORDER BY y ROWS UNBOUNDED PRECEDING)),
+gm AS (SELECT {key}, count(*) AS n, avg(mx) AS gx, avg(my) AS gy, avg(mx * my) AS mxy, avg(mx * mx) AS mxx, avg(my * my) AS myy,
+  2 * var_pop(x) AS sxx, 2 * var_pop(y) AS syy FROM rw GROUP BY {key}),
+pr AS (SELECT {key}, sum(abs(a.x - b.x) * abs(a.y - b.y)) AS xy FROM dc0 a JOIN dc0 b USING ({key}) GROUP BY {key}),
+dcor AS (SELECT *, sqrt(greatest(xy / n / n - 2 * mxy + gx * gy, 0) / sqrt((sxx - 2 * mxx + gx * gx) * (syy - 2 * myy + gy * gy))) AS dcor FROM gm JOIN pr USING ({key}))"""
+_PAIRS = "pairs AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{n}' AS target, sym, dt, {f} AS x, {n} AS y FROM tgt WHERE {n} IS NOT NULL" for f in FEATS for n in tg.TARGETS) + ")"
+_DC0 = "dc0 AS (SELECT feature, target, sym, x, y FROM pairs)"
 
 
 @query(
     "d02_distance_correlation",
-    with_(
-        *AUDIT_SQL, *[_DC.format(y="y")],
-        select=f"SELECT sym, CAST(n AS BIGINT) AS n, {r('sqrt(greatest(sxy - 2 * mxy + gx * gy, 0) / sqrt((sxx - 2 * mxx + gx * gx) * (syy - 2 * myy + gy * gy)))')} AS dcor FROM gm JOIN sm USING (sym)",
-    ),
+    with_(*AUDIT_SQL, _PAIRS, _DC0, _DC.format(key="feature, target, sym"), select=f"SELECT feature, target, sym, CAST(n AS BIGINT) AS n, {r('dcor')} AS dcor FROM dcor"),
 )
 def d02(spark, sf):
-    rows = _pairs_long(audit_panel(spark, sf), ("mom_z",), ("vol_5d",))
-    return dp.distance_correlation(rows, ["feature", "target", "sym"]).select("sym", "n", rnd("dcor").alias("dcor"))
+    rows = _pairs_long(audit_panel(spark, sf), FEATS, tg.TARGETS)
+    return dp.distance_correlation(rows, ["feature", "target", "sym"]).select("feature", "target", "sym", "n", rnd("dcor").alias("dcor"))
 
 
 @query(
@@ -169,17 +172,55 @@ def d05(spark, sf):
     return dp.kruskal_bins(rows, ["feature", "sym"]).select("feature", "sym", "n", rnd("kruskal").alias("kruskal"))
 
 
+@query(
+    "d06_nonlinear_scores",
+    with_(
+        *AUDIT_SQL, _PAIRS, _DC0, _DC.format(key="feature, target, sym"),
+        "kq AS (SELECT feature, target, sym, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS c, count(*) AS n FROM pairs GROUP BY ALL)",
+        "k1 AS (SELECT feature, target, sym, n, len([q FOR q IN c IF q <= x]) AS g, row_number() OVER (PARTITION BY feature, target, sym ORDER BY y, dt) AS rk FROM pairs JOIN kq USING (feature, target, sym))",
+        "k2 AS (SELECT feature, target, sym, n, g, count(*) AS k, avg(rk) AS m FROM k1 GROUP BY ALL)",
+        "k3 AS (SELECT feature, target, sym, CASE WHEN count(*) = 5 THEN 12 / (n * (n + 1)) * sum(k * (m - (n + 1) / 2) ^ 2) ELSE 0 END AS h FROM k2 GROUP BY feature, target, sym, n)",
+        f"r1 AS (SELECT feature, target, sym, {pct_rank('x', 'feature, target, sym', percent=False)} AS rx, {pct_rank('y', 'feature, target, sym', percent=False)} AS ry FROM pairs)",
+        "r2 AS (SELECT feature, target, sym, corr(rx, ry) AS c FROM r1 GROUP BY ALL)",
+        select=f"SELECT feature, target, {r('avg(dcor)')} AS dcor, {r('avg(h)', 5)} AS kruskal, {r('avg(c)')} AS spearman FROM dcor JOIN k3 USING (feature, target, sym) JOIN r2 USING (feature, target, sym) GROUP BY feature, target",
+    ),
+)
+def d06_scores(spark, sf):
+    out = dp.nonlinear_scores(_pairs_long(audit_panel(spark, sf), FEATS, tg.TARGETS))
+    return out.select("feature", "target", rnd("dcor").alias("dcor"), rnd("kruskal", 5).alias("kruskal"), rnd("spearman").alias("spearman"))
+
+
 @query("d06_nonlinear_audit")
 def d06(spark, sf):
-    rows = _pairs_long(audit_panel(spark, sf), ("mom_z", "vol_z"), ("vol_5d",))
-    out = dp.nonlinear_audit(rows, n_pairs=2, draws=59)
-    return out.select("feature", "target", *[rnd(c).alias(c) for c in ("dcor", "kruskal", "dcor_sign", "floor", "dcor_p", "kruskal_p", "q")], "significant", "magnitude_only")
+    """All channels against all targets, 2,000 draws."""
+    rows = _pairs_long(audit_panel(spark, sf), FEATS, tg.TARGETS)
+    out = dp.nonlinear_audit(rows, n_pairs=len(FEATS) * len(tg.TARGETS), draws=2000)
+    values = ("dcor", "kruskal", "dcor_sign", "floor", "spearman", "dcor_p", "kruskal_p", "q")
+    return out.select("feature", "target", *[rnd(c).alias(c) for c in values], "significant", "magnitude_only", "hidden_by_monotonic")
+
 
+_PICK = "dc0 AS (" + " UNION ALL ".join(
+    [f"SELECT '{f}' AS a, '{n}' AS b, sym, {f} AS x, {n} AS y FROM tgt WHERE {n} IS NOT NULL" for f in FEATS for n in tg.TARGETS]
+    + [f"SELECT '{a}', '{b}', sym, {a}, {b} FROM tgt" for i, a in enumerate(FEATS) for b in FEATS[i + 1:]]) + ")"
 
-@query("c23_pick_features")
+
+@query(
+    "c23_pick_features",
+    with_(
+        *AUDIT_SQL, _PICK, _DC.format(key="a, b, sym"), "sc AS (SELECT a, b, avg(dcor) AS s FROM dcor GROUP BY a, b)",
+        "rel AS (SELECT a AS feature, avg(s) AS s FROM sc WHERE b IN (" + ", ".join(f"'{n}'" for n in tg.TARGETS) + ") GROUP BY a)",
+        "red AS (SELECT a, b, s FROM sc UNION ALL SELECT b, a, s FROM sc)",
+        "p1 AS (SELECT feature, s AS gain FROM rel ORDER BY gain DESC, feature LIMIT 1)",
+        "p2 AS (SELECT rel.feature, rel.s - 0.5 * red.s AS gain FROM rel JOIN red ON red.a = rel.feature JOIN p1 ON red.b = p1.feature ORDER BY gain DESC, feature LIMIT 1)",
+        "p3 AS (SELECT rel.feature, any_value(rel.s) - 0.5 * avg(red.s) AS gain FROM rel JOIN red ON red.a = rel.feature WHERE red.b IN (SELECT feature FROM p1 UNION ALL SELECT feature FROM p2) AND rel.feature NOT IN (SELECT feature FROM p1 UNION ALL SELECT feature FROM p2) GROUP BY rel.feature ORDER BY gain DESC, feature LIMIT 1)",
+        select=" UNION ALL ".join(f"SELECT feature, {i} AS place, {r('gain')} AS gain FROM p{i}" for i in (1, 2, 3)),
+    ),
+)
 def c23(spark, sf):
+    """Three channels by mean relevance over all targets, less redundancy."""
     p = audit_panel(spark, sf)
-    rel = dp.distance_correlation(_pairs_long(p, FEATS, ("vol_5d",)), ["feature", "target", "sym"]).groupBy("feature").agg(F.avg("dcor").alias("score"))
+    rel = dp.distance_correlation(_pairs_long(p, FEATS, tg.TARGETS), ["feature", "target", "sym"]).groupBy("feature", "target").agg(F.avg("dcor").alias("s"))
+    rel = rel.groupBy("feature").agg(F.avg("s").alias("score"))
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(FEATS) for b in FEATS[i + 1 :]])
     rows = p.select("sym", F.explode(cells).alias("c")).select("sym", "c.*")
     red = dp.distance_correlation(rows, ["a", "b", "sym"]).groupBy("a", "b").agg(F.avg("dcor").alias("score"))

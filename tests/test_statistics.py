@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barline.functions import mathx
-from barline.operators import dependence as dp, metrics as mx, ordering, permute, sliced
+from barline.operators import dependence as dp, distance, metrics as mx, ordering, permute, sliced
 
 
 def test_bucketed_rank_equals_pandas_with_a_hot_tie(spark):
@@ -85,6 +85,56 @@ def test_noise_has_no_survivor(spark):
     assert not any(r["significant"] for r in out)
 
 
+@pytest.mark.parametrize("n", [5, 21, 42, 43, 62, 200, 588])
+def test_block_sums_equal_moved_rows(n):
+    rng = np.random.default_rng(n)
+    x, y = rng.normal(size=(n, 3)), rng.normal(size=n)
+    got = dp.moved_sums(x, y, 21, dp.block_ranks(n, 21, 40, "p"))
+    assert np.allclose(got, y[dp.block_draws(n, 21, 40, "p")] @ x, rtol=1e-12, atol=1e-9)
+
+
+def _centred(x):
+    d = np.abs(np.subtract.outer(x, x))
+    m = d.mean(axis=0)
+    return d - m[:, None] - m[None, :] + m.mean()
+
+
+@pytest.mark.parametrize("n", [4, 5, 8, 33, 64, 301])
+@pytest.mark.parametrize("shape", ["plain", "ties", "far from zero"])
+def test_distances_without_matrices(n, shape):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=n)
+    y = rng.normal(size=n) + x**2
+    if shape == "ties":
+        x, y = np.round(x), np.sign(y)
+    if shape == "far from zero":
+        x, y = x * 1e-3 + 50, np.abs(y) + 1000
+    orders = np.array([np.arange(n), *[rng.permutation(n) for _ in range(6)]])
+    a, b = _centred(x), _centred(y)
+    assert np.allclose(distance.cross_parts(x, y, orders), [(a * b[np.ix_(o, o)]).mean() for o in orders], rtol=1e-9, atol=1e-11)
+    assert np.isclose(distance.variance_part(x), (a * a).mean(), rtol=1e-9, atol=1e-11)
+
+
+def test_long_series_need_no_matrix():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=60_000)
+    assert distance.distance_correlation(x, x**2) > 0.3 > 0.02 > distance.distance_correlation(x, rng.normal(size=60_000))
+
+
+def test_nonlinear_audit_finds_what_ranks_miss(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for s in range(3):
+        half = rng.normal(size=120)
+        x = rng.permutation(np.concatenate([half, -half]))
+        for f, v in (("v", x), ("none", rng.normal(size=240))):
+            rows += [(f, "t", s, i, float(v[i]), float(abs(x[i]) + 0.01 * rng.normal())) for i in range(240)]
+    df = spark.createDataFrame(rows, "feature string, target string, sym int, dt int, x double, y double")
+    got = {r["feature"]: r for r in dp.nonlinear_audit(df, n_pairs=2, draws=199).collect()}
+    assert got["v"]["significant"] and got["v"]["hidden_by_monotonic"] and abs(got["v"]["spearman"]) < 0.05
+    assert not got["none"]["significant"] and not got["none"]["hidden_by_monotonic"]
+
+
 def test_distance_correlation_sees_a_v_shape(spark):
     x = np.linspace(-1, 1, 200)
     df = spark.createDataFrame(pd.DataFrame({"k": 1, "x": x, "y": np.abs(x)}))
