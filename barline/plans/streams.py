@@ -10,18 +10,23 @@ from barline.plans.ansi import TICKS, over, r, with_
 from barline.plans.intraday import _BK2, _BOOK, DEPTH
 from barline.plans.registry import query
 from barline.sources import tables as t
-from barline.streaming import engine, stateful as sf_
+from barline.streaming import engine, eventtime as et, stateful as sf_
 
 _ORDER = "(PARTITION BY sym ORDER BY ts, event_id)"
 
 
+def _in_order(stream, key, step, schema, label):
+    """All that has landed, in event order; files land in any order, so lateness is the tables' whole span."""
+    return et.run_in_order(stream, key, step, schema, label, lateness="400 days")[0]
+
+
 def _signed(rows):
     return rows.withColumn("sig", F.floor(F.col("px") / 50).cast("string"))
 
 
 @query("r01_book_changes", with_(TICKS, f"s AS (SELECT sym, event_id, floor(px / 50) AS g, lag(floor(px / 50)) OVER {_ORDER} AS p FROM ticks)", select="SELECT sym, event_id FROM s WHERE g IS DISTINCT FROM p"))
 def r01(spark, sf):
-    return engine.run_append(sf_.keyed(_signed(engine.tick_stream(spark, sf)), "sym", sf_.suppress_repeats(), sf_.REPEATS), "changes")
+    return _in_order(_signed(engine.tick_stream(spark, sf)), "sym", sf_.suppress_repeats(), sf_.REPEATS, "changes")
 
 
 @query("r01_book_changes_batch", with_(TICKS, f"s AS (SELECT sym, event_id, floor(px / 50) AS g, lag(floor(px / 50)) OVER {_ORDER} AS p FROM ticks)", select="SELECT sym, event_id FROM s WHERE g IS DISTINCT FROM p"))
@@ -44,7 +49,7 @@ def r01b(spark, sf):
 )
 def r02(spark, sf):
     step = sf_.suppress_repeats(min_gap_us=3_600_000_000)
-    return engine.run_append(sf_.keyed(_signed(engine.tick_stream(spark, sf)), "sym", step, sf_.REPEATS), "throttled")
+    return _in_order(_signed(engine.tick_stream(spark, sf)), "sym", step, sf_.REPEATS, "throttled")
 
 
 @query(
@@ -95,7 +100,7 @@ _G = "OVER (PARTITION BY sym ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND
     ),
 )
 def r05(spark, sf):
-    out = engine.run_append(sf_.keyed(engine.tick_stream(spark, sf), "sym", sf_.volatility_gate(), sf_.GATE), "gate")
+    out = _in_order(engine.tick_stream(spark, sf), "sym", sf_.volatility_gate(), sf_.GATE, "gate")
     return out.select("sym", "event_id", rnd("z", 5).alias("z"), "cap")
 
 
@@ -107,12 +112,12 @@ def r05(spark, sf):
     ),
 )
 def r06(spark, sf):
-    return engine.run_append(sf_.keyed(engine.tick_stream(spark, sf), "sym", sf_.crash_lockout(drop=0.9, bars=6), sf_.LOCKOUT), "lockout")
+    return _in_order(engine.tick_stream(spark, sf), "sym", sf_.crash_lockout(drop=0.9, bars=6), sf_.LOCKOUT, "lockout")
 
 
 @query("r07_live_return", with_(TICKS, select=f"SELECT sym, event_id, {r('px / nullif(first_value(px) OVER (PARTITION BY sym, dt ORDER BY ts, event_id), 0) - 1', 5)} AS ret FROM ticks"))
 def r07(spark, sf):
-    out = engine.run_append(sf_.keyed(engine.tick_stream(spark, sf), "sym", sf_.day_return(), sf_.RETURN), "live-return")
+    out = _in_order(engine.tick_stream(spark, sf), "sym", sf_.day_return(), sf_.RETURN, "live-return")
     return out.select("sym", "event_id", rnd("ret", 5).alias("ret"))
 
 
@@ -127,7 +132,7 @@ def r07(spark, sf):
 )
 def r08(spark, sf):
     rows = engine.tick_stream(spark, sf).select(F.concat_ws(" ", "event_type", F.col("sym").cast("string")).alias("text"), "ts", "event_id")
-    return engine.run_append(sf_.keyed(rows, "text", sf_.quiet_alerts(), sf_.ALERTS), "alerts")
+    return _in_order(rows, "text", sf_.quiet_alerts(), sf_.ALERTS, "alerts")
 
 
 @query("r09_feed_ages", with_(TICKS, select=f"SELECT event_type AS feed, CAST(count(*) AS BIGINT) AS items, {r('date_diff(' + chr(39) + 'microsecond' + chr(39) + ', max(ts), TIMESTAMP ' + chr(39) + '2024-02-01 00:00:00' + chr(39) + ') / 86400000000.0')} AS age_days FROM ticks GROUP BY 1"))
@@ -171,7 +176,7 @@ def r10(spark, sf):
 )
 def r11(spark, sf):
     rows = engine.tick_stream(spark, sf).withColumn("pnl", F.col("px") - 52)
-    out = engine.run_append(sf_.keyed(rows, "sym", sf_.account_risk(5000.0), sf_.RISK), "risk")
+    out = _in_order(rows, "sym", sf_.account_risk(5000.0), sf_.RISK, "risk")
     return out.select("sym", "event_id", rnd("equity", 3).alias("equity"), rnd("loss").alias("loss"), rnd("drawdown").alias("drawdown"), "loss_breach", "drawdown_breach")
 
 
@@ -193,8 +198,8 @@ def _ledger_out(df):
 def r12(spark, sf):
     from barline.operators.ledger import TRADE_COLUMNS
 
-    stream = sf_.keyed(orders_from(engine.tick_stream(spark, sf)), "account", sf_.order_ledger(), TRADE_COLUMNS)
-    return _ledger_out(engine.run_append(stream, "ledger"))
+    rows = orders_from(engine.tick_stream(spark, sf))
+    return _ledger_out(_in_order(rows, "account", sf_.order_ledger(), TRADE_COLUMNS, "ledger"))
 
 
 @query("r12_order_ledger_batch")

@@ -18,8 +18,8 @@ from barline.session import scratch_path
 def tick_stream(spark: SparkSession, sf: str, books: int = 10, files_per_batch: int | None = None) -> DataFrame:
     """Ticks as they land; the batch twin is ``tables.ticks``.
 
-    A catch-up takes all landed files as one micro-batch unless ``files_per_batch`` is
-    given, so the order in which files landed does not change what the state steps see.
+    ``files_per_batch`` bounds a micro-batch. Neither it nor the order in which files landed
+    changes results: state steps take rows in event order (``eventtime``), aggregates have none.
     """
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -37,15 +37,6 @@ def tick_stream(spark: SparkSession, sf: str, books: int = 10, files_per_batch:
     )
 
 
-def run_append(stream: DataFrame, label: str) -> DataFrame:
-    """Runs an append-only stream over what has landed; returns the table it wrote."""
-    spark = stream.sparkSession
-    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
 def run_update(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """Runs an aggregating stream in update mode; returns the newest row per key.
 

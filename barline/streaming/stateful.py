@@ -1,47 +1,29 @@
-"""Per-key state steps of the live rules.
+"""State steps of the live rules: what a key remembers between slices of its rows.
 
-Spark groups and stores the state; each step sees one key's new rows of a
-micro-batch, puts them in event order, and carries a few numbers on. Rows that
-arrive in a later micro-batch than their neighbours are taken in arrival order.
+A step sees rows in event order (``eventtime.InOrder`` sees to that), updates a small dict
+and returns its results. ``m["forget"]`` is a time after which the memory does not matter.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-Step = Callable[[dict, pd.DataFrame], pd.DataFrame]
-
-
-def keyed(stream: DataFrame, key: str, step: Step, schema: str, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Runs ``step(state, rows)`` per key; ``state`` is a small JSON object that the step updates."""
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(list(order), ignore_index=True)
-        out = step(memory, rows)
-        state.update((json.dumps(memory),))
-        yield out
 
-    return stream.groupBy(key).applyInPandasWithState(run, schema, "memory string", "append", GroupStateTimeout.NoTimeout)
-
-
-def _micros(ts: pd.Series) -> np.ndarray:
-    return ts.to_numpy(dtype="datetime64[us]").astype("int64")
+from barline.streaming.eventtime import DAY_US, Step, micros
 
 
 def suppress_repeats(min_gap_us: int = 0) -> Step:
     """Keeps a record unless it comes too soon after, or equals, the last kept one (``sig``)."""
 
     def step(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        if not min_gap_us:
+            sig = rows["sig"].to_numpy(object)
+            changed = np.append(sig[0] != m.get("sig"), sig[1:] != sig[:-1])
+            m["sig"] = sig[-1]
+            return rows.loc[changed, ["sym", "event_id"]]
         kept = []
-        for i, (at, sig) in enumerate(zip(_micros(rows["ts"]).tolist(), rows["sig"].tolist())):
-            if min_gap_us and "at" in m and at - m["at"] < min_gap_us:
+        for i, (at, sig) in enumerate(zip(micros(rows["ts"]).tolist(), rows["sig"].tolist())):
+            if "at" in m and at - m["at"] < min_gap_us:
                 continue
             if m.get("sig") == sig:
                 continue
@@ -60,7 +42,7 @@ def volatility_gate(window: int = 20, sigma: float = 2.0, lockout_us: int = 30 *
 
     def step(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
         past, out = m.get("past", []), []
-        for at, px in zip(_micros(rows["ts"]).tolist(), rows["px"].tolist()):
+        for at, px in zip(micros(rows["ts"]).tolist(), rows["px"].tolist()):
             if m.get("until") is not None and at >= m["until"]:
                 m["until"] = None
             z = None
@@ -83,14 +65,16 @@ def crash_lockout(drop: float = 0.2, bars: int = 30) -> Step:
     """Locks a name for ``bars`` prints when one falls by more than ``drop``; the falling print is the first."""
 
     def step(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        locked = []
-        for px in rows["px"].tolist():
-            last, left = m.get("last"), m.get("left", 0)
-            if last and px / last - 1 < -drop:
-                left = bars
-            left = max(left - 1, 0)
-            m["last"], m["left"] = px, left
-            locked.append(left > 0)
+        px = rows["px"].to_numpy(float)
+        before = np.append(m.get("last", np.nan), px[:-1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            fell = np.where(before != 0, px / before - 1, np.nan) < -drop
+        i = np.arange(len(px))
+        # prints since the last fall; before the first one here, what was left of an earlier lock
+        since = i - np.maximum.accumulate(np.where(fell, i, -1))
+        left = np.where(np.maximum.accumulate(fell), bars - 1 - since, m.get("left", 0) - 1 - i)
+        locked = left > 0
+        m["last"], m["left"] = float(px[-1]), max(int(left[-1]), 0)
         return rows[["sym", "event_id"]].assign(locked=locked)
 
     return step
@@ -103,12 +87,13 @@ def day_return() -> Step:
     """Return since the first print of the day."""
 
     def step(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for day, px in zip(rows["dt"].astype(str).tolist(), rows["px"].tolist()):
-            if m.get("day") != day:
-                m["day"], m["open"] = day, px
-            out.append(px / m["open"] - 1 if m["open"] else 0.0)
-        return rows[["sym", "event_id"]].assign(ret=out)
+        days = rows["dt"].astype(str)
+        opens = rows["px"].groupby(days).transform("first")
+        if m.get("day") == days.iloc[0]:
+            opens = opens.mask(days == m["day"], m["open"])
+        m["day"], m["open"] = days.iloc[-1], float(opens.iloc[-1])
+        m["forget"] = int(micros(rows["ts"])[-1] // DAY_US + 1) * DAY_US
+        return rows[["sym", "event_id"]].assign(ret=np.where(opens != 0, rows["px"] / opens.replace(0, np.nan) - 1, 0.0))
 
     return step
 
@@ -121,12 +106,16 @@ def quiet_alerts(window_us: int = 900 * 1_000_000) -> Step:
 
     def step(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for eid, text, at in zip(rows["event_id"].tolist(), rows["text"].tolist(), _micros(rows["ts"]).tolist()):
+        for eid, text, at in zip(rows["event_id"].tolist(), rows["text"].tolist(), micros(rows["ts"]).tolist()):
             if "at" in m and at - m["at"] < window_us:
                 m["held"] = m.get("held", 0) + 1
                 continue
             out.append((text, eid, m.get("held", 0)))
             m["at"], m["held"] = at, 0
+        if m.get("held"):
+            m.pop("forget", None)
+        else:
+            m["forget"] = m["at"] + window_us
         return pd.DataFrame(out, columns=["text", "event_id", "held"])
 
     return step
@@ -139,18 +128,18 @@ def account_risk(start: float, max_loss: float = 0.05, max_drawdown: float = 0.2
     """Loss since the day's start and drawdown from the peak, print by print."""
 
     def step(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for day, pnl in zip(rows["dt"].astype(str).tolist(), rows["pnl"].tolist()):
-            before = m.get("equity", start)
-            if m.get("day") != day:
-                m["day"], m["open"] = day, before
-            now = before + pnl
-            m["equity"], m["peak"] = now, max(m.get("peak", start), now)
-            loss = (m["open"] - now) / m["open"] if m["open"] > 0 else None
-            fall = (m["peak"] - now) / m["peak"] if m["peak"] > 0 else None
-            out.append((now, loss, fall, bool(loss is not None and loss >= max_loss), bool(fall is not None and fall >= max_drawdown)))
-        cols = ("equity", "loss", "drawdown", "loss_breach", "drawdown_breach")
-        return rows[["sym", "event_id"]].assign(**{c: [o[i] for o in out] for i, c in enumerate(cols)})
+        days, pnl = rows["dt"].astype(str), rows["pnl"].to_numpy(float)
+        now = np.cumsum(np.append(m.get("equity", start), pnl))
+        before, now = now[:-1], now[1:]
+        peak = np.maximum.accumulate(np.append(m.get("peak", start), now))[1:]
+        opens = pd.Series(before, index=rows.index).groupby(days).transform("first")
+        if m.get("day") == days.iloc[0]:
+            opens = opens.mask(days == m["day"], m["open"])
+        opens = opens.to_numpy(float)
+        m["day"], m["open"], m["equity"], m["peak"] = days.iloc[-1], float(opens[-1]), float(now[-1]), float(peak[-1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            loss, fall = np.where(opens > 0, (opens - now) / opens, np.nan), np.where(peak > 0, (peak - now) / peak, np.nan)
+        return rows[["sym", "event_id"]].assign(equity=now, loss=loss, drawdown=fall, loss_breach=loss >= max_loss, drawdown_breach=fall >= max_drawdown)
 
     return step
 

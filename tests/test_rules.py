@@ -9,7 +9,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from barline.functions import dates, text
-from barline.operators import adjust, alignment, graph, ledger, quality, rules, xsection
+from barline.operators import adjust, admission, alignment, graph, ledger, quality, rules, xsection
 from barline.plans import streams
 from barline.sources import files, sinks, tables
 from seed_graph import seed_edges, seed_nodes
@@ -95,8 +95,8 @@ def test_seed_graph_effects(spark):
     chain = 0.67 * -0.71 * 0.58 * 0.86 * 0.94
     assert out["SPX"]["effect"] == pytest.approx(0.85 * -0.72 + chain) and out["SPX"]["n_paths"] == 2
     assert graph.longest_path(e) == 9
-    new = spark.createDataFrame([("SPX", "US_CPI"), ("GOLD", "SPX"), ("NOBODY", "SPX")], "source string, target string")
-    got = {r["source"]: r["verdict"] for r in graph.admit_edges(seed_nodes(spark), e, new).collect()}
+    new = spark.createDataFrame([("SPX", "US_CPI", 1), ("GOLD", "SPX", 2), ("NOBODY", "SPX", 3)], "source string, target string, seq long")
+    got = {r["source"]: r["verdict"] for r in admission.admit_edges(seed_nodes(spark), e, new).collect()}
     assert got == {"SPX": "cycle", "GOLD": "accepted", "NOBODY": "unknown"}
 
 
@@ -205,8 +205,13 @@ def test_action_wordings(spark):
         "Bonus issue 1:2": "bonus", "BONUS 3 : 1": "bonus", "Scheme of Arrangement": "demerger", "Spin-off of the unit": "demerger", "De-merger": "demerger",
         "Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share": "split", "Stock split from Re.1 to 0.50": "split",
         "Interim Dividend - Rs. 7.50 Per Share": "dividend", "Dividend Re 1": "dividend", "Annual General Meeting": "other", "Dividend": "other",
+        "Allotment of bonus equity shares in the ratio of 3:5": "bonus", "Bonus": "other", "Bonus debentures of Rs 10": "other", "Special dividends of INR 12 a share": "dividend",
+        "Splitting of one share, face value reduced from ten to two": "other", "Dividend 40% (Rs 4)": "other", "demerged undertaking / dividend Rs 3": "demerger",
+        "Spin off of tower assets": "demerger", "Share split from Rs.5 to Re.1 and dividend Rs 2": "split", "Offer to spin yarn": "other", "": "other", None: "other",
     }
     df = spark.createDataFrame([(1, D(2020, 1, 1), i, s) for i, s in enumerate(said)], "sym bigint, dt date, seq int, subject string")
     rows = {r["subject"]: r for r in adjust.classify_actions(df).collect()}
     assert {s: rows[s]["kind"] for s in said} == said
-    assert rows["Interim Dividend - Rs. 7.50 Per Share"]["dividend"] == 7.5
+    assert rows["Interim Dividend - Rs. 7.50 Per Share"]["dividend"] == 7.5 and rows["Special dividends of INR 12 a share"]["dividend"] == 12
+    assert rows["Allotment of bonus equity shares in the ratio of 3:5"]["price_ratio"] == 5 / 8
+    assert rows["Share split from Rs.5 to Re.1 and dividend Rs 2"]["price_ratio"] == 0.2
