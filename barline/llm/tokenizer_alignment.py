@@ -23,7 +23,7 @@ table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import chain
@@ -58,24 +58,39 @@ class Vocabulary:
         self.size = np.array([len(x) for x in spelled], np.int64)
 
 
+#: Fixed value: how byte-level vocabularies of this kind cut a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteLevel(Vocabulary):
-    """Texts after a space, by a byte-level BPE."""
+    """Texts after a space, by a byte-level BPE.
+
+    Merges apply in the order of the file; ids ascend in that order, so an encoder that
+    merges by least id gives the same tokens as the library the file is made for, and faster.
+    Special tokens are no part of it: their strings in a text are text.
+    """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            content = json.load(f)
         letters = byte_letters()
-        names = self.model.get_vocab()
+        names = content["model"]["vocab"]
+        special = {t["content"] for t in content["added_tokens"] if t["special"]}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in content["model"]["merges"])
+        order = [names["".join(m)] for m in pairs]
+        if order != sorted(order):
+            raise ValueError(f"the merges of {path} are not in the order of their ids")
         spelled = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
             spelled[i] = bytes(letters[c] for c in name)
         super().__init__(spelled)
+        ranks = {spelled[i]: i for name, i in names.items() if name not in special}
+        self.model = tiktoken.Encoding("byte level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [self.model.encode_ordinary(" " + t) for t in texts]
 
 
 class Pieces(Vocabulary):
