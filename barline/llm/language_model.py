@@ -144,20 +144,28 @@ def advance(net: Net, h: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, ...
     return n + z * (h - n), z, r, n, un
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp(x), its row sums, log of the softmax in column ``own``), in the place of ``x``.
+
+    Row maxima are taken off only where exp would overflow.
+    """
+    if x.size and x.max() > 80:
+        x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), own]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    return x, total, picked - np.log(total)
 
 
 def log_probabilities(net: Net, h: np.ndarray, types: np.ndarray, gradient: Net | None = None):
     """Natural log p(type | state) per row; with ``gradient`` also adds to it and returns d loss / d state."""
     own, number = types // WIDTH, types % WIDTH
-    logs = _log_softmax(h @ net["cw"] + net["cb"])
     rows = np.arange(len(types))
-    out = logs[rows, own].astype(np.float64)
+    d, total, logs = _softmax(h @ net["cw"] + net["cb"], own)
+    out = logs.astype(np.float64)
     back = None
     if gradient is not None:
-        d = np.exp(logs)
+        d /= total[:, None]
         d[rows, own] -= 1
         gradient["cw"] += h.T @ d
         gradient["cb"] += d.sum(axis=0)
@@ -169,12 +177,12 @@ def log_probabilities(net: Net, h: np.ndarray, types: np.ndarray, gradient: Net
     for c in np.flatnonzero(np.diff(edges)):
         k = order[edges[c]: edges[c + 1]]
         part = h[k]
-        inner = _log_softmax(part @ net["ww"][c] + net["wb"][c])
-        at = np.arange(len(k))
-        out[k] += inner[at, number[k]]
+        at, place = rows[: len(k)], number[k]
+        d, total, logs = _softmax(part @ net["ww"][c] + net["wb"][c], place)
+        out[k] += logs
         if gradient is not None:
-            d = np.exp(inner)
-            d[at, number[k]] -= 1
+            d /= total[:, None]
+            d[at, place] -= 1
             gradient["ww"][c] += part.T @ d
             gradient["wb"][c] += d.sum(axis=0)
             back[k] += d @ net["ww"][c].T
