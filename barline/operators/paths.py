@@ -13,10 +13,9 @@ MIN_PRICE = 0.01
 
 
 def cut_paths(rets: DataFrame, length: int) -> DataFrame:
-    """History cut into adjacent stretches of ``length`` bars; the short last one leaves."""
-    n = rets.agg((F.max("bar_idx") + 1).alias("_n"))
-    rows = attach(rets, n).withColumn("path", F.floor(F.col("bar_idx") / length).cast("int"))
-    return rows.where((F.col("path") + 1) * length <= F.col("_n")).select(
+    """History cut into adjacent stretches of ``length`` bars; the last one may be shorter."""
+    rows = rets.withColumn("path", F.floor(F.col("bar_idx") / length).cast("int"))
+    return rows.select(
         "path", (F.col("bar_idx") % length).cast("int").alias("t"), "sym", F.coalesce("ret", F.lit(0.0)).alias("r")
     )
 

@@ -215,8 +215,8 @@ def split_at(panel: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
     return panel.where(F.col("dt") < cut), panel.where(F.col("dt") >= cut)
 
 
-def pair_correlations(rets: DataFrame, names: list[int | str], value: str = "ret", by: str = "dt") -> DataFrame:
-    """Correlation of every pair of a stated universe, over the sessions both have.
+def pair_correlations(rets: DataFrame, names: list[int | str] | DataFrame, value: str = "ret", by: str = "dt") -> DataFrame:
+    """Correlation of every pair of a stated universe (a list, or a table of distinct ``sym``), over the sessions both have.
 
     Names meet inside a session and the pairs are summed map-side, so what is shuffled is
     one row per pair and task; any number of names will do. A pair without a common
@@ -224,7 +224,10 @@ def pair_correlations(rets: DataFrame, names: list[int | str], value: str = "ret
     """
     spark = rets.sparkSession
     kind = rets.schema["sym"].dataType
-    listed = spark.createDataFrame([(n, i) for i, n in enumerate(names)], ["sym", "_i"]).withColumn("sym", F.col("sym").cast(kind))
+    if isinstance(names, DataFrame):
+        listed = names.select(F.col("sym").cast(kind).alias("sym"), F.col("sym").alias("_i"))
+    else:
+        listed = spark.createDataFrame([(n, i) for i, n in enumerate(names)], ["sym", "_i"]).withColumn("sym", F.col("sym").cast(kind))
     rows = rets.where(F.col(value).isNotNull()).join(listed, "sym").select(by, "sym", "_i", F.col(value).alias("_v"))
     x = rows.select(by, F.col("sym").alias("a"), F.col("_i").alias("_ia"), F.col("_v").alias("_x"))
     y = rows.select(by, F.col("sym").alias("b"), F.col("_i").alias("_ib"), F.col("_v").alias("_y"))

@@ -143,13 +143,13 @@ def s07(spark, sf):
     return out.select("sym", "dt", *[rnd(c).alias(c) for c in it.ORDER_FLOW])
 
 
-@query("s08_recorded_sessions", with_(TICKS, DEPTH, select="SELECT 'S' || sym AS name, dt, CAST(count(*) AS BIGINT) AS books, round(max(ltp), 4) AS high FROM (SELECT *, px AS ltp FROM depth) WHERE sym <> 7 GROUP BY 1, 2"))
+@query("s08_recorded_sessions", with_(TICKS, DEPTH, select="SELECT 'S' || sym AS name, dt, CAST(count(*) AS BIGINT) AS books, round(max(ltp), 4) AS high FROM (SELECT *, px AS ltp FROM depth) GROUP BY 1, 2"))
 def s08(spark, sf):
     """All recorded sessions of a folder; the day comes from the path, unknown tokens leave."""
     path = scratch_path(spark, "sessions")
     sinks.write_depth(depth(spark, sf), path)
     books = files.depth_books(files.read_depth(spark, path))
-    tokens = t.ticks(spark, sf).select("sym").distinct().where(F.col("sym") != 7).withColumn("name", F.concat(F.lit("S"), F.col("sym").cast("string")))
+    tokens = t.ticks(spark, sf).select("sym").distinct().withColumn("name", F.concat(F.lit("S"), F.col("sym").cast("string")))
     return books.join(tokens, "sym").groupBy("name", "dt").agg(F.count(F.lit(1)).alias("books"), F.round(F.max("ltp"), 4).alias("high"))
 
 

@@ -233,17 +233,28 @@ def a36(spark, sf):
     return mx.return_profile(rets).select("sym", *[rnd(c).alias(c) for c in ("vol", "skew", "kurt")])
 
 
+def suppliers(spark, sf):
+    """The universe: every supplier, as a table."""
+    return t.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("bigint").alias("sym"))
+
+
+_CORR = (
+    f"cr AS (SELECT sym, dt, close / {lag('close')} - 1 AS ret FROM bars)",
+    "co AS (SELECT a.sym AS a, b.sym AS b, count(*) AS n, covar_pop(a.ret, b.ret) / nullif(sqrt(var_pop(a.ret) * var_pop(b.ret)), 0) AS corr FROM cr a JOIN cr b ON a.dt = b.dt AND a.sym < b.sym WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY a.sym, b.sym)",
+)
+
+
 @query(
     "a36_pair_correlations",
     with_(
-        BARS10, f"x AS (SELECT sym, dt, close / {lag('close')} - 1 AS ret FROM bars)",
-        select=f"SELECT a.sym AS a, b.sym AS b, CAST(count(*) AS BIGINT) AS n, {r('covar_pop(a.ret, b.ret) / sqrt(var_pop(a.ret) * var_pop(b.ret))')} AS corr FROM x a JOIN x b ON a.dt = b.dt AND a.sym < b.sym WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY a.sym, b.sym",
+        BARS, *_CORR,
+        select=f"SELECT x.s_suppkey::BIGINT AS a, y.s_suppkey::BIGINT AS b, CAST(coalesce(n, 0) AS BIGINT) AS n, {r('corr', 5)} AS corr FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey LEFT JOIN co ON co.a = x.s_suppkey AND co.b = y.s_suppkey",
     ),
 )
 def a36_corr(spark, sf):
-    """The profile's list of pair correlations."""
-    rets = technical.returns(t.bars(spark, sf, books=10)).select("sym", "dt", "ret")
-    return ql.pair_correlations(rets, list(range(10))).select("a", "b", F.col("n").cast("bigint").alias("n"), rnd("corr").alias("corr"))
+    """The profile's list of pair correlations, of all suppliers."""
+    rets = technical.returns(t.bars(spark, sf)).select("sym", "dt", "ret")
+    return ql.pair_correlations(rets, suppliers(spark, sf)).select("a", "b", F.col("n").cast("bigint").alias("n"), rnd("corr", 5).alias("corr"))
 
 
 @query(
@@ -282,24 +293,20 @@ def a22(spark, sf):
     return kelly10(spark, sf).select("sym", rnd("p_win").alias("p_win"), rnd("win_loss").alias("win_loss"), rnd("fraction", 8).alias("fraction"))
 
 
-_CORR = f"co AS (SELECT x.sym AS a, y.sym AS b, covar_pop(x.ret, y.ret) / sqrt(var_pop(x.ret) * var_pop(y.ret)) AS corr FROM (SELECT sym, dt, close / {lag('close')} - 1 AS ret FROM b10) x JOIN (SELECT sym, dt, close / {lag('close')} - 1 AS ret FROM b10) y ON x.dt = y.dt AND x.sym < y.sym WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2)"
-
-
 @query(
     "a23_correlated_cut",
     with_(
-        *_KELLY, BARS10.replace("bars AS", "b10 AS", 1), _CORR,
-        "s10 AS (SELECT sym, fraction FROM kelly WHERE sym < 10)",
-        "pr AS (SELECT a, b, 1 - (abs(corr) - 0.01) * 2 AS f FROM co JOIN s10 x ON x.sym = a JOIN s10 y ON y.sym = b WHERE abs(corr) > 0.01 AND x.fraction * y.fraction > 0)",
+        *_KELLY, *_CORR,
+        "pr AS (SELECT co.a, co.b, 1 - (abs(corr) - 0.8) * 2 AS f FROM co JOIN kelly x ON x.sym = co.a JOIN kelly y ON y.sym = co.b WHERE abs(corr) > 0.8 AND n > 10 AND x.fraction * y.fraction > 0)",
         "mm AS (SELECT sym, product(f) AS m FROM (SELECT a AS sym, f FROM pr UNION ALL SELECT b, f FROM pr) GROUP BY sym)",
-        select=f"SELECT sym, {r('fraction * coalesce(m, 1)', 8)} AS adjusted FROM s10 LEFT JOIN mm USING (sym)",
+        select=f"SELECT sym, {r('fraction * coalesce(m, 1)', 8)} AS adjusted FROM kelly LEFT JOIN mm USING (sym)",
     ),
 )
 def a23(spark, sf):
-    rets = technical.returns(t.bars(spark, sf, books=10)).select("sym", "dt", "ret")
-    corr = ql.pair_correlations(rets, list(range(10)))
-    sizes = kelly10(spark, sf).where(F.col("sym") < 10).select("sym", "fraction")
-    return mx.correlated_cut(sizes, corr, limit=0.01).select("sym", rnd("adjusted", 8).alias("adjusted"))
+    """Sizes of all suppliers, cut for each other that moves with them on more than ten common sessions."""
+    rets = technical.returns(t.bars(spark, sf)).select("sym", "dt", "ret")
+    corr = ql.pair_correlations(rets, suppliers(spark, sf)).where("n > 10")
+    return mx.correlated_cut(kelly10(spark, sf).select("sym", "fraction"), corr, limit=0.8).select("sym", rnd("adjusted", 8).alias("adjusted"))
 
 
 @query(

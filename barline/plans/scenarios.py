@@ -22,7 +22,7 @@ LEN = 20
 PATHS = (
     *_GRID,
     f"gr AS (SELECT sym, bar_idx, close / {lag('close', order='bar_idx')} - 1 AS ret FROM g10)",
-    f"paths AS (SELECT CAST(bar_idx // {LEN} AS INTEGER) AS path, CAST(bar_idx % {LEN} AS INTEGER) AS t, sym, coalesce(ret, 0.0) AS r FROM gr WHERE (bar_idx // {LEN} + 1) * {LEN} <= (SELECT max(bar_idx) + 1 FROM gr))",
+    f"paths AS (SELECT CAST(bar_idx // {LEN} AS INTEGER) AS path, CAST(bar_idx % {LEN} AS INTEGER) AS t, sym, coalesce(ret, 0.0) AS r FROM gr)",
 )
 
 
@@ -71,7 +71,7 @@ _SCEN = (
     "ld AS (SELECT path, c, max(c) OVER (PARTITION BY path ORDER BY t) AS p FROM lc)",
     "dr AS (SELECT path, min((c - p) / (p + 1e-8)) AS max_drawdown FROM ld GROUP BY path)",
     "pk AS (SELECT path, max(abs(r)) AS peak_move FROM paths GROUP BY path)",
-    f"pf AS (SELECT * FROM paths QUALIFY count(*) OVER (PARTITION BY path, sym) = {LEN})",
+    "pf AS (SELECT * FROM paths QUALIFY count(*) OVER (PARTITION BY path, sym) = max(t) OVER (PARTITION BY path) + 1)",
     "cc AS (SELECT a.path, a.sym AS x, b.sym AS y, covar_pop(a.r, b.r) / sqrt(var_pop(a.r) * var_pop(b.r)) AS c FROM pf a JOIN pf b ON a.path = b.path AND a.t = b.t AND a.sym < b.sym GROUP BY 1, 2, 3)",
     "mc AS (SELECT path, avg(c) AS mean_corr FROM cc GROUP BY path)",
     "sce AS (SELECT path, max_drawdown, peak_move, mean_corr, 1.0 + path % 4 AS sigma_mult, (1.0 + path % 4) * peak_move AS severity FROM dr JOIN pk USING (path) LEFT JOIN mc USING (path))",

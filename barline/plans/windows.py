@@ -245,8 +245,8 @@ def w15(spark, sf):
     with_(
         BARS,
         RET,
-        "s AS (SELECT avg(ret) AS m, stddev_pop(ret) AS s, avg(volume) AS mv, stddev_pop(volume) AS sv FROM rets WHERE dt < DATE '1999-01-01')",
-        select=f"SELECT sym, dt, {r('(ret - m) / s')} AS ret_std, {r('(volume - mv) / sv')} AS volume_std FROM rets, s",
+        "o AS (SELECT *, CASE WHEN dt < DATE '1999-01-01' THEN ret END AS o_ret, CASE WHEN dt < DATE '1999-01-01' THEN volume END AS o_volume FROM rets)",
+        select="SELECT sym, dt, " + ", ".join(f"{r(f'({c} - avg(o_{c}) OVER ()) / stddev_pop(o_{c}) OVER ()')} AS {c}_std" for c in ("ret", "volume")) + " FROM o",
     ),
 )
 def w16(spark, sf):
