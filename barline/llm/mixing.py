@@ -3,11 +3,11 @@
 Tokens are summed per source, targets follow from the weights (a target above ``cap`` times
 its source is cut there and the excess is shared again by weight), and a document is
 emitted floor(rate) times plus once more with a probability equal to the fraction, drawn
-from a hash of its id and a seed.
+from a hash of its id, its text and a seed.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order;
-a source without tokens has target 0 and its documents are not taken; a null doc_id draws
-like an empty one; repeated rows draw alike; an empty table gives no rows; further columns
+a source without tokens has target 0 and its documents are not taken; rows draw by doc_id
+and text, so that rows without a doc_id, or with a shared one, draw apart; rows alike in both draw alike; an empty table gives no rows; further columns
 are carried along.
 """
 
@@ -65,7 +65,8 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     per = step(targets(docs.select(F.col("source").alias("__source"), size.alias("__size")), weights, cap), "mix_sources")
     joined = sized.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.__source")))
     rate = F.when(F.col("s.__source_size") > 0, F.col("s.__target") / F.col("s.__source_size")).otherwise(F.lit(0.0))
-    key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("d.doc_id").cast("string"), F.lit("")))
+    text = F.md5(F.coalesce(F.col("d.text"), F.lit("")))
+    key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("d.doc_id").cast("string"), F.lit("")), F.lit(":"), text)
     # 52 bits of the digest as a fraction
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")

@@ -8,6 +8,7 @@ from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from odd_tables import SF, against_sql, clashing, empty, odd, plain  # noqa: F401
 
 import corpus_pipeline
@@ -259,6 +260,13 @@ def test_targets_share_everything_up_to_the_cap(spark):
     assert all(math.isclose(got[s], want[s], abs_tol=1e-9) for s in sizes)
 
 
+def test_rows_without_ids_draw_apart(spark):
+    rows = [(None if i % 3 else i % 30, f"{'w ' * (i % 17 + 1)}{i}", f"s{i % 4}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan_mix(docs).groupBy("source").agg(F.sum(F.expr("mix.size * mix.copies")).alias("taken"), F.max("mix.target").alias("target")).collect()
+    assert all(abs(r.taken / r.target - 1) < 0.06 for r in got) and len(got) == 4
+
+
 def test_mixture_holds_what_the_plan_says(clashing, empty):
     mixed = mixing.mix_sources(clashing)
     assert mixed.columns == clashing.columns
