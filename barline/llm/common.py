@@ -50,6 +50,24 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def identified(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a long column ``name`` that is different for rows that differ in doc_id or text.
+
+    It is the doc_id itself where only one text has that id. Other rows (no id, or an id that
+    several texts share) get a number from a hash of both in the upper half of the positive
+    longs, where no other row's id is expected: they come last, in the order of the hashes.
+    Rows alike in both stay one document.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("binary")
+    per = docs.where(doc_id.isNotNull()).groupBy(doc_id.alias("__id")).agg(F.min(F.xxhash64(text)).alias("low"), F.max(F.xxhash64(text)).alias("high"))
+    shared = step(per.where("low <> high").select("__id"), "shared_ids")
+    own = F.xxhash64(doc_id, text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    if shared.isEmpty():
+        return docs.withColumn(name, F.coalesce(doc_id, own))
+    joined = docs.join(shared, doc_id == F.col("__id"), "left")
+    return joined.withColumn(name, F.when(F.col("__id").isNull(), F.coalesce(doc_id, own)).otherwise(own)).drop("__id")
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -8,12 +8,14 @@ task, are cut at content-defined places into tokens in byte order, and one suffi
 the tokens gives all classes of equal strings. The array is built by grouping suffixes by
 their Lyndon prefixes.
 
-Order of occurrences: smaller doc_id, then earlier start; rows that share a doc_id count as
-one document (only an earlier start counts), a missing doc_id comes last. An anchor with more
-than ``hot`` different fragments is not gathered: its strings are grouped one by one.
+Order of occurrences: smaller doc_id, then earlier start. Rows without a doc_id, and rows
+whose doc_id another text shares, are documents of their own and come last, in the order
+of a hash; rows alike in doc_id and text are one document (only an earlier start counts).
+An anchor with more than ``hot`` different fragments is not gathered: its strings are grouped
+one by one.
 
 Defined cases: a null or empty text has no bytes and the digest of nothing; texts shorter
-than ``length`` lose nothing; repeated rows keep their bytes (neither is earlier); an empty
+than ``length`` lose nothing; rows alike keep their bytes (neither is earlier); an empty
 table gives no rows; further columns are ignored.
 """
 
@@ -29,10 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm import textbytes as tb
-from barline.llm.common import discard, join_groups, partitions, step
+from barline.llm.common import discard, identified, join_groups, partitions, step
 
 GRAM = 16
-LAST = (1 << 63) - 1
 #: Tokens sorted in one suffix array.
 TOKENS = 1 << 16
 #: Different fragments of one anchor that may meet in a task.
@@ -394,7 +395,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, with_text: bool = False, ho
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
+    keyed = identified(texts, "doc")
     found = step(keyed.select("doc", "text").mapInArrow(
         partial(scan, length=length), "anchor long, fragment long, doc long, place long"), "fragments")
     single = found.where("anchor IS NOT NULL")
@@ -433,7 +434,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, with_text: bool = False, ho
     one_by_one = spans(join_groups(strings, leaders, ["anchor", "second"], "members", max(1, total)).where(
         (F.col("doc") > F.col("first_doc")) | ((F.col("doc") == F.col("first_doc")) & (F.col("start") > F.col("first_start")))))
     covered = equal.unionByName(sorted_out).unionByName(one_by_one)
-    covered = covered.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
+    # a set: rows alike in id and text are one document and give the same spans
+    covered = covered.groupBy("doc").agg(F.collect_set(F.struct("tag", "start", "end")).alias("spans"))
     out = keyed.join(covered.hint("merge"), "doc", "left").select("doc_id", "text", "spans").mapInArrow(
         partial(remove, with_text=with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")

@@ -6,10 +6,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from odd_tables import against_sql, clashing, empty, odd, plain  # noqa: F401
+from odd_tables import against_sql, clashing, empty, odd, plain, prose  # noqa: F401
 
 from barline.llm import jaccard, line_dedup, queries, suffix_dedup
-from barline.llm.common import components
+from barline.llm.common import components, identified
 from barline.llm.exact_dedup import DigestIndex, digests, exact_dedup
 
 
@@ -101,6 +101,48 @@ def test_suffix_dedup_equals_brute_force(odd, hot):
     assert not got
 
 
+def unnamed(spark):
+    """Rows without an id, or with one id for many texts; half of the rows share a passage and a line."""
+    rng = random.Random(4)
+    passage, line = " ".join(prose(rng, 40)), " ".join(prose(rng, 12))
+    rows = []
+    for i in range(900):
+        text = " ".join(prose(rng, rng.randint(30, 60)))
+        if i % 2:
+            text = f"{text} {passage} {' '.join(prose(rng, 5))}\n{line}\nend {i}"
+        rows.append((None if i % 3 else 7 if i % 6 else i, text))
+    rows += rows[:5] + [(None, rows[1][1])]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_suffix_dedup_of_rows_without_ids(spark):
+    docs = unnamed(spark)
+    order = sorted({(r.doc, r.text.encode()) for r in identified(docs, "doc").select("doc", "text").collect()})
+    seen, want = set(), {}
+    for _, text in order:
+        gone = bytearray(len(text))
+        for p in range(len(text) - 99):
+            if text[p: p + 100] in seen:
+                gone[p: p + 100] = b"\1" * 100
+            seen.add(text[p: p + 100])
+        want[hashlib.sha256(text).hexdigest()] = (sum(gone), bytes(c for c, g in zip(text, gone, strict=True) if not g))
+    rows = suffix_dedup.suffix_dedup(docs, with_text=True).collect()
+    assert len(rows) == docs.count()
+    assert sorted((r.n_removed, bytes(r.kept)) for r in rows) == sorted(want[hashlib.sha256(r.text.encode()).hexdigest()] for r in docs.collect())
+    assert sum(r.n_removed > 0 for r in rows) > 400
+
+
+def test_line_dedup_of_rows_without_ids(spark):
+    docs = unnamed(spark)
+    named = {r.text: r.doc for r in identified(docs, "doc").select("doc", "text").collect()}
+    # the shared line stays in the first document only; nothing else is near another line
+    with_line = [t for t in named if "\n" in t]
+    first = min(with_line, key=named.get)
+    line = first.split("\n")[1]
+    want = sorted(t if t == first or t not in with_line else t.replace(f"\n{line}", "") for t in (r.text for r in docs.collect()))
+    assert sorted(r.text for r in line_dedup.line_dedup(docs).collect()) == want
+
+
 def test_suffix_dedup_with_nulls_and_repeats(odd, empty):
     rows = suffix_dedup.suffix_dedup(odd).collect()
     assert len(rows) == odd.count()
