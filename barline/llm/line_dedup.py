@@ -11,9 +11,10 @@ at a key form clusters; pairs within blocks of a cluster are checked with a byte
 and a banded bit-parallel edit distance. Near lines, followed from one to the next, form a
 class; its first line (smaller doc_id, then earlier line) stays and all others go.
 
-Defined cases: a null or empty text has no lines; a null doc_id comes last in order; rows
-that share a doc_id count as one document (only an earlier line counts, so repeated rows
-keep their lines); an empty table gives no rows; further columns are carried along.
+Defined cases: a null or empty text has no lines; rows without a doc_id, and rows whose
+doc_id another text shares, come last, in the order of a hash; rows alike in doc_id and
+text are one document (only an earlier line counts, so they keep their lines); an empty
+table gives no rows; further columns are carried along.
 """
 
 from __future__ import annotations
@@ -30,13 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from barline.llm import textbytes as tb
-from barline.llm.common import components, discard, free, join_groups, partitions, step
+from barline.llm.common import components, discard, free, identified, join_groups, partitions, step
 
 #: Lines too short for an edit are near equal lines only.
 MIN_BYTES = 1
 BYTES_PER_EDIT = 30
 THRESHOLD = 2
-LAST = (1 << 63) - 1
 #: Members and bytes of one block of a cluster.
 BLOCK_MEMBERS, BLOCK_BYTES = 512, 1 << 18
 
@@ -280,9 +280,9 @@ def cut_lines(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordB
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc, places): the lines to remove from each document that has some. ``doc`` is LAST for a missing id."""
+    """(doc, places) of (doc, text) rows: the lines to remove from each document that has some."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select("doc", F.col("text").cast("binary").alias("text"))
     rows = step(texts.mapInArrow(
         partial(scan, threshold=threshold), "kind byte, key long, member long, doc long, place long, size long"), "lines")
     line = F.col("place").bitwiseAND(F.lit((1 << 40) - 1))
@@ -325,7 +325,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     gone = join_groups(seen, classes, ["member"], "rows", max(1, total)).where(
         (F.col("doc") > F.col("keep_doc")) | ((F.col("doc") == F.col("keep_doc")) & (F.col("line") > F.col("keep_line"))))
     gone = gone.select("doc", "place").unionByName(again)
-    return gone.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    return gone.groupBy("doc").agg(F.collect_set("place").alias("places"))
 
 
 #: What ``without_repeats`` adds.
@@ -334,9 +334,10 @@ COUNTS = StructType([StructField("n_lines", LongType()), StructField("n_removed"
 
 def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, name: str = "lines") -> DataFrame:
     """``docs`` with repeated lines cut from the text, and a struct column ``name`` (n_lines, n_removed, kept_sha256)."""
-    gone = repeated_lines(docs, threshold)
-    doc = F.coalesce(F.col("a.doc_id").cast("long"), F.lit(LAST)) == F.col("b.doc")
-    joined = docs.alias("a").join(gone.hint("merge").alias("b"), doc, "left").select(*[F.col(f"a.`{c}`").alias(c) for c in docs.columns], F.col("b.places").alias(name))
+    own = free(docs, "__doc")
+    keyed = identified(docs, own)
+    gone = repeated_lines(keyed.select(F.col(own).alias("doc"), "text"), threshold)
+    joined = keyed.alias("a").join(gone.hint("merge").alias("b"), F.col(f"a.{own}") == F.col("b.doc"), "left").select(*[F.col(f"a.`{c}`").alias(c) for c in docs.columns], F.col("b.places").alias(name))
     return joined.mapInArrow(
         partial(cut_lines, at=docs.columns.index("text")), StructType([*docs.schema.fields, StructField(name, COUNTS)]))
 
