@@ -116,10 +116,12 @@ def audit_sums(rows: DataFrame, features: Sequence[str], draws: int, block: int
             y, b = h["y"].rank().to_numpy(), h["b"].rank().to_numpy()
             mid = (n + 1) / 2
             x, y, b = np.nan_to_num(x - mid), y - mid, b - mid
-            if n not in orders:
-                orders[n] = block_ranks(n, block, draws, seed)
+            # histories with as many blocks share their draws
+            blocks = -(-n // block)
+            if blocks not in orders:
+                orders[blocks] = block_ranks(n, block, draws, seed)
             both = np.column_stack([x, b])
-            sums = np.vstack([y @ both, moved_sums(both, y, block, orders[n])])  # draw 0 is the real order
+            sums = np.vstack([y @ both, moved_sums(both, y, block, orders[blocks])])  # draw 0 is the real order
             xy, yb = sums[:, :-1], sums[:, -1]
 
             def add(feature: str, stat: str, v: np.ndarray) -> None:
@@ -173,15 +175,22 @@ def feature_audit(
     its evidence is not multiplied by the number of symbols.
     """
     level = market_wide(panel, features)
-    pooled = audit_correlations(audit_sums(audit_rows(panel, features, targets), features, draws, block, seed))
     means = panel.groupBy("dt").agg(
         *[F.avg(f).alias(f) for f in features],
         *[F.when(F.count(t) == F.count(F.lit(1)), F.avg(t)).alias(t) for t in targets],
         *[F.avg(f"base_{t}").alias(f"base_{t}") for t in targets],
     ).withColumn("sym", F.lit(-1).cast("bigint"))
-    market = audit_correlations(audit_sums(audit_rows(means, features, targets), features, draws, block, seed))
-    both = pooled.join(level.where(~F.col("market_level")), "feature").unionByName(market.join(level.where("market_level"), "feature"))
-    return audit_p_values(both, draws, block, alpha)
+    # both audits are one walk: the market's targets go by names of their own
+    market = audit_rows(means, features, targets).withColumn("target", F.concat(F.lit(MARKET), "target"))
+    rows = audit_rows(panel, features, targets).unionByName(market)
+    stats = audit_correlations(audit_sums(rows, features, draws, block, seed))
+    own = F.col("target").startswith(MARKET)
+    stats = stats.join(level, "feature").where(F.col("market_level") == own)
+    return audit_p_values(stats.withColumn("target", F.regexp_replace("target", f"^{MARKET}", "")), draws, block, alpha)
+
+
+#: Marks a target that is scored on session means.
+MARKET = "market "
 
 
 def audit_p_values(stats: DataFrame, draws: int, block: int, alpha: float) -> DataFrame:
