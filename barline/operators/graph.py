@@ -6,11 +6,7 @@ chain of join + aggregate steps: state per node, never a list of paths.
 
 from __future__ import annotations
 
-import itertools
-import math
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,57 +150,6 @@ def ridge_effect(wide: DataFrame, outcome: str, treatment: str, controls: list[s
     return wide.sparkSession.range(1).select(F.lit(float(beta[0] * value)).alias("effect"), F.lit(n).alias("n"))
 
 
-def skeleton(wide: DataFrame, names: list[str], alpha: float = 0.01, max_set: int = 3) -> DataFrame:
-    """(a, b, corr): variable pairs no small conditioning set makes independent; collider marks.
-
-    Correlations are one pass over the data. Pairs are tested level by level on that
-    matrix (a stated list of variables); p-values use the Fisher transform.
-    """
-    rows = wide.na.drop(subset=names)
-    pairs = list(itertools.combinations(range(len(names)), 2))
-    s = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(names)],
-    ).first()
-    corr = np.eye(len(names))
-    for i, j in pairs:
-        scale = math.sqrt(s[f"v{i}"] * s[f"v{j}"])
-        corr[i, j] = corr[j, i] = s[f"c{i}_{j}"] / scale if scale > 0 else 0.0
-    n = s["n"]
-    linked = {i: set(range(len(names))) - {i} for i in range(len(names))}
-    split: dict[frozenset, tuple[int, ...]] = {}
-    for size in range(0, max_set + 1):
-        cut = []
-        for i, j in pairs:
-            if j not in linked[i] or len(linked[i] - {j}) < size:
-                continue
-            for given in itertools.combinations(sorted(linked[i] - {j}), size):
-                if independence_p(corr, n, i, j, given) > alpha:
-                    cut.append((i, j))
-                    split[frozenset((i, j))] = given
-                    break
-        for i, j in cut:
-            linked[i].discard(j)
-            linked[j].discard(i)
-    out = []
-    for i, j in pairs:
-        if j in linked[i]:
-            # b is a collider of the edge when some other neighbour of it is separated from a without b
-            into = lambda x, z: any(y != x and y not in linked[x] and z not in split.get(frozenset((x, y)), ()) for y in linked[z])
-            out.append((names[i], names[j], float(corr[i, j]), bool(into(i, j)), bool(into(j, i))))
-    return wide.sparkSession.createDataFrame(pd.DataFrame(out, columns=["a", "b", "corr", "into_b", "into_a"]), "a string, b string, corr double, into_b boolean, into_a boolean")
-
-
-def independence_p(corr: np.ndarray, n: int, i: int, j: int, given: tuple[int, ...]) -> float:
-    """p-value of zero partial correlation from a correlation matrix."""
-    idx = [i, j, *given]
-    prec = np.linalg.pinv(corr[np.ix_(idx, idx)])
-    r = -prec[0, 1] / math.sqrt(prec[0, 0] * prec[1, 1]) if given else corr[i, j]
-    r = min(max(r, -0.9999999), 0.9999999)
-    z = abs(math.atanh(r)) * math.sqrt(max(n - len(given) - 3, 1))
-    return math.erfc(z / math.sqrt(2))
-
-
 def chi_square(rows: DataFrame, x: str, y: str, bins: int = 3) -> DataFrame:
     """Chi-square test of two variables cut at their quantiles: statistic, n and p_value."""
     from barline.operators.ordering import exact_quantiles

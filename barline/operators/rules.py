@@ -1,4 +1,4 @@
-"""Entry/exit rules over many strategies at once, and capital paths with whole shares."""
+"""Tables of rule strategies, and capital paths with whole shares."""
 
 from __future__ import annotations
 
@@ -7,13 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.operators import metrics as mx
 from barline.operators.xsection import CONVICTION, HOLD_DAYS, KELLY_SHARE, TRAILING_STOP, VOL_TARGET
-from barline.session import durable, spread
+from barline.session import spread
 from barline.sources.synthetic import uniform
 
-MAX_SCALE = 3.0
-
 
 def random_strategies(spark, n: int, n_channels: int, seed: str = "g") -> DataFrame:
     """Strategy table of hashed parameter vectors: weights per channel, levels and six scalars."""
@@ -30,84 +27,6 @@ def random_strategies(spark, n: int, n_channels: int, seed: str = "g") -> DataFr
     )
 
 
-def hold_rule(
-    score: np.ndarray, price: np.ndarray, vol: np.ndarray, conviction: float, hold: int, stop: float, share: float, vol_target: float, cap: float
-) -> np.ndarray:
-    """Position of one name bar by bar: enter on conviction; leave on stop, age, or reversal.
-
-    A name left on a bar may be entered again on the same bar.
-    """
-    out = np.zeros(len(score))
-    pos = best = 0.0
-    age = 0
-    for i, (s, px, v) in enumerate(zip(score, price, vol)):
-        if pos:
-            age += 1
-            best = max(best, px) if pos > 0 else min(best, px)
-            fallen = (best - px) / best if pos > 0 and best > 0 else (px - best) / max(px, 1e-12) if pos < 0 and px > 0 else 0.0
-            turned = s * pos < 0 and abs(s) > conviction
-            if fallen > stop or age >= hold or turned:
-                pos = 0.0
-        if not pos and abs(s) > conviction:
-            size = abs(s) * share * (min(max(vol_target / v, 0.0), MAX_SCALE) if vol_target > 0 else 1.0)
-            pos, best, age = float(np.sign(s) * min(max(size, 0.0), cap)), px, 0
-        out[i] = pos
-    return out
-
-
-def rule_positions(cells: DataFrame, *keys: str, cap: float = 0.1, long_only: bool = True) -> DataFrame:
-    """Positions per (keys, sym): names are independent, so each one's bars are one small task.
-
-    ``cells(keys, sym, bar_idx, score, close, vol, ahead)`` with the strategy's scalars.
-    """
-    names = [*keys, "sym", "bar_idx", "ahead"]
-    schema = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in names) + ", pos double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx")
-        p = pdf.iloc[0]
-        score = pdf["score"].to_numpy(dtype="float64")
-        score = np.maximum(score, 0.0) if long_only else score
-        vol = pdf["vol"].to_numpy(dtype="float64")
-        vol = np.where(np.isfinite(vol) & (vol > 1e-6), vol, p["vol_target"])
-        path = hold_rule(
-            score, pdf["close"].to_numpy(dtype="float64"), vol, p["conviction"], int(p["hold_days"]), p["trailing_stop"], p["kelly_share"], p["vol_target"], cap
-        )
-        return pdf[names].assign(pos=path)
-
-    return spread(cells, *keys, "sym").groupBy(*keys, "sym").applyInPandas(run, schema)
-
-
-def rule_days(positions: DataFrame, *keys: str, cost_bps: float = 22.0) -> DataFrame:
-    """Net daily results; half the round-trip cost is paid on each change."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys, "sym").orderBy("bar_idx")
-    before = F.coalesce(F.lag("pos").over(w), F.lit(0.0))
-    base = positions.withColumns({"_t": F.abs(F.col("pos") - before), "_e": F.when((F.col("pos") != 0) & (F.col("pos") != before), 1).otherwise(0)})
-    day = base.groupBy(*keys, "bar_idx").agg(
-        F.sum(F.col("pos") * F.coalesce("ahead", F.lit(0.0))).alias("_g"), F.sum("_t").alias("turnover"), F.sum("_e").alias("trades")
-    )
-    return day.select(*keys, F.col("bar_idx").alias("dt"), (F.col("_g") - F.col("turnover") * cost_bps / 20_000).alias("ret"), "turnover", "trades")
-
-
-def sweep(cells: DataFrame, *, cost_bps: float = 22.0) -> DataFrame:
-    """(w, strategy, in_sample, out_sample, gap): best strategy by train fitness per window, then its test result.
-
-    ``cells`` carry (strategy, w, side); every strategy runs on both sides, so no result is fetched
-    between the two steps.
-    """
-    pos = rule_positions(cells, "strategy", "w", "side")
-    stats = mx.selection_score(mx.trading_stats(rule_days(pos, "strategy", "w", "side", cost_bps=cost_bps), "strategy", "w", "side"))
-    pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    both = durable(stats, "sweep").groupBy("w", "strategy").agg(
-        pick("train", "fitness").alias("_fit"), pick("train", "sharpe").alias("in_sample"), pick("test", "sharpe").alias("out_sample"),
-        pick("test", "n_trades").alias("trades"),
-    )
-    best = both.groupBy("w").agg(F.max_by(F.struct("strategy", "in_sample", "out_sample", "trades"), F.struct("_fit", -F.col("strategy"))).alias("b"))
-    return best.select("w", "b.*").withColumn("gap", F.col("in_sample") - F.col("out_sample"))
-
-
 CAPITAL = "account bigint, bar_idx int, equity double, pnl double, cost double, turnover double, quantisation double, untradeable int"
 
 

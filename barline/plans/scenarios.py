@@ -7,13 +7,13 @@ import math
 from pyspark.sql import functions as F
 
 from barline.functions.cols import by_sym, rnd
-from barline.operators import admission as ad, graph as gr, metrics as mx, network as nw, paths as pt, permute as pm, quality as ql, rules, technical, xsection as xs
+from barline.operators import admission as ad, graph as gr, metrics as mx, network as nw, paths as pt, permute as pm, quality as ql, rules, skeleton as sk, strategies as sg, technical, xsection as xs
 from barline.operators.alignment import assign_windows
-from barline.plans.ansi import BARS, BARS10, lag, r, with_
+from barline.plans.ansi import BARS, BARS10, lag, lead, r, roll, with_
 from barline.plans.landing import _nrm, _u
-from barline.plans.metrics import _KELLY, calls, kelly10
+from barline.plans.metrics import _KELLY, STRAT_DAYS, calls, kelly10
 from barline.plans.registry import query
-from barline.plans.studies import _GRID, FEATS, channels, grid10
+from barline.plans.studies import _GRID, AUDIT_SQL, FEATS, channels, grid10
 from barline.plans.xsection import FLOWS, trade_links
 from barline.session import durable
 from barline.sources import tables as t
@@ -341,10 +341,32 @@ def g07(spark, sf):
     return gr.graph_summary(n.select("n_nationkey", F.col("r_name").alias("category")), edges(spark, sf))
 
 
+_VARS = (*FEATS, "close", "volume")
+_Z99 = 2.5758293035489004  # a two-sided p-value of 0.01
+
+
+@query(
+    "g08_skeleton_two_levels",
+    with_(
+        *AUDIT_SQL[:7], "vr AS (" + " UNION ALL ".join(f"SELECT {i} AS i, sym, bar_idx, {c} AS v FROM feats" for i, c in enumerate(_VARS)) + ")",
+        "ok AS (SELECT sym, bar_idx FROM vr GROUP BY ALL HAVING count(v) = 6)", "vo AS (SELECT vr.* FROM vr SEMI JOIN ok USING (sym, bar_idx))",
+        "co AS (SELECT a.i, b.i AS j, greatest(least(corr(a.v, b.v), 0.9999999), -0.9999999) AS c, count(*) AS n FROM vo a JOIN vo b USING (sym, bar_idx) WHERE a.i <> b.i GROUP BY a.i, b.i)",
+        f"l0 AS (SELECT * FROM co WHERE abs(atanh(c)) * sqrt(n - 3) >= {_Z99})",
+        f"""l1 AS (SELECT DISTINCT p.i, p.j FROM l0 p JOIN l0 s ON s.i = p.i AND s.j <> p.j JOIN co t ON t.i = p.j AND t.j = s.j
+          WHERE p.i < p.j AND abs(atanh((p.c - s.c * t.c) / sqrt((1 - s.c * s.c) * (1 - t.c * t.c)))) * sqrt(p.n - 4) < {_Z99})""",
+        f"nm AS (SELECT unnest(range(0, 6)) AS i, unnest({list(_VARS)}) AS name)",
+        select=f"SELECT x.name AS a, y.name AS b, {r('c')} AS corr FROM l0 ANTI JOIN l1 USING (i, j) JOIN nm x ON x.i = l0.i JOIN nm y ON y.i = l0.j WHERE l0.i < l0.j",
+    ),
+)
+def g08_two(spark, sf):
+    p = channels(grid10(spark, sf))
+    return sk.skeleton(p.select(*_VARS), list(_VARS), max_set=1).select("a", "b", rnd("corr").alias("corr"))
+
+
 @query("g08_skeleton")
 def g08(spark, sf):
     p = channels(grid10(spark, sf))
-    return gr.skeleton(p.select(*FEATS, "close", "volume"), [*FEATS, "close", "volume"]).withColumn("corr", rnd("corr"))
+    return sk.skeleton(p.select(*_VARS), list(_VARS)).withColumn("corr", rnd("corr"))
 
 
 @query(
@@ -405,8 +427,8 @@ def w39b(spark, sf):
 # ---- rule strategies ----------------------------------------------------------------------------------------------
 
 
-def strategy_cells(spark, sf, n_strategies: int):
-    """Strategy x bar cells with votes, price, volatility and next return."""
+def strategy_bars(spark, sf):
+    """Bars with channels, price, volatility and next return, numbered from 0 after the warm-up."""
     p = channels(grid10(spark, sf))
     w = by_sym(order="bar_idx")
     r_ = F.col("close") / F.lag("close").over(w) - 1
@@ -414,28 +436,65 @@ def strategy_cells(spark, sf, n_strategies: int):
     w20 = w.rowsBetween(-19, 0)
     p = p.withColumn("vol", F.when(F.count("_r").over(w20) == 20, F.stddev_samp("_r").over(w20)) * math.sqrt(252))
     p = p.where(F.col("bar_idx") >= 60).withColumn("bar_idx", (F.col("bar_idx") - 60).cast("int"))
-    st = rules.random_strategies(spark, n_strategies, len(FEATS))
-    # a stated number of strategies meets every bar
-    both = p.select("sym", "bar_idx", "close", "vol", "ahead", F.array(*FEATS).alias("x")).join(F.broadcast(st), how="cross")
-    return both.select(
-        "strategy", "sym", "bar_idx", "close", "vol", "ahead", xs.vote_score("x", "weights", "entry", "exit").alias("score"),
-        "hold_days", "trailing_stop", "kelly_share", "conviction", "vol_target",
-    )
+    # read for its bars and for its keys
+    return durable(p.select("sym", "bar_idx", "close", "vol", "ahead", F.array(*FEATS).alias("x")), "strategy-bars")
+
+
+def _span_sql(span, k):
+    return f"{span[0]} + {span[1] - span[0]} * {_u('g', 's', str(k))}"
+
+
+_N17 = 200
+_STRATEGIES = f"""sw AS (SELECT s AS strategy, [{', '.join(_u('g', 's', str(k)) for k in range(len(FEATS)))}] AS u,
+  [{', '.join(_u('g', 's', str(100 + k)) + ' * 0.5' for k in range(len(FEATS)))}] AS e, [{', '.join(_u('g', 's', str(200 + k)) + ' * 0.5' for k in range(len(FEATS)))}] AS o,
+  round_even({_span_sql(xs.HOLD_DAYS, 300)}, 0) AS hold, {_span_sql(xs.TRAILING_STOP, 301)} AS stop, {_span_sql(xs.KELLY_SHARE, 302)} AS share,
+  {_span_sql(xs.CONVICTION, 303)} AS conviction, {_span_sql(xs.VOL_TARGET, 304)} AS target FROM (SELECT CAST(unnest(range(0, {_N17})) AS INTEGER) AS s)),
+sg AS (SELECT * EXCLUDE (u), list_transform(u, lambda x: x / list_sum(u)) AS k FROM sw)"""
+# all strategies walk bar by bar; the state is one row per strategy and symbol
+_WALK17 = (
+    *AUDIT_SQL[:7],
+    f"""cb AS (SELECT sym, bar_idx - 60 AS b, close AS px, ahead, vol, [mom_z, vol_z, range_z, volume_z] AS x, row_number() OVER (PARTITION BY sym ORDER BY bar_idx) AS n FROM (
+      SELECT *, {lead('close', order='bar_idx')} / close - 1 AS ahead, {roll('stddev_samp', 'r0', 20, order='bar_idx')} * sqrt(252) AS vol FROM feats) WHERE bar_idx >= 60)""",
+    _STRATEGIES,
+    """walk AS (
+      SELECT strategy, sym, 0::BIGINT AS n, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS best, 0 AS age, 0.0::DOUBLE AS was, -1::BIGINT AS b, 0.0::DOUBLE AS ahead FROM sg CROSS JOIN (SELECT DISTINCT sym FROM cb)
+      UNION ALL
+      SELECT strategy, sym, n, CASE WHEN enter THEN size ELSE kept END, CASE WHEN enter THEN px ELSE best END, CASE WHEN enter THEN 0 ELSE age END, pos, b, ahead
+      FROM (SELECT *, kept = 0 AND score > conviction AS enter, least(score * share * CASE WHEN target > 0 THEN least(target / CASE WHEN vol > 1e-6 THEN vol ELSE target END, 3) ELSE 1 END, 0.1) AS size
+        FROM (SELECT *, CASE WHEN pos > 0 AND ((best > 0 AND (best - px) / best > stop) OR age >= hold) THEN 0 ELSE pos END AS kept
+          FROM (SELECT g.* EXCLUDE (k, e, o), c.sym, c.n, c.b, c.px, c.ahead, c.vol, w.pos, CASE WHEN w.pos > 0 THEN greatest(w.best, c.px) ELSE w.best END AS best, w.age + (w.pos > 0)::INT AS age,
+              greatest(list_sum([g.k[i] * ((c.x[i] > g.e[i])::INT - (c.x[i] < -g.o[i])::INT) FOR i IN [1, 2, 3, 4]]), 0) AS score
+            FROM walk w JOIN cb c ON c.sym = w.sym AND c.n = w.n + 1 JOIN sg g ON g.strategy = w.strategy))))""",
+    """days AS (SELECT strategy, b AS dt, sum(pos * coalesce(ahead, 0)) - sum(abs(pos - was)) * 22.0 / 20000 AS ret, sum(abs(pos - was)) AS turnover,
+      sum(CASE WHEN pos <> 0 AND pos <> was THEN 1 ELSE 0 END) AS trades FROM walk WHERE b >= 0 GROUP BY 1, 2)""",
+    *STRAT_DAYS[-4:],
+)
+_STATS17 = {"sharpe": "sharpe", "max_drawdown": "-max_drawdown", "win_rate": "win_rate", "profit_factor": "profit_factor", "avg_turnover": "avg_turnover"}
 
 
-@query("d17_rule_backtest")
+@query(
+    "d17_rule_backtest",
+    with_(
+        *_WALK17,
+        select="SELECT strategy, CAST(n_trades AS BIGINT) AS n_trades, " + ", ".join(f"CASE WHEN n_trades = 0 THEN 0.0 ELSE {r(e)} END AS {c}" for c, e in _STATS17.items())
+        + f", CASE WHEN n_trades = 0 THEN -0.05 ELSE {r('fitness')} END AS fitness FROM fit",
+    ),
+)
 def d17(spark, sf):
-    pos = rules.rule_positions(strategy_cells(spark, sf, 6), "strategy")
-    stats = mx.selection_score(mx.trading_stats(rules.rule_days(pos, "strategy"), "strategy"))
-    return stats.select("strategy", "n_trades", *[rnd(c).alias(c) for c in ("sharpe", "max_drawdown", "win_rate", "profit_factor", "avg_turnover", "fitness")])
+    """Two hundred hashed strategies over all bars."""
+    days = sg.strategy_days(strategy_bars(spark, sf), rules.random_strategies(spark, _N17, len(FEATS)))
+    stats = sg.strategy_scores(days)
+    return stats.select("strategy", "n_trades", *[rnd(c).alias(c) for c in (*_STATS17, "fitness")])
 
 
 @query("d18_strategy_sweep")
 def d18(spark, sf):
-    cells = strategy_cells(spark, sf, 5)
-    n = grid10(spark, sf).agg((F.max("bar_idx") - 59).alias("n_bars"))
-    placed = assign_windows(cells.join(F.broadcast(n), how="cross"), F.col("n_bars"), 504, 252)
-    return rules.sweep(placed.drop("n_bars")).select("w", "strategy", rnd("in_sample").alias("in_sample"), rnd("out_sample").alias("out_sample"), rnd("gap").alias("gap"), "trades")
+    """A thousand strategies in every walk-forward window, and what remains after as many trials."""
+    bars = strategy_bars(spark, sf)
+    n = bars.agg((F.max("bar_idx") + 1).alias("n_bars"))
+    placed = assign_windows(bars.join(F.broadcast(n), how="cross"), F.col("n_bars"), 504, 252).drop("n_bars")
+    out = sg.sweep(placed, rules.random_strategies(spark, 1000, len(FEATS)))
+    return out.select("w", "strategy", *[rnd(c).alias(c) for c in ("in_sample", "out_sample", "gap")], "trades", "total_trials", rnd("deflated").alias("deflated"))
 
 
 @query("d24_capital_paths")

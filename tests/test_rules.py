@@ -9,7 +9,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from barline.functions import dates, text
-from barline.operators import adjust, admission, alignment, graph, ledger, quality, rules, xsection
+from barline.operators import adjust, admission, alignment, graph, ledger, quality, xsection
 from barline.plans import streams
 from barline.sources import files, sinks, tables
 from seed_graph import seed_edges, seed_nodes
@@ -74,13 +74,6 @@ def test_share_sizes_drop_the_weakest_first(spark):
     assert out == {1: 2, 2: 2, 3: 0}
 
 
-def test_hold_rule_stop_age_and_reversal():
-    path = rules.hold_rule(np.array([0.5, 0.0, 0.0, 0.0]), np.array([10.0, 12.0, 10.0, 10.0]), np.ones(4), 0.1, 90, 0.1, 1.0, 0.0, 0.3)
-    assert path.tolist() == [0.3, 0.3, 0.0, 0.0]
-    aged = rules.hold_rule(np.array([0.5, 0.0, 0.0]), np.full(3, 10.0), np.ones(3), 0.1, 2, 0.5, 1.0, 0.0, 0.3)
-    assert aged.tolist() == [0.3, 0.3, 0.0]
-
-
 def test_order_fold_respects_cash_and_writes_off():
     cols = ["seq", "day", "ticker", "weight", "price", "volume", "cap"]
     o = pd.DataFrame([(1, 1, "A", 0.2, 10.0, 2e7, 1.0), (2, 2, "A", 0.2, 0.0005, 2e7, 1.0)], columns=cols)
