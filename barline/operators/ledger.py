@@ -98,7 +98,11 @@ def fold_orders(
         last[o.ticker] = o.price
         room = max_position * min(1.0, o.cap) if o.weight > 0 else max_position
         goal = min(max(o.weight, -room), room)
-        worth = cash + sum(q * last.get(k, 0.0) for k, q in shares.items())
+        # plain sums in a fixed order: positions compound, so digits must not depend on who came first
+        held_worth = 0.0
+        for k in sorted(shares):
+            held_worth += shares[k] * last.get(k, 0.0)
+        worth = cash + held_worth
         change = goal * worth / max(o.price, 1e-9) - held
         if abs(change * o.price) < 1.0:
             continue

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barline.functions import costs
 from barline.functions.cols import rnd
 from barline.operators import intraday as it, ledger as lg
 from barline.plans.ansi import TICKS, over, r, with_
@@ -181,11 +182,14 @@ def r11(spark, sf):
 
 
 def orders_from(rows):
-    """Target-weight orders: every tick re-targets its type's position in its account."""
+    """Target-weight orders: every tick re-targets its type's position in its account.
+
+    Prices lie around a level, as those of one name do; the ticks' own are noise from zero up.
+    """
     k = F.col("qty").cast("bigint")
     return rows.select(
         F.col("sym").alias("account"), "ts", "event_id", (F.unix_micros("ts") * 4096 + F.pmod("event_id", F.lit(4096))).alias("seq"),
-        F.dayofyear("ts").alias("day"), F.col("event_type").alias("ticker"), (((k % 21) - 8) / 40.0).alias("weight"), F.col("px").alias("price"),
+        F.dayofyear("ts").alias("day"), F.col("event_type").alias("ticker"), (((k % 21) - 8) / 40.0).alias("weight"), (F.col("px") / 10 + 50).alias("price"),
         (F.col("qty") * 40_000).alias("volume"), F.when(k % 13 == 0, 0.0).otherwise(1.0).alias("cap"), F.lit(5e6).alias("daily_value"),
     )
 
@@ -194,7 +198,35 @@ def _ledger_out(df):
     return df.select("account", "seq", "ticker", "side", *[rnd(c, 4).alias(c) for c in ("quantity", "fill_price", "notional", "position_after", "cash_after")])
 
 
-@query("r12_order_ledger")
+# one account's orders in sequence: state is cash, shares and last prices of the five kinds of ticks
+_LEDGER = (
+    TICKS,
+    f"""orders_ AS (SELECT CAST(sym AS VARCHAR) AS account, epoch_us(ts) * 4096 + event_id % 4096 AS seq, event_type AS ticker, dense_rank() OVER (ORDER BY event_type) AS i,
+      ((CAST(qty AS BIGINT) % 21) - 8) / 40.0 AS weight, px / 10 + 50 AS price, qty * 40000 AS volume, CASE WHEN CAST(qty AS BIGINT) % 13 = 0 THEN 0.0 ELSE 1.0 END AS cap FROM ticks)""",
+    "o AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY seq) AS n FROM orders_)",
+    f"""fold AS (
+      SELECT DISTINCT account, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS ticker, 100000.0::DOUBLE AS cash, [0, 0, 0, 0, 0]::DOUBLE[] AS shares, [0, 0, 0, 0, 0]::DOUBLE[] AS last,
+        NULL::VARCHAR AS side, 0.0::DOUBLE AS quantity, 0.0::DOUBLE AS fill_price, 0.0::DOUBLE AS position_after FROM o
+      UNION ALL
+      SELECT account, n, seq, ticker, cash - change * paid, list_transform(shares, lambda x, j: CASE WHEN j <> i THEN x WHEN gone THEN 0.0 ELSE held + change END), last,
+        CASE WHEN gone THEN CASE WHEN held <> 0 THEN 'writeoff' END WHEN change > 0 THEN 'buy' WHEN change < 0 THEN 'sell' END,
+        CASE WHEN gone THEN held ELSE abs(change) END, CASE WHEN gone THEN 0.0 ELSE paid END, CASE WHEN gone THEN 0.0 ELSE held + change END
+      FROM (SELECT *, CASE WHEN gone OR abs(want * price) < 1 THEN 0.0 WHEN want > 0 AND want * paid > cash THEN greatest(cash / paid, 0.0) ELSE want END AS change
+        FROM (SELECT *, price * (1 + sign(want) * least({costs.MAX_SLIPPAGE}, base + abs(want) * price / 5e6 * 0.01)) AS paid
+          FROM (SELECT *, least(greatest(weight, -room), room) * (cash + (shares[1] * last[1] + shares[2] * last[2] + shares[3] * last[3] + shares[4] * last[4] + shares[5] * last[5])) / greatest(price, 1e-9) - held AS want
+            FROM (SELECT f.account, o.n, o.seq, o.ticker, o.i, o.price, o.weight, f.cash, f.shares, f.shares[o.i] AS held, o.price <= {lg.BANKRUPT} AS gone,
+                CASE WHEN o.weight > 0 THEN 0.25 * least(1.0, o.cap) ELSE 0.25 END AS room,
+                CASE WHEN o.volume >= {costs.HIGH_VOLUME} THEN {costs.HIGH_SLIPPAGE} WHEN o.volume >= {costs.MID_VOLUME} THEN {costs.MID_SLIPPAGE} ELSE {costs.LOW_SLIPPAGE} END / 100 AS base,
+                list_transform(f.last, lambda x, j: CASE WHEN j <> o.i THEN x WHEN o.price > {lg.BANKRUPT} THEN o.price WHEN f.shares[o.i] <> 0 THEN 0.0 ELSE greatest(o.price, 0.0) END) AS last
+              FROM fold f JOIN o ON o.account = f.account AND o.n = f.n + 1)))))""",
+)
+_LEDGER_SQL = with_(
+    *_LEDGER,
+    select="SELECT account, seq, ticker, side, " + ", ".join(f"{r(e, 4)} AS {c}" for c, e in (
+        ("quantity", "quantity"), ("fill_price", "fill_price"), ("notional", "quantity * fill_price"), ("position_after", "position_after"), ("cash_after", "cash"))) + " FROM fold WHERE side IS NOT NULL")
+
+
+@query("r12_order_ledger", _LEDGER_SQL)
 def r12(spark, sf):
     from barline.operators.ledger import TRADE_COLUMNS
 
@@ -202,7 +234,7 @@ def r12(spark, sf):
     return _ledger_out(_in_order(rows, "account", sf_.order_ledger(), TRADE_COLUMNS, "ledger"))
 
 
-@query("r12_order_ledger_batch")
+@query("r12_order_ledger_batch", _LEDGER_SQL)
 def r12b(spark, sf):
     return _ledger_out(lg.run_orders(orders_from(t.ticks(spark, sf))))
 
