@@ -125,7 +125,9 @@ def s06(spark, sf):
     head = "Client Type  ," + ",".join(f.title() + "   " for f in _FIELDS)
     # at most four participants a day
     reports = lines.groupBy("dt").agg(F.concat_ws("\n", F.lit('"Participant wise open interest"'), F.lit(head), F.array_sort(F.collect_list("line")), F.lit("TOTAL,1,2,3")).alias("text"))
-    return files.parse_participants(reports).withColumn("value", F.round("value", 2))
+    path = scratch_path(spark, "positions")
+    sinks.write_documents(reports.select(F.date_format("dt", "ddMMyyyy").alias("day"), "text"), path, "day", "text")
+    return files.read_participants(spark, path).withColumn("value", F.round("value", 2))
 
 
 @query(
@@ -158,8 +160,10 @@ def s09(spark, sf):
     o = t.table(spark, sf, "orders")
     bad = F.col("o_orderkey") % 9 == 4
     ex = F.when(bad, "to be announced").otherwise(F.upper(F.date_format("o_orderdate", "dd-MMM-yyyy")))
-    raw = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("symbol"), ex.alias("exDate"), F.col("o_orderpriority").alias("subject")))
-    return files.parse_actions(o.select(F.col("o_orderkey").alias("seq"), raw.alias("raw")))
+    raw = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("symbol"), ex.alias("exDate"), F.col("o_orderpriority").alias("subject"), F.col("o_orderkey").alias("seq")))
+    path = scratch_path(spark, "actions")
+    sinks.write_payloads(o.select(raw.alias("raw")), path)
+    return files.parse_actions(files.read_payloads(spark, path))
 
 
 @query("s10_announcement_json", "SELECT o_orderkey AS seq, 'N' || CAST(o_custkey AS VARCHAR) AS sym, CAST(o_orderdate AS DATE) AS dt FROM orders WHERE o_orderkey % 6 <> 5")
@@ -172,10 +176,12 @@ def s10(spark, sf):
             F.concat(F.lit(" n"), F.col("o_custkey").cast("string")).alias("symbol"),
             F.when(k == 0, fmt("dd-MMM-yyyy HH:mm:ss")).when(k == 1, fmt("dd-MMM-yyyy")).otherwise("soon").alias("an_dt"),
             F.when(k == 2, fmt("yyyy-MM-dd HH:mm:ss")).alias("sort_date"), F.when(k == 3, fmt("dd-MM-yyyy HH:mm:ss")).alias("exchdisstime"),
-            F.when(k == 4, F.concat(F.lit(" "), fmt("dd-MMM-yyyy"))).alias("dt"),
+            F.when(k == 4, F.concat(F.lit(" "), fmt("dd-MMM-yyyy"))).alias("dt"), F.col("o_orderkey").alias("seq"),
         )
     )
-    return files.parse_announcements(o.select(F.col("o_orderkey").alias("seq"), raw.alias("raw")))
+    path = scratch_path(spark, "announcements")
+    sinks.write_payloads(o.select(raw.alias("raw")), path)
+    return files.parse_announcements(files.read_payloads(spark, path))
 
 
 @query(
@@ -197,18 +203,25 @@ def s11(spark, sf):
     seen = F.when(F.col("event_id") % 11 == 3, "yesterday").otherwise(F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"))
     tone = F.when(F.col("event_id") % 4 == 1, "n/a").otherwise(F.col("value").cast("string"))
     raw = F.to_json(F.struct(F.array(F.struct(seen.alias("seendate"), tone.alias("tone"))).alias("articles")))
-    return files.parse_articles(e.select(raw.alias("raw")))
+    path = scratch_path(spark, "articles")
+    sinks.write_payloads(e.select(raw.alias("raw")), path)
+    return files.parse_articles(files.read_payloads(spark, path))
 
 
 @query("s12_feed_items", "SELECT event_type || ' ' || CAST(event_id AS VARCHAR) AS title, CAST(CASE WHEN event_id % 7 <> 2 THEN epoch_us(date_trunc('second', ts)) END AS BIGINT) AS published_us FROM events")
 def s12(spark, sf):
     e = t.table(spark, sf, "events")
     stamp = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, " +0000").otherwise(" GMT"))
-    xml = F.concat(
-        F.lit("<rss><channel><item><title>"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")), F.lit("</title><pubDate>"),
-        F.when(F.col("event_id") % 7 == 2, F.lit("no date")).otherwise(stamp), F.lit("</pubDate></item></channel></rss>"),
+    item = F.concat(
+        F.lit("<item><title>"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")), F.lit("</title><pubDate>"),
+        F.when(F.col("event_id") % 7 == 2, F.lit("no date")).otherwise(stamp), F.lit("</pubDate></item>"),
     )
-    return files.parse_feeds(e.select(xml.alias("raw"))).select("title", F.unix_micros("published").alias("published_us"))
+    # a feed document holds a day of one kind of events
+    feeds = e.groupBy(F.concat_ws("-", "event_type", F.date_format("ts", "yyyyMMdd")).alias("feed")).agg(
+        F.concat(F.lit("<rss><channel>"), F.concat_ws("\n", F.collect_list(item)), F.lit("</channel></rss>")).alias("text"))
+    path = scratch_path(spark, "feeds")
+    sinks.write_documents(feeds, path, "feed", "text")
+    return files.read_feeds(spark, path).select("title", F.unix_micros("published").alias("published_us"))
 
 
 @query("s13_wide_history", with_(BARS10, select="SELECT CAST(sym AS VARCHAR) AS sym, dt, round(close, 8) AS close FROM bars"))

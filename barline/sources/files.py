@@ -160,12 +160,20 @@ def parse_participants(reports: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_participants(spark: SparkSession, path: str) -> DataFrame:
-    """Report files with their day (ddMMyyyy) in the name."""
-    raw = spark.read.option("wholetext", True).text(path)
-    day = F.to_date(F.regexp_extract(F.input_file_name(), r"(\d{8})[^/\d]*$", 1), "ddMMyyyy")
+    """Report files with their day (ddMMyyyy) in the name of the file, or of its folder (``day=..``)."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    name = F.input_file_name()
+    folder, file = F.regexp_extract(name, r"day=(\d{8})/", 1), F.regexp_extract(name, r"(\d{8})[^/\d]*$", 1)
+    day = F.to_date(F.coalesce(F.nullif(folder, F.lit("")), F.nullif(file, F.lit(""))), "ddMMyyyy")
     return parse_participants(raw.select(day.alias("dt"), F.col("value").alias("text")))
 
 
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, seq): landed JSON payloads, one per line, and their sequence number where they carry one."""
+    raw = spark.read.text(path).select(F.col("value").alias("raw"))
+    return raw.select("raw", F.get_json_object("raw", "$.seq").try_cast("bigint").alias("seq"))
+
+
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
     """Recorded books, one JSON object per line, gzipped or plain; torn lines are skipped.
 
@@ -232,7 +240,7 @@ def parse_feeds(feeds: DataFrame, raw: str = "raw") -> DataFrame:
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """Feed files as they were fetched, one document each."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return parse_feeds(raw.select(F.input_file_name().alias("feed"), F.col("value").alias("raw")))
 
 

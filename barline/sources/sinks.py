@@ -19,6 +19,16 @@ def append_by_day(rows: DataFrame, path: str, day: str = "day") -> None:
     rows.write.mode("append").partitionBy(day).json(path)
 
 
+def write_payloads(payloads: DataFrame, path: str, raw: str = "raw") -> None:
+    """Payloads as they were fetched, one per line."""
+    payloads.select(raw).write.mode("append").text(path)
+
+
+def write_documents(documents: DataFrame, path: str, key: str, text: str) -> None:
+    """One file per key, holding its document; keys are distinct."""
+    documents.select(key, text).repartition(key).write.mode("append").partitionBy(key).text(path)
+
+
 def write_depth(rows: DataFrame, path: str) -> None:
     """Recorded books as gzipped JSON lines per session."""
     packed = lambda side: F.transform(side, lambda e: F.array(e["quantity"].cast("double"), e["price"].cast("double"), e["orders"].cast("double")))
