@@ -325,7 +325,11 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     gone = join_groups(seen, classes, ["member"], "rows", max(1, total)).where(
         (F.col("doc") > F.col("keep_doc")) | ((F.col("doc") == F.col("keep_doc")) & (F.col("line") > F.col("keep_line"))))
     gone = gone.select("doc", "place").unionByName(again)
-    return gone.groupBy("doc").agg(F.collect_set("place").alias("places"))
+    places = step(gone.groupBy("doc").agg(F.collect_set("place").alias("places")), "line_gone")
+    # the texts are dealt once more after this; the tables of lines make room for them
+    for done in (seen, again, members, clusters, classes):
+        discard(done)
+    return places
 
 
 #: What ``without_repeats`` adds.
