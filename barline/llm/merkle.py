@@ -57,19 +57,19 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 
 def languages(rows: DataFrame) -> DataFrame:
-    """(lang, g, n): number of the language in bytewise order, null first, and its number of leaves.
+    """(lang, g, n, missing): number of the language in bytewise order, null first, its leaves, and those without a doc_id.
 
     The distinct names are dealt into ranges; a name's number is its place in the range and
     the size of the ranges before, so no task sees all names.
     """
-    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("missing"))
     dealt = per.repartitionByRange(F.col("lang").asc_nulls_first()).withColumn("part", F.spark_partition_id())
     dealt = step(dealt, "langs")
     inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("lang").asc_nulls_first())) - 1
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # one row per range
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", before.alias("start"))
-    return step(dealt.withColumn("i", inside).join(starts, "part").select("lang", (F.col("start") + F.col("i")).alias("g"), "n"), "langs")
+    return step(dealt.withColumn("i", inside).join(starts, "part").select("lang", (F.col("start") + F.col("i")).alias("g"), "n", "missing"), "langs")
 
 
 def containers(a: np.ndarray, b: np.ndarray, span: np.ndarray, place: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
@@ -241,12 +241,14 @@ def ranked(rows: DataFrame, a: Column, b: Column, key: Column) -> DataFrame:
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """(doc_id, leaf, tampered, g, n, idx) of (doc_id, leaf, tampered, g, n) rows: the leaf's place in its language."""
+    """(doc_id, leaf, tampered, g, n, idx) of (doc_id, leaf, tampered, g, n, missing) rows: the leaf's place in its language.
+
+    ``missing`` is the number of the language's rows without a doc_id, which come first.
+    """
     zero = F.lit(0).cast("long")
     named = step(ranked(rows.where("doc_id IS NOT NULL"), F.col("g"), zero, F.col("doc_id")), "places")
     unnamed = rows.where("doc_id IS NULL")
-    missing = unnamed.groupBy("g").agg(F.count(F.lit(1)).alias("missing"))
-    named = named.join(missing, "g", "left").withColumn("below", F.col("below") + F.coalesce("missing", F.lit(0))).drop("missing")
+    named = named.withColumn("below", F.col("below") + F.col("missing"))
     columns = ["doc_id", "leaf", "tampered", "g", "n"]
     out = named.where("same = 1").select(*columns, F.col("below").alias("idx"))
     tied = named.where("same > 1").select(*columns, "below").unionByName(unnamed.select(*columns, F.lit(0).cast("long").alias("below")))
@@ -405,7 +407,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     count, most = langs.agg(F.count(F.lit(1)), F.max("n")).first()
     if not count:
         return spark.createDataFrame([], PROOFS)
-    numbered = rows.join(langs, rows["lang"].eqNullSafe(langs["lang"])).select("doc_id", "leaf", "tampered", "g", "n")
+    numbered = rows.join(langs, rows["lang"].eqNullSafe(langs["lang"])).select("doc_id", "leaf", "tampered", "g", "n", "missing")
     nodes = step(placed(numbered).withColumnRenamed("leaf", "h"), "nodes")
     rounds = rounds_up(nodes, most)
     subroots = rounds[-1].select("g", F.col("h").alias("subroot"))
