@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from barline.functions.cols import by_sym, rnd
-from barline.operators import admission as ad, graph as gr, metrics as mx, network as nw, paths as pt, permute as pm, quality as ql, rules, skeleton as sk, strategies as sg, technical, xsection as xs
+from barline.operators import admission as ad, graph as gr, network as nw, paths as pt, permute as pm, quality as ql, rules, skeleton as sk, strategies as sg, technical, xsection as xs
 from barline.operators.alignment import assign_windows
 from barline.plans.ansi import BARS, BARS10, lag, lead, r, roll, with_
 from barline.plans.landing import _nrm, _u
