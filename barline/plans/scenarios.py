@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from barline.functions import costs
 from barline.functions.cols import by_sym, rnd
 from barline.operators import admission as ad, graph as gr, network as nw, paths as pt, permute as pm, quality as ql, rules, skeleton as sk, strategies as sg, technical, xsection as xs
 from barline.operators.alignment import assign_windows
@@ -497,10 +498,39 @@ def d18(spark, sf):
     return out.select("w", "strategy", *[rnd(c).alias(c) for c in ("in_sample", "out_sample", "gap")], "trades", "total_trials", rnd("deflated").alias("deflated"))
 
 
-@query("d24_capital_paths")
+_FEES = (costs.BROKERAGE + costs.EXCHANGE_FEE + costs.REGULATOR_FEE) * (1 + costs.SERVICE_TAX)
+# four accounts walk session by session; a session's names are a list, largest weights bought first
+_CAPITAL = (
+    *STRAT_DAYS[:6],
+    f"ah AS (SELECT sym, bar_idx, close, coalesce(({lead('close', order='bar_idx')} / close - 1) / 2000, 0) AS r FROM dense)",
+    "dy AS MATERIALIZED (SELECT bar_idx, row_number() OVER (ORDER BY bar_idx) AS n, list({'s': sym, 'w': weight, 'px': close, 'r': r} ORDER BY sym) AS d FROM wt JOIN ah USING (sym, bar_idx) WHERE strategy = 'momentum' GROUP BY bar_idx)",
+    f"""acc AS (
+      SELECT unnest([1, 2, 3, 4])::BIGINT AS account, 0::BIGINT AS n, 100000.0::DOUBLE AS equity, list_transform(range(0, 10), lambda x: 0.0::DOUBLE) AS held, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS error, 0.0::DOUBLE AS untradeable
+      UNION ALL
+      SELECT account, n, equity + pnl - cost, list_transform(range(0, 10), lambda s: list_sum(list_transform(d, lambda x, i: CASE WHEN x.s = s THEN kept[i] ELSE 0.0 END))), cost, error, untradeable
+      FROM (SELECT *, list_sum(list_transform(d, lambda x, i: abs((kept[i] - held[x.s + 1]) * x.px) * CASE WHEN kept[i] > held[x.s + 1] THEN {costs.TRANSACTION_TAX_BUY + costs.STAMP_DUTY_BUY + _FEES}::DOUBLE ELSE {costs.TRANSACTION_TAX_SELL + _FEES}::DOUBLE END)) AS cost,
+          list_sum(list_transform(d, lambda x, i: kept[i] * x.px * x.r)) AS pnl,
+          CASE WHEN equity > 0 THEN list_sum(list_transform(d, lambda x, i: abs(x.w - kept[i] * x.px / equity))) ELSE 0.0 END AS error,
+          list_sum(list_transform(d, lambda x, i: CASE WHEN abs(x.w) > 1e-9 AND kept[i] = 0 THEN 1.0 ELSE 0.0 END)) AS untradeable
+        FROM (SELECT *, list_transform(d, lambda x, i: CASE WHEN list_contains(fits, i) THEN x.want ELSE 0.0 END) AS kept
+          FROM (SELECT *, list_transform(list_filter(list_transform(o, lambda y, p: {{'j': y.j, 'run': list_sum(list_transform(o[1:p], lambda t: t.v))}}), lambda y: y.run <= equity), lambda y: y.j) AS fits
+            FROM (SELECT *, list_sort(list_transform(d, lambda x, i: {{'z': (x.want = 0)::INT, 'k': -abs(x.w), 'm': -i, 'v': abs(x.want * x.px), 'j': i}})) AS o
+              FROM (SELECT * REPLACE (list_transform(d, lambda x: {{'s': x.s, 'w': x.w, 'px': x.px, 'r': x.r, 'want': trunc(CASE WHEN x.px > 0 THEN x.w * equity / greatest(x.px, 1e-12) ELSE 0 END)}}) AS d)
+                FROM (SELECT a.account, y.n, a.equity, a.held, list_transform(y.d, lambda x: {{'s': x.s, 'w': least(greatest(x.w * a.account / 4, 0.0), 0.25), 'px': x.px, 'r': x.r}}) AS d FROM acc a JOIN dy y ON y.n = a.n + 1)))))))""",
+)
+
+
+@query(
+    "d24_capital_paths",
+    with_(
+        *_CAPITAL,
+        select=f"SELECT account, {r('ln(greatest(max_by(equity, n), 1e-9))', 4)} AS log_equity, {r('sum(cost)', 2)} AS total_cost, {r('avg(error)')} AS quantisation, {r('avg(untradeable)')} AS untradeable, CAST(count(*) AS BIGINT) AS sessions FROM acc WHERE n > 0 GROUP BY account",
+    ),
+)
 def d24(spark, sf):
+    """Four accounts over all sessions. Baskets of unrelated fills jump; a two-thousandth of their moves keeps equity of one size."""
     x = xs.momentum_weights(rets10(spark, sf).select("sym", "dt", "bar_idx", "close"), 20)
-    ahead = F.lead("close").over(by_sym()) / F.col("close") - 1
+    ahead = (F.lead("close").over(by_sym()) / F.col("close") - 1) / 2000
     rows = x.select("bar_idx", "sym", "weight", F.col("close").alias("price"), ahead.alias("ret"))
     rows = rows.withColumn("account", F.explode(F.array(*[F.lit(a).cast("bigint") for a in (1, 2, 3, 4)])))
     rows = rows.withColumn("weight", F.col("weight") * F.col("account") / 4)
