@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from barline.functions import costs
 from barline.functions.cols import by_sym, rnd
-from barline.operators import admission as ad, graph as gr, network as nw, paths as pt, permute as pm, quality as ql, rules, skeleton as sk, strategies as sg, technical, xsection as xs
+from barline.operators import admission as ad, alignment as al, graph as gr, network as nw, paths as pt, permute as pm, quality as ql, rules, skeleton as sk, strategies as sg, technical, xsection as xs
 from barline.operators.alignment import assign_windows
-from barline.plans.ansi import BARS, BARS10, lag, lead, r, roll, with_
+from barline.plans.ansi import BARS, BARS10, CAL, lag, lead, r, roll, with_
 from barline.plans.landing import _nrm, _u
-from barline.plans.metrics import _KELLY, STRAT_DAYS, calls, kelly10
+from barline.plans.metrics import _KELLY, GRID10, STRAT_DAYS, calls, kelly10
 from barline.plans.registry import query
 from barline.plans.studies import _GRID, AUDIT_SQL, FEATS, channels, grid10
 from barline.plans.xsection import FLOWS, trade_links
@@ -397,6 +397,50 @@ def w37(spark, sf):
     return _network(spark, sf).select("bar_idx", "sym", *[rnd(c).alias(c) for c in (*nw.NODE_STATS, *nw.GLOBAL_STATS)])
 
 
+# three names have closed forms: cofactors for the inverse, roots of a cubic and a quadratic for the spectra
+_NET3 = (
+    BARS10.replace("% 10", "% 3"), CAL, GRID10,
+    f"rt AS (SELECT sym, bar_idx, close / {lag('close', order='bar_idx')} - 1 AS ret FROM dense)",
+    "rr AS (SELECT bar_idx, " + ", ".join(f"coalesce(sum(ret) FILTER (WHERE sym = {i}), 0) AS {c}" for i, c in enumerate("xyz")) + " FROM rt GROUP BY bar_idx)",
+    "wn AS (SELECT a.bar_idx AS k, " + ", ".join(f"b.{c} - avg(b.{c}) OVER (PARTITION BY a.bar_idx) AS {c}" for c in "xyz")
+    + " FROM rr a JOIN rr b ON b.bar_idx BETWEEN a.bar_idx - 60 AND a.bar_idx - 1 WHERE a.bar_idx >= 60)",
+    "sm AS (SELECT k, " + ", ".join(f"sum({c[0]} * {c[1]}) / 59 AS {c}" for c in ("xx", "yy", "zz", "xy", "xz", "yz")) + ", sum((x * x + y * y + z * z) ^ 2) AS q FROM wn GROUP BY k)",
+    "mu AS (SELECT *, (xx + yy + zz) / 3 AS mu, xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz) AS ss FROM sm)",
+    "gp AS (SELECT *, (xx - mu) ^ 2 + (yy - mu) ^ 2 + (zz - mu) ^ 2 + 2 * (xy * xy + xz * xz + yz * yz) AS gap FROM mu)",
+    "sr AS (SELECT *, CASE WHEN gap <= 1e-18 THEN 0 ELSE greatest(least((q - 58 * ss) / 3600 / gap, 1), 0) END AS s FROM gp)",
+    "cv AS (SELECT k, " + ", ".join(f"(1 - s) * {c} + s * mu + 1e-10 * mu AS {c}" for c in ("xx", "yy", "zz")) + ", " + ", ".join(f"(1 - s) * {c} AS {c}" for c in ("xy", "xz", "yz")) + " FROM sr)",
+    """pc AS (SELECT k, abs(xy * zz - xz * yz) / sqrt((yy * zz - yz * yz) * (xx * zz - xz * xz)) AS p, abs(xz * yy - xy * yz) / sqrt((yy * zz - yz * yz) * (xx * yy - xy * xy)) AS q,
+      abs(yz * xx - xy * xz) / sqrt((xx * zz - xz * xz) * (xx * yy - xy * xy)) AS r FROM cv)""",
+    "ed AS (SELECT k, " + ", ".join(f"CASE WHEN {u} < 0.05 THEN 0.0 ELSE {u} END AS {c}" for u, c in zip("pqr", "abc", strict=True)) + ", (p + q + r) / 3 AS m FROM pc)",
+    "sp AS (SELECT *, a + b + c AS s, sqrt(greatest(a * a + b * b + c * c - a * b - a * c - b * c, 0)) AS d, a * a + b * b + c * c AS e FROM ed)",
+    """gl AS (SELECT *, s - d AS fiedler, CASE WHEN e = 0 THEN 0.0 ELSE 2 * sqrt(e / 3) * cos(acos(least(3 * a * b * c / e * sqrt(3 / e), 1)) / 3) END AS radius,
+      CASE WHEN s - d > 2e-12 * s THEN -(s - d) / (2 * s) * ln((s - d) / (2 * s)) ELSE 0.0 END + CASE WHEN s > 0 THEN -(s + d) / (2 * s) * ln((s + d) / (2 * s)) ELSE 0.0 END AS entropy,
+      ((a > 0)::INT + (b > 0)::INT + (c > 0)::INT) / 3 AS density FROM sp)""",
+    "nd AS (" + " UNION ALL ".join(
+        f"SELECT k, {i}::BIGINT AS sym, {u} + {v} AS strength, CASE WHEN {u} > 0 AND {v} > 0 THEN cbrt(a * b * c) / greatest(a, b, c) ELSE 0.0 END AS clustering, "
+        f"CASE WHEN {u} + {v} > 0 THEN 1 - ({u} * {u} + {v} * {v}) / ({u} + {v}) ^ 2 ELSE 0.0 END AS participation, fiedler, radius, m, entropy, density FROM gl"
+        for i, (u, v) in enumerate((("a", "b"), ("a", "c"), ("b", "c")))) + ")",
+)
+
+
+@query(
+    "w37_network_of_three",
+    with_(
+        *_NET3,
+        select="SELECT CAST(k AS INTEGER) AS bar_idx, sym, " + ", ".join(f"{r(e, 5)} AS {c}" for c, e in (
+            ("strength", "strength"), ("clustering", "clustering"), ("participation", "participation"), ("fiedler", "fiedler"), ("spectral_radius", "radius"),
+            ("mean_abs_pcorr", "m"), ("entropy", "entropy"), ("density", "density"))) + " FROM nd",
+    ),
+)
+def w37_three(spark, sf):
+    """The rolling network over three baskets of all suppliers, where every statistic has a closed form."""
+    panel = t.saved_bars(spark, sf, 3)
+    grid = al.forward_fill(t.dense_panel(panel, t.calendar(panel)), "close", "close")
+    rets = technical.returns(grid.select("sym", "dt", "bar_idx", "close")).select("sym", "bar_idx", "ret")
+    out = nw.rolling_network(rets, [0, 1, 2])
+    return out.select("bar_idx", "sym", *[rnd(c, 5).alias(c) for c in (*nw.NODE_STATS, *nw.GLOBAL_STATS) if c != "centrality"])
+
+
 @query("w38_heart_stability")
 def w38(spark, sf):
     return nw.heart_stability(_network(spark, sf)).withColumn("consistency", rnd("consistency"))
