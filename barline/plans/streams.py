@@ -16,9 +16,13 @@ from barline.streaming import engine, eventtime as et, stateful as sf_
 _ORDER = "(PARTITION BY sym ORDER BY ts, event_id)"
 
 
+#: Windows and waiting rows are kept for so long; a live feed names hours.
+LATENESS = "400 days"
+
+
 def _in_order(stream, key, step, schema, label):
     """All that has landed, in event order; files land in any order, so lateness is the tables' whole span."""
-    return et.run_in_order(stream, key, step, schema, label, lateness="400 days")[0]
+    return et.run_in_order(stream, key, step, schema, label, lateness=LATENESS)[0]
 
 
 def _signed(rows):
@@ -67,8 +71,8 @@ def r03(spark, sf):
             "asks": F.transform(five, lambda i: level(1 + (k * (i + 2)) % 13, F.col("px") + 0.05 * (i + 1), i)),
         }
     )
-    # no watermark: a late row still belongs to its day, and there is one state row per symbol and day
-    day = it.book_shape(rows).groupBy("sym", F.window("ts", "1 day").alias("w")).agg(
+    # one state row per symbol and day, until the watermark has passed the day
+    day = it.book_shape(rows).withWatermark("ts", LATENESS).groupBy("sym", F.window("ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("snapshots"), F.avg("imbalance").alias("i"), F.avg("spread_bps").alias("s"), F.avg("slope").alias("p")
     )
     out = engine.run_update(day.select("sym", F.col("w.start").cast("date").alias("dt"), "snapshots", "i", "s", "p"), ["sym", "dt"], "order-flow")
@@ -80,13 +84,18 @@ def r03(spark, sf):
     with_(TICKS, select=f"SELECT sym, dt, first(px ORDER BY ts, event_id) AS open, max(px) AS high, min(px) AS low, last(px ORDER BY ts, event_id) AS close, sum(qty) AS volume, {r('sum(px * qty) / sum(qty)')} AS vwap FROM ticks GROUP BY sym, dt"),
 )
 def r04(spark, sf):
+    return day_bars(engine.tick_stream(spark, sf)).withColumn("vwap", rnd("vwap"))
+
+
+def day_bars(ticks, lateness=LATENESS, progress=None):
+    """Bars of each symbol and day of a stream of ticks."""
     pos = t.tick_pos()
-    day = engine.tick_stream(spark, sf).groupBy("sym", F.window("ts", "1 day").alias("w")).agg(
+    day = ticks.withWatermark("ts", lateness).groupBy("sym", F.window("ts", "1 day").alias("w")).agg(
         F.min_by("px", pos).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", pos).alias("close"),
         F.sum("qty").alias("volume"), (F.sum(F.col("px") * F.col("qty")) / F.sum("qty")).alias("vwap"),
     )
     rows = day.select("sym", F.col("w.start").cast("date").alias("dt"), "open", "high", "low", "close", "volume", "vwap")
-    return engine.run_update(rows, ["sym", "dt"], "day-bars").withColumn("vwap", rnd("vwap"))
+    return engine.run_update(rows, ["sym", "dt"], "day-bars", progress)
 
 
 _G = "OVER (PARTITION BY sym ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
@@ -160,7 +169,7 @@ def r10(spark, sf):
     side = F.when(lean < 0, 1).when(lean > 0, -1).otherwise(0)
     rows = engine.tick_stream(spark, sf).withColumn("side", side)
     # two-hour windows that start every hour
-    win = rows.groupBy("sym", F.window("ts", "2 hours", "1 hour").alias("w")).agg(
+    win = rows.withWatermark("ts", LATENESS).groupBy("sym", F.window("ts", "2 hours", "1 hour").alias("w")).agg(
         (F.sum(F.col("side") * F.col("qty")) / (F.sum(F.abs("side") * F.col("qty")) + 1e-8)).alias("ofi")
     )
     hour = (F.unix_micros("w.end") / 3_600_000_000).cast("bigint") - 1

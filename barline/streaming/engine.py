@@ -37,10 +37,11 @@ def tick_stream(spark: SparkSession, sf: str, books: int = 10, files_per_batch:
     )
 
 
-def run_update(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+def run_update(stream: DataFrame, keys: Sequence[str], label: str, progress: list | None = None) -> DataFrame:
     """Runs an aggregating stream in update mode; returns the newest row per key.
 
-    Each micro-batch overwrites its own folder, so a repeated batch leaves no double.
+    Each micro-batch overwrites its own folder, so a repeated batch leaves no double. ``progress``
+    receives, per micro-batch, the rows held by the state and those that came after the watermark.
     """
     spark = stream.sparkSession
     out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
@@ -50,6 +51,8 @@ def run_update(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
 
     q = stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
+    if progress is not None:
+        progress += [tuple(sum(o[k] for o in p["stateOperators"]) for k in ("numRowsTotal", "numRowsDroppedByWatermark")) for p in q.recentProgress]
     rows = spark.read.option("basePath", out).parquet(f"{out}/_batch=*")
     values = [c for c in rows.columns if c not in (*keys, "_batch")]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v"))

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from conftest import SF
 
+from barline.plans import streams
 from barline.streaming import eventtime as et, stateful as sf_
 
 SCHEMA = "sym long, ts timestamp, dt date, event_id long, sig string, px double, pnl double, text string"
@@ -21,7 +22,7 @@ def ticks():
         "pnl": e["value"] - 52, "text": e["event_type"] + (e["user_id"] % 5).astype(str)})
 
 
-def land(spark, parts, folder, per_batch=None):
+def land(spark, parts, folder, per_batch=None, schema=SCHEMA):
     """The parts as files that are read in this order."""
     import os
 
@@ -29,7 +30,7 @@ def land(spark, parts, folder, per_batch=None):
     for i, part in enumerate(parts):
         part.to_parquet(folder / f"{i:04}.parquet", index=False, coerce_timestamps="us")
         os.utime(folder / f"{i:04}.parquet", (1_700_000_000 + 10 * i,) * 2)
-    reader = spark.readStream.schema(SCHEMA)
+    reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(str(folder))
 
 
@@ -94,6 +95,20 @@ def test_steps_do_not_depend_on_where_rows_are_cut(ticks, make):
         pd.testing.assert_frame_equal(cut, whole.reset_index(drop=True), check_dtype=False)
 
 
+def test_days_leave_the_state_behind_the_watermark(spark, ticks, tmp_path):
+    own = ticks.assign(qty=1.0)
+    step = len(own) // 10
+    cut = [own.iloc[i: i + step] for i in range(0, len(own), step)]
+    old = cut[0].iloc[:7]
+    held = []
+    stream = land(spark, [cut[0].iloc[7:], *cut[1:], old], tmp_path / "in", 1, SCHEMA + ", qty double")
+    got = {(r["sym"], str(r["dt"])): r["close"] for r in streams.day_bars(stream, "1 day", held).collect()}
+    last = own.drop(old.index).groupby(["sym", "dt"])["px"].last()
+    assert {k: got[k] for k in got} == {(s, str(d)): v for (s, d), v in last.items()}
+    # days pass out of the state; what came last was too late, and is counted (by symbol and day, as sums reach the state)
+    assert max(n for n, _ in held) < len(last) / 2 and sum(late for _, late in held) == old.groupby(["sym", "dt"]).ngroups
+
+
 def test_large_numbers_keep_their_digits(spark, ticks, tmp_path):
     big = ticks.assign(event_id=ticks["event_id"] + (1 << 60) + 1)
     got, _ = et.run_in_order(land(spark, [big], tmp_path / "in"), "sym", sf_.suppress_repeats(), sf_.REPEATS, "t", lateness="1 day")
