@@ -92,17 +92,22 @@ def _smooth_sql(names, digits=4):
     return with_(*SMOOTH_CTES, select="SELECT sym, dt, " + ", ".join(f"{r(n, digits)} AS {n}" for n in names) + " FROM smoothed")
 
 
+def _prices(spark, sf, *more):
+    """What the smoothing reads; grouped Python work is handed every column it is given."""
+    return t.bars(spark, sf).select("sym", "dt", "high", "low", "close", *more)
+
+
 _W3 = ["ema9", "ema12", "ema21", "ema26", "ema50", "macd", "macd_signal"]
 
 
 @query("w03_ema_macd", _smooth_sql(_W3))
 def w03(spark, sf):
-    return _keep(recursive.smoothed(t.bars(spark, sf)), _W3, 4)
+    return _keep(recursive.smoothed(_prices(spark, sf)), _W3, 4)
 
 
 @query("w04_rsi_wilder", _smooth_sql(["rsi14", "rsi28"]))
 def w04(spark, sf):
-    return _keep(recursive.smoothed(t.bars(spark, sf)), ["rsi14", "rsi28"], 4)
+    return _keep(recursive.smoothed(_prices(spark, sf)), ["rsi14", "rsi28"], 4)
 
 
 @query(
@@ -120,12 +125,12 @@ def w05(spark, sf):
 
 @query("w06_atr", _smooth_sql(["atr"]))
 def w06(spark, sf):
-    return _keep(recursive.smoothed(t.bars(spark, sf)), ["atr"], 4)
+    return _keep(recursive.smoothed(_prices(spark, sf)), ["atr"], 4)
 
 
 @query("w07_adx_di", _smooth_sql(["adx", "di_spread"]))
 def w07(spark, sf):
-    return _keep(recursive.smoothed(t.bars(spark, sf)), ["adx", "di_spread"], 4)
+    return _keep(recursive.smoothed(_prices(spark, sf)), ["adx", "di_spread"], 4)
 
 
 _STOCH = f"st AS (SELECT *, 100 * (close - {roll('min', 'low', 14)}) / nullif({roll('max', 'high', 14)} - {roll('min', 'low', 14)}, 0) AS stoch_k FROM {{}})"
@@ -179,7 +184,7 @@ CHANNEL_CTES = (
     with_(*CHANNEL_CTES, select="SELECT sym, dt, " + ", ".join(f"{r(c, 5)} AS {c}" for c in _CH) + " FROM chan"),
 )
 def w10(spark, sf):
-    return _keep(technical.technical_channels(t.bars(spark, sf)), _CH, 5)
+    return _keep(technical.technical_channels(_prices(spark, sf, "volume")), _CH, 5)
 
 
 @query(
@@ -355,7 +360,7 @@ _KELT_CTES = (
 
 @query("w21_keltner", with_(BARS, *_KELT_CTES, select=f"SELECT sym, dt, {r('keltner_pos')} AS keltner_pos FROM kelt"))
 def w21(spark, sf):
-    return _keep(recursive.keltner(t.bars(spark, sf)), ["keltner_pos"])
+    return _keep(recursive.keltner(_prices(spark, sf)), ["keltner_pos"])
 
 
 _RANGE_CTES = (
