@@ -65,23 +65,37 @@ def lyndon_grouping(text: list[int]) -> list[int]:
     below = list(range(-1, top))
     above = list(range(1, top + 2))
     smaller = [-1] * n
-    done = bytearray(n)
+    # one place more, never set: walking left ends at -1
+    done = bytearray(n + 1)
     current = top
     lowest = 0
     while current >= 0:
-        own = sorted(s for s in members[current] if group[s] == current)
+        own = [s for s in members[current] if group[s] == current]
         members[current] = own
-        for s in own:
+        if len(own) == 1:
+            # a group of one points at one suffix, which moves alone
+            s = own[0]
             done[s] = 1
-        pointed: dict[int, int] = {}
-        for s in own:
             j = s - 1
-            while j >= 0 and done[j]:
+            while done[j]:
                 j = smaller[j]
             smaller[s] = j
-            if j >= 0:
-                pointed[j] = pointed.get(j, 0) + 1
-        level, moving = 1, list(pointed)
+            moving = [j] if j >= 0 else []
+            pointed = {j: 1}
+        else:
+            own.sort()
+            for s in own:
+                done[s] = 1
+            pointed = {}
+            for s in own:
+                j = s - 1
+                while done[j]:
+                    j = smaller[j]
+                smaller[s] = j
+                if j >= 0:
+                    pointed[j] = pointed.get(j, 0) + 1
+            moving = list(pointed)
+        level = 1
         while moving:
             made: dict[int, int] = {}
             for p in moving:
@@ -237,7 +251,7 @@ def _starts(data: np.ndarray, row_end: np.ndarray, inner: np.ndarray, mode: np.n
     after_space[1:] = tb.SPACE[data[:-1]]
     padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
     four = padded[:-4] | padded[1:-3] << np.uint32(8) | padded[2:-2] << np.uint32(16) | padded[3:-1] << np.uint32(24)
-    chosen = (four * np.uint32(0x9E3779B1) >> np.uint32(30) < 2) & (at + 4 <= row_end)
+    chosen = (four * np.uint32(0x9E3779B1) >> np.uint32(29) < 2) & (at + 4 <= row_end)
     return inner & ((mode == 2) | after_space & ((mode == 1) | (mode == 0) & chosen))
 
 
