@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.cols import attach, by_sym, change, col, finite, ratio
+from barline.operators.pairs import pair_correlations  # noqa: F401
 
 # Listing codes of the venue files
 EQUITY_SERIES = ("EQ",)
@@ -215,32 +216,6 @@ def split_at(panel: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
     return panel.where(F.col("dt") < cut), panel.where(F.col("dt") >= cut)
 
 
-def pair_correlations(rets: DataFrame, names: list[int | str] | DataFrame, value: str = "ret", by: str = "dt") -> DataFrame:
-    """Correlation of every pair of a stated universe (a list, or a table of distinct ``sym``), over the sessions both have.
-
-    Names meet inside a session and the pairs are summed map-side, so what is shuffled is
-    one row per pair and task; any number of names will do. A pair without a common
-    session has n = 0.
-    """
-    spark = rets.sparkSession
-    kind = rets.schema["sym"].dataType
-    if isinstance(names, DataFrame):
-        listed = names.select(F.col("sym").cast(kind).alias("sym"), F.col("sym").alias("_i"))
-    else:
-        listed = spark.createDataFrame([(n, i) for i, n in enumerate(names)], ["sym", "_i"]).withColumn("sym", F.col("sym").cast(kind))
-    rows = rets.where(F.col(value).isNotNull()).join(listed, "sym").select(by, "sym", "_i", F.col(value).alias("_v"))
-    x = rows.select(by, F.col("sym").alias("a"), F.col("_i").alias("_ia"), F.col("_v").alias("_x"))
-    y = rows.select(by, F.col("sym").alias("b"), F.col("_i").alias("_ib"), F.col("_v").alias("_y"))
-    met = x.join(y, by).where(F.col("_ia") < F.col("_ib")).groupBy("a", "b").agg(
-        F.covar_pop("_x", "_y").alias("c"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.count(F.lit(1)).alias("n"))
-    # the universe is stated, so all its pairs are too
-    every = listed.select(F.col("sym").alias("a"), F.col("_i").alias("_ia")).join(
-        listed.select(F.col("sym").alias("b"), F.col("_i").alias("_ib")), F.col("_ia") < F.col("_ib")).select("a", "b")
-    stats = every.join(met, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    corr = F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.sqrt(F.col("vx") * F.col("vy")))
-    return stats.select("a", "b", "n", corr.alias("corr"))
-
-
 def novel_edge_share(train: DataFrame, test: DataFrame, limit: float = 0.3, tolerance: float = 0.1) -> DataFrame:
     """Strong test-set correlations absent from the training set, as a share."""
     strong = F.abs("corr") > limit

@@ -186,6 +186,34 @@ def test_pair_correlations_of_many_names(spark):
     assert np.allclose(got["corr"], [wide.loc[a, b] for a, b in zip(got["a"], got["b"])])
 
 
+def test_pairs_meet_block_by_block(spark):
+    """No row per pair and session is made, and constant, lone, absent and infinite histories keep their results."""
+    rng = np.random.default_rng(5)
+    x = {(d, s): float(v) for (d, s), v in np.ndenumerate(rng.normal(3, 1, (40, 300))) if rng.random() < 0.3}
+    x |= {(d, 7): 0.1 for d in range(40)} | {(0, 8): 1.0, (1, 9): float("inf")}
+    x = {k: v for k, v in x.items() if k[1] != 11 and (k[1] != 8 or k[0] == 0)}
+    rows = [(D(2020, 1, 1) + dt.timedelta(days=d), s, v) for (d, s), v in x.items()]
+    names = spark.range(0, 300).select(F.col("id").alias("sym"))
+    out = quality.pair_correlations(spark.createDataFrame(rows, "dt date, sym bigint, ret double"), names)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join") == 1, "sessions are joined with each other"
+    got = {(r["a"], r["b"]): (r["n"], r["corr"]) for r in out.collect()}
+    assert len(got) == 300 * 299 // 2
+    for (a, b), (n, corr) in got.items():
+        both = [d for d in range(40) if (d, a) in x and (d, b) in x]
+        u, v = (np.array([x[d, s] for d in both]) for s in (a, b))
+        assert a < b and n == len(both)
+        if not np.isfinite([*u, *v]).all():
+            assert np.isnan(corr)
+        elif n < 2 or len(set(u)) == 1 or len(set(v)) == 1:
+            assert corr is None
+        else:
+            assert abs(corr - np.corrcoef(u, v)[0, 1]) < 1e-9
+    strong = quality.pair_correlations(spark.createDataFrame(rows, "dt date, sym bigint, ret double"), names, least=3, beyond=0.8).collect()
+    want = {k for k, (n, c) in got.items() if n >= 3 and c is not None and (np.isnan(c) or abs(c) > 0.8)}
+    assert {(r["a"], r["b"]) for r in strong} == want
+
+
 def test_a_cycle_has_no_longest_path(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
     with pytest.raises(ValueError):
