@@ -25,6 +25,13 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def quotient(a: Column | str, b: Column | str) -> Column:
+    """``a / b`` as floats divide: infinite, or no number, where ``b`` is zero."""
+    a, b = col(a), col(b)
+    by_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    return F.when(b != 0, a / b).when(b == 0, by_zero)
+
+
 def nonzero(c: Column | str) -> Column:
     c = col(c)
     return F.when(c != 0, c)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.cols import by_sym, expanding_z, ratio, squash
+from barline.functions.cols import by_sym, expanding_z, quotient, ratio, squash
 from barline.operators.ordering import value_ranks
 from barline.operators.sliced import sliced_lag, sliced_running_sum
 
@@ -84,11 +84,12 @@ def _levels(side: str, field: str, start: int = 1) -> Column:
     return F.aggregate(part, F.lit(0.0), lambda a, x: a + x[field].cast("double"))
 
 
-def book_shape(depth: DataFrame) -> DataFrame:
+def book_shape(depth: DataFrame, priced: bool = True) -> DataFrame:
     """Per snapshot: imbalance, best spread, its size in basis points, slope of book pressure.
 
     ``bids`` and ``asks`` are arrays of (quantity, price, orders), best level first.
-    Snapshots without both sides, or without any quantity, are left out.
+    Snapshots without both sides, or without any quantity, are left out. With ``priced`` a
+    spread in basis points needs a positive midpoint; without, it is the plain quotient.
     """
     base = depth.where((F.size("bids") > 0) & (F.size("asks") > 0))
     base = base.withColumns({"_b": _levels("bids", "quantity"), "_a": _levels("asks", "quantity")}).where(F.col("_b") + F.col("_a") > 0)
@@ -101,19 +102,19 @@ def book_shape(depth: DataFrame) -> DataFrame:
         {
             "imbalance": (F.col("_b") - F.col("_a")) / (F.col("_b") + F.col("_a")),
             "spread": ask - bid,
-            "spread_bps": F.when(mid > 0, 10_000 * (ask - bid) / mid),
+            "spread_bps": F.when(mid > 0, 10_000 * (ask - bid) / mid) if priced else quotient(10_000 * (ask - bid), mid),
             "slope": ratio(F.col("_near") - F.col("_far"), F.abs("_near") + F.abs("_far")),
         }
     ).drop("_b", "_a", "_near", "_far")
 
 
-def order_flow_features(depth: DataFrame, pos: str = "pos") -> DataFrame:
+def order_flow_features(depth: DataFrame, pos: str = "pos", priced: bool = True) -> DataFrame:
     """Four daily features per symbol; the closing imbalance covers the last 2 % of snapshots.
 
     The cut for the last snapshots comes from exact ranks of the arrival order over
     value ranges, so a busy symbol's day is not sorted in one task.
     """
-    shaped = book_shape(depth)
+    shaped = book_shape(depth, priced)
     ranks = value_ranks(shaped, ["sym", "dt"], pos).withColumn(
         "_late", F.col("below") >= F.col("total") - F.greatest(F.lit(1), F.floor(F.col("total") / 50))
     )
