@@ -40,6 +40,7 @@ DEPTH_SCHEMA = T.StructType(
     + [T.StructField("ltp", T.DoubleType())]
     + [T.StructField(c, T.LongType()) for c in ("lq", "v", "tbq", "tsq")]
     + [T.StructField(c, T.ArrayType(T.ArrayType(T.DoubleType()))) for c in ("b", "a")]
+    + [T.StructField("seq", T.LongType())]
 )
 
 
@@ -186,10 +187,10 @@ def read_depth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def depth_books(rows: DataFrame) -> DataFrame:
-    """Recorded level lists as (quantity, price, orders) structs."""
+    """Recorded level lists as (quantity, price, orders) structs; ``seq`` is the order of arrival, by time where none was recorded."""
     level = lambda e: F.struct(e[0].alias("quantity"), e[1].alias("price"), e[2].cast("int").alias("orders"))
     return rows.select(
-        F.col("tk").alias("sym"), "dt", "ts", "ltp", "v", F.transform("b", level).alias("bids"), F.transform("a", level).alias("asks")
+        F.col("tk").alias("sym"), "dt", "ts", "ltp", "v", F.coalesce("seq", "ts").alias("seq"), F.transform("b", level).alias("bids"), F.transform("a", level).alias("asks"),
     )
 
 

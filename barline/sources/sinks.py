@@ -30,11 +30,12 @@ def write_documents(documents: DataFrame, path: str, key: str, text: str) -> Non
 
 
 def write_depth(rows: DataFrame, path: str) -> None:
-    """Recorded books as gzipped JSON lines per session."""
+    """Recorded books as gzipped JSON lines per session; ``pos``, where given, orders books of equal times (``seq``)."""
     packed = lambda side: F.transform(side, lambda e: F.array(e["quantity"].cast("double"), e["price"].cast("double"), e["orders"].cast("double")))
     out = rows.select(
         "dt", (F.unix_micros("ts") * 1000).alias("ts"), F.col("sym").alias("tk"), F.col("px").alias("ltp"),
         F.col("qty").cast("bigint").alias("v"), packed("bids").alias("b"), packed("asks").alias("a"),
+        *([F.col("pos").alias("seq")] if "pos" in rows.columns else []),
     )
     out.write.mode("append").partitionBy("dt").option("compression", "gzip").json(path)
 

@@ -49,3 +49,11 @@ def test_a06_order_flow(spark, odd):
 
 def test_r03_stream_order_flow(spark, odd):
     assert any("inf" in r for r in agrees(spark, odd, "r03_stream_order_flow"))
+
+
+def test_s07_depth_files(spark, odd):
+    assert any("inf" in r for r in agrees(spark, odd, "s07_depth_files"))
+
+
+def test_w34_flow_toxicity(spark, odd):
+    assert any("inf" in r and "nan" in r for r in agrees(spark, odd, "w34_flow_toxicity"))
