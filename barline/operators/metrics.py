@@ -17,6 +17,14 @@ def sharpe(mean: Column, sd: Column) -> Column:
     return F.when(sd > 1e-12, mean / sd * math.sqrt(DAYS)).otherwise(0.0)
 
 
+def place(score: str) -> Column:
+    """Rank of the largest score first; scores that differ by the order of their sums only share a place.
+
+    One row per strategy is ranked.
+    """
+    return F.rank().over(Window.orderBy(F.desc(F.round(score, 10)))).cast("bigint")
+
+
 def equity_curve(daily: DataFrame, *keys: str, ret: str = "ret") -> DataFrame:
     """Compounded equity, its running peak and drawdown along each key's sessions."""
     past = Window.partitionBy(*keys).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)

@@ -180,8 +180,7 @@ def a16(spark, sf):
 @query("d16_compare_strategies", with_(*STRAT_DAYS, select=f"SELECT strategy, {r('sharpe')} AS sharpe, {r('max_drawdown')} AS max_drawdown, CAST(rank() OVER (ORDER BY sharpe DESC) AS BIGINT) AS place FROM perf"))
 def d16(spark, sf):
     p = mx.performance(strategy_days(spark, sf), "strategy")
-    # one row per strategy
-    return p.select("strategy", rnd("sharpe").alias("sharpe"), rnd("max_drawdown").alias("max_drawdown"), F.rank().over(Window.orderBy(F.desc("sharpe"))).cast("bigint").alias("place"))
+    return p.select("strategy", rnd("sharpe").alias("sharpe"), rnd("max_drawdown").alias("max_drawdown"), mx.place("sharpe").alias("place"))
 
 
 # ---- market state ------------------------------------------------------------------------------------

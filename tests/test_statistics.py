@@ -208,3 +208,10 @@ def test_pending_draws(spark, tmp_path):
     (tmp_path / "broken" / "part-0.parquet").write_text("not a table")
     with pytest.raises(Exception):  # noqa: B017
         pending_draws(spark, str(tmp_path / "broken"), wanted).count()
+
+
+def test_scores_equal_but_for_their_last_bits_share_a_place(spark):
+    """Two strategies with the same weights differ by the order in which their sums were taken."""
+    rows = [("equal", 7.703402469768488), ("momentum", 7.703402469768489), ("other", 7.7034), ("none", None)]
+    got = spark.createDataFrame(rows, "strategy string, sharpe double").select("strategy", mx.place("sharpe").alias("place")).collect()
+    assert {r["strategy"]: r["place"] for r in got} == {"equal": 1, "momentum": 1, "other": 3, "none": 4}
