@@ -1,14 +1,17 @@
 """Recursive smoothing and filtering.
 
 An exponential average feeds on its own last value, which a window cannot
-express. Each symbol's history goes through one grouped pandas pass; it holds
-at most one row per calendar session, so the group is small by construction.
+express. A symbol's history holds at most one row per calendar session; exponential
+averages take some hundred histories at once, filters one after the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -26,12 +29,72 @@ def _grouped(panel: DataFrame, keys: list[str], names: list[str], fn) -> DataFra
     return spread(panel, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
-def _wilder(x: pd.Series, n: int) -> pd.Series:
-    return x.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
+#: Rows that are worked on at once, whole symbols of a task
+ROWS = 100_000
+
 
+def _many(
+    panel: DataFrame, keys: Sequence[str], names: Sequence[str], fn: Callable[[pd.DataFrame, pd.Series], dict], kept: Sequence[str] | None = None
+) -> DataFrame:
+    """Adds the columns ``names`` that ``fn`` makes of many whole histories at once; ``kept`` are the columns of the panel that come along.
 
-def _span(x: pd.Series, n: int) -> pd.Series:
-    return x.ewm(span=n, adjust=False, min_periods=n).mean()
+    ``fn`` is given rows ordered by symbol and session, and a number that changes with the
+    symbol: one call for some hundred symbols instead of one per symbol. A task holds ``ROWS``
+    rows and the history that runs on.
+    """
+    fields = {f.name: f for f in panel.schema.fields}
+    kept = list(panel.columns if kept is None else kept)
+    schema = T.StructType([fields[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in names])
+    read = [c for c in ("close", "high", "low") if c in fields]
+
+    def done(rows: pa.Table) -> pa.Table:
+        ids = [rows.column(k).combine_chunks() for k in keys]
+        at = np.zeros(len(rows), np.int64)
+        for k in ids:
+            code = k.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            at[1:] |= code[1:] != code[:-1]
+        by = pd.Series(np.cumsum(at))
+        # a missing value is NaN to the averages
+        made = fn(pd.DataFrame({c: rows.column(c).cast(pa.float64()).to_numpy() for c in read}), by)
+        rows = rows.select(kept)
+        for n in names:
+            rows = rows.append_column(n, pa.array(made[n].to_numpy(), pa.float64(), from_pandas=True))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, goal = [], 0, ROWS
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            if size < goal:
+                continue
+            rows = pa.Table.from_batches(held)
+            last = [rows.column(k)[-1] for k in keys]
+            # the last history may go on in the next batch
+            whole = size
+            while whole and all(rows.column(k)[whole - 1] == v for k, v in zip(keys, last, strict=True)):
+                whole -= 1
+            if whole:
+                yield from done(rows.slice(0, whole)).to_batches()
+            rest = rows.slice(whole).combine_chunks()
+            held, size = rest.to_batches(), rest.num_rows
+            goal = max(ROWS, 2 * size)
+        if size:
+            yield from done(pa.Table.from_batches(held)).to_batches()
+
+    return spread(panel, *keys).sortWithinPartitions(*keys, "dt").mapInArrow(run, schema)
+
+
+def _wilder(x: pd.Series | pd.DataFrame, n: int, by: pd.Series) -> pd.Series | pd.DataFrame:
+    return _decayed(x, by, alpha=1 / n, min_periods=n)
+
+
+def _span(x: pd.Series | pd.DataFrame, n: int, by: pd.Series) -> pd.Series | pd.DataFrame:
+    return _decayed(x, by, span=n, min_periods=n)
+
+
+def _decayed(x: pd.Series | pd.DataFrame, by: pd.Series, **how) -> pd.Series | pd.DataFrame:
+    """Exponential average inside each symbol; the symbols' rows follow each other, so places stay."""
+    return x.groupby(by, sort=False).ewm(adjust=False, **how).mean().set_axis(x.index)
 
 
 def _no_zero(x: pd.Series) -> pd.Series:
@@ -44,44 +107,47 @@ SMOOTHED = (
 )
 
 
-def _smooth_history(h: pd.DataFrame) -> dict[str, pd.Series]:
+def _smooth_history(h: pd.DataFrame, by: pd.Series) -> dict[str, pd.Series]:
     close, high, low = (h[c].astype("float64") for c in ("close", "high", "low"))
-    out = {f"ema{n}": _span(close, n) for n in (9, 12, 21, 26, 50)}
+    first = by != by.shift()
+    out = {f"ema{n}": _span(close, n, by) for n in (9, 12, 21, 26, 50)}
     out["macd"] = out["ema12"] - out["ema26"]
-    out["macd_signal"] = _span(out["macd"], 9)
-    move = close.diff()
-    for n in (14, 28):
-        strength = _wilder(move.clip(lower=0), n) / _no_zero(_wilder((-move).clip(lower=0), n))
-        out[f"rsi{n}"] = 100 - 100 / (1 + strength)
-    before = close.shift()
-    true_range = np.fmax(high - low, np.fmax((high - before).abs(), (low - before).abs()))
-    out["atr"] = _wilder(true_range, 14)
-    rise, fall = high.diff(), -low.diff()
+    out["macd_signal"] = _span(out["macd"], 9, by)
+    move = close.diff().mask(first)
+    before = close.shift().mask(first)
+    rise, fall = high.diff().mask(first), -low.diff().mask(first)
+    parts = pd.DataFrame({
+        "gain": move.clip(lower=0), "loss": (-move).clip(lower=0),
+        "true_range": np.fmax(high - low, np.fmax((high - before).abs(), (low - before).abs())),
+        "plus": rise.where((rise > fall) & (rise > 0), 0.0), "minus": fall.where((fall > rise) & (fall > 0), 0.0),
+    })
+    slow = _wilder(parts, 14, by)
+    for n, w in ((14, slow), (28, _wilder(parts[["gain", "loss"]], 28, by))):
+        out[f"rsi{n}"] = 100 - 100 / (1 + w["gain"] / _no_zero(w["loss"]))
+    out["atr"] = slow["true_range"]
     scale = _no_zero(out["atr"])
-    plus = 100 * _wilder(rise.where((rise > fall) & (rise > 0), 0.0), 14) / scale
-    minus = 100 * _wilder(fall.where((fall > rise) & (fall > 0), 0.0), 14) / scale
-    out["adx"] = _wilder(100 * (plus - minus).abs() / _no_zero(plus + minus), 14)
+    plus, minus = 100 * slow["plus"] / scale, 100 * slow["minus"] / scale
+    out["adx"] = _wilder(100 * (plus - minus).abs() / _no_zero(plus + minus), 14, by)
     out["di_spread"] = plus - minus
     return out
 
 
-def smoothed(panel: DataFrame, *keys: str) -> DataFrame:
+def smoothed(panel: DataFrame, *keys: str, names: Sequence[str] = SMOOTHED, kept: Sequence[str] | None = None) -> DataFrame:
     """Adds exponential averages, their cross, strength indexes, true range, trend strength."""
-    return _grouped(panel, [*keys, "sym"], list(SMOOTHED), _smooth_history)
+    return _many(panel, [*keys, "sym"], names, _smooth_history, kept)
 
 
-def _keltner_history(h: pd.DataFrame) -> dict[str, pd.Series]:
+def _keltner_history(h: pd.DataFrame, by: pd.Series) -> dict[str, pd.Series]:
     close, high, low = (h[c].astype("float64") for c in ("close", "high", "low"))
-    before = close.shift()
+    before = close.shift().mask(by != by.shift())
     wide = np.maximum(high - low, np.maximum((high - before).abs(), (low - before).abs()))
-    middle = close.ewm(span=20, adjust=False).mean()
-    band = 2 * wide.ewm(span=20, adjust=False).mean()
-    return {"keltner_pos": ((close - middle) / band.clip(lower=1e-12)).clip(-3, 3)}
+    middle = _decayed(pd.DataFrame({"close": close, "wide": wide}), by, span=20)
+    return {"keltner_pos": ((close - middle["close"]) / (2 * middle["wide"]).clip(lower=1e-12)).clip(-3, 3)}
 
 
 def keltner(panel: DataFrame) -> DataFrame:
     """Position inside an exponential band, no warm-up gate."""
-    return _grouped(panel, ["sym"], ["keltner_pos"], _keltner_history)
+    return _many(panel, ["sym"], ["keltner_pos"], _keltner_history)
 
 
 def kalman_fill(panel: DataFrame, value: str, out: str, process: float = 1e-3, noise: float = 0.1) -> DataFrame:

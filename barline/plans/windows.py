@@ -93,21 +93,25 @@ def _smooth_sql(names, digits=4):
 
 
 def _prices(spark, sf, *more):
-    """What the smoothing reads; grouped Python work is handed every column it is given."""
+    """What the smoothing reads; Python work is handed every column it is given."""
     return t.bars(spark, sf).select("sym", "dt", "high", "low", "close", *more)
 
 
+def _smooth(spark, sf, names):
+    return _keep(recursive.smoothed(_prices(spark, sf), names=names, kept=("sym", "dt")), names, 4)
+
+
 _W3 = ["ema9", "ema12", "ema21", "ema26", "ema50", "macd", "macd_signal"]
 
 
 @query("w03_ema_macd", _smooth_sql(_W3))
 def w03(spark, sf):
-    return _keep(recursive.smoothed(_prices(spark, sf)), _W3, 4)
+    return _smooth(spark, sf, _W3)
 
 
 @query("w04_rsi_wilder", _smooth_sql(["rsi14", "rsi28"]))
 def w04(spark, sf):
-    return _keep(recursive.smoothed(_prices(spark, sf)), ["rsi14", "rsi28"], 4)
+    return _smooth(spark, sf, ["rsi14", "rsi28"])
 
 
 @query(
@@ -125,12 +129,12 @@ def w05(spark, sf):
 
 @query("w06_atr", _smooth_sql(["atr"]))
 def w06(spark, sf):
-    return _keep(recursive.smoothed(_prices(spark, sf)), ["atr"], 4)
+    return _smooth(spark, sf, ["atr"])
 
 
 @query("w07_adx_di", _smooth_sql(["adx", "di_spread"]))
 def w07(spark, sf):
-    return _keep(recursive.smoothed(_prices(spark, sf)), ["adx", "di_spread"], 4)
+    return _smooth(spark, sf, ["adx", "di_spread"])
 
 
 _STOCH = f"st AS (SELECT *, 100 * (close - {roll('min', 'low', 14)}) / nullif({roll('max', 'high', 14)} - {roll('min', 'low', 14)}, 0) AS stoch_k FROM {{}})"

@@ -344,7 +344,8 @@ def _bin(c, n):
 
 @query("c22_state_counts", with_(*CHANNEL_CTES, select=f"SELECT {_bin('atr_share', 3)} AS regime, {_bin('rsi14', 5)} AS strength, {_bin('macd_gap', 5)} AS trend, CAST(count(*) AS BIGINT) AS n FROM chan GROUP BY 1, 2, 3"))
 def c22(spark, sf):
-    return xs.state_counts(technical.technical_channels(t.bars(spark, sf)), "atr_share", "rsi14", "macd_gap")
+    panel = t.bars(spark, sf).select("sym", "dt", "high", "low", "close", "volume")
+    return xs.state_counts(technical.technical_channels(panel), "atr_share", "rsi14", "macd_gap")
 
 
 @query(
