@@ -135,10 +135,12 @@ def source_disagreement(a: DataFrame, b: DataFrame, tolerance: float = 0.01) ->
 
 
 def first_source(rows: DataFrame, priority: str, values: list[str]) -> DataFrame:
-    """Of several sources for one cell, the one with the lowest priority number wins."""
-    packed = F.struct(*values)
-    best = rows.groupBy("sym", "dt").agg(F.min_by(packed, F.col(priority)).alias("_b"), F.min(priority).alias(priority))
-    return best.select("sym", "dt", priority, *[F.col(f"_b.{v}").alias(v) for v in values])
+    """Of several sources for one cell, the one with the lowest priority number wins.
+
+    Each source has one row per cell. A value by itself stays inside the hash aggregate; a
+    struct of them would have every task sort its cells.
+    """
+    return rows.groupBy("sym", "dt").agg(F.min(priority).alias(priority), *[F.min_by(v, priority).alias(v) for v in values])
 
 
 def illiquid_flags(panel: DataFrame, value: str = "volume", run: int = 3) -> DataFrame:

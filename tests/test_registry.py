@@ -39,3 +39,16 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).count() == 16
+
+
+def test_tasks_share_grows_with_no_table(spark):
+    """What a task sorts or groups is dealt by the number of rows, not by a fixed number of partitions."""
+    from barline import session
+
+    old, session.TASK_ROWS = session.TASK_ROWS, 1000
+    try:
+        for name in ("x02_source_registry", "c03_symbol_rank"):
+            plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert ", 6), REPARTITION_BY_NUM" in plan
+    finally:
+        session.TASK_ROWS = old
