@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barline.functions import costs, mathx
-from barline.functions.cols import rnd
+from barline.functions.cols import change, rnd
 from barline.operators import technical, xsection as xs
 from barline.operators.ordering import exact_quantiles, window_rank
 from barline.plans.ansi import BARS, BARS10, lag, over, pct_rank, r, with_
 from barline.plans.registry import query
 from barline.plans.windows import CHANNEL_CTES
-from barline.session import durable
+from barline.session import dealt, durable
 from barline.sources import tables as t
 
 CH10 = (BARS10, *CHANNEL_CTES[1:])
@@ -67,7 +67,9 @@ def j10(spark, sf):
 
 @query("c03_symbol_rank", with_(BARS, _X, select=f"SELECT sym, dt, {pct_rank('trades', 'sym', percent=False)} AS rank_trades, {pct_rank('ret', 'sym', percent=False)} AS rank_ret FROM x"))
 def c03(spark, sf):
-    return _base(spark, sf).select(
+    # not more bars than fills, which the footers of the files count
+    bars = dealt(t.bars(spark, sf).select("sym", "dt", "close", "trades"), t.table(spark, sf, "lineitem").count(), "sym")
+    return bars.withColumn("ret", change("close")).select(
         "sym", "dt", window_rank(["sym"], "trades").alias("rank_trades"), window_rank(["sym"], "ret").alias("rank_ret")
     )
 
