@@ -57,3 +57,8 @@ def test_tasks_share_grows_with_no_table(spark):
 def test_landed_prices_are_compressed(spark):
     files = entry.queries()["s01_daily_prices"](spark, SF).inputFiles()
     assert files and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_rank_products_write_what_they_rank(spark):
+    files = [f for f in entry.queries()["c02_rank_products"](spark, SF).inputFiles() if "/returns-" in f]
+    assert files and spark.read.parquet(*files).columns == ["sym", "dt", "close", "volume", "ret_5"]
