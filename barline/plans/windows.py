@@ -409,7 +409,7 @@ _ALL = patterns.CANDLES + patterns.CHANNELS + patterns.MICRO
     ),
 )
 def w24(spark, sf):
-    return _keep(patterns.pattern_features(t.bars(spark, sf)), _ALL)
+    return _keep(patterns.pattern_features(_prices(spark, sf, "open", "volume")), _ALL)
 
 
 @query(

@@ -47,3 +47,12 @@ def test_histories_are_smoothed_together(spark, monkeypatch):
     assert len(got) == len(want)
     for c in ("macd_signal", "atr", "rsi14", "keltner_pos"):
         assert np.allclose(got[c].astype("float64"), want[c], equal_nan=True, rtol=1e-9), c
+
+
+def test_only_what_is_read_goes_through_python(spark):
+    from conftest import SF
+
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["w24_pattern_features"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "turnover" not in plan
