@@ -33,19 +33,18 @@ def _grouped(panel: DataFrame, keys: list[str], names: list[str], fn) -> DataFra
 ROWS = 100_000
 
 
-def _many(
-    panel: DataFrame, keys: Sequence[str], names: Sequence[str], fn: Callable[[pd.DataFrame, pd.Series], dict], kept: Sequence[str] | None = None
+def _whole(
+    panel: DataFrame, keys: Sequence[str], names: Sequence[str], work: Callable[[pa.Table, np.ndarray], dict], kept: Sequence[str] | None = None
 ) -> DataFrame:
-    """Adds the columns ``names`` that ``fn`` makes of many whole histories at once; ``kept`` are the columns of the panel that come along.
+    """Adds the columns ``names`` that ``work`` makes of many whole histories at once; ``kept`` are the columns of the panel that come along.
 
-    ``fn`` is given rows ordered by symbol and session, and a number that changes with the
+    ``work`` is given rows ordered by symbol and session, and a number that changes with the
     symbol: one call for some hundred symbols instead of one per symbol. A task holds ``ROWS``
     rows and the history that runs on.
     """
     fields = {f.name: f for f in panel.schema.fields}
     kept = list(panel.columns if kept is None else kept)
     schema = T.StructType([fields[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in names])
-    read = [c for c in ("close", "high", "low") if c in fields]
 
     def done(rows: pa.Table) -> pa.Table:
         ids = [rows.column(k).combine_chunks() for k in keys]
@@ -53,12 +52,10 @@ def _many(
         for k in ids:
             code = k.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             at[1:] |= code[1:] != code[:-1]
-        by = pd.Series(np.cumsum(at))
-        # a missing value is NaN to the averages
-        made = fn(pd.DataFrame({c: rows.column(c).cast(pa.float64()).to_numpy() for c in read}), by)
+        made = work(rows, np.cumsum(at))
         rows = rows.select(kept)
         for n in names:
-            rows = rows.append_column(n, pa.array(made[n].to_numpy(), pa.float64(), from_pandas=True))
+            rows = rows.append_column(n, made[n])
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +81,19 @@ def _many(
     return spread(panel, *keys).sortWithinPartitions(*keys, "dt").mapInArrow(run, schema)
 
 
+def _many(
+    panel: DataFrame, keys: Sequence[str], names: Sequence[str], fn: Callable[[pd.DataFrame, pd.Series], dict], kept: Sequence[str] | None = None
+) -> DataFrame:
+    """``_whole`` with closes, highs and lows as pandas columns; a missing value is NaN to the averages."""
+    read = [c for c in ("close", "high", "low") if c in panel.columns]
+
+    def work(rows: pa.Table, by: np.ndarray) -> dict:
+        made = fn(pd.DataFrame({c: rows.column(c).cast(pa.float64()).to_numpy() for c in read}), pd.Series(by))
+        return {n: pa.array(made[n].to_numpy(), pa.float64(), from_pandas=True) for n in names}
+
+    return _whole(panel, keys, names, work, kept)
+
+
 def _wilder(x: pd.Series | pd.DataFrame, n: int, by: pd.Series) -> pd.Series | pd.DataFrame:
     return _decayed(x, by, alpha=1 / n, min_periods=n)
 

@@ -31,6 +31,8 @@ from barline.functions.cols import (
     trailing,
     trailing_z,
 )
+from barline.operators.rolling import Roll, rolled
+from barline.session import spread
 
 TINY = 1e-12
 
@@ -166,20 +168,22 @@ def return_features(panel: DataFrame) -> DataFrame:
 
     Undefined values take the last defined one, then 0.
     """
-    base = panel.withColumn("ret1", F.coalesce(change("close"), F.lit(0.0)))
-    base = mean_rsi(base, "ret1", 14, "rsi14").withColumns(
+    # dealt before the lags, so that the rows are not dealt again after them
+    base = spread(panel.select("sym", "dt", "close"), "sym").withColumn("ret1", F.coalesce(change("close"), F.lit(0.0)))
+    base = base.withColumn("_d", F.col("ret1") - F.lag("ret1").over(by_sym()))
+    base = base.select("sym", "dt", "ret1", at_least("_d", 0.0).alias("_up"), at_least(-F.col("_d"), 0.0).alias("_down"))
+    return rolled(
+        base,
         {
-            "ret5": roll_sum("ret1", 5),
-            "ret20": roll_sum("ret1", 20),
-            "vol20": roll_std("ret1", 20),
-            "zscore": (F.col("ret1") - roll_mean("ret1", 252)) / (roll_std("ret1", 252) + 1e-8),
-            "mom20": roll_mean("ret1", 20),
-        }
-    )
-    past = by_sym().rowsBetween(Window.unboundedPreceding, 0)
-    names = ("ret1", "ret5", "ret20", "vol20", "zscore", "rsi14", "mom20")
-    return base.withColumns(
-        {c: F.coalesce(F.last(finite(c), ignorenulls=True).over(past), F.lit(0.0)) for c in names}
+            "ret5": Roll("sum", "ret1", 5), "ret20": Roll("sum", "ret1", 20), "vol20": Roll("std", "ret1", 20), "mom20": Roll("mean", "ret1", 20),
+            "_mean": Roll("mean", "ret1", 252), "_std": Roll("std", "ret1", 252), "_gain": Roll("mean", "_up", 14), "_loss": Roll("mean", "_down", 14),
+        },
+        then={
+            "zscore": lambda c: (c["ret1"] - c["_mean"]) / (c["_std"] + 1e-8),
+            "rsi14": lambda c: 100 - 100 / (1 + c["_gain"] / (c["_loss"] + 1e-8)),
+        },
+        filled=("ret1", "ret5", "ret20", "vol20", "zscore", "rsi14", "mom20"),
+        kept=("sym", "dt"),
     )
 
 
