@@ -29,7 +29,6 @@ from barline.functions.cols import (
     roll_sum,
     squash,
     trailing,
-    trailing_z,
 )
 from barline.operators.rolling import Roll, rolled
 from barline.session import spread
@@ -284,13 +283,8 @@ def delivery_features(panel: DataFrame) -> DataFrame:
             "_ld": F.when(F.col("delivered") > 0, F.ln("delivered")),
         }
     )
-    return base.withColumns(
-        {
-            "deliv_pct_z": trailing_z("deliv_pct"),
-            "avg_trade_size_z": trailing_z("avg_trade_size_log"),
-            "deliv_qty_z": trailing_z("_ld"),
-        }
-    ).drop("_ld")
+    z = {"deliv_pct_z": "deliv_pct", "avg_trade_size_z": "avg_trade_size_log", "deliv_qty_z": "_ld"}
+    return rolled(base, {name: Roll("z", c, 60, 20, skip=1) for name, c in z.items()}, kept=[c for c in base.columns if c != "_ld"])
 
 
 def pair_z(pairs: DataFrame, n: int = 60) -> DataFrame:
