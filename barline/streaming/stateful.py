@@ -41,19 +41,25 @@ def volatility_gate(window: int = 20, sigma: float = 2.0, lockout_us: int = 30 *
     """Cap 0 for a while after a print more than ``sigma`` spreads above the prints before it."""
 
     def step(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        past, out = m.get("past", []), []
-        for at, px in zip(micros(rows["ts"]).tolist(), rows["px"].tolist()):
-            if m.get("until") is not None and at >= m["until"]:
-                m["until"] = None
-            z = None
-            if len(past) >= 2:
-                z = (px - np.mean(past)) / (np.std(past) + 1e-9)
-                if z > sigma:
-                    m["until"] = at + lockout_us
-            past = (past + [px])[-window:]
-            out.append((z, 0.0 if m.get("until") is not None else 1.0))
-        m["past"] = past
-        return rows[["sym", "event_id"]].assign(z=[o[0] for o in out], cap=[o[1] for o in out])
+        at, px = micros(rows["ts"]), rows["px"].to_numpy(float)
+        past = np.array(m.get("past", []), float)
+        known = np.concatenate([past, px])
+        z = np.full(len(px), np.nan)
+        # the first prints have fewer before them than the window holds
+        short = min(max(window - len(past), 0), len(px))
+        for i in range(short):
+            if (n := len(past) + i) >= 2:
+                z[i] = (px[i] - known[:n].mean()) / (known[:n].std() + 1e-9)
+        if short < len(px):
+            before = np.lib.stride_tricks.sliding_window_view(known, window)[len(past) + short - window: -1]
+            z[short:] = (px[short:] - before.mean(axis=1)) / (before.std(axis=1) + 1e-9)
+        until = np.where(z > sigma, at + lockout_us, np.iinfo(np.int64).min)
+        if m.get("until") is not None:
+            until[0] = max(until[0], m["until"])
+        until = np.maximum.accumulate(until)
+        m["past"] = known[-window:].tolist()
+        m["until"] = int(until[-1]) if at[-1] < until[-1] else None
+        return rows[["sym", "event_id"]].assign(z=z, cap=np.where(at < until, 0.0, 1.0))
 
     return step
 
