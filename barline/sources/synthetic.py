@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.cols import attach, by_sym
+from barline.session import dealt, durable
 
 # Drift and volatility per session by regime
 REGIMES = (("bull", 0.0006, 0.009), ("bear", -0.0008, 0.018), ("chop", 0.0, 0.012))
@@ -42,14 +43,19 @@ def regime_segments(cal: DataFrame, seed: str, low: int = 60, high: int = 250) -
 def regime_panel(symbols: DataFrame, cal: DataFrame, seed: str = "11") -> DataFrame:
     """Prices with bull, bear and flat stretches and a common factor, on a given calendar.
 
-    Each symbol carries the session list; the grid grows by an explode and an equi-join.
+    Each symbol carries the session list; the grid grows by an explode and an equi-join. The
+    symbols are dealt by the number of rows they become, for few bytes of them would meet in
+    one task; the sessions are sent to the tasks, so the grid is not dealt again.
     """
+    cal = durable(cal, "calendar")
+    names = durable(symbols.select("sym").distinct(), "symbols")
+    grown = names.count() * cal.count()
     days = cal.join(regime_segments(cal, seed), "bar_idx").withColumn("_f", normal(seed + "m", "bar_idx") * 0.01)
     drift = F.element_at(F.array(*[F.lit(d) for _, d, _ in REGIMES]), F.col("regime") + 1)
     vol = F.element_at(F.array(*[F.lit(v) for _, _, v in REGIMES]), F.col("regime") + 1)
     last = cal.agg(F.max("bar_idx").alias("_last"))
-    grid = attach(symbols.select("sym").distinct(), last).select("sym", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("bar_idx"))
-    rows = grid.join(days, "bar_idx").withColumn("r", drift + vol * (0.6 * F.col("_f") + 0.4 * normal(seed + "e", "bar_idx", "sym")))
+    grid = attach(dealt(names, grown, "sym"), last).select("sym", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("bar_idx"))
+    rows = grid.join(F.broadcast(days), "bar_idx").withColumn("r", drift + vol * (0.6 * F.col("_f") + 0.4 * normal(seed + "e", "bar_idx", "sym")))
     past = by_sym().rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("sym", "dt", "bar_idx", "regime", (100 * F.exp(F.sum("r").over(past))).alias("close"))
 
