@@ -43,8 +43,9 @@ VOCABULARY = TYPES - 2
 FREQUENT = 1 << 18
 ROUNDS, LANES, WINDOW, FAN = 3, 128, 16, 64
 RATE, CLIP = 0.01, 5.0
-#: Bytes of text whose documents are scored side by side.
-SIDE_BY_SIDE = 4 << 20
+#: Bytes of text whose documents are trained on or scored side by side. Long texts end with few
+#: documents beside them, whose steps cost as much, so scoring takes more.
+SIDE_BY_SIDE, SCORED = 4 << 20, 8 << 20
 #: Bytes of text hashed at once.
 PIECE = 1 << 17
 
@@ -344,24 +345,23 @@ def document_scores(net: Net, words: np.ndarray, at: np.ndarray, end: int) -> np
     padded = np.append(words, 0)
     out = np.zeros(len(order))
     h = np.zeros((len(order), HIDDEN), np.float32)
-    t = 0
-    while len(order) and t < length[0]:
-        states, seen, who = [], [], []
-        # lanes are sorted by length, so the live ones come first
-        for _ in range(WINDOW):
-            live = int(np.searchsorted(-length, -t, "left"))
-            if not live:
-                break
-            place = start[:live] + t
-            types = np.where(place < stop[:live], padded[np.minimum(place, len(words))], end)
-            h = h[:live]
-            states.append(h)
-            seen.append(types)
-            who.append(np.arange(live))
-            h = advance(net, h, types)[0]
-            t += 1
-        logs, _ = log_probabilities(net, np.concatenate(states), np.concatenate(seen))
-        out += np.bincount(np.concatenate(who), weights=logs, minlength=len(out))
+    # lanes are sorted by length, so the live ones come first
+    lanes = np.searchsorted(-length, -np.arange(length[0] if len(order) else 0), "left").tolist()
+    states, seen, who, held = [], [], [], 0
+    for t, live in enumerate(lanes):
+        place = start[:live] + t
+        types = np.where(place < stop[:live], padded[np.minimum(place, len(words))], end)
+        h = h[:live]
+        states.append(h)
+        seen.append(types)
+        who.append(np.arange(live))
+        h = advance(net, h, types)[0]
+        held += live
+        # few lanes, as at the end of a long text, wait for more steps
+        if (held >= LANES * WINDOW and len(seen) >= WINDOW) or t + 1 == len(lanes):
+            logs, _ = log_probabilities(net, np.concatenate(states), np.concatenate(seen))
+            out += np.bincount(np.concatenate(who), weights=logs, minlength=len(out))
+            states, seen, who, held = [], [], [], 0
     result = np.empty(len(order))
     result[order] = out
     return result
@@ -377,7 +377,7 @@ def score(batches: Iterator[pa.RecordBatch], net, types, common, ends: int) -> I
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
         ids = batch.column(0)
-        for i, j, data, offsets in tb.chunks(batch.column(1), SIDE_BY_SIDE):
+        for i, j, data, offsets in tb.chunks(batch.column(1), SCORED):
             words, doc = tokens_of(data, offsets, hasher)
             at, n = tb.bounds(doc, j - i), j - i
             kinds = names.of(words)
