@@ -67,13 +67,14 @@ def allowance(length: np.ndarray, threshold: int) -> np.ndarray:
 def line_keys(data: np.ndarray, start: np.ndarray, length: np.ndarray, hasher: tb.Rolling, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, line) of all index segments and probe substrings of lines in ``data``."""
     keys, who = [], []
+    sums = hasher.sums(data)
 
     def add(mask: np.ndarray, at: np.ndarray, size: np.ndarray, indexed: np.ndarray, t: int, i: int) -> None:
         k = np.flatnonzero(mask)
         if len(k):
             lo = start[k] + at[k]
             name = tb.mix(((indexed[k] * 16 + t) * 16 + i).astype(np.uint64))
-            keys.append(tb.mix(hasher.ranges(data, lo, lo + size[k]) + name))
+            keys.append(tb.mix(hasher.between(sums, lo, lo + size[k]) + name))
             who.append(k)
 
     for t in range(1, threshold + 1):
@@ -95,7 +96,8 @@ def line_keys(data: np.ndarray, start: np.ndarray, length: np.ndarray, hasher: t
     return np.concatenate(keys), np.concatenate(who)
 
 
-SCAN = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("member", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("size", pa.int64())])
+#: ``name`` is the document of an occurrence, else the key; ``size`` is negative for repeats and 0 for keys.
+SCAN = pa.schema([("name", pa.int64()), ("member", pa.int64()), ("place", pa.int64()), ("size", pa.int32())])
 
 
 def _member(data: np.ndarray, start: np.ndarray, end: np.ndarray, hasher: tb.Rolling) -> np.ndarray:
@@ -103,7 +105,7 @@ def _member(data: np.ndarray, start: np.ndarray, end: np.ndarray, hasher: tb.Rol
 
 
 def scan(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Lines of (doc, text): kind 0 occurrences, kind 1 repeats inside a text, kind 2 keys of the chunk's members."""
+    """Lines of (doc, text): occurrences, repeats inside a text, and keys of the chunk's members."""
     hasher = tb.Rolling()
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -116,19 +118,16 @@ def scan(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Recor
             member = _member(data, a, b, hasher)
             tag = (hasher.ranges(data, offsets[:-1], offsets[1:]) & np.uint64(0xFFFF)).astype(np.int64)
             order = np.lexsort((number, member, row))
-            again = np.zeros(len(row), np.int8)
+            again = np.zeros(len(row), bool)
             x, y = order[:-1], order[1:]
             again[y] = (row[x] == row[y]) & (member[x] == member[y])
-            zero = np.zeros(len(row), np.int64)
             yield pa.record_batch([
-                pa.array(again), pa.array(zero), tb.signed(member), pa.array(ids[i + row]), pa.array(tag[row] << 40 | number),
-                pa.array(b - a)], SCAN)
+                pa.array(ids[i + row]), tb.signed(member), pa.array(tag[row] << 40 | number),
+                pa.array(np.where(again, a - b, b - a).astype(np.int32))], SCAN)
             lead = np.unique(member, return_index=True)[1]
             keys, who = line_keys(data, a[lead], (b - a)[lead], hasher, threshold)
-            zero = np.zeros(len(keys), np.int64)
             yield pa.record_batch([
-                pa.array(zero.astype(np.int8) + np.int8(2)), tb.signed(keys), tb.signed(member[lead][who]), pa.array(zero), pa.array(zero),
-                pa.array(zero)], SCAN)
+                tb.signed(keys), tb.signed(member[lead][who]), pa.array(np.zeros(len(keys), np.int64)), pa.array(np.zeros(len(keys), np.int32))], SCAN)
 
 
 def near(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray, t: int) -> np.ndarray:
@@ -168,40 +167,51 @@ def near(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray, t:
 UNIT = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+#: Rows and bytes of units compared together, pairs checked together and bytes of their lines.
+TOGETHER, PAIRS, CELLS = 4096, 4096, 1 << 21
+
+
 def compare(group: pa.Table, threshold: int) -> pa.Table:
-    """(member, root) for the members of a pair of blocks that are near others here."""
+    """(member, root) for members that are near others of their unit, a pair of blocks; rows are sorted by unit."""
     data, offsets = tb.column(group.column("line"))
     member, block = group.column("member").to_numpy(), group.column("block").to_numpy()
+    name = [group.column(c).to_numpy() for c in ("component", "i", "j")]
+    unit = np.zeros(len(member), np.int64)
+    unit[1:] = np.cumsum(np.any([c[1:] != c[:-1] for c in name], axis=0))
     size = np.diff(offsets)
-    order = np.argsort(size, kind="stable")
+    order = np.lexsort((size, unit))
     k = len(order)
-    size, member, block = size[order], member[order], block[order]
-    histogram = np.zeros((k, 64), np.int32)
+    size, member, block, unit = size[order], member[order], block[order], unit[order]
     row = np.repeat(np.arange(k), size)
     at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + offsets[order][row]
-    np.add.at(histogram, (row, data[at] & 63), 1)
-    both = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+    histogram = np.bincount(row * 64 + (data[at] & 63), minlength=64 * k).reshape(k, 64).astype(np.int32)
+    both = (name[1] == name[2])[order]
     limit = allowance(size, threshold)
-    width = int(size.max(initial=0))
+    # the shorter line sets the threshold; longer ones of the unit follow in order
+    wide = int(size.max(initial=0)) + threshold + 1
+    last = np.searchsorted(unit * wide + size, unit * wide + size + limit, "right")
     near_a, near_b = [], []
-    for x in range(k):
-        # the shorter line sets the threshold; longer ones follow in order
-        last = int(np.searchsorted(size, size[x] + limit[x], "right"))
-        if limit[x] == 0 or last <= x + 1:
-            continue
-        ok = np.abs(histogram[x + 1: last] - histogram[x]).sum(axis=1) <= 2 * limit[x]
-        if not both:
-            ok &= block[x + 1: last] != block[x]
+    for x in np.flatnonzero((limit > 0) & (last > np.arange(k) + 1)).tolist():
+        end = int(last[x])
+        ok = np.abs(histogram[x + 1: end] - histogram[x]).sum(axis=1) <= 2 * limit[x]
+        if not both[x]:
+            ok &= block[x + 1: end] != block[x]
         y = np.flatnonzero(ok) + x + 1
         near_a.append(np.full(len(y), x))
         near_b.append(y)
     pa_, pb = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (near_a, near_b))
+    by_size = np.argsort(size[pb], kind="stable")
+    pa_, pb = pa_[by_size], pb[by_size]
     root = np.arange(k)
     first = offsets[order]
-    bytes_ = np.append(data, np.zeros(width + 1, np.uint8))
-    span = np.arange(width)
-    for lo in range(0, len(pa_), 4096):
-        x, y = pa_[lo: lo + 4096], pb[lo: lo + 4096]
+    bytes_ = np.append(data, np.zeros(int(size.max(initial=0)) + 1, np.uint8))
+    hi = len(pa_)
+    while hi:
+        # pairs of long lines are fewer at a time
+        width = int(size[pb[hi - 1]])
+        lo = max(0, hi - max(1, min(PAIRS, CELLS // width)))
+        x, y = pa_[lo:hi], pb[lo:hi]
+        hi = lo
         # pairs already connected need no check
         open_ = root[x] != root[y]
         x, y = x[open_], y[open_]
@@ -210,7 +220,7 @@ def compare(group: pa.Table, threshold: int) -> pa.Table:
             u, v = x[own], y[own]
             if not len(u):
                 continue
-            cols = span[: int(size[v].max())]
+            cols = np.arange(int(size[v].max()))
             ok = near(bytes_[first[u][:, None] + cols], bytes_[first[v][:, None] + cols], size[u], size[v], t) <= t
             for p, q in zip(u[ok].tolist(), v[ok].tolist(), strict=True):
                 p, q = root[p], root[q]
@@ -220,6 +230,33 @@ def compare(group: pa.Table, threshold: int) -> pa.Table:
     return pa.table([pa.array(member[out]), pa.array(member[root[out]])], schema=UNIT)
 
 
+def compare_units(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """``compare`` of rows sorted by unit, many whole units at a time."""
+
+    def runs(group: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        volume = np.append(0, np.cumsum(pc.binary_length(group.column("line")).to_numpy().astype(np.int64)))[ends]
+        lo = n = 0
+        while n < len(ends):
+            fits = (ends[n:] <= lo + TOGETHER) & (volume[n:] <= (volume[n - 1] if n else 0) + CELLS)
+            n += max(1, int(np.count_nonzero(fits)))
+            hi = int(ends[n - 1])
+            yield from compare(group.slice(lo, hi - lo), threshold).to_batches()
+            lo = hi
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        group = pa.Table.from_batches([batch])
+        group = pa.concat_tables([rest, group]).combine_chunks() if rest else group
+        name = [group.column(c).to_numpy() for c in ("component", "i", "j")]
+        # the last unit may go on in the next batch
+        ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in name], axis=0)) + 1
+        if len(ends):
+            yield from runs(group, ends)
+        rest = group.slice(int(ends[-1]) if len(ends) else 0)
+    if rest:
+        yield from runs(rest, np.array([rest.num_rows]))
+
+
 def pick_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trimmed lines of (text, wanted: list of members): (member, line)."""
     hasher = tb.Rolling()
@@ -284,15 +321,16 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc", F.col("text").cast("binary").alias("text"))
     rows = step(texts.mapInArrow(
-        partial(scan, threshold=threshold), "kind byte, key long, member long, doc long, place long, size long"), "lines")
+        partial(scan, threshold=threshold), "name long, member long, place long, size int"), "lines")
     line = F.col("place").bitwiseAND(F.lit((1 << 40) - 1))
-    seen = step(rows.where("kind = 0").select("member", "doc", "place", "size", line.alias("line")), "line_places")
-    again = step(rows.where("kind = 1").select("doc", "place"), "line_repeats")
+    seen = step(rows.where("size > 0").select("member", F.col("name").alias("doc"), "place", "size", line.alias("line")), "line_places")
+    again = step(rows.where("size < 0").select(F.col("name").alias("doc"), "place"), "line_repeats")
     total = seen.count()
     members = step(seen.groupBy("member").agg(
         F.count(F.lit(1)).alias("rows"), F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), F.max("size").alias("size")), "line_members")
 
-    keys = rows.where("kind = 2").select("key", "member")
+    # dealt once, for the least member of each key and for the others
+    keys = rows.where("size = 0").select(F.col("name").alias("key"), "member").repartition("key")
     shared = keys.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).where("low <> high").select("key", "low")
     edges = keys.join(shared.hint("merge"), "key").where("member <> low").select(F.col("low").alias("a"), F.col("member").alias("b"))
     clusters = components(edges.distinct())
@@ -309,10 +347,8 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     units = found.join(clusters, "member").select("component", "member", "block", "line", pair.alias("p"))
     units = units.select("component", "member", "block", "line", "p.i", "p.j").repartition(partitions(spark), "component", "i", "j")
 
-    def unit(group: pa.Table) -> pa.Table:
-        return compare(group, threshold)
-
-    links = step(units.groupBy("component", "i", "j").applyInArrow(unit, "a long, b long"), "line_links")
+    units = units.sortWithinPartitions("component", "i", "j")
+    links = step(units.mapInArrow(partial(compare_units, threshold=threshold), "a long, b long"), "line_links")
     linked = components(links).withColumnRenamed("node", "member")
     named = members.join(linked, "member", "left").withColumn("component", F.coalesce("component", "member"))
     # the first line of each class

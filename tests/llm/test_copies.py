@@ -9,6 +9,7 @@ import pytest
 from odd_tables import against_sql, clashing, empty, odd, plain, prose  # noqa: F401
 
 from barline.llm import jaccard, line_dedup, queries, suffix_dedup
+from barline.llm import textbytes as tb
 from barline.llm.common import components, identified
 from barline.llm.exact_dedup import DigestIndex, digests, exact_dedup
 
@@ -280,6 +281,40 @@ def test_line_dedup_equals_brute_force(odd):
     assert removed > 5
 
 
+def test_units_are_compared_together(monkeypatch):
+    """Many whole units a call give the links of each unit alone, wherever batches are cut."""
+    rng = random.Random(9)
+    rows, sizes = [], (1, 2, 2, 3, 40, 5, 2, 900, 2)
+    for u, n in enumerate(sizes):
+        one = "".join(rng.choice("abcdef") for _ in range(rng.choice((35, 70, 200))))
+        for m in range(n):
+            line = one[: rng.randrange(len(one))] + "x" + one if m % 3 == 2 else one[:9] + rng.choice("uvw") * rng.randint(0, 2) + one[9:]
+            i, j = (0, 0) if u % 2 else (0, 1)
+            rows.append((u, u * 1000 + m, m % 2 if j else 0, line.encode(), i, j))
+    schema = pa.schema([("component", pa.int64()), ("member", pa.int64()), ("block", pa.int32()), ("line", pa.binary()), ("i", pa.int32()), ("j", pa.int32())])
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    classes = lambda links: {frozenset([b, *(x for x, y in links if y == b)]) for _, b in links}
+    pairs = lambda t: list(zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True))
+    want = set().union(*(classes(pairs(line_dedup.compare(table.filter(pa.array([r[0] == u for r in rows])), 2))) for u in range(len(sizes))))
+    calls, plain = [], line_dedup.compare
+    monkeypatch.setattr(line_dedup, "compare", lambda *a: calls.append(a[0].num_rows) or plain(*a))
+    for cut, together in ((7, 4096), (300, 4096), (5000, 4096), (300, 50)):
+        monkeypatch.setattr(line_dedup, "TOGETHER", together)
+        calls.clear()
+        got = pa.Table.from_batches(line_dedup.compare_units(iter(table.to_batches(cut)), 2), line_dedup.UNIT)
+        assert sum(calls) == len(rows) and classes(pairs(got)) == want
+    assert want and len(calls) < len(sizes)
+
+
+def test_lines_are_summed_once(monkeypatch):
+    """All substrings of a chunk's lines are hashed from one run over its bytes."""
+    calls, plain = [], tb.Rolling.sums
+    monkeypatch.setattr(tb.Rolling, "sums", lambda *a: calls.append(1) or plain(*a))
+    data = np.frombuffer(b"a line of more than sixty bytes, so that two edits are allowed in it", np.uint8)
+    keys, _ = line_dedup.line_keys(data, np.array([0]), np.array([len(data)]), tb.Rolling(), 2)
+    assert len(keys) > 3 and len(calls) == 1
+
+
 def test_equal_short_lines_are_removed(spark):
     docs = spark.createDataFrame([(1, "Menu\nfirst text\n\nHome"), (2, "Menu\nsecond text\n\n Home \nMenu!")], "doc_id long, text string")
     rows = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
