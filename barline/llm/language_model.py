@@ -132,61 +132,89 @@ def unpack(data: bytes) -> Net:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """The logistic function, in the place of ``x``."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 def advance(net: Net, h: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, ...]:
     """(next state, z, r, candidate, recurrent part of the candidate) after reading a token in each lane."""
-    x, u = net["x"][types], h @ net["u"]
+    return move(net, h, net["x"].take(types, axis=0))
+
+
+def move(net: Net, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``advance`` of lanes whose tokens' rows of the input layer are known."""
+    u = h @ net["u"]
     gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
     un = u[:, 2 * HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN:] + r * un)
-    return n + z * (h - n), z, r, n, un
+    n = r * un
+    n += x[:, 2 * HIDDEN:]
+    np.tanh(n, out=n)
+    after = h - n
+    after *= z
+    after += n
+    return after, z, r, n, un
+
+
+def _low(reach: float, weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no value of the layer is over 80 for inputs of at most ``reach``, so exp cannot overflow."""
+    return bool(reach * np.abs(weights).sum(axis=-2).max() + np.abs(bias).max() <= 80)
 
 
-def _softmax(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exp(x), its row sums, log of the softmax in column ``own``), in the place of ``x``.
+def _exp(x: np.ndarray, own: np.ndarray, rows: np.ndarray, low: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(``x`` in column ``own``, row sums of exp(x)); exp(x) takes the place of ``x``.
 
     Row maxima are taken off only where exp would overflow.
     """
-    if x.size and x.max() > 80:
+    if not low and x.size and x.max() > 80:
         x -= x.max(axis=1, keepdims=True)
-    picked = x[np.arange(len(x)), own]
+    picked = x[rows, own]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    return x, total, picked - np.log(total)
+    return picked, x @ np.ones(x.shape[1], x.dtype)
 
 
 def log_probabilities(net: Net, h: np.ndarray, types: np.ndarray, gradient: Net | None = None):
     """Natural log p(type | state) per row; with ``gradient`` also adds to it and returns d loss / d state."""
     own, number = types // WIDTH, types % WIDTH
     rows = np.arange(len(types))
-    d, total, logs = _softmax(h @ net["cw"] + net["cb"], own)
-    out = logs.astype(np.float64)
+    reach = float(np.abs(h).max(initial=0))
+    d = h @ net["cw"]
+    d += net["cb"]
+    picked, total = _exp(d, own, rows, _low(reach, net["cw"], net["cb"]))
+    out = (picked - np.log(total)).astype(np.float64)
     back = None
     if gradient is not None:
         d /= total[:, None]
         d[rows, own] -= 1
         gradient["cw"] += h.T @ d
-        gradient["cb"] += d.sum(axis=0)
+        gradient["cb"] += np.ones(len(d), d.dtype) @ d
         back = d @ net["cw"].T
-    # one byte sorts by counting
+    # one byte sorts by counting; a class is a run of the sorted rows
     order = np.argsort(own.astype(np.uint8), kind="stable")
     edges = np.zeros(CLASSES + 1, np.int64)
     np.cumsum(np.bincount(own, minlength=CLASSES), out=edges[1:])
-    for c in np.flatnonzero(np.diff(edges)):
-        k = order[edges[c]: edges[c + 1]]
+    h, number = h.take(order, axis=0), number[order]
+    low = _low(reach, net["ww"], net["wb"])
+    inner = None if back is None else np.empty_like(back)
+    for c in np.flatnonzero(np.diff(edges)).tolist():
+        k = slice(edges[c], edges[c + 1])
         part = h[k]
-        at, place = rows[: len(k)], number[k]
-        d, total, logs = _softmax(part @ net["ww"][c] + net["wb"][c], place)
-        out[k] += logs
+        at, place = rows[: len(part)], number[k]
+        d = part @ net["ww"][c]
+        d += net["wb"][c]
+        picked[k], total[k] = _exp(d, place, at, low)
         if gradient is not None:
-            d /= total[:, None]
+            d /= total[k, None]
             d[at, place] -= 1
             gradient["ww"][c] += part.T @ d
-            gradient["wb"][c] += d.sum(axis=0)
-            back[k] += d @ net["ww"][c].T
+            gradient["wb"][c] += np.ones(len(d), d.dtype) @ d
+            np.matmul(d, net["ww"][c].T, out=inner[k])
+    out[order] += picked - np.log(total)
+    if back is not None:
+        back[order] += inner
     return out, back
 
 
@@ -204,12 +232,13 @@ class Trainer:
         """One window: ``types`` is (lanes, places); the last ``masked`` places of the last lane only fill it."""
         net, lanes, places = self.net, *types.shape
         g = {k: np.zeros_like(v) for k, v in net.items()}
-        h, kept, states = self.h, [], np.empty((places, lanes, HIDDEN), np.float32)
+        h, states = self.h, np.empty((places, lanes, HIDDEN), np.float32)
+        z, r, n, un = (np.empty_like(states) for _ in range(4))
         live = (types != self.end).astype(np.float32)
+        x = net["x"].take(types.T, axis=0)
         for t in range(places):
             states[t] = h
-            after, *parts = advance(net, h, types[:, t])
-            kept.append(parts)
+            after, z[t], r[t], n[t], un[t] = move(net, h, x[t])
             h = after * live[:, t: t + 1]
         self.h = h
         real = np.ones((places, lanes), bool)
@@ -222,25 +251,30 @@ class Trainer:
             back = back.reshape(places, lanes, HIDDEN)
         dh = np.zeros((lanes, HIDDEN), np.float32)
         dx = np.empty((places, lanes, 3 * HIDDEN), np.float32)
+        # what the gradients of a step's gates are multiples of, for all steps at once
+        into_n, into_z, into_r = (1 - z) * (1 - n * n), (states - n) * z * (1 - z), un * r * (1 - r)
+        rec = np.empty_like(dx)
+        turned = np.ascontiguousarray(net["u"].T)
         for t in range(places - 1, -1, -1):
-            z, r, n, un = kept[t]
-            h = states[t]
-            dh = dh * live[:, t: t + 1]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            into = np.concatenate([dz, dr, dn], axis=1)
-            dx[t] = into
-            rec = np.concatenate([dz, dr, dn * r], axis=1)
-            g["u"] += h.T @ rec
-            dh = dh * z + rec @ net["u"].T + back[t]
+            dh *= live[:, t: t + 1]
+            step_in, step_rec = dx[t], rec[t]
+            dn = dh * into_n[t]
+            np.multiply(dh, into_z[t], out=step_in[:, :HIDDEN])
+            np.multiply(dn, into_r[t], out=step_in[:, HIDDEN: 2 * HIDDEN])
+            step_in[:, 2 * HIDDEN:] = dn
+            step_rec[:, : 2 * HIDDEN] = step_in[:, : 2 * HIDDEN]
+            np.multiply(dn, r[t], out=step_rec[:, 2 * HIDDEN:])
+            dh *= z[t]
+            dh += step_rec @ turned
+            dh += back[t]
+        g["u"] += states.reshape(-1, HIDDEN).T @ rec.reshape(-1, 3 * HIDDEN)
         flat = types.T.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         seen = flat[order]
         first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
-        g["x"][seen[first]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        g["x"][seen[first]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN).take(order, axis=0), first, axis=0)
         scale = 1 / (lanes * places - masked)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) * scale
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values())) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-9))
         self.steps += 1
         warm = np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
