@@ -236,6 +236,28 @@ def test_short_quotes_hide_no_passage(spark):
     assert got == want
 
 
+def test_frequent_seeds_hide_no_edited_passage(spark, monkeypatch):
+    """All seeds of a passage are frequent, their first documents too short to report, and edits break every run."""
+    rng = random.Random(7)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n)]
+    docs, want = [], set()
+    for k in range(12):
+        one = words(96)
+        for a, b in [(0, 40), (28, 68), (56, 96)] * 6:
+            docs.append((len(docs), " ".join(words(30) + one[a:b] + words(30))))
+        edited = [w if i % 11 != k % 11 else words(1)[0] for i, w in enumerate(one)]
+        # a class of its own whose seeds are the same
+        for text in (one, edited):
+            docs.append((len(docs), " ".join(words(9) + text + words(9))))
+        want.add((len(docs) - 1, len(docs) - 2))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {(r.doc_id, r.ref_id) for r in passages.fuzzy_passages(table).collect()} == want
+    # small blocks, and pairs not compared before they are made
+    monkeypatch.setattr(passages, "BLOCK", 3)
+    monkeypatch.setattr(passages, "TOLD", 4)
+    assert {(r.doc_id, r.ref_id) for r in passages.fuzzy_passages(table).collect()} == want
+
+
 def test_mixing_equals_sql(odd, against_sql):
     df = mixing.plan_mix(odd).selectExpr("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.size * mix.copies AS taken", "mix.copies")
     got, want = against_sql(df, queries.ORACLES["op8_mix_sources"], documents=odd)
