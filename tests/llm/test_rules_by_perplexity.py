@@ -101,6 +101,21 @@ def test_cut_models_still_add_up_to_one(spark):
             assert np.exp(model.log(keys)).sum() == pytest.approx(1.0)
 
 
+def test_scores_do_not_depend_on_what_is_sent(spark, odd, clashing):
+    """Every n-gram counts, also those beyond the bound of what tasks are sent."""
+    docs = small(spark, odd)
+    want = pr.quality_rules(docs).toPandas()
+    keys = ["doc_id", *pr.FIELDS]
+    for rows in (100, 0):
+        got = pr.quality_rules(docs, rows=rows).toPandas()
+        a, b = (x.sort_values([*keys, "log_perplexity"], ignore_index=True) for x in (want, got))
+        assert a[[*keys, "base_failed", "kept"]].equals(b[[*keys, "base_failed", "kept"]])
+        for c in ("log_perplexity", "deviation"):
+            assert np.allclose(a[c], b[c], rtol=1e-9, equal_nan=True)
+    left = pr.well_formed(clashing, rows=100)
+    assert left.columns == clashing.columns and sorted(left.toPandas().doc_id.fillna(-1)) == sorted(pr.well_formed(clashing).toPandas().doc_id.fillna(-1))
+
+
 def test_bands_are_medians_and_deviations(spark):
     rng = np.random.default_rng(2)
     rows = [(lang, (50, 1, 0, 0, 0, 400, float(-400 * x), float(400 * x * x + 10))) for lang, mid in (("a", 1.3), (None, 2.0)) for x in rng.normal(mid, 0.05, 301)]
