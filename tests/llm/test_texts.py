@@ -236,6 +236,49 @@ def test_short_quotes_hide_no_passage(spark):
     assert got == want
 
 
+def test_every_place_of_a_passage_is_found(spark):
+    """A passage twice in a document, one after a short quote of it in the earlier document, and lines that repeat."""
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n)]
+    docs, want = [], set()
+
+    def add(text):
+        docs.append((len(docs), " ".join(text)))
+        return len(docs) - 1
+
+    for many in (0, 7):
+        for _ in range(5):
+            one = words(60)
+            for _ in range(many):
+                add(words(9) + one[:40] + words(9))
+            ref = add(words(70) + one + words(70))
+            twice = add(words(80) + one + words(90) + one + words(10))
+            want |= {(twice, ref, 80, 140), (twice, ref, 230, 290)}
+            other = words(60)
+            ref = add(words(70) + other[:45] + words(70) + other + words(20))
+            want.add((add(words(30) + other + words(30)), ref, 30, 90))
+    for size in (4, 8, 30):
+        line = words(size)
+        ref = add(words(40) + line * 60 + words(40))
+        want.add((add(words(20) + line * 40 + words(20)), ref, 20, 20 + 40 * size))
+    rows = passages.fuzzy_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.ref_id, r.start, r.end) for r in rows} == want
+
+
+def test_a_stretch_keeps_its_ends():
+    """Of lines that repeat, the places at the ends are seeds; of other repeats all are."""
+    rng = np.random.default_rng(4)
+    line, one = (rng.integers(1, 1 << 60, n).astype(np.uint64) for n in (10, 40))
+    fill = lambda n: rng.integers(1, 1 << 60, n).astype(np.uint64)
+    words = np.concatenate([fill(30), *[line] * 100, fill(30), *[line] * 50, fill(60), one, fill(70), one, fill(80), one])
+    r, place, last, h = passages.seeds(words, np.zeros(len(words), np.int64), 1)
+    assert len(set(zip(place.tolist(), h.tolist(), strict=True))) == len(place) and (last >= place).all()
+    found = {v: np.sort(place[h == v]) for v in set(h.tolist())}
+    inside = [p for p in found.values() if 30 <= p[0] < 1030]
+    assert inside and all(len(p) <= 4 * passages.MIN_SEEDS for p in inside) and any(p[-1] >= 1520 for p in inside)
+    assert sum(len(p) == 3 and p[1] - p[0] == 110 and p[2] - p[1] == 120 for p in found.values()) >= 5
+
+
 def test_frequent_seeds_hide_no_edited_passage(spark, monkeypatch):
     """All seeds of a passage are frequent, their first documents too short to report, and edits break every run."""
     rng = random.Random(7)
