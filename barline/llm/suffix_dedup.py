@@ -4,8 +4,9 @@ A string of ``length`` bytes that occurs twice has the same canonical anchor bot
 16-byte gram of least hash in it. Texts are cut into fragments, each the strings that share
 one anchor occurrence. Equal fragments settle each other by their first occurrence. Only
 anchors with several different fragments need more: their fragments (each once) meet in a
-task, are cut at content-defined places into tokens in byte order, and one suffix array over
-the tokens gives all classes of equal strings. The array is built by grouping suffixes by
+task. Most share little more than the anchor; those that agree with another one on as many
+bytes around it as any common string holds are cut at content-defined places into tokens in
+byte order, and one suffix array over the tokens gives all classes of equal strings. The array is built by grouping suffixes by
 their Lyndon prefixes.
 
 Order of occurrences: smaller doc_id, then earlier start. Rows without a doc_id, and rows
@@ -36,6 +37,8 @@ from barline.llm.common import discard, identified, join_groups, partitions, ste
 GRAM = 16
 #: Tokens sorted in one suffix array.
 TOKENS = 1 << 16
+#: Parts of the places an anchor can have in a string: strings of one part have all but 1/PARTS of their bytes around it in common.
+PARTS = 5
 #: Different fragments of one anchor that may meet in a task.
 HOT = 20_000
 
@@ -351,25 +354,75 @@ def classes(pieces: list[bytes], anchor: np.ndarray, doc: np.ndarray, place: np.
         pa.array(doc[r]), pa.array(tag[r]), pa.array(begin[hit[first]]), pa.array(begin[hit[final]] + length)], COVERED)
 
 
+def agreeing(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, count: np.ndarray, hasher: tb.Rolling, length: int) -> np.ndarray:
+    """Which of these fragments can have a string in common with another one of the same anchor.
+
+    A string whose anchor lies ``a`` to ``b`` bytes behind its start holds the bytes from ``a``
+    before the anchor on to ``length - b`` after its start. Equal strings have their anchors at
+    the same place, so fragments that share one agree on these bytes.
+    """
+    n = len(anchor)
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    grams = hasher.grams(data, GRAM)
+    hit = np.flatnonzero(grams == anchor.view(np.uint64)[row[: len(grams)]])
+    hit = hit[hit + GRAM <= offsets[row[hit] + 1]]
+    # leftmost, as the least hash of a fragment's first string is its leftmost one
+    found, first = np.unique(row[hit], return_index=True)
+    out = np.ones(n, bool)
+    out[found] = False
+    at = hit[first]
+    highest = at - offsets[found]
+    lowest = highest - count[found] + 1
+    sums = hasher.sums(data)
+    width = -(-(length - GRAM + 1) // PARTS)
+    for a in range(0, length - GRAM + 1, width):
+        b = min(a + width - 1, length - GRAM)
+        k = np.flatnonzero((a <= highest) & (b >= lowest))
+        if len(k):
+            own = hasher.between(sums, at[k] - a, at[k] - b + length)
+            _, kind, members = np.unique(tb.mix(own + anchor.view(np.uint64)[found[k]]), return_inverse=True, return_counts=True)
+            out[found[k[members[kind] > 1]]] = True
+    return out
+
+
 def sort_fragments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """``classes`` over runs of whole anchors; rows (anchor, doc, place, bytes) come sorted by anchor."""
     hasher = tb.Rolling()
-    held: list[tuple[int, int, int, bytes]] = []
-    volume = 0
-
-    def flush() -> pa.RecordBatch:
-        a, d, p, b = zip(*held, strict=True)
-        return classes(list(b), np.array(a), np.array(d), np.array(p), hasher, length)
+    limit = 12 * TOKENS
+    held: list[pa.RecordBatch] = []
+    volume, before = 0, None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        anchor, doc, place = (rows.column(c).to_numpy() for c in range(3))
+        data, offsets = tb.column(rows.column(3))
+        k = np.flatnonzero(agreeing(data, offsets, anchor, unpack(place)[1], hasher, length))
+        if len(k):
+            buffer = data.tobytes()
+            pieces = [buffer[i:j] for i, j in zip(offsets[k].tolist(), offsets[k + 1].tolist(), strict=True)]
+            yield classes(pieces, anchor[k], doc[k], place[k], hasher, length)
 
     for batch in batches:
-        for item in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            if volume > 12 * TOKENS and item[0] != held[-1][0]:
-                yield flush()
-                held, volume = [], 0
-            held.append(item)
-            volume += len(item[3])
+        if not len(batch):
+            continue
+        anchor = batch.column(0).to_numpy()
+        new = np.append(bool(held) and anchor[0] != before, anchor[1:] != anchor[:-1])
+        change = np.flatnonzero(new)
+        done = np.append(0, np.cumsum(np.diff(tb.column(batch.column(3))[1])))
+        i = 0
+        while True:
+            # the first new anchor after more than ``limit`` bytes
+            full = np.searchsorted(done, done[i] + limit - volume, "right")
+            p = np.searchsorted(change, max(full, i if held else i + 1))
+            if p == len(change):
+                break
+            held.append(batch.slice(i, change[p] - i))
+            yield from flush()
+            held, volume, i = [], 0, int(change[p])
+        held.append(batch.slice(i))
+        volume, before = volume + int(done[-1] - done[i]), anchor[-1]
     if held:
-        yield flush()
+        yield from flush()
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),

@@ -102,6 +102,54 @@ def test_suffix_dedup_equals_brute_force(odd, hot):
     assert not got
 
 
+def test_only_fragments_that_agree_are_sorted(monkeypatch):
+    """Fragments that share little more than their anchor cost no suffix array; those that share a string give its spans."""
+    rng = np.random.default_rng(3)
+    hasher = tb.Rolling()
+    fill = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+
+    def rows(texts):
+        out = []
+        for doc, text in enumerate(texts):
+            data = np.frombuffer(text, np.uint8)
+            _, start, count, anchor, _ = suffix_dedup.fragments(data, np.array([0, len(data)]), hasher, 100)
+            for s, c, a in zip(start.tolist(), count.tolist(), anchor.view(np.int64).tolist(), strict=True):
+                out.append((a, doc, int(suffix_dedup.pack(0, c, s)), text[s: s + c + 99]))
+        return sorted(out)
+
+    def covered(found, size):
+        batches = [pa.record_batch([pa.array(c) for c in zip(*found[i: i + size], strict=True)], names=["anchor", "doc", "place", "bytes"])
+                   for i in range(0, len(found), size)]
+        spans = {}
+        for b in suffix_dedup.sort_fragments(iter(batches), 100):
+            for d, _, s, e in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                spans.setdefault(d, set()).update(range(s, e))
+        return spans
+
+    asked = []
+    grouping = suffix_dedup.lyndon_grouping
+    monkeypatch.setattr(suffix_dedup, "lyndon_grouping", lambda text: asked.append(len(text)) or grouping(text))
+    phrase = fill(60)
+    found = rows([fill(200) + phrase + fill(200) for _ in range(40)])
+    assert len({a for a, *_ in found}) < len(found)
+    assert covered(found, 1000) == {} and not asked
+    # an edit every 130 bytes leaves strings of 100 bytes and more between
+    whole = fill(600)
+    edited = b"".join(whole[i: i + 130] + b"#" for i in range(0, 600, 131))
+    texts = [fill(90) + whole + fill(90), fill(50) + edited + fill(50)]
+    seen = {texts[0][i: i + 100] for i in range(len(texts[0]) - 99)}
+    want = {j for i in range(len(texts[1]) - 99) if texts[1][i: i + 100] in seen for j in range(i, i + 100)}
+    found = rows(texts)
+    several = {a for a, *_ in found if len({f[3] for f in found if f[0] == a}) > 1}
+    equal = {(f[0], f[3]) for f in found if f[1] == 0}
+    settled = {j for f in found if f[1] == 1 and (f[0], f[3]) in equal for j in range(f[2] & ((1 << 40) - 1), (f[2] & ((1 << 40) - 1)) + len(f[3]))}
+    for limit in (1 << 16, 40):
+        monkeypatch.setattr(suffix_dedup, "TOKENS", limit)
+        for size in (1, 7, 1000):
+            assert covered([f for f in found if f[0] in several], size).get(1, set()) | settled == want
+    assert asked and want
+
+
 def unnamed(spark):
     """Rows without an id, or with one id for many texts; half of the rows share a passage and a line."""
     rng = random.Random(4)
