@@ -11,8 +11,10 @@ Every pair of an A id and a B id in a group is linked. A pair counts in how many
 it is linked. Documents are worked on in blocks of ``BLOCK`` bytes: a block holds its
 distinct pairs once and each document's pairs as places among them, so what is shuffled are
 a block's pairs and not the documents'. Counts of pairs are summed over blocks, joined back
-to the blocks' pairs and read by the documents of the block. Occurrence pairs of a group are
-never listed: a group's ids are counted first.
+to the blocks' pairs and read by the documents of the block. No row holds a block: pairs and
+documents are rows of a written table, which meet sorted by block, so a task holds the
+counts of one block at a time, whatever it is dealt. Occurrence pairs of a group are never
+listed: a group's ids are counted first.
 
 Defined cases: a text that is null or empty, or whose tokens do not spell it, has no tokens,
 zeros and an empty digest column; strings of special tokens in a text are text; null and
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm import textbytes as tb
-from barline.llm.common import discard, step
+from barline.llm.common import discard, partitions, step
 
 #: Folder of the tokenizer files; every executor must have it.
 FOLDER = "/opt/tokenizers"
@@ -257,8 +259,12 @@ DOC = pa.struct([
     ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
     ("groups_sha256", pa.string()), ("places", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("pairs", pa.list_(pa.int64())), ("held", pa.list_(pa.int32())), ("docs", pa.list_(DOC))])
-BLOCK_TYPE = ("block long, pairs array<long>, held array<int>, docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,"
-              "n_links:long,groups_sha256:string,places:array<int>,times:array<int>>>")
+#: A row is a document of a block, or (``doc`` null) some of the block's pairs, from place ``first`` on.
+ROW_SCHEMA = pa.schema([("block", pa.int64()), ("first", pa.int32()), ("pairs", pa.list_(pa.int64())), ("held", pa.list_(pa.int32())), ("doc", DOC)])
+ROW_TYPE = ("block long, first int, pairs array<long>, held array<int>, doc struct<doc_id:long,n_a:long,n_b:long,n_groups:long,"
+            "n_links:long,groups_sha256:string,places:array<int>,times:array<int>>")
+#: Pairs of a row.
+RUN = 1 << 12
 
 
 class Block:
@@ -313,22 +319,56 @@ def read_blocks(batches: Iterator[pa.RecordBatch], folder: str, a_file: str, b_f
         yield block.batch(number)
 
 
+def block_rows(batches: Iterator[pa.RecordBatch], folder: str, a_file: str, b_file: str, run: int) -> Iterator[pa.RecordBatch]:
+    """``read_blocks`` as rows of single documents and of ``run`` pairs, so that no row holds a block."""
+    for block in read_blocks(batches, folder, a_file, b_file):
+        number = block.column(0)[0].as_py()
+        pairs, held, docs = (block.column(c).flatten() for c in (1, 2, 3))
+        first = np.arange(0, len(pairs), run)
+        n = len(first)
+        if n:
+            at = pa.array(np.append(first, len(pairs)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(n, number)), pa.array(first.astype(np.int32)), pa.ListArray.from_arrays(at, pairs), pa.ListArray.from_arrays(at, held),
+                pa.nulls(n, DOC)], schema=ROW_SCHEMA)
+        for i in range(0, len(docs), run):
+            part = docs.slice(i, run)
+            n = len(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, number)), *[pa.nulls(n, ROW_SCHEMA.field(c).type) for c in ("first", "pairs", "held")], part], schema=ROW_SCHEMA)
+
+
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def read_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of (docs, met) rows; ``met`` lists (pair, count, best) of the block's pairs in any order."""
+    """The documents of (key, place, count, best, doc) rows sorted by key: the counts of a block's pairs in any order, then its documents.
+
+    The key is twice the block's number, and one more for documents.
+    """
+    block, parts = None, []
+    count, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        for k in range(len(batch)):
-            docs, met = batch.column(0).slice(k, 1).flatten(), batch.column(1).slice(k, 1).flatten()
-            pair, count, best = (met.field(c).to_numpy(zero_copy_only=False) for c in ("pair", "count", "best"))
-            order = np.argsort(pair)
-            count, best = count[order], best[order]
+        keys = batch.column(0).to_numpy()
+        starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+            rows = batch.slice(i, j - i)
+            if keys[i] >> 1 != block:
+                block, parts = keys[i] >> 1, []
+            if not keys[i] & 1:
+                parts.append([rows.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3)])
+                continue
+            if parts:
+                place, counts, bests = (np.concatenate(c) for c in zip(*parts, strict=True))
+                count, best = np.zeros((2, len(place)), np.int64)
+                count[place], best[place] = counts, bests
+                parts = []
+            docs = rows.column(4)
             places, times = docs.field("places"), docs.field("times").flatten().to_numpy()
             at = places.flatten().to_numpy()
             owner = np.repeat(np.arange(len(docs)), np.diff(places.offsets.to_numpy()))
             sums = []
-            for value in (best.astype(np.int64), count):
+            for value in (best, count):
                 out = np.zeros(len(docs), np.int64)
                 np.add.at(out, owner, times * value[at])
                 sums.append(pa.array(out))
@@ -340,13 +380,13 @@ def read_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def blocks_of(docs: DataFrame, folder: str = FOLDER, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
     """The documents in blocks, with the blocks' distinct pairs and in how many of their documents each is linked."""
-    work = partial(read_blocks, folder=folder, a_file=a_file, b_file=b_file)
-    return step(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, BLOCK_TYPE), "blocks")
+    work = partial(block_rows, folder=folder, a_file=a_file, b_file=b_file, run=RUN)
+    return step(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, ROW_TYPE), "blocks")
 
 
 def met_pairs(blocks: DataFrame) -> DataFrame:
-    return blocks.select("block", F.explode(F.arrays_zip("pairs", "held")).alias("x")).select(
-        "block", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
+    return blocks.where("doc IS NULL").select("block", "first", F.posexplode(F.arrays_zip("pairs", "held")).alias("at", "x")).select(
+        "block", (F.col("first") + F.col("at")).alias("place"), F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
 
 
 def pair_counts(met: DataFrame, vocabulary_b: int) -> DataFrame:
@@ -369,10 +409,12 @@ def alignment(docs: DataFrame, folder: str = FOLDER, a_file: str = A_FILE, b_fil
     blocks = blocks_of(docs, folder, a_file, b_file)
     met = met_pairs(blocks)
     counts = step(pair_counts(met, size).select("pair", "count", "best"), "pair_counts")
-    back = met.drop("held").join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("pair", "count", "best")).alias("met"))
-    joined = blocks.select("block", "docs").join(back, "block", "left")
-    met_type = "array<struct<pair:long,count:long,best:boolean>>"
-    given = joined.select("docs", F.coalesce("met", F.array().cast(met_type)).alias("met"))
+    kind = ROW_TYPE[ROW_TYPE.index("struct<"):]
+    back = met.join(counts, "pair").select(
+        (F.col("block") * 2).alias("key"), "place", "count", "best", F.lit(None).cast(kind).alias("doc"))
+    given = back.unionByName(blocks.where("doc IS NOT NULL").select((F.col("block") * 2 + 1).alias("key"), "doc"), allowMissingColumns=True)
+    # sorted rows are read one block after the other
+    given = given.repartition(partitions(docs.sparkSession), F.shiftright("key", 1)).sortWithinPartitions("key")
     out = step(given.mapInArrow(read_counts, OUT), "aligned")
     discard(blocks)
     return out

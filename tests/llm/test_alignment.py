@@ -144,3 +144,17 @@ def test_runs_are_skipped_right(seed):
             want.append([i, k, j, m])
         i, j = k, m
     assert got == want
+
+
+def test_no_row_holds_a_block(spark, both, monkeypatch):
+    """Rows of the written tables are documents or some pairs, however much text a block has."""
+    from barline.llm import tokenizer_alignment as ta
+
+    monkeypatch.setattr(ta, "RUN", 16)
+    texts = ["word%d and other%d words go on, %d times" % (i, i * 7, i) for i in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts), (500, None), (501, "")], "doc_id long, text string").repartition(2)
+    blocks = ta.blocks_of(docs)
+    sizes = blocks.selectExpr("size(pairs) AS pairs", "doc.doc_id AS doc_id", "block").collect()
+    assert max(r.pairs for r in sizes if r.doc_id is None) <= 16
+    assert sorted(r.doc_id for r in sizes if r.doc_id is not None) == [*range(120), 500, 501] and len({r.block for r in sizes}) <= 2
+    check(docs, both)
